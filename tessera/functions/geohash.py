@@ -57,52 +57,58 @@ def geohash_encode(lng, lat, precision: int = 8) -> Column:
     return F.when(_c(lng).isNull() | _c(lat).isNull(), F.lit(None).cast("string")).otherwise(out)
 
 
-def geohash_bounds(code) -> Column:
-    """Exact cell of a geohash as ``struct<lng, lat, lng_err, lat_err,
-    min_lng, min_lat, max_lng, max_lat>`` (centre, half sizes, corners).
+def _deinterleave(whole: Column, parity: int) -> Column:
+    out = None
+    for j in range(parity, 60, 2):
+        term = F.shiftleft(F.shiftright(whole, 59 - j).bitwiseAND(F.lit(1)), 29 - j // 2)
+        out = term if out is None else out + term
+    return out
+
+
+def with_geohash_bounds(df, code: str = "geohash", prefix: str = ""):
+    """G9 as a DataFrame step: adds ``lng, lat, lng_err, lat_err, min_lng,
+    min_lat, max_lng, max_lat`` (with ``prefix``) for a geohash column.
 
     Closed form for codes of up to 12 characters: the code (right-padded to
     12) is mapped onto the standard base-32 digits and read as one 60-bit
     integer with ``conv``; its even bits form longitude, odd bits latitude,
-    which are then scaled down to the code's own bit counts.
+    scaled down to the code's own bit counts. Each intermediate is its own
+    projection (all codegen), so no expression is copied into its consumers.
     """
-    code = F.lower(_c(code))
-    length = F.least(F.length(code), F.lit(12))
-    digits = F.translate(F.rpad(code, 12, "0"), BASE32, "0123456789abcdefghijklmnopqrstuv")
-    whole = F.conv(digits, 32, 10).cast("long")
-    qx = qy = None
-    for j in range(60):
-        bit = F.shiftright(whole, 59 - j).bitwiseAND(F.lit(1))
-        term = F.shiftleft(bit, 29 - j // 2)
-        if j % 2 == 0:
-            qx = term if qx is None else qx + term
-        else:
-            qy = term if qy is None else qy + term
-    total = length * F.lit(5)
-    nx = F.floor((total + F.lit(1)) / F.lit(2))
-    ny = F.floor(total / F.lit(2))
-    qx = F.floor(qx / F.pow(F.lit(2.0), F.lit(30) - nx))
-    qy = F.floor(qy / F.pow(F.lit(2.0), F.lit(30) - ny))
-    lng_err = F.lit(180.0) / F.pow(F.lit(2.0), nx)
-    lat_err = F.lit(90.0) / F.pow(F.lit(2.0), ny)
-    lng = F.lit(-180.0) + (F.lit(2.0) * qx + F.lit(1.0)) * lng_err
-    lat = F.lit(-90.0) + (F.lit(2.0) * qy + F.lit(1.0)) * lat_err
-    out = F.struct(lng.alias("lng"), lat.alias("lat"), lng_err.alias("lng_err"), lat_err.alias("lat_err"),
-                   (lng - lng_err).alias("min_lng"), (lat - lat_err).alias("min_lat"),
-                   (lng + lng_err).alias("max_lng"), (lat + lat_err).alias("max_lat"))
-    return F.when(F.length(code) > F.lit(0), out)
-
-
-def geohash_rectangle(code) -> Column:
-    """Rectangle of a geohash cell as the reference writes it:
-    ``struct<max_lng, max_lat, min_lng, min_lat>``. Pass a column reference
-    (see ``with_geohash``): the decoder reads its input many times."""
-    b = geohash_bounds(code)
-    return F.struct(b["max_lng"].alias("max_lng"), b["max_lat"].alias("max_lat"),
-                    b["min_lng"].alias("min_lng"), b["min_lat"].alias("min_lat"))
+    c = F.lower(F.col(code))
+    df = df.withColumn("_gh_len", F.least(F.length(c), F.lit(12)))
+    df = df.withColumn("_gh_all", F.conv(F.translate(F.rpad(c, 12, "0"), BASE32,
+                                                     "0123456789abcdefghijklmnopqrstuv"), 32, 10).cast("long"))
+    df = df.withColumn("_gh_qx", _deinterleave(F.col("_gh_all"), 0)) \
+        .withColumn("_gh_qy", _deinterleave(F.col("_gh_all"), 1))
+    total = F.col("_gh_len") * F.lit(5)
+    df = df.withColumn("_gh_nx", F.floor((total + F.lit(1)) / F.lit(2))).withColumn("_gh_ny", F.floor(total / F.lit(2)))
+    df = df.withColumn(prefix + "lng_err", F.lit(180.0) / F.pow(F.lit(2.0), F.col("_gh_nx"))) \
+        .withColumn(prefix + "lat_err", F.lit(90.0) / F.pow(F.lit(2.0), F.col("_gh_ny")))
+    qx = F.floor(F.col("_gh_qx") / F.pow(F.lit(2.0), F.lit(30) - F.col("_gh_nx")))
+    qy = F.floor(F.col("_gh_qy") / F.pow(F.lit(2.0), F.lit(30) - F.col("_gh_ny")))
+    ok = F.col("_gh_len") > F.lit(0)
+    df = df.withColumn(prefix + "lng", F.when(ok, F.lit(-180.0) + (F.lit(2.0) * qx + F.lit(1.0)) * F.col(prefix + "lng_err"))) \
+        .withColumn(prefix + "lat", F.when(ok, F.lit(-90.0) + (F.lit(2.0) * qy + F.lit(1.0)) * F.col(prefix + "lat_err")))
+    lng, lat, el, et = (F.col(prefix + n) for n in ("lng", "lat", "lng_err", "lat_err"))
+    df = df.withColumn(prefix + "min_lng", lng - el).withColumn(prefix + "min_lat", lat - et) \
+        .withColumn(prefix + "max_lng", lng + el).withColumn(prefix + "max_lat", lat + et)
+    return df.drop("_gh_len", "_gh_all", "_gh_qx", "_gh_qy", "_gh_nx", "_gh_ny")
+
+
+def with_point_rectangle(df, lng: str = "lng", lat: str = "lat", precision: int = 8, prefix: str = ""):
+    """Rectangle of the geohash cell of each point, as the reference
+    writes it (max_lng, max_lat, min_lng, min_lat)."""
+    df = with_geohash(df, lng, lat, precision, "_gh_code")
+    df = with_geohash_bounds(df, "_gh_code", "_ghb_")
+    for n in ("max_lng", "max_lat", "min_lng", "min_lat"):
+        df = df.withColumn(prefix + n, F.col("_ghb_" + n))
+    return df.drop("_gh_code", *["_ghb_" + n for n in ("lng", "lat", "lng_err", "lat_err", "min_lng",
+                                                       "min_lat", "max_lng", "max_lat")])
+
+
 
 
 def with_geohash(df, lng: str = "lng", lat: str = "lat", precision: int = 8, name: str = "geohash"):
-    """Add the geohash as its own column, so decoders reference an attribute
-    rather than re-expanding the encoder expression."""
+    """Add the geohash as its own column."""
     return df.withColumn(name, geohash_encode(lng, lat, precision))

@@ -168,13 +168,9 @@ def point_line_distance(px, py, geom) -> Column:
     return F.array_min(F.transform(segments(geom), lambda s: point_segment_distance(px, py, s)))
 
 
-def point_in_polygon(px, py, geom, boundary: bool = False) -> Column:
-    """Even-odd test of a point against all rings of a (multi)polygon.
-
-    ``boundary=False`` is ``ST_Within`` (interior only): a point on an edge or
-    vertex is outside. ``boundary=True`` counts the boundary as inside
-    (``ST_Intersects`` for a point). Holes are rings, so they flip parity.
-    """
+def point_in_segments(px, py, segs, boundary: bool = False) -> Column:
+    """Even-odd test against a precomputed ``array<struct<x1,y1,x2,y2>>`` of
+    all ring edges (see ``point_in_polygon``)."""
     px, py = _c(px), _c(py)
     init = F.struct(F.lit(0).alias("c"), F.lit(False).alias("b"))
 
@@ -187,11 +183,21 @@ def point_in_polygon(px, py, geom, boundary: bool = False) -> Column:
         return F.struct((acc["c"] + F.when(crosses, 1).otherwise(0)).alias("c"),
                         (acc["b"] | on_edge).alias("b"))
 
-    r = F.aggregate(segments(geom), init, per_segment)
+    r = F.aggregate(_c(segs), init, per_segment)
     inside = F.pmod(r["c"], F.lit(2)) == F.lit(1)
     return (inside | r["b"]) if boundary else (inside & ~r["b"])
 
 
+def point_in_polygon(px, py, geom, boundary: bool = False) -> Column:
+    """Even-odd test of a point against all rings of a (multi)polygon.
+
+    ``boundary=False`` is ``ST_Within`` (interior only): a point on an edge or
+    vertex is outside. ``boundary=True`` counts the boundary as inside
+    (``ST_Intersects`` for a point). Holes are rings, so they flip parity.
+    """
+    return point_in_segments(px, py, segments(geom), boundary)
+
+
 def ring_area(r: Column) -> Column:
     """Signed shoelace area of one closed ring."""
     return F.aggregate(_ring_segments(r), F.lit(0.0),

@@ -50,14 +50,21 @@ def explode_range(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame
     return df.withColumn(name, F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
 
 
-def explode_bbox_cells(df: DataFrame, minx, miny, maxx, maxy, size, prefix: str = "_c") -> DataFrame:
+def explode_bbox_cells(df: DataFrame, minx, miny, maxx, maxy, size, prefix: str = "_c",
+                       open_box: bool = False) -> DataFrame:
     """Replicate each row to every cell its bounding box touches.
 
-    ``size`` may be a float or a column (per-row level size).
+    ``size`` may be a float or a column (per-row level size). With
+    ``open_box`` only points strictly inside the box can match (interior
+    predicates), so a max edge lying exactly on a cell edge does not pull in
+    the next cell: the upper index is ``ceil(max / s) - 1``.
     """
     s = F.lit(float(size)) if not isinstance(size, Column) else size
-    df = explode_range(df, F.floor(_c(minx) / s), F.floor(_c(maxx) / s), prefix + "x")
-    return explode_range(df, F.floor(_c(miny) / s), F.floor(_c(maxy) / s), prefix + "y")
+
+    def hi(v):
+        return (F.ceil(_c(v) / s) - F.lit(1)) if open_box else F.floor(_c(v) / s)
+    df = explode_range(df, F.floor(_c(minx) / s), hi(maxx), prefix + "x")
+    return explode_range(df, F.floor(_c(miny) / s), hi(maxy), prefix + "y")
 
 
 def neighbour_span(radius: float, size: float) -> int:
@@ -86,14 +93,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int | None):
+def sized_broadcast(df: DataFrame, max_rows: int | None, upper_bound: int | None = None):
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
-    The check is a bounded action (``limit(max_rows + 1).count()``): it stops
-    reading once the bound is exceeded. Returns (frame, broadcast?).
+    ``upper_bound`` is a row bound already proven by the caller (e.g. window
+    count × the per-window cell cap); when it is within ``max_rows`` no job
+    runs. Otherwise the check is a bounded action
+    (``limit(max_rows + 1).count()``) that stops once the bound is exceeded.
+    Returns (frame, broadcast?).
     """
     if max_rows is None or max_rows <= 0:
         return df, False
+    if upper_bound is not None and upper_bound <= max_rows:
+        return F.broadcast(df), True
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df), True
@@ -132,14 +144,14 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *,
               broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS,
               salt: bool = True, hot_rows: int = DEFAULT_HOT_ROWS,
               salt_buckets: int = DEFAULT_SALT_BUCKETS, max_hot: int = DEFAULT_MAX_HOT_CELLS,
-              salt_cols: list[str] | None = None) -> DataFrame:
+              salt_cols: list[str] | None = None, right_bound: int | None = None) -> DataFrame:
     """Inner equi-join of point cells (left) with window cells (right).
 
     Right is broadcast when it provably fits (no shuffle of the big side, no
     skew). Otherwise both sides shuffle on the cell key, hot cells are salted
     and AQE's skew-join split remains as a second line of defence.
     """
-    r, is_bc = sized_broadcast(right, broadcast_rows)
+    r, is_bc = sized_broadcast(right, broadcast_rows, right_bound)
     if is_bc:
         return left.join(r, keys, "inner")
     if salt and salt_buckets > 1:
@@ -147,32 +159,54 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *,
     return left.join(right, keys, "inner").drop("_salt")
 
 
-def auto_cell_size(df: DataFrame, width: Column, height: Column, floor: float = 0.0) -> float:
-    """Median window extent (approximate, one aggregate over the window side)."""
-    row = df.select(F.percentile_approx(F.greatest(width, height), 0.5, 1000).alias("m")).first()
-    m = row["m"] if row is not None else None
+def window_stats(df: DataFrame, width: Column, height: Column) -> dict:
+    """One aggregate over the window side: row count, approximate median
+    extent and the largest width and height."""
+    ext = F.greatest(width, height)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(ext, 0.5, 1000).alias("median"),
+                 F.max(width).alias("max_w"), F.max(height).alias("max_h")).first()
+    return {k: row[k] for k in ("n", "median", "max_w", "max_h")}
+
+
+def auto_cell_size(stats: dict, floor: float = 0.0) -> float:
+    """Cell size = median window extent (at least ``floor``)."""
+    m = stats.get("median")
     if m is None or m <= 0:
         m = floor if floor > 0 else 1.0
     return float(max(m, floor))
 
 
-def window_levels(df: DataFrame, minx, miny, maxx, maxy, size: float,
+def _ncells(minx, miny, maxx, maxy, s):
+    return ((F.floor(_c(maxx) / F.lit(s)) - F.floor(_c(minx) / F.lit(s)) + F.lit(1))
+            * (F.floor(_c(maxy) / F.lit(s)) - F.floor(_c(miny) / F.lit(s)) + F.lit(1)))
+
+
+def _level_for_extent(w: float, h: float, size: float, max_cells: int) -> int:
+    for k in range(7):
+        s = size * LEVEL_FACTOR ** k
+        if (math.floor(w / s) + 2) * (math.floor(h / s) + 2) <= max_cells:
+            return k
+    return 6
+
+
+def window_levels(df: DataFrame, minx, miny, maxx, maxy, size: float, stats: dict,
                   max_cells: int = DEFAULT_MAX_CELLS_PER_WINDOW):
     """Assign each window the finest grid level whose cell count is ≤ max_cells.
 
     Level k has cell size ``size * LEVEL_FACTOR**k``. Returns the frame with
-    ``_lvl`` and ``_lsize`` columns and the sorted list of levels in use (one
-    small aggregate on the window side).
+    ``_lvl`` and ``_lsize`` columns and the sorted list of levels in use. When
+    even the largest window (from ``stats``) fits level 0 no pass is needed;
+    otherwise one small distinct pass over the window side finds the levels.
     """
-    def ncells(s):
-        return ((F.floor(_c(maxx) / F.lit(s)) - F.floor(_c(minx) / F.lit(s)) + F.lit(1))
-                * (F.floor(_c(maxy) / F.lit(s)) - F.floor(_c(miny) / F.lit(s)) + F.lit(1)))
-    lvl = F.when(ncells(size) <= F.lit(max_cells), F.lit(0))
+    lvl = F.when(_ncells(minx, miny, maxx, maxy, size) <= F.lit(max_cells), F.lit(0))
     for k in range(1, 6):
-        lvl = lvl.when(ncells(size * LEVEL_FACTOR ** k) <= F.lit(max_cells), F.lit(k))
+        lvl = lvl.when(_ncells(minx, miny, maxx, maxy, size * LEVEL_FACTOR ** k) <= F.lit(max_cells), F.lit(k))
     lvl = lvl.otherwise(F.lit(6))
     out = df.withColumn("_lvl", lvl).withColumn(
         "_lsize", F.lit(float(size)) * F.pow(F.lit(float(LEVEL_FACTOR)), F.col("_lvl")))
+    w, h = stats.get("max_w") or 0.0, stats.get("max_h") or 0.0
+    if _level_for_extent(w, h, size, max_cells) == 0:
+        return out, [0]
     levels = sorted(r["_lvl"] for r in out.select("_lvl").distinct().collect())
     return out, levels or [0]
 

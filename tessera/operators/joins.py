@@ -93,20 +93,21 @@ def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
     """
     px, py = point_xy
     segs = C.materialize(_segment_table(lines, id_col, geom_col))
-    if cell_size is None:
-        cell_size = C.auto_cell_size(segs, F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny"),
-                                     floor=2.0 * radius)
-    size = float(cell_size)
     r = F.lit(float(radius))
+    stats = C.window_stats(segs, F.col("_maxx") - F.col("_minx") + F.lit(2.0 * radius),
+                           F.col("_maxy") - F.col("_miny") + F.lit(2.0 * radius))
+    size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=2.0 * radius)
     segs, levels = C.window_levels(segs, F.col("_minx") - r, F.col("_miny") - r,
-                                   F.col("_maxx") + r, F.col("_maxy") + r, size)
+                                   F.col("_maxx") + r, F.col("_maxy") + r, size, stats)
     segs = C.explode_bbox_cells(segs, F.col("_minx") - r, F.col("_miny") - r,
                                 F.col("_maxx") + r, F.col("_maxy") + r, F.col("_lsize"))
     per_cell = segs.groupBy(id_col, "_lvl", "_cx", "_cy").agg(F.collect_list("_seg").alias("_segs"))
     if id_col in points.columns:
         raise ValueError(f"points already have a column named {id_col!r}")
     left = C.point_levels(points, px, py, size, levels)
-    joined = C.cell_join(left, per_cell, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns), **join_opts)
+    bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
+    joined = C.cell_join(left, per_cell, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
+                         right_bound=bound, **join_opts)
     d = F.array_min(F.transform(F.col("_segs"), lambda s: G.point_segment_distance(F.col(px), F.col(py), s)))
     joined = joined.withColumn("distance", d)
     cond = (F.col("distance") < r) if strict else (F.col("distance") <= r)
@@ -128,24 +129,24 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
     polygons, mapping = _prefix_right(points, polygons, right_prefix)
     gcol = mapping[geom_col]
     b = G.bbox(F.col(gcol))
-    polys = C.materialize(polygons.withColumn("_bb", b))
-    if cell_size is None:
-        cell_size = C.auto_cell_size(polys, F.col("_bb.maxx") - F.col("_bb.minx"),
-                                     F.col("_bb.maxy") - F.col("_bb.miny"), floor=1e-9)
-    size = float(cell_size)
+    polys = C.materialize(polygons.withColumn("_bb", b).withColumn("_edges", G.segments(F.col(gcol))))
+    stats = C.window_stats(polys, F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
+    size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=1e-9)
     polys, levels = C.window_levels(polys, F.col("_bb.minx"), F.col("_bb.miny"),
-                                    F.col("_bb.maxx"), F.col("_bb.maxy"), size)
+                                    F.col("_bb.maxx"), F.col("_bb.maxy"), size, stats)
     polys = C.explode_bbox_cells(polys, F.col("_bb.minx"), F.col("_bb.miny"),
-                                 F.col("_bb.maxx"), F.col("_bb.maxy"), F.col("_lsize"))
+                                 F.col("_bb.maxx"), F.col("_bb.maxy"), F.col("_lsize"), open_box=not boundary)
     left = C.point_levels(points, px, py, size, levels)
-    joined = C.cell_join(left, polys, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns), **join_opts)
+    bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
+    joined = C.cell_join(left, polys, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
+                         right_bound=bound, **join_opts)
     x, y = F.col(px), F.col(py)
     if boundary:
         box = (x >= F.col("_bb.minx")) & (x <= F.col("_bb.maxx")) & (y >= F.col("_bb.miny")) & (y <= F.col("_bb.maxy"))
     else:
         box = (x > F.col("_bb.minx")) & (x < F.col("_bb.maxx")) & (y > F.col("_bb.miny")) & (y < F.col("_bb.maxy"))
-    cond = box & G.point_in_polygon(x, y, F.col(gcol), boundary=boundary)
-    return joined.filter(cond).drop("_lvl", "_lsize", "_cx", "_cy", "_bb")
+    cond = box & G.point_in_segments(x, y, F.col("_edges"), boundary=boundary)
+    return joined.filter(cond).drop("_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges")
 
 
 def regular_grid_join(points: DataFrame, *, point_xy=("x", "y"), x0: float, y0: float,

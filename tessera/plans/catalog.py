@@ -242,6 +242,11 @@ def q_gcj_delta(spark, sf):
 
 
 def q_gcj_to_wgs(spark, sf):
+    w = crs.gcj_to_wgs_arrow("lng", "lat")
+    return _pts(spark, sf).select("event_id", F.round(w["lng"], 8).alias("wgs_lng"), F.round(w["lat"], 8).alias("wgs_lat"))
+
+
+def q_gcj_to_wgs_fold(spark, sf):
     w = crs.gcj_to_wgs("lng", "lat")
     return _pts(spark, sf).select("event_id", F.round(w["lng"], 8).alias("wgs_lng"), F.round(w["lat"], 8).alias("wgs_lat"))
 
@@ -256,14 +261,14 @@ def q_geohash_encode(spark, sf):
 
 
 def q_geohash_bounds(spark, sf):
-    b = geohash.geohash_bounds("gh")
-    return geohash.with_geohash(_pts(spark, sf), precision=6, name="gh").select("event_id", F.round(b["lng"], 9).alias("lng"), F.round(b["lat"], 9).alias("lat"),
-                                  F.round(b["lng_err"], 12).alias("lng_err"), F.round(b["lat_err"], 12).alias("lat_err"))
+    d = geohash.with_geohash_bounds(geohash.with_geohash(_pts(spark, sf), precision=6, name="gh"), "gh")
+    return d.select("event_id", F.round("lng", 9).alias("lng"), F.round("lat", 9).alias("lat"),
+                    F.round("lng_err", 12).alias("lng_err"), F.round("lat_err", 12).alias("lat_err"))
 
 
 def q_point_rectangles(spark, sf):
-    r = geohash.geohash_rectangle("gh")
-    return geohash.with_geohash(_pts(spark, sf), precision=8, name="gh").select("event_id", *[F.round(r[c], 9).alias(c) for c in ("max_lng", "max_lat", "min_lng", "min_lat")])
+    d = geohash.with_point_rectangle(_pts(spark, sf).select("event_id", "lng", "lat"), precision=8, prefix="r_")
+    return d.select("event_id", *[F.round("r_" + c, 9).alias(c) for c in ("max_lng", "max_lat", "min_lng", "min_lat")])
 
 
 def q_geom_from_wkt(spark, sf):
@@ -634,6 +639,7 @@ def _oracle() -> dict[str, str]:
     o["gcj_delta"] = f"WITH {PTS} SELECT event_id, round({dlng}, 9) AS dlng, round({dlat}, 9) AS dlat FROM pts"
     o["gcj_to_wgs"] = (f"WITH {PTS}, {_gcj_iter_sql()} SELECT event_id, round(wlng, 8) AS wgs_lng, "
                        f"round(wlat, 8) AS wgs_lat FROM g{crs.GCJ_MAX_STEPS}")
+    o["gcj_to_wgs_fold"] = o["gcj_to_wgs"]
     o["project_points"] = f"WITH {POIS} SELECT objectid, name, lng, lat, round(x, 3) AS x, round(y, 3) AS y FROM poism"
     o["geohash_encode"] = f"WITH {PTS} SELECT event_id, {_geohash_sql('lng', 'lat', 8)} AS geohash FROM pts"
     gb = "gb AS (SELECT event_id, qx, qy FROM (SELECT event_id, {qx} AS qx, {qy} AS qy FROM pts))"
