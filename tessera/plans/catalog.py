@@ -126,6 +126,11 @@ def q_geohash_hourly_counts(spark, sf):
     return A.geohash_hourly_counts(p, 8)
 
 
+def q_geohash_hourly_counts_stream(spark, sf):
+    from ..streaming import hourly
+    return hourly.geohash_hourly_counts_stream(spark, sf, 8, _ms(START), _ms(END))
+
+
 def q_equal_grid_counts(spark, sf):
     return A.equal_grid_counts(_pts(spark, sf), nx=GRID_NX, ny=GRID_NY)
 
@@ -571,6 +576,7 @@ def _oracle() -> dict[str, str]:
       CAST(sum(CAST(trunc(o_totalprice / 1000.0) AS INTEGER)) AS BIGINT) AS sum_bikes FROM orders GROUP BY 1, 2 ORDER BY 1, 2"""
     o["geohash_hourly_counts"] = f"""WITH {PTS} SELECT {_geohash_sql('lng', 'lat', 8)} AS envelope,
       strftime(ts, '%Y-%m-%d-%H') AS date, count(*) AS count FROM pts WHERE {_range(START, END)} GROUP BY 1, 2"""
+    o["geohash_hourly_counts_stream"] = o["geohash_hourly_counts"]
     minx, miny, maxx, maxy = A.REFERENCE_GRID_ENVELOPE
     dx, dy = (maxx - minx) / GRID_NX, (maxy - miny) / GRID_NY
     cell = (f"CAST(least(floor((lng - {minx}) / {dx}), {GRID_NX - 1}) AS BIGINT) * {GRID_NY}"

@@ -42,8 +42,14 @@ def points(spark: SparkSession, sf_dir: str, mercator: bool = True) -> DataFrame
     Columns: event_id, lng, lat, sys_ms, area_code, company_code, num_bikes
     (+ x, y in EPSG:3857).
     """
-    ev = table(spark, sf_dir, "events")
-    df = ev.select(
+    return points_from_events(table(spark, sf_dir, "events"), mercator)
+
+
+def points_from_events(ev: DataFrame, mercator: bool = True, keep_ts: bool = False) -> DataFrame:
+    """The ``points`` recipe on any frame with the ``events`` columns (batch
+    or streaming)."""
+    extra = [F.col("ts")] if keep_ts else []
+    df = ev.select(*extra,
         "event_id",
         _hash_coord("user_id", 7919, "event_id", 104729, 1000003, LNG0, LNG_SPAN).alias("lng"),
         _hash_coord("user_id", 15485863, "event_id", 1299709, 1000033, LAT0, LAT_SPAN).alias("lat"),
