@@ -33,11 +33,24 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _ntz_literal(ms: int) -> Column:
+    """Exact TIMESTAMP_NTZ literal for an epoch-ms value (no zone involved)."""
+    txt = TF.ms_to_timestamp_ntz(ms).strftime("%Y-%m-%d %H:%M:%S.%f")
+    return F.expr(f"TIMESTAMP_NTZ'{txt}'")
+
+
 def time_range(df: DataFrame, start=None, end=None, ms_col: str = "sys_ms",
-               closed: str = "none", whole_days: bool = False) -> DataFrame:
+               closed: str = "none", whole_days: bool = False, ts_col: str | None = "ts") -> DataFrame:
     """Keep rows with ``start < ms < end`` (``closed`` = none / left /
     right / both). ``whole_days`` snaps both bounds to midnight UTC as the
-    reference's ``yyyy-MM-dd`` bounds do."""
+    reference's ``yyyy-MM-dd`` bounds do.
+
+    When the frame still carries the raw timestamp column ``ts_col`` (as the
+    fixtures do), the same range is also stated on it. That predicate is
+    exactly equivalent (ms = floor(µs / 1000)) and, unlike one on the derived
+    ms column, reaches the Parquet scan as a pushed filter, so row groups
+    outside the range are skipped.
+    """
     lo = TF.day_floor_ms(start) if (whole_days and start is not None) else TF.to_ms_literal(start)
     hi = TF.day_floor_ms(end) if (whole_days and end is not None) else TF.to_ms_literal(end)
     c = F.col(ms_col)
@@ -46,6 +59,14 @@ def time_range(df: DataFrame, start=None, end=None, ms_col: str = "sys_ms",
         cond = cond & ((c >= F.lit(lo)) if closed in ("left", "both") else (c > F.lit(lo)))
     if hi is not None:
         cond = cond & ((c <= F.lit(hi)) if closed in ("right", "both") else (c < F.lit(hi)))
+    if ts_col and ts_col in df.columns and dict(df.dtypes).get(ts_col) == "timestamp_ntz":
+        ts = F.col(ts_col)
+        if lo is not None:
+            first = lo if closed in ("left", "both") else lo + 1
+            cond = cond & (ts >= _ntz_literal(first))
+        if hi is not None:
+            last = hi + 1 if closed in ("right", "both") else hi
+            cond = cond & (ts < _ntz_literal(last))
     return df.filter(cond)
 
 

@@ -39,10 +39,11 @@ def with_mercator(df: DataFrame, lng: str = "lng", lat: str = "lat") -> DataFram
 def points(spark: SparkSession, sf_dir: str, mercator: bool = True) -> DataFrame:
     """Timestamped GPS points from ``events``.
 
-    Columns: event_id, lng, lat, sys_ms, area_code, company_code, num_bikes
-    (+ x, y in EPSG:3857).
+    Columns: ts (raw timestamp, kept so time filters reach the scan),
+    event_id, lng, lat, sys_ms, area_code, company_code, num_bikes (+ x, y in
+    EPSG:3857).
     """
-    return points_from_events(table(spark, sf_dir, "events"), mercator)
+    return points_from_events(table(spark, sf_dir, "events"), mercator, keep_ts=True)
 
 
 def points_from_events(ev: DataFrame, mercator: bool = True, keep_ts: bool = False) -> DataFrame:
@@ -65,6 +66,7 @@ def points_by_month(spark: SparkSession, sf_dir: str, mercator: bool = True) ->
     """Points over several years from ``orders`` (all at midnight)."""
     o = table(spark, sf_dir, "orders")
     df = o.select(
+        F.col("o_orderdate").alias("ts"),
         F.col("o_orderkey").alias("event_id"),
         _hash_coord("o_custkey", 7919, "o_orderkey", 104729, 1000003, LNG0, LNG_SPAN).alias("lng"),
         _hash_coord("o_custkey", 15485863, "o_orderkey", 1299709, 1000033, LAT0, LAT_SPAN).alias("lat"),
