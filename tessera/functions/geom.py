@@ -198,6 +198,35 @@ def point_in_polygon(px, py, geom, boundary: bool = False) -> Column:
     return point_in_segments(px, py, segments(geom), boundary)
 
 
+def segments_hit_rect(segs, rx0, ry0, rx1, ry1) -> Column:
+    """True if any segment touches the closed rectangle (bbox overlap, then
+    the rectangle's corners are not all on one side of the segment's line)."""
+    def hit(s):
+        x1, y1, x2, y2 = s["x1"], s["y1"], s["x2"], s["y2"]
+        overlap = (F.greatest(x1, x2) >= rx0) & (F.least(x1, x2) <= rx1) \
+            & (F.greatest(y1, y2) >= ry0) & (F.least(y1, y2) <= ry1)
+        sides = [(x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1)
+                 for cx, cy in ((rx0, ry0), (rx1, ry0), (rx1, ry1), (rx0, ry1))]
+        all_pos = sides[0] > 0
+        all_neg = sides[0] < 0
+        for d in sides[1:]:
+            all_pos = all_pos & (d > 0)
+            all_neg = all_neg & (d < 0)
+        return overlap & ~all_pos & ~all_neg
+    return F.exists(_c(segs), hit)
+
+
+def is_axis_rectangle(geom) -> Column:
+    """A single-ring polygon whose 4 edges are axis-parallel: its bounding-box
+    test is already exact."""
+    g = _c(geom)
+    r = F.get(F.get(g["parts"], 0), 0)
+    edges = _ring_segments(r)
+    axis = F.forall(edges, lambda s: (s["x1"] == s["x2"]) | (s["y1"] == s["y2"]))
+    return (g["kind"] == F.lit("POLYGON")) & (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], 0)) == 1) \
+        & (F.size(r) == 5) & axis
+
+
 def ring_area(r: Column) -> Column:
     """Signed shoelace area of one closed ring."""
     return F.aggregate(_ring_segments(r), F.lit(0.0),

@@ -129,13 +129,22 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
     polygons, mapping = _prefix_right(points, polygons, right_prefix)
     gcol = mapping[geom_col]
     b = G.bbox(F.col(gcol))
-    polys = C.materialize(polygons.withColumn("_bb", b).withColumn("_edges", G.segments(F.col(gcol))))
+    polys = C.materialize(polygons.withColumn("_bb", b).withColumn("_edges", G.segments(F.col(gcol)))
+                          .withColumn("_rect", F.coalesce(G.is_axis_rectangle(F.col(gcol)), F.lit(False))))
     stats = C.window_stats(polys, F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
     size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=1e-9)
     polys, levels = C.window_levels(polys, F.col("_bb.minx"), F.col("_bb.miny"),
                                     F.col("_bb.maxx"), F.col("_bb.maxy"), size, stats)
     polys = C.explode_bbox_cells(polys, F.col("_bb.minx"), F.col("_bb.miny"),
                                  F.col("_bb.maxx"), F.col("_bb.maxy"), F.col("_lsize"), open_box=not boundary)
+    # a cell no edge touches lies wholly inside or outside; if its centre is
+    # inside, every point in it is inside (and none on the boundary)
+    s = F.col("_lsize")
+    rx0, ry0 = F.col("_cx") * s, F.col("_cy") * s
+    rx1, ry1 = rx0 + s, ry0 + s
+    inner = ~G.segments_hit_rect(F.col("_edges"), rx0, ry0, rx1, ry1) \
+        & G.point_in_segments(rx0 + s / 2, ry0 + s / 2, F.col("_edges"))
+    polys = polys.withColumn("_inner", F.col("_rect") | inner)
     left = C.point_levels(points, px, py, size, levels)
     bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
     joined = C.cell_join(left, polys, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
@@ -145,8 +154,9 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
         box = (x >= F.col("_bb.minx")) & (x <= F.col("_bb.maxx")) & (y >= F.col("_bb.miny")) & (y <= F.col("_bb.maxy"))
     else:
         box = (x > F.col("_bb.minx")) & (x < F.col("_bb.maxx")) & (y > F.col("_bb.miny")) & (y < F.col("_bb.maxy"))
-    cond = box & G.point_in_segments(x, y, F.col("_edges"), boundary=boundary)
-    return joined.filter(cond).drop("_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges")
+    # rectangles and interior cells need no even-odd test (short-circuit OR)
+    cond = box & (F.col("_inner") | G.point_in_segments(x, y, F.col("_edges"), boundary=boundary))
+    return joined.filter(cond).drop("_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges", "_rect", "_inner")
 
 
 def regular_grid_join(points: DataFrame, *, point_xy=("x", "y"), x0: float, y0: float,

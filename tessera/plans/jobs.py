@@ -50,8 +50,19 @@ def poi_circle_pairs(points: DataFrame, pois: DataFrame, radius: float = RADIUS2
 
 
 def poi_circle_counts(points: DataFrame, pois: DataFrame, radius: float = RADIUS2, **opts) -> DataFrame:
-    """|distinct points| per POI circle."""
-    return A.window_counts(poi_circle_pairs(points, pois, radius, **opts), ["poi_lng", "poi_lat"], ["lng", "lat"])
+    """|distinct points| per POI circle.
+
+    The points are de-duplicated on their coordinates *before* the join
+    (partial aggregation on the map side, one shuffle of at most N rows), so
+    each pair is already distinct and the per-POI count is a plain count,
+    instead of a distinct count over all (POI, point) pairs.
+    """
+    from ..functions import crs
+    pts = points.select("lng", "lat").distinct()
+    x, y = crs.to_mercator("lng", "lat")
+    pts = pts.withColumn("x", x).withColumn("y", y)
+    pairs = poi_circle_pairs(pts, pois, radius, **opts)
+    return pairs.groupBy("poi_lng", "poi_lat").agg(F.count(F.lit(1)).alias("n"))
 
 
 def circle_area(radius: float) -> float:

@@ -149,3 +149,32 @@ def test_regular_grid_join_strict_edges(spark):
     p = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.0, 0.5), (3, -0.5, 0.5), (4, 2.5, 1.5)], "pid long, x double, y double")
     got = {(r.pid, r.oid) for r in J.regular_grid_join(p, x0=0, y0=0, cell=1.0, nx=3, ny=2).collect()}
     assert got == {(1, 0), (4, 5)}
+
+
+def _py_inside(x, y, ring):
+    c, on = False, False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+        if (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1) == 0 and min(x1, x2) <= x <= max(x1, x2) \
+                and min(y1, y2) <= y <= max(y1, y2):
+            on = True
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            c = not c
+    return c and not on
+
+
+@pytest.mark.parametrize("cell", [5.0, 13.0, None])
+def test_concave_polygon_interior_cells(spark, cell):
+    # a large concave star: with small cells most cells are interior and skip the test
+    import math as m
+    ring = []
+    for k in range(16):
+        rad = 100.0 if k % 2 == 0 else 35.0
+        ring.append((round(rad * m.cos(k * m.pi / 8), 3), round(rad * m.sin(k * m.pi / 8), 3)))
+    ring.append(ring[0])
+    wkt = "POLYGON ((" + ", ".join(f"{x!r} {y!r}" for x, y in ring) + "))"
+    polys = spark.createDataFrame([(1, wkt)], "poly long, wkt string").select("poly", G.geom_from_wkt(F.col("wkt")).alias("geom"))
+    pts = rnd_points(33, 3000, lo=-110, hi=110) + [(5000 + i, x, y) for i, (x, y) in enumerate(ring)]
+    p = spark.createDataFrame(pts, "pid long, x double, y double")
+    got = {r.pid for r in J.polygon_join(p, polys, cell_size=cell).collect()}
+    want = {i for i, x, y in pts if _py_inside(x, y, ring)}
+    assert got == want and len(want) > 300
