@@ -33,18 +33,8 @@ def _quantise(value: Column, lo: float, span: float, nbits: int) -> Column:
     return F.least(F.greatest(q, F.lit(0)), F.lit((1 << nbits) - 1)).cast("long")
 
 
-def geohash_encode(lng, lat, precision: int = 8) -> Column:
-    """Geohash text of (lng, lat) with ``precision`` characters.
-
-    The interleaved 5·precision-bit integer is built with shifts, written in
-    base 32 by ``conv`` and mapped onto the geohash alphabet: a small
-    expression that stays inside codegen.
-    """
-    if not 1 <= precision <= 12:
-        raise ValueError("precision must be in 1..12")
+def _encode_quantised(q_lng: Column, q_lat: Column, precision: int) -> Column:
     n_lng, n_lat = _bits(precision)
-    q_lng = _quantise(_c(lng), -180.0, 360.0, n_lng)
-    q_lat = _quantise(_c(lat), -90.0, 180.0, n_lat)
     total = 5 * precision
     whole = None
     for j in range(total):
@@ -52,7 +42,22 @@ def geohash_encode(lng, lat, precision: int = 8) -> Column:
         term = F.shiftleft(F.shiftright(src, n - 1 - k).bitwiseAND(F.lit(1)), total - 1 - j)
         whole = term if whole is None else whole.bitwiseOR(term)
     digits = F.lpad(F.lower(F.conv(whole.cast("string"), 10, 32)), precision, "0")
-    out = F.translate(digits, "0123456789abcdefghijklmnopqrstuv", BASE32)
+    return F.translate(digits, "0123456789abcdefghijklmnopqrstuv", BASE32)
+
+
+def geohash_encode(lng, lat, precision: int = 8) -> Column:
+    """Geohash text of (lng, lat) with ``precision`` characters.
+
+    The interleaved 5·precision-bit integer is built with shifts, written in
+    base 32 by ``conv`` and mapped onto the geohash alphabet. The quantised
+    coordinates are read once per bit, so pass column references (or use
+    ``with_geohash``, which projects them first and keeps codegen small).
+    """
+    if not 1 <= precision <= 12:
+        raise ValueError("precision must be in 1..12")
+    n_lng, n_lat = _bits(precision)
+    out = _encode_quantised(_quantise(_c(lng), -180.0, 360.0, n_lng), _quantise(_c(lat), -90.0, 180.0, n_lat),
+                            precision)
     return F.when(_c(lng).isNull() | _c(lat).isNull(), F.lit(None).cast("string")).otherwise(out)
 
 
@@ -109,5 +114,15 @@ def with_point_rectangle(df, lng: str = "lng", lat: str = "lat", precision: int
 
 
 def with_geohash(df, lng: str = "lng", lat: str = "lat", precision: int = 8, name: str = "geohash"):
-    """Add the geohash as its own column."""
-    return df.withColumn(name, geohash_encode(lng, lat, precision))
+    """Add the geohash column in three projections: quantised longitude and
+    latitude first, then the interleave, so neither the inputs nor the
+    quantisation are re-expanded into every bit term (keeps the generated
+    code small enough to be JIT-compiled)."""
+    if not 1 <= precision <= 12:
+        raise ValueError("precision must be in 1..12")
+    n_lng, n_lat = _bits(precision)
+    df = df.withColumn("_gh_qx", F.when(F.col(lng).isNotNull() & F.col(lat).isNotNull(),
+                                        _quantise(F.col(lng), -180.0, 360.0, n_lng))) \
+        .withColumn("_gh_qy", _quantise(F.col(lat), -90.0, 180.0, n_lat))
+    enc = _encode_quantised(F.col("_gh_qx"), F.col("_gh_qy"), precision)
+    return df.withColumn(name, F.when(F.col("_gh_qx").isNotNull(), enc)).drop("_gh_qx", "_gh_qy")

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timefns as TF
-from ..functions.geohash import geohash_encode
 
 # ---- fixed values --------------------------------------------------------------------
 # Envelope of the reference's equal-grid job (lng 115.85..116.95, lat 39.60..40.39)
@@ -65,8 +64,9 @@ def extent(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def geohash_hourly_counts(df: DataFrame, precision: int = 8, lng: str = "lng", lat: str = "lat",
                           ms_col: str = "sys_ms") -> DataFrame:
     """A1: points per geohash cell per UTC hour (``yyyy-MM-dd-HH``)."""
-    return (df.select(geohash_encode(lng, lat, precision).alias("envelope"),
-                      TF.ms_to_hour_str(ms_col).alias("date"))
+    from ..functions.geohash import with_geohash
+    d = with_geohash(df.select(lng, lat, ms_col), lng, lat, precision, "envelope")
+    return (d.select("envelope", TF.ms_to_hour_str(ms_col).alias("date"))
             .groupBy("envelope", "date").agg(F.count(F.lit(1)).alias("count")))
 
 

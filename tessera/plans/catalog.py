@@ -262,7 +262,7 @@ def q_project_points(spark, sf):
 
 
 def q_geohash_encode(spark, sf):
-    return _pts(spark, sf).select("event_id", geohash.geohash_encode("lng", "lat", 8).alias("geohash"))
+    return geohash.with_geohash(_pts(spark, sf), "lng", "lat", 8, "geohash").select("event_id", "geohash")
 
 
 def q_geohash_bounds(spark, sf):

@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geohash import geohash_encode
+from ..functions.geohash import with_geohash
 from ..operators.aggs import REFERENCE_GRID_ENVELOPE, equal_grid_cell
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import points_from_events
@@ -39,8 +39,8 @@ def with_event_time(points: DataFrame, ms_col: str = "sys_ms") -> DataFrame:
 def geohash_hourly_stream(points: DataFrame, precision: int = 8, watermark: str = "1 hour",
                           lng: str = "lng", lat: str = "lat") -> DataFrame:
     """A1 on a stream: points per (geohash, hour) with a watermark."""
-    p = with_event_time(points).withWatermark("evt", watermark)
-    agg = p.groupBy(F.window("evt", "1 hour").alias("w"), geohash_encode(lng, lat, precision).alias("envelope")) \
+    p = with_geohash(with_event_time(points).withWatermark("evt", watermark), lng, lat, precision, "envelope")
+    agg = p.groupBy(F.window("evt", "1 hour").alias("w"), "envelope") \
         .agg(F.count(F.lit(1)).alias("count"))
     start_ms = F.unix_millis(F.col("w.start"))
     from ..functions.timefns import ms_to_hour_str
