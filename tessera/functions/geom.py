@@ -290,3 +290,80 @@ def line_buffer(geom, radius: float, arc_steps: int = 8) -> Column:
     segs = segments(geom)
     return F.struct(F.lit("MULTIPOLYGON").alias("kind"),
                     F.transform(segs, lambda s: F.array(segment_capsule(s, radius, arc_steps))).alias("parts"))
+
+
+# ---- SQL-text forms ------------------------------------------------------------------
+# The same expressions written as Spark SQL text. Building nested lambdas through
+# the Column API costs one JVM round trip per node; ``F.expr`` parses the whole
+# expression in one call and Catalyst yields the identical plan. Arguments are
+# SQL fragments (quoted column names or expressions).
+
+def q(name: str) -> str:
+    """Quote a column name for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def wkt_sql(w: str) -> str:
+    t = f"trim({w})"
+    kind = f"upper(regexp_extract({t}, '^([A-Za-z]+)', 1))"
+    body = f"regexp_replace({t}, '^[A-Za-z]+\\\\s*(ZM|Z|M)?\\\\s*', '')"
+    inner = f"regexp_replace(regexp_replace({body}, '^[\\\\s(]+', ''), '[\\\\s)]+$', '')"
+    vertex = ("named_struct('x', try_cast(split(trim(v), '\\\\s+')[0] AS DOUBLE), "
+              "'y', try_cast(get(split(trim(v), '\\\\s+'), 1) AS DOUBLE))")
+    parts = (f"transform(split({inner}, '\\\\)\\\\s*\\\\)\\\\s*,\\\\s*\\\\(\\\\s*\\\\('), p -> "
+             f"transform(split(p, '\\\\)\\\\s*,\\\\s*\\\\('), r -> transform(split(trim(r), '\\\\s*,\\\\s*'), v -> {vertex})))")
+    parts = (f"CASE WHEN {kind} IN ('MULTILINESTRING', 'MULTIPOINT') THEN transform({parts}[0], r -> array(r)) "
+             f"ELSE {parts} END")
+    parts = f"CASE WHEN startswith(upper({body}), 'EMPTY') THEN array() ELSE {parts} END"
+    return (f"CASE WHEN {kind} IN ('POINT', 'LINESTRING', 'POLYGON', 'MULTIPOINT', 'MULTILINESTRING', 'MULTIPOLYGON') "
+            f"THEN named_struct('kind', {kind}, 'parts', {parts}) END")
+
+
+def segments_sql(g: str) -> str:
+    return (f"flatten(transform(flatten({g}.parts), r -> transform("
+            f"IF(size(r) >= 2, sequence(0, size(r) - 2), array()), "
+            f"i -> named_struct('x1', get(r, i).x, 'y1', get(r, i).y, 'x2', get(r, i + 1).x, 'y2', get(r, i + 1).y))))")
+
+
+def bbox_sql(g: str) -> str:
+    v = f"flatten(flatten({g}.parts))"
+    return (f"named_struct('minx', array_min(transform({v}, p -> p.x)), 'miny', array_min(transform({v}, p -> p.y)), "
+            f"'maxx', array_max(transform({v}, p -> p.x)), 'maxy', array_max(transform({v}, p -> p.y)))")
+
+
+def pip_sql(px: str, py: str, segs: str, boundary: bool = False) -> str:
+    cross = (f"IF(((s.y1 > {py}) <> (s.y2 > {py})) AND ({px} < (s.x2 - s.x1) * ({py} - s.y1) / (s.y2 - s.y1) + s.x1), 1, 0)")
+    edge = (f"((({px} - s.x1) * (s.y2 - s.y1) - ({py} - s.y1) * (s.x2 - s.x1)) = 0.0 AND {px} >= least(s.x1, s.x2) "
+            f"AND {px} <= greatest(s.x1, s.x2) AND {py} >= least(s.y1, s.y2) AND {py} <= greatest(s.y1, s.y2))")
+    fin = "(a.c % 2 = 1) OR a.b" if boundary else "(a.c % 2 = 1) AND NOT a.b"
+    return (f"aggregate({segs}, named_struct('c', 0, 'b', false), "
+            f"(a, s) -> named_struct('c', a.c + {cross}, 'b', a.b OR {edge}), a -> {fin})")
+
+
+def hit_rect_sql(segs: str, rx0: str, ry0: str, rx1: str, ry1: str) -> str:
+    corners = ((rx0, ry0), (rx1, ry0), (rx1, ry1), (rx0, ry1))
+    d = [f"((s.x2 - s.x1) * ({cy} - s.y1) - (s.y2 - s.y1) * ({cx} - s.x1))" for cx, cy in corners]
+    pos = " AND ".join(f"{x} > 0" for x in d)
+    neg = " AND ".join(f"{x} < 0" for x in d)
+    return (f"exists({segs}, s -> greatest(s.x1, s.x2) >= {rx0} AND least(s.x1, s.x2) <= {rx1} "
+            f"AND greatest(s.y1, s.y2) >= {ry0} AND least(s.y1, s.y2) <= {ry1} AND NOT ({pos}) AND NOT ({neg}))")
+
+
+def rect_sql(g: str) -> str:
+    r = f"get(get({g}.parts, 0), 0)"
+    return (f"coalesce({g}.kind = 'POLYGON' AND size({g}.parts) = 1 AND size(get({g}.parts, 0)) = 1 "
+            f"AND size({r}) = 5 AND forall(sequence(0, 3), i -> get({r}, i).x = get({r}, i + 1).x "
+            f"OR get({r}, i).y = get({r}, i + 1).y), false)")
+
+
+def seg_dist_sql(px: str, py: str, s: str = "s") -> str:
+    dx, dy = f"({s}.x2 - {s}.x1)", f"({s}.y2 - {s}.y1)"
+    l2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"IF({l2} = 0.0, 0.0, greatest(0.0, least(1.0, (({px} - {s}.x1) * {dx} + ({py} - {s}.y1) * {dy}) / {l2})))"
+    qx, qy = f"({s}.x1 + {t} * {dx})", f"({s}.y1 + {t} * {dy})"
+    return f"sqrt(({px} - {qx}) * ({px} - {qx}) + ({py} - {qy}) * ({py} - {qy}))"
+
+
+def geom_from_wkt_col(name: str) -> Column:
+    """``geom_from_wkt`` of a named column, built from SQL text."""
+    return F.expr(wkt_sql(q(name)))

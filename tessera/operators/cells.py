@@ -81,16 +81,23 @@ def explode_disc_cells(df: DataFrame, x: str, y: str, radius: float, size: float
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a window-side table once to the shared checkpoint folder.
-
-    The window side feeds several small actions (cell size, levels, size
-    check) and the join itself; materialising it parses its geometry once and
-    gives later plans plain attributes instead of the whole parse expression.
-    ``checkpoint`` (not ``localCheckpoint``) survives executor loss.
+    """Keep the prepared window side (parsed geometry, boxes, edges) for the
+    small decisions and the join that follow.
+
+    The window side feeds an aggregate (cell size, counts, extents) and the
+    join itself; persisting it parses its geometry once, and the first
+    aggregate fills the cache in the same job (no extra job). Later plans see
+    plain attributes instead of the whole parse expression. Blocks lost with
+    an executor are recomputed from the (short) window-side lineage. Use
+    ``release`` when done.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(df: DataFrame) -> None:
+    """Drop a frame persisted by ``materialize`` (non-blocking)."""
+    df.unpersist(blocking=False)
 
 
 def sized_broadcast(df: DataFrame, max_rows: int | None, upper_bound: int | None = None):
@@ -198,15 +205,16 @@ def window_levels(df: DataFrame, minx, miny, maxx, maxy, size: float, stats: dic
     even the largest window (from ``stats``) fits level 0 no pass is needed;
     otherwise one small distinct pass over the window side finds the levels.
     """
+    w, h = stats.get("max_w") or 0.0, stats.get("max_h") or 0.0
+    if _level_for_extent(w, h, size, max_cells) == 0:
+        # even the largest window fits level 0: no per-row level logic at all
+        return df.withColumns({"_lvl": F.lit(0), "_lsize": F.lit(float(size))}), [0]
     lvl = F.when(_ncells(minx, miny, maxx, maxy, size) <= F.lit(max_cells), F.lit(0))
     for k in range(1, 6):
         lvl = lvl.when(_ncells(minx, miny, maxx, maxy, size * LEVEL_FACTOR ** k) <= F.lit(max_cells), F.lit(k))
     lvl = lvl.otherwise(F.lit(6))
     out = df.withColumn("_lvl", lvl).withColumn(
         "_lsize", F.lit(float(size)) * F.pow(F.lit(float(LEVEL_FACTOR)), F.col("_lvl")))
-    w, h = stats.get("max_w") or 0.0, stats.get("max_h") or 0.0
-    if _level_for_extent(w, h, size, max_cells) == 0:
-        return out, [0]
     levels = sorted(r["_lvl"] for r in out.select("_lvl").distinct().collect())
     return out, levels or [0]
 

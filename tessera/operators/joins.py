@@ -73,7 +73,7 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
 
 
 def _segment_table(lines: DataFrame, id_col: str, geom_col: str) -> DataFrame:
-    segs = lines.select(F.col(id_col), F.explode(G.segments(F.col(geom_col))).alias("_seg"))
+    segs = lines.select(F.col(id_col), F.explode(F.expr(G.segments_sql(G.q(geom_col)))).alias("_seg"))
     return segs.select(id_col, "_seg",
                        F.least("_seg.x1", "_seg.x2").alias("_minx"), F.least("_seg.y1", "_seg.y2").alias("_miny"),
                        F.greatest("_seg.x1", "_seg.x2").alias("_maxx"), F.greatest("_seg.y1", "_seg.y2").alias("_maxy"))
@@ -108,7 +108,7 @@ def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
     bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
     joined = C.cell_join(left, per_cell, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
                          right_bound=bound, **join_opts)
-    d = F.array_min(F.transform(F.col("_segs"), lambda s: G.point_segment_distance(F.col(px), F.col(py), s)))
+    d = F.expr(f"array_min(transform(_segs, s -> {G.seg_dist_sql(G.q(px), G.q(py))}))")
     joined = joined.withColumn("distance", d)
     cond = (F.col("distance") < r) if strict else (F.col("distance") <= r)
     return joined.filter(cond).drop("_lvl", "_cx", "_cy", "_segs")
@@ -128,9 +128,9 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
     px, py = point_xy
     polygons, mapping = _prefix_right(points, polygons, right_prefix)
     gcol = mapping[geom_col]
-    b = G.bbox(F.col(gcol))
-    polys = C.materialize(polygons.withColumn("_bb", b).withColumn("_edges", G.segments(F.col(gcol)))
-                          .withColumn("_rect", F.coalesce(G.is_axis_rectangle(F.col(gcol)), F.lit(False))))
+    g = G.q(gcol)
+    polys = C.materialize(polygons.withColumns({"_bb": F.expr(G.bbox_sql(g)), "_edges": F.expr(G.segments_sql(g)),
+                                                "_rect": F.expr(G.rect_sql(g))}))
     stats = C.window_stats(polys, F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
     size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=1e-9)
     polys, levels = C.window_levels(polys, F.col("_bb.minx"), F.col("_bb.miny"),
@@ -139,12 +139,11 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
                                  F.col("_bb.maxx"), F.col("_bb.maxy"), F.col("_lsize"), open_box=not boundary)
     # a cell no edge touches lies wholly inside or outside; if its centre is
     # inside, every point in it is inside (and none on the boundary)
-    s = F.col("_lsize")
-    rx0, ry0 = F.col("_cx") * s, F.col("_cy") * s
-    rx1, ry1 = rx0 + s, ry0 + s
-    inner = ~G.segments_hit_rect(F.col("_edges"), rx0, ry0, rx1, ry1) \
-        & G.point_in_segments(rx0 + s / 2, ry0 + s / 2, F.col("_edges"))
-    polys = polys.withColumn("_inner", F.col("_rect") | inner)
+    rx0, ry0 = "(_cx * _lsize)", "(_cy * _lsize)"
+    rx1, ry1 = "((_cx + 1) * _lsize)", "((_cy + 1) * _lsize)"
+    inner = (f"_rect OR (NOT {G.hit_rect_sql('_edges', rx0, ry0, rx1, ry1)} AND "
+             f"{G.pip_sql('((_cx + 0.5) * _lsize)', '((_cy + 0.5) * _lsize)', '_edges')})")
+    polys = polys.withColumn("_inner", F.expr(inner))
     left = C.point_levels(points, px, py, size, levels)
     bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
     joined = C.cell_join(left, polys, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
@@ -155,7 +154,7 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
     else:
         box = (x > F.col("_bb.minx")) & (x < F.col("_bb.maxx")) & (y > F.col("_bb.miny")) & (y < F.col("_bb.maxy"))
     # rectangles and interior cells need no even-odd test (short-circuit OR)
-    cond = box & (F.col("_inner") | G.point_in_segments(x, y, F.col("_edges"), boundary=boundary))
+    cond = box & (F.col("_inner") | F.expr(G.pip_sql(G.q(px), G.q(py), "_edges", boundary)))
     return joined.filter(cond).drop("_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges", "_rect", "_inner")
 
 

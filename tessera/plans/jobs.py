@@ -32,7 +32,7 @@ def with_date(points: DataFrame, ms_col: str = "sys_ms") -> DataFrame:
 
 
 def with_geom(df: DataFrame, wkt_col: str = "wkt", geom_col: str = "geom") -> DataFrame:
-    return df.withColumn(geom_col, G.geom_from_wkt(F.col(wkt_col)))
+    return df.withColumn(geom_col, G.geom_from_wkt_col(wkt_col))
 
 
 # ---- J1: circles around POIs --------------------------------------------------------

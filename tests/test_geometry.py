@@ -92,3 +92,23 @@ def test_envelope_polygon_and_point_wkt(spark):
     r = spark.range(1).select(G.geom_to_wkt(G.envelope_polygon(0, 0, 2, 1)).alias("w"),
                               G.point_wkt(F.lit(1.25), F.lit(-2.0)).alias("p")).first()
     assert r.w == "POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))" and r.p == "POINT (1.25 -2)"
+
+
+def test_sql_text_forms_match_column_forms(spark):
+    wkts = ["POINT (1 2)", "LINESTRING (0 0, 1.5 1, 2 0)", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 1))",
+            "MULTILINESTRING ((0 0, 1 1), (2 2, 3 3))", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))",
+            "POINT EMPTY", "POINT Z (1 2 3)", "not wkt", "  linestring(0 0,1 1)  ", "POLYGON ((0 0, 3 0, 3 2, 0 2, 0 0))"]
+    df = spark.createDataFrame([(w,) for w in wkts], "wkt string")
+    d = df.select(G.geom_from_wkt(F.col("wkt")).alias("a"), G.geom_from_wkt_col("wkt").alias("b"))
+    d = d.select("a", "b", F.expr(G.segments_sql("b")).alias("sb"), G.segments("a").alias("sa"),
+                 F.expr(G.bbox_sql("b")).alias("bb"), G.bbox("a").alias("ba"),
+                 F.expr(G.rect_sql("b")).alias("rb"), F.coalesce(G.is_axis_rectangle("a"), F.lit(False)).alias("ra"))
+    for r in d.collect():
+        assert r.a == r.b and r.sa == r.sb and r.ba == r.bb and r.ra == r.rb
+    pts = spark.createDataFrame([(1.0, 1.0), (3.0, 2.0), (0.0, 5.0), (1.5, 1.2), (2.0, 2.0)], "x double, y double")
+    g = "POLYGON ((0 0, 10 0, 10 10, 5 5, 0 10, 0 0), (2 1, 4 1, 4 3, 2 3, 2 1))"
+    p = pts.withColumn("g", G.geom_from_wkt(F.lit(g))).withColumn("e", G.segments("g"))
+    for boundary in (False, True):
+        rows = p.select(G.point_in_segments("x", "y", F.col("e"), boundary).alias("a"),
+                        F.expr(G.pip_sql("x", "y", "e", boundary)).alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
