@@ -1,5 +1,7 @@
 """The streaming form of A1 equals the batch form over the same files."""
 
+import uuid
+
 from tessera.functions.timefns import to_ms_literal
 from tessera.plans import catalog
 from tessera.streaming import hourly
@@ -17,7 +19,7 @@ def test_grid_stream_append_mode(spark):
     from tessera.sources.fixtures import points_from_events
     src = hourly.event_stream(spark, SF_SMALL + "/events*.parquet", like=SF_SMALL + "/events.parquet")
     out = hourly.run_available_now(hourly.grid_hourly_stream(points_from_events(src, mercator=False)),
-                                   "grid_stream_test", mode="append", sink="memory")
+                                   "grid_stream_" + uuid.uuid4().hex[:8], mode="append", sink="memory")
     rows = out.collect()
     # append mode emits only hours the watermark has passed: all but the newest
     assert len(rows) > 0 and all(r["count"] > 0 for r in rows)
