@@ -367,3 +367,40 @@ def seg_dist_sql(px: str, py: str, s: str = "s") -> str:
 def geom_from_wkt_col(name: str) -> Column:
     """``geom_from_wkt`` of a named column, built from SQL text."""
     return F.expr(wkt_sql(q(name)))
+
+
+def flat_seg_dist_sql(px: str, py: str, cols: list[str]) -> str:
+    """Minimum distance to up to K flat segment columns (nulls ignored)."""
+    parts = [f"IF({c} IS NULL, NULL, {seg_dist_sql(px, py, c)})" for c in cols]
+    return "least(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def flat_pip_sql(px: str, py: str, cols: list[str], boundary: bool = False) -> str:
+    """Even-odd test against up to K flat edge columns (nulls ignored): plain
+    arithmetic, so it stays inside whole-stage codegen."""
+    cross = " + ".join(
+        f"IF({c} IS NOT NULL AND (({c}.y1 > {py}) <> ({c}.y2 > {py})) AND "
+        f"({px} < ({c}.x2 - {c}.x1) * ({py} - {c}.y1) / ({c}.y2 - {c}.y1) + {c}.x1), 1, 0)" for c in cols)
+    edge = " OR ".join(
+        f"({c} IS NOT NULL AND (({px} - {c}.x1) * ({c}.y2 - {c}.y1) - ({py} - {c}.y1) * ({c}.x2 - {c}.x1)) = 0.0 "
+        f"AND {px} >= least({c}.x1, {c}.x2) AND {px} <= greatest({c}.x1, {c}.x2) "
+        f"AND {py} >= least({c}.y1, {c}.y2) AND {py} <= greatest({c}.y1, {c}.y2))" for c in cols)
+    odd = f"(({cross}) % 2 = 1)"
+    return f"({odd} OR ({edge}))" if boundary else f"({odd} AND NOT ({edge}))"
+
+
+def seg_d2_sql(px: str, py: str, s: str) -> str:
+    """Squared point–segment distance in compact form (small generated code):
+    before the start → |p−a|², past the end → |p−b|², else |w|² − (w·v)²/|v|²."""
+    wx, wy = f"({px} - {s}.x1)", f"({py} - {s}.y1)"
+    vx, vy = f"({s}.x2 - {s}.x1)", f"({s}.y2 - {s}.y1)"
+    c1 = f"({wx} * {vx} + {wy} * {vy})"
+    c2 = f"({vx} * {vx} + {vy} * {vy})"
+    return (f"CASE WHEN {c1} <= 0.0 THEN {wx} * {wx} + {wy} * {wy} "
+            f"WHEN {c2} <= {c1} THEN ({px} - {s}.x2) * ({px} - {s}.x2) + ({py} - {s}.y2) * ({py} - {s}.y2) "
+            f"ELSE greatest({wx} * {wx} + {wy} * {wy} - {c1} * {c1} / {c2}, 0.0) END")
+
+
+def flat_seg_d2_sql(px: str, py: str, cols: list[str]) -> str:
+    parts = [f"IF({c} IS NULL, NULL, {seg_d2_sql(px, py, c)})" for c in cols]
+    return "least(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]

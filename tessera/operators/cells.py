@@ -166,13 +166,15 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *,
     return left.join(right, keys, "inner").drop("_salt")
 
 
-def window_stats(df: DataFrame, width: Column, height: Column) -> dict:
+def window_stats(df: DataFrame, width: Column, height: Column, extra: dict | None = None) -> dict:
     """One aggregate over the window side: row count, approximate median
-    extent and the largest width and height."""
+    extent and the largest width and height (plus any ``extra`` aggregates)."""
     ext = F.greatest(width, height)
+    extra = extra or {}
     row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(ext, 0.5, 1000).alias("median"),
-                 F.max(width).alias("max_w"), F.max(height).alias("max_h")).first()
-    return {k: row[k] for k in ("n", "median", "max_w", "max_h")}
+                 F.max(width).alias("max_w"), F.max(height).alias("max_h"),
+                 *[v.alias(k) for k, v in extra.items()]).first()
+    return {k: row[k] for k in ["n", "median", "max_w", "max_h", *extra]}
 
 
 def auto_cell_size(stats: dict, floor: float = 0.0) -> float:

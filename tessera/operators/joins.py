@@ -16,6 +16,11 @@ from ..functions import geom as G
 from . import cells as C
 
 
+# Windows small enough to carry their geometry as plain columns (see the joins).
+FLAT_SEGMENTS = 4
+FLAT_EDGES = 8
+
+
 def _prefix_right(left: DataFrame, right: DataFrame, prefix: str, keep: set[str] = frozenset()):
     """Rename right columns that collide with left ones."""
     clash = set(left.columns) & set(right.columns) - set(keep)
@@ -96,22 +101,41 @@ def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
     r = F.lit(float(radius))
     stats = C.window_stats(segs, F.col("_maxx") - F.col("_minx") + F.lit(2.0 * radius),
                            F.col("_maxy") - F.col("_miny") + F.lit(2.0 * radius))
-    size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=2.0 * radius)
+    # cells about the size of a segment (at least r): fewer candidates per
+    # point than cells as large as the r-expanded segment boxes
+    size = float(cell_size) if cell_size is not None else \
+        max(float(radius), C.auto_cell_size(stats, floor=2.0 * radius) - 2.0 * radius)
     segs, levels = C.window_levels(segs, F.col("_minx") - r, F.col("_miny") - r,
                                    F.col("_maxx") + r, F.col("_maxy") + r, size, stats)
     segs = C.explode_bbox_cells(segs, F.col("_minx") - r, F.col("_miny") - r,
                                 F.col("_maxx") + r, F.col("_maxy") + r, F.col("_lsize"))
-    per_cell = segs.groupBy(id_col, "_lvl", "_cx", "_cy").agg(F.collect_list("_seg").alias("_segs"))
+    # one row per (segment, cell) with the segment's r-expanded box: the join
+    # residual is a box test and one small squared-distance expression, both in
+    # whole-stage codegen (lambdas over segment arrays would force the join out
+    # of codegen, and long inlined expressions out of the JIT).
+    seg_cells = C.materialize(segs.select(
+        id_col, "_lvl", "_cx", "_cy", "_seg",
+        (F.col("_minx") - r).alias("_bx0"), (F.col("_miny") - r).alias("_by0"),
+        (F.col("_maxx") + r).alias("_bx1"), (F.col("_maxy") + r).alias("_by1")))
+    n_rows = seg_cells.count()          # exact size (also fills the cache)
     if id_col in points.columns:
         raise ValueError(f"points already have a column named {id_col!r}")
-    left = C.point_levels(points, px, py, size, levels)
-    bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
-    joined = C.cell_join(left, per_cell, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
-                         right_bound=bound, **join_opts)
-    d = F.expr(f"array_min(transform(_segs, s -> {G.seg_dist_sql(G.q(px), G.q(py))}))")
-    joined = joined.withColumn("distance", d)
-    cond = (F.col("distance") < r) if strict else (F.col("distance") <= r)
-    return joined.filter(cond).drop("_lvl", "_cx", "_cy", "_segs")
+    keys = ["_lvl", "_cx", "_cy"]
+    # a row id assigned at the point scan (stable for a deterministic input),
+    # so genuinely duplicated point records stay separate pairs
+    pts = points.withColumn("_pid", F.monotonically_increasing_id())
+    left = C.point_levels(pts, px, py, size, levels)
+    x, y = F.col(px), F.col(py)
+    box = (x >= F.col("_bx0")) & (x <= F.col("_bx1")) & (y >= F.col("_by0")) & (y <= F.col("_by1"))
+    d2 = F.expr(G.seg_d2_sql(G.q(px), G.q(py), "_seg"))
+    r2 = F.lit(float(radius) * float(radius))
+    joined = C.cell_join(left, seg_cells, keys, salt_cols=list(points.columns), right_bound=n_rows, **join_opts)
+    hits = joined.filter(box & ((d2 < r2) if strict else (d2 <= r2))).withColumn("_d2", d2)
+    # several segments of one line may hit the same point: collapse per
+    # (line, point row), partial aggregation trims duplicates map-side
+    out = hits.groupBy(id_col, "_pid").agg(F.min("_d2").alias("_d2"),
+                                           *[F.first(c).alias(c) for c in points.columns])
+    return out.select(*points.columns, id_col, F.sqrt("_d2").alias("distance"))
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
@@ -131,7 +155,8 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
     g = G.q(gcol)
     polys = C.materialize(polygons.withColumns({"_bb": F.expr(G.bbox_sql(g)), "_edges": F.expr(G.segments_sql(g)),
                                                 "_rect": F.expr(G.rect_sql(g))}))
-    stats = C.window_stats(polys, F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"))
+    stats = C.window_stats(polys, F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"),
+                           extra={"n_big": F.sum(F.when(F.size("_edges") > FLAT_EDGES, 1).otherwise(0))})
     size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=1e-9)
     polys, levels = C.window_levels(polys, F.col("_bb.minx"), F.col("_bb.miny"),
                                     F.col("_bb.maxx"), F.col("_bb.maxy"), size, stats)
@@ -145,17 +170,34 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
              f"{G.pip_sql('((_cx + 0.5) * _lsize)', '((_cy + 0.5) * _lsize)', '_edges')})")
     polys = polys.withColumn("_inner", F.expr(inner))
     left = C.point_levels(points, px, py, size, levels)
-    bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
-    joined = C.cell_join(left, polys, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
-                         right_bound=bound, **join_opts)
     x, y = F.col(px), F.col(py)
     if boundary:
         box = (x >= F.col("_bb.minx")) & (x <= F.col("_bb.maxx")) & (y >= F.col("_bb.miny")) & (y <= F.col("_bb.maxy"))
     else:
         box = (x > F.col("_bb.minx")) & (x < F.col("_bb.maxx")) & (y > F.col("_bb.miny")) & (y < F.col("_bb.maxy"))
+    bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
+    drop = ["_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges", "_rect", "_inner", "_ne"]
+    # Polygons with at most FLAT_EDGES edges carry them as plain columns, so
+    # the even-odd test is codegen arithmetic inside the join; larger ones go
+    # through the array path (a lambda), joined separately and unioned.
+    k = FLAT_EDGES
+    flat_cols = [f"_e{i}" for i in range(k)]
+    polys = polys.withColumn("_ne", F.size("_edges"))
+    n_big = stats.get("n_big", None)
+    flat = polys.filter(F.col("_ne") <= k).withColumns(
+        {c: F.get(F.col("_edges"), i) for i, c in enumerate(flat_cols)})
+    j1 = C.cell_join(left, flat, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
+                     right_bound=bound, **join_opts)
     # rectangles and interior cells need no even-odd test (short-circuit OR)
-    cond = box & (F.col("_inner") | F.expr(G.pip_sql(G.q(px), G.q(py), "_edges", boundary)))
-    return joined.filter(cond).drop("_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges", "_rect", "_inner")
+    out = j1.filter(box & (F.col("_inner") | F.expr(G.flat_pip_sql(G.q(px), G.q(py), flat_cols, boundary)))) \
+        .drop(*drop, *flat_cols)
+    if n_big is None or n_big > 0:
+        big = polys.filter(F.col("_ne") > k)
+        j2 = C.cell_join(left, big, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
+                         right_bound=bound, **join_opts)
+        j2 = j2.filter(box & (F.col("_inner") | F.expr(G.pip_sql(G.q(px), G.q(py), "_edges", boundary)))).drop(*drop)
+        out = out.unionByName(j2)
+    return out
 
 
 def regular_grid_join(points: DataFrame, *, point_xy=("x", "y"), x0: float, y0: float,
