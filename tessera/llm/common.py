@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -57,3 +58,10 @@ def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def documents_columns(docs: DataFrame) -> DataFrame:
     """doc_id and text only, by position-independent name."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row. Spark inlines a
+    projected column into every place that names it, inside lambdas too, where
+    it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
