@@ -110,3 +110,10 @@ def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return head, np.diff(np.r_[head, len(keys)])
+
+
+def strings(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as a string column. Spans must begin and end between characters."""
+    index, _, _ = inner(start, end)
+    off = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(start), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(buf[index])))

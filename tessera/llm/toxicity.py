@@ -1,7 +1,8 @@
 """Toxicity: a learnt lexicon, matched with Levenshtein automata, in context.
 
 Terms are words that occur in toxic rows of a bounded labelled sample far more
-often than in others. They form a trie. A batch's distinct words walk through
+often than in others, counted by their different neighbours; beginnings that
+many such words share are stems. Terms form a trie. A batch's distinct words walk through
 it together: each word's state at a node is its row of edit distances to the
 node's prefix (an automaton that accepts words within one edit or one swap of
 neighbours), words whose row exceeds the distance leave, and those left at a
@@ -13,6 +14,7 @@ gives the score.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from .quality import labelled
 TRAINING_ROWS = 20_000
 #: Terms of the lexicon at most, the strongest first.
 TERMS = 1_000
+#: Letters of a stem: a beginning that many terms share, after which any ending matches.
+STEM = (4, 5, 6)
 #: Words on either side of a match that are its window.
 WINDOW = 4
 THRESHOLD = 0.3
@@ -124,14 +128,15 @@ class Lexicon:
     """Terms with weights, words known to be harmless though near a term, and
     a cache of the words met: their term's weight and distance by word key."""
 
-    def __init__(self, terms: dict[str, float], harmless: set[str] = frozenset()):
+    def __init__(self, terms: dict[str, float], harmless: set[str] = frozenset(), stems: dict[str, float] | None = None):
+        self.stems = dict(sorted((stems or {}).items()))
         self.terms = sorted(terms)
         self.weights = np.array([terms[t] for t in self.terms])
         self.harmless = sorted(harmless)
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "weights": self.weights, "harmless": self.harmless, "_ready": False}
+        return {"stems": self.stems, "terms": self.terms, "weights": self.weights, "harmless": self.harmless, "_ready": False}
 
     def _prepare(self) -> None:
         self.trie, self.safe = Trie(self.terms), frozenset(self.harmless)
@@ -153,6 +158,10 @@ class Lexicon:
             safe = np.fromiter((d == 1 and w in self.safe for w, d in zip(fresh, edits.tolist(), strict=True)), bool, len(fresh))
             term[safe] = -1
             weight = np.where(term >= 0, self.weights[term] if len(self.terms) else 0.0, 0.0)
+            for i in np.flatnonzero(edits > 0).tolist() if self.stems else ():
+                known = max((self.stems.get(fresh[i][:k], 0.0) for k in STEM if len(fresh[i]) > k), default=0.0)
+                if known:
+                    weight[i], edits[i] = known, 0
             self.keys, self.weight, self.edits = (np.insert(self.keys, at[new], keys[new]), np.insert(self.weight, at[new], weight), np.insert(self.edits, at[new], edits.astype(np.int8)))
             at = np.searchsorted(self.keys, keys)
         return self.weight[at], self.edits[at]
@@ -241,23 +250,39 @@ def fit(training: DataFrame, terms: int = TERMS) -> Model:
             raw, off = textops.flat(pa.array([t.lower() if t else "" for t in batch.column(0).to_pylist()], pa.string()))
             start, end, first = textops.spans(raw, off, _PARTS)
             keys, doc = textops.word_keys(raw, start, end), np.repeat(np.arange(len(off) - 1), np.diff(first))
-            _, one = np.unique(np.stack([doc.astype(np.uint64), keys], axis=1), axis=0, return_index=True) if len(keys) else (None, np.zeros(0, np.int64))
-            y = np.array([v or 0 for v in batch.column(1).to_pylist()])[doc[one]]
-            own, at, which = np.unique(keys[one], return_index=True, return_inverse=True)
-            data = raw.tobytes()
-            spelled = [data[a:b].decode(errors="replace") for a, b in zip(start[one][at].tolist(), end[one][at].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.string()), pa.array(np.bincount(which, y, len(own)).astype(np.int64)), pa.array(np.bincount(which, 1 - y, len(own)).astype(np.int64))], names=["word", "toxic", "clean"])
+            beside = np.zeros(len(keys) + 2, np.uint64)
+            beside[1:-1] = keys
+            around = textops.mix(beside[:-2] * np.uint64(3) + beside[2:])
+            around[first[:-1][first[:-1] < len(keys)]] ^= np.uint64(1)  # a first word has nothing before it
+            y = np.array([v or 0 for v in batch.column(1).to_pylist()], np.int32)[doc]
+            yield pa.RecordBatch.from_arrays([textops.strings(raw, start, end), pa.array(around.view(np.int64)), pa.array(y)], names=["word", "around", "y"])
 
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return Model(Lexicon({}), bias=-4.0)
-    counts = common.written(rows.select("text", "y").mapInArrow(words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "word-counts")
-    odds = F.log((F.col("toxic") + 0.05) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1)))
-    strong = (counts.filter((F.col("toxic") >= 3) & (F.length("word") >= 3) & (F.col("clean") * toxic * 20 <= F.col("toxic") * max(clean, 1)))
-              .withColumn("z", F.col("toxic") * odds).orderBy(F.desc("z"), "word").limit(terms).select("word", "toxic", "z").collect())
-    lexicon = Lexicon({r["word"]: min(1.0, 0.2 + 0.1 * r["toxic"]) for r in strong})
-    if not strong:
+    # a word counts once for each pair of neighbours, so that copies of a passage count once
+    seen = rows.select("text", "y").mapInArrow(words, "word string, around long, y int").groupBy("word", "around").agg(F.max("y").alias("y"))
+    counts = common.written(seen.groupBy("word").agg(F.sum("y").cast("long").alias("toxic"), F.sum(1 - F.col("y")).cast("long").alias("clean")), "word-counts")
+    sums = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"), F.count("*").alias("words")).first()
+    if not sums["t"]:
+        return Model(Lexicon({}), bias=-4.0)
+    # evidence: log-likelihood ratio of a word's share of toxic places against the share of all
+    share = sums["t"] / (sums["t"] + sums["c"])
+    t, c = F.col("toxic"), F.col("clean")
+    ratio = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / max(1e-9, 1 - share))).otherwise(0.0)
+    ahead = math.log(max(2, sums["words"])) + 2
+    good = counts.filter("toxic >= 3 and length(word) >= 3").withColumn("evidence", ratio).filter((F.col("evidence") > ahead) & (t / (t + c) >= 0.9))
+    strong = good.orderBy(F.desc("evidence"), "word").limit(terms).collect()
+    stems: dict[str, float] = {}
+    for k in STEM:
+        by_stem = (counts.filter(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("words"))
+                   .filter("words >= 5 and toxic >= 5").withColumn("evidence", ratio).filter((F.col("evidence") > ahead) & (t / (t + c) >= 0.97)))
+        for r in by_stem.orderBy(F.desc("evidence"), "stem").limit(terms // 10).collect():
+            if not any(r["stem"].startswith(x) for x in stems):
+                stems[r["stem"]] = r["toxic"] / (r["toxic"] + r["clean"] + 1)
+    lexicon = Lexicon({r["word"]: r["toxic"] / (r["toxic"] + r["clean"] + 1) for r in strong}, stems=stems)
+    if not strong and not stems:
         return Model(lexicon, bias=-4.0)
     # words of clean rows that are one edit from a term: known to be harmless, unless they are as toxic themselves
     trie_terms = spark.sparkContext.broadcast(lexicon.terms)
@@ -269,7 +294,7 @@ def fit(training: DataFrame, terms: int = TERMS) -> Model:
             yield batch.filter(pa.array(edits == 1))
 
     beside = counts.filter(F.col("clean") * toxic > F.col("toxic") * max(clean, 1)).select("word").mapInArrow(near, "word string").orderBy("word").limit(20 * terms).collect()
-    lexicon = Lexicon(dict(zip(lexicon.terms, lexicon.weights.tolist(), strict=True)), {r["word"] for r in beside})
+    lexicon = Lexicon(dict(zip(lexicon.terms, lexicon.weights.tolist(), strict=True)), {r["word"] for r in beside}, stems)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
