@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, exact_dedup, langid, licenses, packing, quality, simhash_dedup, token_output, toxicity
+from . import common, decontaminate, exact_dedup, langid, licenses, packing, pitman_yor, quality, simhash_dedup, token_output, toxicity
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.annotate(common.table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.annotate(common.table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-files")
     token_output.write(common.table(spark, sf_dir, "documents"), path)
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.annotate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_license_scan, op5_token_output, op6_quality_classifier, op7_simhash_dedup, op8_language_id, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_dedup, op3_license_scan, op4_lm_scoring, op5_token_output, op6_quality_classifier, op7_simhash_dedup, op8_language_id, op9_packing, op10_toxicity)}
 
 ORACLE = {
     "op1_decontamination": decontaminate.ORACLE,
