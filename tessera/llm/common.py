@@ -52,7 +52,8 @@ def if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``dropped`` (one long column
     doc_id, a written table). Rows with a null doc_id stay."""
-    return docs.join(if_small(dropped), "doc_id", "left_anti").select(*docs.columns)
+    ids = if_small(dropped).withColumnRenamed("doc_id", "__dropped")
+    return docs.join(ids, docs["doc_id"] == ids["__dropped"], "left_anti")
 
 
 def documents_columns(docs: DataFrame) -> DataFrame:

@@ -84,16 +84,16 @@ def deduplicate(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
     Rows of frequent digests other than the winner go before the shuffle.
     """
-    names = docs.columns
-    digests = common.written(docs.select(F.col("doc_id"), digest().alias("digest")), "digests")
-    heavy = common.written(frequent(digests, counters), "frequent").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    rows = docs.withColumn("__digest", digest()).join(F.broadcast(heavy), "__digest", "left")
-    rows = rows.filter(F.col("__keep").isNull() | (F.col("__keep") == F.col("doc_id")))
-    # the copies' doc_ids are few: one shuffle of narrow rows finds them, texts stay where they are
-    first = Window.partitionBy("__digest").orderBy(F.col("doc_id").asc_nulls_last())
-    unique = digests.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count() == 0
-    if unique:
-        light = digests.withColumnRenamed("digest", "__digest").join(F.broadcast(heavy), "__digest", "left_anti")
-        dropped = common.written(light.withColumn("__n", F.row_number().over(first)).filter("__n > 1").select("doc_id"), "dropped")
-        return common.without_ids(rows.select(*names), dropped)
-    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*names)
+    digests = common.written(docs.select("doc_id", digest().alias("digest")), "digests")
+    heavy = common.written(frequent(digests, counters), "frequent").select("digest", "keep_id")
+    # the whole row stays together in one column: no name of its own can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), digest().alias("digest")).join(F.broadcast(heavy), "digest", "left")
+    rows = rows.filter(F.col("keep_id").isNull() | (F.col("keep_id") == F.col("id")))
+    first = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last())
+    repeated = digests.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if repeated.limit(1).count():
+        return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("row.*")
+    # doc_ids name rows: one shuffle of ids and digests finds the copies, texts stay where they are
+    light = digests.join(F.broadcast(heavy), "digest", "left_anti").withColumnRenamed("doc_id", "id")
+    dropped = common.written(light.withColumn("n", F.row_number().over(first)).filter("n > 1").select(F.col("id").alias("doc_id")), "dropped")
+    return common.without_ids(rows.select("row.*"), dropped)
