@@ -64,7 +64,7 @@ def _time(fn) -> float:
 def naive_poi_daily_counts(spark, sf):
     """J6 as a plain theta join (what Spark plans without cells)."""
     pts = jobs.with_date(P.within_bbox(P.time_range(FX.points(spark, sf), catalog.START, catalog.END,
-                                                    whole_days=True))).select("x", "y", "date")
+                                                    whole_days=True), catalog.REFERENCE_BBOX)).select("x", "y", "date")
     win = FX.pois(spark, sf).select("objectid", F.col("x").alias("px"), F.col("y").alias("py"))
     d = G.planar_distance("x", "y", "px", "py")
     return pts.crossJoin(win).filter(d <= F.lit(catalog.R_POI)).groupBy("objectid", "date").count()

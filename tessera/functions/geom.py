@@ -34,15 +34,15 @@ def _c(col) -> Column:
 
 def _vertex(txt: Column) -> Column:
     nums = F.split(F.trim(txt), r"\s+")
-    return F.struct(nums.getItem(0).try_cast("double").alias("x"),
-                    nums.getItem(1).try_cast("double").alias("y"))
+    return F.struct(F.get(nums, F.lit(0)).try_cast("double").alias("x"),
+                    F.get(nums, F.lit(1)).try_cast("double").alias("y"))
 
 
 def geom_from_wkt(wkt) -> Column:
     """G1: WKT text → geometry struct (POINT, LINESTRING, POLYGON, MULTI*).
 
     Z/M ordinates are dropped. ``... EMPTY`` gives an empty part list; text
-    that is not WKT gives null.
+    that is not WKT, or has a vertex without two numbers, gives null.
     """
     w = F.trim(_c(wkt))
     kind = F.upper(F.regexp_extract(w, r"^([A-Za-z]+)", 1))
@@ -57,9 +57,9 @@ def geom_from_wkt(wkt) -> Column:
                    F.transform(parts.getItem(0), lambda r: F.array(r))).otherwise(parts)
     empty = F.upper(body).startswith("EMPTY")
     valid = kind.isin("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
-    geom = F.struct(kind.alias("kind"),
-                    F.when(empty, F.array().cast(GEOMETRY["parts"].dataType)).otherwise(parts).alias("parts"))
-    return F.when(valid, geom)
+    parts = F.when(empty, F.array().cast(GEOMETRY["parts"].dataType)).otherwise(parts)
+    whole = F.forall(F.flatten(F.flatten(parts)), lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    return F.when(valid & whole, F.struct(kind.alias("kind"), parts.alias("parts")))
 
 
 def _fmt(v: Column, digits: int) -> Column:
@@ -93,16 +93,8 @@ def point_wkt(x, y, digits: int = 9) -> Column:
     return F.concat(F.lit("POINT ("), _fmt(_c(x), digits), F.lit(" "), _fmt(_c(y), digits), F.lit(")"))
 
 
-def make_point(x, y) -> Column:
-    return F.struct(F.lit("POINT").alias("kind"),
-                    F.array(F.array(F.array(F.struct(_c(x).cast("double").alias("x"),
-                                                     _c(y).cast("double").alias("y"))))).alias("parts"))
-
-
 def envelope_polygon(minx, miny, maxx, maxy) -> Column:
     """Closed rectangle polygon from four numbers."""
-    def v(x, y):
-        return F.struct(F.lit(x) if not isinstance(x, Column) else x, F.lit(y) if not isinstance(y, Column) else y)
     ring = F.array(*(F.struct((F.lit(a) if not isinstance(a, Column) else a).cast("double").alias("x"),
                               (F.lit(b) if not isinstance(b, Column) else b).cast("double").alias("y"))
                      for a, b in ((minx, miny), (maxx, miny), (maxx, maxy), (minx, maxy), (minx, miny))))
@@ -163,11 +155,6 @@ def point_segment_distance(px, py, seg) -> Column:
     return F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
 
 
-def point_line_distance(px, py, geom) -> Column:
-    """Minimum distance from a point to any segment of a geometry."""
-    return F.array_min(F.transform(segments(geom), lambda s: point_segment_distance(px, py, s)))
-
-
 def point_in_segments(px, py, segs, boundary: bool = False) -> Column:
     """Even-odd test against a precomputed ``array<struct<x1,y1,x2,y2>>`` of
     all ring edges (see ``point_in_polygon``)."""
@@ -198,35 +185,6 @@ def point_in_polygon(px, py, geom, boundary: bool = False) -> Column:
     return point_in_segments(px, py, segments(geom), boundary)
 
 
-def segments_hit_rect(segs, rx0, ry0, rx1, ry1) -> Column:
-    """True if any segment touches the closed rectangle (bbox overlap, then
-    the rectangle's corners are not all on one side of the segment's line)."""
-    def hit(s):
-        x1, y1, x2, y2 = s["x1"], s["y1"], s["x2"], s["y2"]
-        overlap = (F.greatest(x1, x2) >= rx0) & (F.least(x1, x2) <= rx1) \
-            & (F.greatest(y1, y2) >= ry0) & (F.least(y1, y2) <= ry1)
-        sides = [(x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1)
-                 for cx, cy in ((rx0, ry0), (rx1, ry0), (rx1, ry1), (rx0, ry1))]
-        all_pos = sides[0] > 0
-        all_neg = sides[0] < 0
-        for d in sides[1:]:
-            all_pos = all_pos & (d > 0)
-            all_neg = all_neg & (d < 0)
-        return overlap & ~all_pos & ~all_neg
-    return F.exists(_c(segs), hit)
-
-
-def is_axis_rectangle(geom) -> Column:
-    """A single-ring polygon whose 4 edges are axis-parallel: its bounding-box
-    test is already exact."""
-    g = _c(geom)
-    r = F.get(F.get(g["parts"], 0), 0)
-    edges = _ring_segments(r)
-    axis = F.forall(edges, lambda s: (s["x1"] == s["x2"]) | (s["y1"] == s["y2"]))
-    return (g["kind"] == F.lit("POLYGON")) & (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], 0)) == 1) \
-        & (F.size(r) == 5) & axis
-
-
 def ring_area(r: Column) -> Column:
     """Signed shoelace area of one closed ring."""
     return F.aggregate(_ring_segments(r), F.lit(0.0),
@@ -308,15 +266,17 @@ def wkt_sql(w: str) -> str:
     kind = f"upper(regexp_extract({t}, '^([A-Za-z]+)', 1))"
     body = f"regexp_replace({t}, '^[A-Za-z]+\\\\s*(ZM|Z|M)?\\\\s*', '')"
     inner = f"regexp_replace(regexp_replace({body}, '^[\\\\s(]+', ''), '[\\\\s)]+$', '')"
-    vertex = ("named_struct('x', try_cast(split(trim(v), '\\\\s+')[0] AS DOUBLE), "
+    vertex = ("named_struct('x', try_cast(get(split(trim(v), '\\\\s+'), 0) AS DOUBLE), "
               "'y', try_cast(get(split(trim(v), '\\\\s+'), 1) AS DOUBLE))")
     parts = (f"transform(split({inner}, '\\\\)\\\\s*\\\\)\\\\s*,\\\\s*\\\\(\\\\s*\\\\('), p -> "
              f"transform(split(p, '\\\\)\\\\s*,\\\\s*\\\\('), r -> transform(split(trim(r), '\\\\s*,\\\\s*'), v -> {vertex})))")
     parts = (f"CASE WHEN {kind} IN ('MULTILINESTRING', 'MULTIPOINT') THEN transform({parts}[0], r -> array(r)) "
              f"ELSE {parts} END")
     parts = f"CASE WHEN startswith(upper({body}), 'EMPTY') THEN array() ELSE {parts} END"
-    return (f"CASE WHEN {kind} IN ('POINT', 'LINESTRING', 'POLYGON', 'MULTIPOINT', 'MULTILINESTRING', 'MULTIPOLYGON') "
-            f"THEN named_struct('kind', {kind}, 'parts', {parts}) END")
+    known = f"{kind} IN ('POINT', 'LINESTRING', 'POLYGON', 'MULTIPOINT', 'MULTILINESTRING', 'MULTIPOLYGON')"
+    # bound once by the outer lambda: the parse is not repeated for the check of its vertices
+    return (f"element_at(transform(array(CASE WHEN {known} THEN named_struct('kind', {kind}, 'parts', {parts}) END), g -> "
+            f"CASE WHEN forall(flatten(flatten(g.parts)), v -> v.x IS NOT NULL AND v.y IS NOT NULL) THEN g END), 1)")
 
 
 def segments_sql(g: str) -> str:
@@ -325,82 +285,35 @@ def segments_sql(g: str) -> str:
             f"i -> named_struct('x1', get(r, i).x, 'y1', get(r, i).y, 'x2', get(r, i + 1).x, 'y2', get(r, i + 1).y))))")
 
 
-def bbox_sql(g: str) -> str:
-    v = f"flatten(flatten({g}.parts))"
-    return (f"named_struct('minx', array_min(transform({v}, p -> p.x)), 'miny', array_min(transform({v}, p -> p.y)), "
-            f"'maxx', array_max(transform({v}, p -> p.x)), 'maxy', array_max(transform({v}, p -> p.y)))")
-
-
-def pip_sql(px: str, py: str, segs: str, boundary: bool = False) -> str:
-    cross = (f"IF(((s.y1 > {py}) <> (s.y2 > {py})) AND ({px} < (s.x2 - s.x1) * ({py} - s.y1) / (s.y2 - s.y1) + s.x1), 1, 0)")
-    edge = (f"((({px} - s.x1) * (s.y2 - s.y1) - ({py} - s.y1) * (s.x2 - s.x1)) = 0.0 AND {px} >= least(s.x1, s.x2) "
-            f"AND {px} <= greatest(s.x1, s.x2) AND {py} >= least(s.y1, s.y2) AND {py} <= greatest(s.y1, s.y2))")
-    fin = "(a.c % 2 = 1) OR a.b" if boundary else "(a.c % 2 = 1) AND NOT a.b"
-    return (f"aggregate({segs}, named_struct('c', 0, 'b', false), "
-            f"(a, s) -> named_struct('c', a.c + {cross}, 'b', a.b OR {edge}), a -> {fin})")
+def crosses_sql(px: str, py: str, s: str) -> str:
+    """1 if the edge ``s`` crosses the ray from the point to the right, else 0 (null edges: 0)."""
+    return (f"IF({s} IS NOT NULL AND (({s}.y1 > {py}) <> ({s}.y2 > {py})) AND "
+            f"({px} < ({s}.x2 - {s}.x1) * ({py} - {s}.y1) / ({s}.y2 - {s}.y1) + {s}.x1), 1, 0)")
 
 
-def hit_rect_sql(segs: str, rx0: str, ry0: str, rx1: str, ry1: str) -> str:
-    corners = ((rx0, ry0), (rx1, ry0), (rx1, ry1), (rx0, ry1))
-    d = [f"((s.x2 - s.x1) * ({cy} - s.y1) - (s.y2 - s.y1) * ({cx} - s.x1))" for cx, cy in corners]
-    pos = " AND ".join(f"{x} > 0" for x in d)
-    neg = " AND ".join(f"{x} < 0" for x in d)
-    return (f"exists({segs}, s -> greatest(s.x1, s.x2) >= {rx0} AND least(s.x1, s.x2) <= {rx1} "
-            f"AND greatest(s.y1, s.y2) >= {ry0} AND least(s.y1, s.y2) <= {ry1} AND NOT ({pos}) AND NOT ({neg}))")
+def on_edge_sql(px: str, py: str, s: str) -> str:
+    """True if the point lies on the edge ``s`` (null edges: false)."""
+    return (f"({s} IS NOT NULL AND (({px} - {s}.x1) * ({s}.y2 - {s}.y1) - ({py} - {s}.y1) * ({s}.x2 - {s}.x1)) = 0.0 "
+            f"AND {px} >= least({s}.x1, {s}.x2) AND {px} <= greatest({s}.x1, {s}.x2) "
+            f"AND {py} >= least({s}.y1, {s}.y2) AND {py} <= greatest({s}.y1, {s}.y2))")
 
 
-def rect_sql(g: str) -> str:
-    r = f"get(get({g}.parts, 0), 0)"
-    return (f"coalesce({g}.kind = 'POLYGON' AND size({g}.parts) = 1 AND size(get({g}.parts, 0)) = 1 "
-            f"AND size({r}) = 5 AND forall(sequence(0, 3), i -> get({r}, i).x = get({r}, i + 1).x "
-            f"OR get({r}, i).y = get({r}, i + 1).y), false)")
+def pip_sql(px: str, py: str, segs: str, boundary: bool = False) -> str:
+    """Even-odd test of a point against an array of edges."""
+    odd = f"aggregate({segs}, 0, (a, s) -> a + {crosses_sql(px, py, 's')}) % 2 = 1"
+    on = f"exists({segs}, s -> {on_edge_sql(px, py, 's')})"
+    return f"(({odd}) OR {on})" if boundary else f"(({odd}) AND NOT {on})"
 
 
-def seg_dist_sql(px: str, py: str, s: str = "s") -> str:
-    dx, dy = f"({s}.x2 - {s}.x1)", f"({s}.y2 - {s}.y1)"
-    l2 = f"({dx} * {dx} + {dy} * {dy})"
-    t = f"IF({l2} = 0.0, 0.0, greatest(0.0, least(1.0, (({px} - {s}.x1) * {dx} + ({py} - {s}.y1) * {dy}) / {l2})))"
-    qx, qy = f"({s}.x1 + {t} * {dx})", f"({s}.y1 + {t} * {dy})"
-    return f"sqrt(({px} - {qx}) * ({px} - {qx}) + ({py} - {qy}) * ({py} - {qy}))"
+def vector_d2_sql(px: str, py: str, s: str) -> str:
+    """Squared distance of a point to the segment ``struct<x1, y1, dx, dy, l2>``
+    (its start, its vector, the vector's squared length or 1 for none); null for a
+    null segment."""
+    t = f"greatest(0.0D, least(1.0D, (({px} - {s}.x1) * {s}.dx + ({py} - {s}.y1) * {s}.dy) / {s}.l2))"
+    ex, ey = f"({px} - ({s}.x1 + {t} * {s}.dx))", f"({py} - ({s}.y1 + {t} * {s}.dy))"
+    return f"IF({s} IS NULL, NULL, {ex} * {ex} + {ey} * {ey})"
 
 
 def geom_from_wkt_col(name: str) -> Column:
     """``geom_from_wkt`` of a named column, built from SQL text."""
     return F.expr(wkt_sql(q(name)))
-
-
-def flat_seg_dist_sql(px: str, py: str, cols: list[str]) -> str:
-    """Minimum distance to up to K flat segment columns (nulls ignored)."""
-    parts = [f"IF({c} IS NULL, NULL, {seg_dist_sql(px, py, c)})" for c in cols]
-    return "least(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]
-
-
-def flat_pip_sql(px: str, py: str, cols: list[str], boundary: bool = False) -> str:
-    """Even-odd test against up to K flat edge columns (nulls ignored): plain
-    arithmetic, so it stays inside whole-stage codegen."""
-    cross = " + ".join(
-        f"IF({c} IS NOT NULL AND (({c}.y1 > {py}) <> ({c}.y2 > {py})) AND "
-        f"({px} < ({c}.x2 - {c}.x1) * ({py} - {c}.y1) / ({c}.y2 - {c}.y1) + {c}.x1), 1, 0)" for c in cols)
-    edge = " OR ".join(
-        f"({c} IS NOT NULL AND (({px} - {c}.x1) * ({c}.y2 - {c}.y1) - ({py} - {c}.y1) * ({c}.x2 - {c}.x1)) = 0.0 "
-        f"AND {px} >= least({c}.x1, {c}.x2) AND {px} <= greatest({c}.x1, {c}.x2) "
-        f"AND {py} >= least({c}.y1, {c}.y2) AND {py} <= greatest({c}.y1, {c}.y2))" for c in cols)
-    odd = f"(({cross}) % 2 = 1)"
-    return f"({odd} OR ({edge}))" if boundary else f"({odd} AND NOT ({edge}))"
-
-
-def seg_d2_sql(px: str, py: str, s: str) -> str:
-    """Squared point–segment distance in compact form (small generated code):
-    before the start → |p−a|², past the end → |p−b|², else |w|² − (w·v)²/|v|²."""
-    wx, wy = f"({px} - {s}.x1)", f"({py} - {s}.y1)"
-    vx, vy = f"({s}.x2 - {s}.x1)", f"({s}.y2 - {s}.y1)"
-    c1 = f"({wx} * {vx} + {wy} * {vy})"
-    c2 = f"({vx} * {vx} + {vy} * {vy})"
-    return (f"CASE WHEN {c1} <= 0.0 THEN {wx} * {wx} + {wy} * {wy} "
-            f"WHEN {c2} <= {c1} THEN ({px} - {s}.x2) * ({px} - {s}.x2) + ({py} - {s}.y2) * ({py} - {s}.y2) "
-            f"ELSE greatest({wx} * {wx} + {wy} * {wy} - {c1} * {c1} / {c2}, 0.0) END")
-
-
-def flat_seg_d2_sql(px: str, py: str, cols: list[str]) -> str:
-    parts = [f"IF({c} IS NULL, NULL, {seg_d2_sql(px, py, c)})" for c in cols]
-    return "least(" + ", ".join(parts) + ")" if len(parts) > 1 else parts[0]

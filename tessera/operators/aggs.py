@@ -7,21 +7,11 @@ unbounded group: member sets are returned as (window, member) rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timefns as TF
 
-# ---- fixed values --------------------------------------------------------------------
-# Envelope of the reference's equal-grid job (lng 115.85..116.95, lat 39.60..40.39)
-# and the partition count it asks for.
-REFERENCE_GRID_ENVELOPE = (115.8528796421, 39.59634, 116.94819, 40.3898263)
-REFERENCE_GRID_PARTITIONS = 5
-# ---------------------------------------------------------------------------------
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -36,9 +26,9 @@ def count_by_month(df: DataFrame, ms_col: str = "sys_ms") -> DataFrame:
     return df.groupBy(TF.ms_month(ms_col).alias("month")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def counts_per_second(df: DataFrame, ms_col: str = "sys_ms", upper: str | None = "2017-11-16",
+def counts_per_second(df: DataFrame, ms_col: str = "sys_ms", upper: str | None = None,
                       sep: str = "-") -> DataFrame:
-    """Rows per ``yyyy-MM-dd-HH:mm:ss`` text, text ≤ ``upper`` (string
+    """Rows per ``yyyy-MM-dd-HH:mm:ss`` text; with ``upper``, text ≤ it (string
     comparison, so the bound's own day is excluded), sorted. ``COUNT(date)``
     skips null times."""
     d = df.select(TF.ms_to_second_str(ms_col, sep).alias("date"))
@@ -72,13 +62,7 @@ def geohash_hourly_counts(df: DataFrame, precision: int = 8, lng: str = "lng", l
 
 # ---- equal grid (X2, A2, A3) -------------------------------------------------------
 
-def equal_grid_dims(partitions: int) -> tuple[int, int]:
-    """Cells per axis for a requested partition count: floor(sqrt(n)) each."""
-    k = max(1, int(math.isqrt(partitions)))
-    return k, k
-
-
-def equal_grid(spark, envelope=REFERENCE_GRID_ENVELOPE, nx: int = 2, ny: int = 2) -> DataFrame:
+def equal_grid(spark, envelope, nx: int, ny: int) -> DataFrame:
     """The grid as a small parameter table (cell, minx, miny, maxx, maxy);
     cell = ix * ny + iy (x-major)."""
     minx, miny, maxx, maxy = envelope
@@ -91,7 +75,7 @@ def equal_grid(spark, envelope=REFERENCE_GRID_ENVELOPE, nx: int = 2, ny: int = 2
                     (F.lit(minx) + (ix + 1) * F.lit(dx)).alias("maxx"), (F.lit(miny) + (iy + 1) * F.lit(dy)).alias("maxy"))
 
 
-def equal_grid_cell(x, y, envelope=REFERENCE_GRID_ENVELOPE, nx: int = 2, ny: int = 2) -> Column:
+def equal_grid_cell(x, y, envelope, nx: int, ny: int) -> Column:
     """Cell id of a point, null outside the envelope. Cells are half-open
     [lo, hi); the max edges belong to the last cell, so each point counts once."""
     minx, miny, maxx, maxy = envelope
@@ -102,7 +86,7 @@ def equal_grid_cell(x, y, envelope=REFERENCE_GRID_ENVELOPE, nx: int = 2, ny: int
     return F.when(inside, ix * F.lit(ny) + iy)
 
 
-def equal_grid_counts(df: DataFrame, envelope=REFERENCE_GRID_ENVELOPE, nx: int = 2, ny: int = 2,
+def equal_grid_counts(df: DataFrame, envelope, nx: int, ny: int,
                       lng: str = "lng", lat: str = "lat") -> DataFrame:
     """A2: points per equal-grid cell (points outside the envelope dropped)."""
     return (df.select(equal_grid_cell(lng, lat, envelope, nx, ny).alias("cell"))
@@ -110,16 +94,16 @@ def equal_grid_counts(df: DataFrame, envelope=REFERENCE_GRID_ENVELOPE, nx: int =
             .groupBy("cell").agg(F.count(F.lit(1)).alias("count")))
 
 
-def equal_grid_hourly_counts(df: DataFrame, start, end, envelope=REFERENCE_GRID_ENVELOPE,
-                             nx: int = 2, ny: int = 2, lng: str = "lng", lat: str = "lat",
+def equal_grid_hourly_counts(df: DataFrame, start, end, envelope, nx: int, ny: int,
+                             lng: str = "lng", lat: str = "lat",
                              ms_col: str = "sys_ms", drop_boundary: bool = True) -> DataFrame:
     """A3: points per cell per UTC hour over [start, end).
 
     Hours without any point emit nothing; every other hour emits every cell,
     zero-filled. The reference tests each hour with open bounds, so a point
-    exactly on the hour is dropped (``drop_boundary``). One pass: the dense
-    (hour, cell) frame comes from a generator over the active hours, not from
-    a cross join, and is left-joined to the counts on (hour, cell).
+    exactly on the hour is dropped (``drop_boundary``). One pass over the
+    points: counts per (hour, cell) become one map per hour, of at most
+    nx × ny entries, and a generator over the cells fills the gaps.
     """
     lo, hi = TF.to_ms_literal(start), TF.to_ms_literal(end)
     t = F.col(ms_col)
@@ -129,12 +113,11 @@ def equal_grid_hourly_counts(df: DataFrame, start, end, envelope=REFERENCE_GRID_
     pts = df.filter(cond).select(
         F.floor(t / F.lit(TF.MS_PER_HOUR)).cast("long").alias("_h"),
         equal_grid_cell(lng, lat, envelope, nx, ny).alias("cell")).filter(F.col("cell").isNotNull())
-    counts = pts.groupBy("_h", "cell").agg(F.count(F.lit(1)).alias("count"))
-    active = counts.select("_h").distinct()
-    dense = active.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx * ny - 1).cast("long"))))
-    out = dense.join(counts, ["_h", "cell"], "left")
-    return out.select(TF.ms_to_hour_str(F.col("_h") * F.lit(TF.MS_PER_HOUR)).alias("hour"), "cell",
-                      F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
+    counts = pts.groupBy("_h", "cell").agg(F.count(F.lit(1)).alias("n"))
+    hours = counts.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("by_cell"))
+    dense = hours.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx * ny - 1).cast("long"))))
+    return dense.select(TF.ms_to_hour_str(F.col("_h") * F.lit(TF.MS_PER_HOUR)).alias("hour"), "cell",
+                        F.coalesce(F.try_element_at("by_cell", F.col("cell")), F.lit(0)).cast("long").alias("count"))
 
 
 # ---- join reports (modes 1-6) --------------------------------------------------------
@@ -150,13 +133,6 @@ def join_members(pairs: DataFrame, window_cols: list[str], member_cols: list[str
     return pairs.select(*window_cols, *member_cols).distinct()
 
 
-def window_counts(pairs: DataFrame, window_cols: list[str], member_cols: list[str],
-                  distinct: bool = True) -> DataFrame:
-    """|members| per window: distinct members (the RDD jobs' hash sets) or rows."""
-    agg = F.count_distinct(*[F.col(c) for c in member_cols]) if distinct else F.count(F.lit(1))
-    return pairs.groupBy(*window_cols).agg(agg.alias("n"))
-
-
 def density_rank(counts: DataFrame, window_cols: list[str], area) -> DataFrame:
     """A10 (mode 3): all windows by density = n / area, descending; ties by window."""
     a = area if isinstance(area, Column) else F.lit(float(area))

@@ -3,32 +3,30 @@
 A spatial theta join (distance, within, buffer) has no Catalyst strategy; on
 its own it plans as a nested-loop or cartesian product. We turn it into an
 equi-join: each point falls in exactly one cell ``(floor(x/s), floor(y/s))``;
-each window is replicated to every cell its (expanded) bounding box touches.
-Joining on the cell key finds every candidate pair exactly once per window,
-and an exact residual predicate keeps the true matches.
+each window is replicated to the cells it can match in. Joining on the cell
+finds every candidate pair exactly once, and an exact residual predicate keeps
+the true matches. Points are read once and never replicated: a layer has one
+cell size, coarse enough to bound its window rows.
 
-Also here: the size-checked broadcast and the hot-cell salting used by the
-joins when the window side is too big to broadcast.
+Also here: the broadcast bounded by bytes and, for sessions without adaptive
+skew joins, the salting of hot cells.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Defaults sized for a large cluster: a broadcast side of up to 2M rows of a
-# few dozen bytes is a few tens of MB per executor.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-# A cell holding more rows than this is treated as hot in the shuffle path.
-DEFAULT_HOT_ROWS = 1_000_000
-# At most this many hot cells are salted (the hot table is broadcast).
-DEFAULT_MAX_HOT_CELLS = 10_000
-DEFAULT_SALT_BUCKETS = 32
-# A window touching more cells than this moves to a coarser level.
-DEFAULT_MAX_CELLS_PER_WINDOW = 1024
-LEVEL_FACTOR = 16
+from ..session import ensure_checkpoint_dir
+
+# A window side up to this size (rows times widths, measured) is broadcast.
+BROADCAST_BYTES = 64 << 20
+# A cell holding more rows than this is split by the salted path.
+HOT_ROWS = 1_000_000
+# Window rows of a layer: at most this many cells a window on average, plus a floor.
+CELLS_PER_WINDOW, CELLS_FLOOR = 16, 4096
 
 
 def _c(col) -> Column:
@@ -46,187 +44,92 @@ def with_point_cell(df: DataFrame, x: str, y: str, size: float, prefix: str = "_
 
 
 def explode_range(df: DataFrame, lo: Column, hi: Column, name: str) -> DataFrame:
-    """One row per integer in [lo, hi] (a generator, not a join)."""
-    return df.withColumn(name, F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-
+    """One row per integer in [lo, hi], none if lo > hi (a generator, not a join)."""
+    lo, hi = lo.cast("long"), hi.cast("long")
+    return df.withColumn(name, F.explode(F.when(lo <= hi, F.sequence(lo, hi))))
 
-def explode_bbox_cells(df: DataFrame, minx, miny, maxx, maxy, size, prefix: str = "_c",
-                       open_box: bool = False) -> DataFrame:
-    """Replicate each row to every cell its bounding box touches.
-
-    ``size`` may be a float or a column (per-row level size). With
-    ``open_box`` only points strictly inside the box can match (interior
-    predicates), so a max edge lying exactly on a cell edge does not pull in
-    the next cell: the upper index is ``ceil(max / s) - 1``.
-    """
-    s = F.lit(float(size)) if not isinstance(size, Column) else size
 
-    def hi(v):
-        return (F.ceil(_c(v) / s) - F.lit(1)) if open_box else F.floor(_c(v) / s)
-    df = explode_range(df, F.floor(_c(minx) / s), hi(maxx), prefix + "x")
-    return explode_range(df, F.floor(_c(miny) / s), hi(maxy), prefix + "y")
+def explode_bbox_cells(df: DataFrame, minx, miny, maxx, maxy, size: float, prefix: str = "_c") -> DataFrame:
+    """Replicate each row to every cell its bounding box touches."""
+    df = explode_range(df, cell_index(minx, size), cell_index(maxx, size), prefix + "x")
+    return explode_range(df, cell_index(miny, size), cell_index(maxy, size), prefix + "y")
 
 
-def neighbour_span(radius: float, size: float) -> int:
-    """How many cells away a point within ``radius`` can be."""
-    return max(1, int(math.ceil(radius / size)))
-
-
-def explode_disc_cells(df: DataFrame, x: str, y: str, radius: float, size: float,
-                       prefix: str = "_c") -> DataFrame:
+def explode_disc_cells(df: DataFrame, x: str, y: str, radius: float, size: float, prefix: str = "_c") -> DataFrame:
     """Replicate each centre to the cells its radius-``radius`` disc can touch
-    (its own cell ± span, i.e. 3×3 when size ≥ radius)."""
-    return explode_bbox_cells(df, _c(x) - F.lit(radius), _c(y) - F.lit(radius),
-                              _c(x) + F.lit(radius), _c(y) + F.lit(radius), size, prefix)
+    (3×3 when size ≥ radius)."""
+    r = F.lit(radius)
+    return explode_bbox_cells(df, _c(x) - r, _c(y) - r, _c(x) + r, _c(y) + r, size, prefix)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Keep the prepared window side (parsed geometry, boxes, edges) for the
-    small decisions and the join that follow.
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The rows as a new Parquet table in the shared checkpoint folder, read again.
 
-    The window side feeds an aggregate (cell size, counts, extents) and the
-    join itself; persisting it parses its geometry once, and the first
-    aggregate fills the cache in the same job (no extra job). Later plans see
-    plain attributes instead of the whole parse expression. Blocks lost with
-    an executor are recomputed from the (short) window-side lineage. Use
-    ``release`` when done.
+    Window sides feed a few decisions (cell size, bytes) and the join itself.
+    A written table parses their geometry once, outlives executors, and belongs
+    to this call alone, so a replaced input file is always read anew.
     """
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def release(df: DataFrame) -> None:
-    """Drop a frame persisted by ``materialize`` (non-blocking)."""
-    df.unpersist(blocking=False)
-
-
-def sized_broadcast(df: DataFrame, max_rows: int | None, upper_bound: int | None = None):
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    ``upper_bound`` is a row bound already proven by the caller (e.g. window
-    count × the per-window cell cap); when it is within ``max_rows`` no job
-    runs. Otherwise the check is a bounded action
-    (``limit(max_rows + 1).count()``) that stops once the bound is exceeded.
-    Returns (frame, broadcast?).
-    """
-    if max_rows is None or max_rows <= 0:
-        return df, False
-    if upper_bound is not None and upper_bound <= max_rows:
-        return F.broadcast(df), True
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
-def salt_hot_keys(left: DataFrame, right: DataFrame, keys: list[str],
-                  hot_rows: int = DEFAULT_HOT_ROWS, buckets: int = DEFAULT_SALT_BUCKETS,
-                  max_hot: int = DEFAULT_MAX_HOT_CELLS, salt_cols: list[str] | None = None):
-    """Split hot join keys of ``left`` over ``buckets`` tasks.
-
-    Hot keys are those with at least ``hot_rows`` rows on the left (counted
-    with a partial aggregate, so only key counts are shuffled). At most
-    ``max_hot`` of them are kept (the busiest), which bounds the broadcast hot
-    table. Left rows of a hot key get a deterministic salt from a hash of
-    their own columns (stable under task retry); right rows of a hot key are
-    replicated once per salt value. Non-hot keys keep salt 0. Returns the two
-    frames and the extended key list.
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured_bytes(df: DataFrame, segments: str | None = None) -> int:
+    """Upper estimate of a window side's size in memory: 24 bytes a column, texts
+    and binaries by length, 64 bytes for each entry of the ``segments`` array."""
+    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    texts = [F.sum(F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))) for c in wide]
+    entries = [F.sum(F.greatest(F.size(segments), F.lit(0)) * F.lit(64))] if segments else []
+    row = df.agg(F.count(F.lit(1)), *texts, *entries).first()
+    return row[0] * 24 * (len(df.columns) + 1) + sum(int(v or 0) for v in row[1:])
+
+
+def salt_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
+                  salt_cols: list[str] | None = None):
+    """Split hot join keys of ``left`` over as many parts as their rows ask for.
+
+    Hot keys have at least ``hot_rows`` rows on the left (counted with a partial
+    aggregate); there can be no more of them than rows / hot_rows. A left row of
+    a hot key gets a salt from a hash of its own columns (stable under task
+    retry), a right row is repeated once per salt of its key. Other keys keep
+    salt 0. Returns the two frames and the extended key list.
     """
-    hot = (left.groupBy(*keys).count().filter(F.col("count") >= F.lit(hot_rows))
-           .orderBy(F.col("count").desc(), *keys).limit(max_hot)
-           .select(*keys, F.lit(True).alias("_hot")))
-    hot = F.broadcast(hot)
+    hot = (left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= F.lit(hot_rows))
+           .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts")))
     cols = salt_cols or left.columns
-    lh = left.join(hot, keys, "left")
-    lh = lh.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in cols]),
-                                                                 F.lit(buckets)))
-                       .otherwise(F.lit(0)).cast("int")).drop("_hot")
-    rh = right.join(hot, keys, "left")
-    rh = rh.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1)))
-                                           .otherwise(F.array(F.lit(0))))).drop("_hot")
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    lh = left.join(hot, keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cols]), parts).cast("int")).drop("_parts")
+    rh = right.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return lh, rh, keys + ["_salt"]
 
 
-def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *,
-              broadcast_rows: int | None = DEFAULT_BROADCAST_ROWS,
-              salt: bool = True, hot_rows: int = DEFAULT_HOT_ROWS,
-              salt_buckets: int = DEFAULT_SALT_BUCKETS, max_hot: int = DEFAULT_MAX_HOT_CELLS,
-              salt_cols: list[str] | None = None, right_bound: int | None = None) -> DataFrame:
+def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *, right_bytes: int,
+              broadcast_bytes: int = BROADCAST_BYTES, salt: bool = False, hot_rows: int = HOT_ROWS,
+              salt_cols: list[str] | None = None) -> DataFrame:
     """Inner equi-join of point cells (left) with window cells (right).
 
-    Right is broadcast when it provably fits (no shuffle of the big side, no
-    skew). Otherwise both sides shuffle on the cell key, hot cells are salted
-    and AQE's skew-join split remains as a second line of defence.
-    """
-    r, is_bc = sized_broadcast(right, broadcast_rows, right_bound)
-    if is_bc:
-        return left.join(r, keys, "inner")
-    if salt and salt_buckets > 1:
-        left, right, keys = salt_hot_keys(left, right, keys, hot_rows, salt_buckets, max_hot, salt_cols)
-    return left.join(right, keys, "inner").drop("_salt")
-
-
-def window_stats(df: DataFrame, width: Column, height: Column, extra: dict | None = None) -> dict:
-    """One aggregate over the window side: row count, approximate median
-    extent and the largest width and height (plus any ``extra`` aggregates)."""
-    ext = F.greatest(width, height)
-    extra = extra or {}
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(ext, 0.5, 1000).alias("median"),
-                 F.max(width).alias("max_w"), F.max(height).alias("max_h"),
-                 *[v.alias(k) for k, v in extra.items()]).first()
-    return {k: row[k] for k in ["n", "median", "max_w", "max_h", *extra]}
-
-
-def auto_cell_size(stats: dict, floor: float = 0.0) -> float:
-    """Cell size = median window extent (at least ``floor``)."""
-    m = stats.get("median")
-    if m is None or m <= 0:
-        m = floor if floor > 0 else 1.0
-    return float(max(m, floor))
-
-
-def _ncells(minx, miny, maxx, maxy, s):
-    return ((F.floor(_c(maxx) / F.lit(s)) - F.floor(_c(minx) / F.lit(s)) + F.lit(1))
-            * (F.floor(_c(maxy) / F.lit(s)) - F.floor(_c(miny) / F.lit(s)) + F.lit(1)))
-
-
-def _level_for_extent(w: float, h: float, size: float, max_cells: int) -> int:
-    for k in range(7):
-        s = size * LEVEL_FACTOR ** k
-        if (math.floor(w / s) + 2) * (math.floor(h / s) + 2) <= max_cells:
-            return k
-    return 6
-
-
-def window_levels(df: DataFrame, minx, miny, maxx, maxy, size: float, stats: dict,
-                  max_cells: int = DEFAULT_MAX_CELLS_PER_WINDOW):
-    """Assign each window the finest grid level whose cell count is ≤ max_cells.
-
-    Level k has cell size ``size * LEVEL_FACTOR**k``. Returns the frame with
-    ``_lvl`` and ``_lsize`` columns and the sorted list of levels in use. When
-    even the largest window (from ``stats``) fits level 0 no pass is needed;
-    otherwise one small distinct pass over the window side finds the levels.
+    Right is broadcast when its measured size is within the bound (no shuffle
+    of the big side, no skew). Otherwise both sides shuffle on the cell and
+    adaptive execution splits hot cells at run time; ``salt`` splits them
+    beforehand, at the cost of a pass that counts cells, for sessions that run
+    without adaptive skew joins.
     """
-    w, h = stats.get("max_w") or 0.0, stats.get("max_h") or 0.0
-    if _level_for_extent(w, h, size, max_cells) == 0:
-        # even the largest window fits level 0: no per-row level logic at all
-        return df.withColumns({"_lvl": F.lit(0), "_lsize": F.lit(float(size))}), [0]
-    lvl = F.when(_ncells(minx, miny, maxx, maxy, size) <= F.lit(max_cells), F.lit(0))
-    for k in range(1, 6):
-        lvl = lvl.when(_ncells(minx, miny, maxx, maxy, size * LEVEL_FACTOR ** k) <= F.lit(max_cells), F.lit(k))
-    lvl = lvl.otherwise(F.lit(6))
-    out = df.withColumn("_lvl", lvl).withColumn(
-        "_lsize", F.lit(float(size)) * F.pow(F.lit(float(LEVEL_FACTOR)), F.col("_lvl")))
-    levels = sorted(r["_lvl"] for r in out.select("_lvl").distinct().collect())
-    return out, levels or [0]
-
-
-def point_levels(df: DataFrame, x: str, y: str, size: float, levels: list[int]) -> DataFrame:
-    """Give each point its cell at every level in use (1 row per level)."""
-    if levels == [0]:
-        return df.withColumn("_lvl", F.lit(0)).withColumn("_cx", cell_index(x, size)) \
-            .withColumn("_cy", cell_index(y, size))
-    df = df.withColumn("_lvl", F.explode(F.array(*[F.lit(k) for k in levels])))
-    s = F.lit(float(size)) * F.pow(F.lit(float(LEVEL_FACTOR)), F.col("_lvl"))
-    return df.withColumn("_cx", F.floor(F.col(x) / s).cast("long")) \
-        .withColumn("_cy", F.floor(F.col(y) / s).cast("long"))
+    if right_bytes <= broadcast_bytes:
+        return left.join(F.broadcast(right), keys, "inner")
+    if salt:
+        left, right, keys = salt_hot_keys(left, right, keys, hot_rows, salt_cols)
+    return left.join(right.hint("merge"), keys, "inner").drop("_salt")
+
+
+def layer_cell_size(df: DataFrame, minx, miny, maxx, maxy, floor: float) -> float:
+    """One cell size for a layer of boxes: the median extent (at least
+    ``floor``), doubled until the boxes' cells are at most CELLS_PER_WINDOW a
+    box on average plus CELLS_FLOOR. One aggregate over the layer."""
+    w, h = _c(maxx) - _c(minx), _c(maxy) - _c(miny)
+    base = df.agg(F.percentile_approx(F.greatest(w, h), 0.5, 1000), F.count(F.lit(1))).first()
+    size, n = max(float(base[0] or 0.0), floor) or 1.0, base[1]
+    steps = [size * 2.0 ** k for k in range(40)]
+    cells = df.agg(*[F.sum((F.floor(w / F.lit(s)) + 2) * (F.floor(h / F.lit(s)) + 2)) for s in steps]).first()
+    return next((s for s, c in zip(steps, cells) if (c or 0) <= CELLS_PER_WINDOW * n + CELLS_FLOOR), steps[-1])

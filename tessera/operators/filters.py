@@ -11,24 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import timefns as TF
 
-# ---- fixed values --------------------------------------------------------------------
-# Season month sets and area-code sets used by the reference's filters.
-SPRING = (3, 4, 5)
-SUMMER = (6, 7, 8)
-AUTUMN = (9, 10, 11)
-WINTER = (12, 1, 2)
-WINTER_ALT = (11, 1, 2)
-AREA_CODES_11 = ("110101", "110102", "110105", "110106", "110107", "110108", "110111",
-                 "110112", "110114", "110115", "110120")
-AREA_CODES_10 = ("110101", "110102", "110105", "110106", "110107", "110108", "110111",
-                 "110112", "110114", "110115")
-# Bounding box of the reference's bbox filter (lng/lat, strict).
-REFERENCE_BBOX = (116.230633649, 39.863608449, 116.44120325, 39.979627788)
-# Station categories of the reference's category filter (bus-stop related, metro station).
-STATION_CATEGORIES = ("公交车站相关", "地铁站")
-# ---------------------------------------------------------------------------------
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -40,16 +22,16 @@ def _ntz_literal(ms: int) -> Column:
 
 
 def time_range(df: DataFrame, start=None, end=None, ms_col: str = "sys_ms",
-               closed: str = "none", whole_days: bool = False, ts_col: str | None = "ts") -> DataFrame:
+               closed: str = "none", whole_days: bool = False, ts_col: str | None = None) -> DataFrame:
     """Keep rows with ``start < ms < end`` (``closed`` = none / left /
     right / both). ``whole_days`` snaps both bounds to midnight UTC as the
     reference's ``yyyy-MM-dd`` bounds do.
 
-    When the frame still carries the raw timestamp column ``ts_col`` (as the
-    fixtures do), the same range is also stated on it. That predicate is
-    exactly equivalent (ms = floor(µs / 1000)) and, unlike one on the derived
-    ms column, reaches the Parquet scan as a pushed filter, so row groups
-    outside the range are skipped.
+    ``ts_col`` names the raw TIMESTAMP_NTZ column that ``ms_col`` was derived
+    from, if the frame still has it: the same range is then also stated on it.
+    That predicate is exactly equivalent (ms = floor(µs / 1000)) and, unlike
+    one on the derived column, reaches the Parquet scan as a pushed filter, so
+    row groups outside the range are skipped.
     """
     lo = TF.day_floor_ms(start) if (whole_days and start is not None) else TF.to_ms_literal(start)
     hi = TF.day_floor_ms(end) if (whole_days and end is not None) else TF.to_ms_literal(end)
@@ -59,7 +41,7 @@ def time_range(df: DataFrame, start=None, end=None, ms_col: str = "sys_ms",
         cond = cond & ((c >= F.lit(lo)) if closed in ("left", "both") else (c > F.lit(lo)))
     if hi is not None:
         cond = cond & ((c <= F.lit(hi)) if closed in ("right", "both") else (c < F.lit(hi)))
-    if ts_col and ts_col in df.columns and dict(df.dtypes).get(ts_col) == "timestamp_ntz":
+    if ts_col:
         ts = F.col(ts_col)
         if lo is not None:
             first = lo if closed in ("left", "both") else lo + 1
@@ -75,9 +57,9 @@ def hour_is(df: DataFrame, hour: int = 8, ms_col: str = "sys_ms") -> DataFrame:
     return df.filter(TF.ms_hour(ms_col) == F.lit(hour))
 
 
-def season_filter(df: DataFrame, months=WINTER, areas=AREA_CODES_11, ms_col: str = "sys_ms",
+def season_filter(df: DataFrame, months, areas, ms_col: str = "sys_ms",
                   area_col: str = "area_code", drop_zero: bool = True) -> DataFrame:
-    """Month in a set, zero timestamps excluded, area code in a set."""
+    """Month in a set, zero timestamps excluded, area code in a set (``None``: any)."""
     cond = TF.ms_month(ms_col).isin(*months)
     if drop_zero:
         cond = cond & (F.col(ms_col) != F.lit(0))
@@ -86,7 +68,7 @@ def season_filter(df: DataFrame, months=WINTER, areas=AREA_CODES_11, ms_col: str
     return df.filter(cond)
 
 
-def within_bbox(df: DataFrame, bbox=REFERENCE_BBOX, x: str = "lng", y: str = "lat") -> DataFrame:
+def within_bbox(df: DataFrame, bbox, x: str = "lng", y: str = "lat") -> DataFrame:
     """Point strictly inside (minx, miny, maxx, maxy).
 
     The reference projects the box and the points to EPSG:3857 and tests
@@ -98,7 +80,7 @@ def within_bbox(df: DataFrame, bbox=REFERENCE_BBOX, x: str = "lng", y: str = "la
                      & (F.col(y) > F.lit(miny)) & (F.col(y) < F.lit(maxy)))
 
 
-def category_filter(df: DataFrame, col: str, values=STATION_CATEGORIES) -> DataFrame:
+def category_filter(df: DataFrame, col: str, values) -> DataFrame:
     """Category column in a set of labels."""
     return df.filter(F.col(col).isin(*values))
 

@@ -1,10 +1,11 @@
 """Spatial joins as cell equi-joins with an exact residual.
 
 All joins are inner (the reference writes no other kind). Points are the big
-side and are never replicated; windows (circles, line segments, polygons) are
-replicated to the cells they touch. Every point lies in exactly one cell, so
-each (window, point) pair is produced once and no de-duplication shuffle of
-the big side is needed.
+side: they are read once and never replicated. Windows (circles, lines,
+polygons) have one row per cell they can match in, with only the segments that
+matter there, so a (window, point) pair arises at most once and nothing has to
+be collapsed. Windows are features: two of them stay two, whatever attributes
+they share; ``_wid`` numbers them.
 """
 
 from __future__ import annotations
@@ -15,16 +16,13 @@ from pyspark.sql import functions as F
 from ..functions import geom as G
 from . import cells as C
 
+#: Segments of a window's cell that are plain columns; further ones are an array.
+FLAT = 6
 
-# Windows small enough to carry their geometry as plain columns (see the joins).
-FLAT_SEGMENTS = 4
-FLAT_EDGES = 8
 
-
-def _prefix_right(left: DataFrame, right: DataFrame, prefix: str, keep: set[str] = frozenset()):
+def _renamed(left: DataFrame, right: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
     """Rename right columns that collide with left ones."""
-    clash = set(left.columns) & set(right.columns) - set(keep)
-    mapping = {c: (prefix + c if c in clash else c) for c in right.columns}
+    mapping = {c: (prefix + c if c in left.columns else c) for c in right.columns}
     for old, new in mapping.items():
         if old != new:
             right = right.withColumnRenamed(old, new)
@@ -48,20 +46,21 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
     size = float(cell_size or radius)
     if size < radius:
         raise ValueError("cell_size must be >= radius")
-    windows, mapping = _prefix_right(points, windows, right_prefix)
+    windows, mapping = _renamed(points, windows, right_prefix)
     wx, wy = mapping[window_xy[0]], mapping[window_xy[1]]
     px, py = point_xy
     left = C.with_point_cell(points, px, py, size)
     right = C.explode_disc_cells(windows, wx, wy, radius, size)
-    keys = ["_cx", "_cy"]
+    keys, copies = ["_cx", "_cy"], 9
     if band:
         b = float(band["bucket"])
         left = left.withColumn("_cb", F.floor(F.col(band["point_col"]) / F.lit(b)).cast("long"))
         lo, hi = mapping[band["lo"]], mapping[band["hi"]]
         right = C.explode_range(right, F.floor(F.col(lo) / F.lit(b)), F.floor(F.col(hi) / F.lit(b)), "_cb")
         keys.append("_cb")
-    salt_cols = [c for c in points.columns]
-    joined = C.cell_join(left, right, keys, salt_cols=salt_cols, **join_opts)
+        widest = windows.agg(F.max(F.floor(F.col(hi) / F.lit(b)) - F.floor(F.col(lo) / F.lit(b)))).first()[0]
+        copies *= int(widest or 0) + 1
+    joined = C.cell_join(left, right, keys, right_bytes=copies * (C.measured_bytes(windows) + 72), salt_cols=list(points.columns), **join_opts)
     dx = F.col(px) - F.col(wx)
     dy = F.col(py) - F.col(wy)
     # cheap box test first, then the exact distance
@@ -77,127 +76,129 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
     return out
 
 
-def _segment_table(lines: DataFrame, id_col: str, geom_col: str) -> DataFrame:
-    segs = lines.select(F.col(id_col), F.explode(F.expr(G.segments_sql(G.q(geom_col)))).alias("_seg"))
-    return segs.select(id_col, "_seg",
-                       F.least("_seg.x1", "_seg.x2").alias("_minx"), F.least("_seg.y1", "_seg.y2").alias("_miny"),
-                       F.greatest("_seg.x1", "_seg.x2").alias("_maxx"), F.greatest("_seg.y1", "_seg.y2").alias("_maxy"))
+# ---- windows with segments -----------------------------------------------------------
+
+def numbered(windows: DataFrame, geom_col: str = "geom", tag: str = "windows") -> DataFrame:
+    """The window layer as a written table with ``_wid``, a number per feature,
+    and its segments in place of the geometry."""
+    rest = [c for c in windows.columns if c != geom_col]
+    segs = windows.select(*rest, F.expr(G.segments_sql(G.q(geom_col))).alias("_segs"))
+    return C.written(segs.withColumn("_wid", F.monotonically_increasing_id()), tag)
+
+
+def _segment_rows(layer: DataFrame) -> DataFrame:
+    """_wid, the segment's ends x1, y1, x2, y2 and its box."""
+    s = layer.select("_wid", F.explode("_segs").alias("_s")).select("_wid", "_s.x1", "_s.y1", "_s.x2", "_s.y2")
+    s = s.filter("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL")
+    return s.withColumns({"_minx": F.least("x1", "x2"), "_miny": F.least("y1", "y2"), "_maxx": F.greatest("x1", "x2"), "_maxy": F.greatest("y1", "y2")})
+
+
+def _flat(cells: DataFrame, segs: str = "_list") -> tuple[DataFrame, bool, int]:
+    """Segments as FLAT plain columns and an array of the rest; whether any row
+    has a rest, and how many columns are used at all."""
+    most = cells.agg(F.max(F.size(segs))).first()[0] or 0
+    used = max(1, min(FLAT, most))
+    out = cells.withColumns({f"_e{i}": F.get(F.col(segs), F.lit(i)) for i in range(used)})
+    out = out.withColumn("_more", F.when(F.size(segs) > FLAT, F.slice(segs, FLAT + 1, F.greatest(F.size(segs) - FLAT, F.lit(1)))))
+    return out.drop(segs), most > FLAT, used
 
 
 def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
                      point_xy=("x", "y"), id_col: str = "id", geom_col: str = "geom",
-                     strict: bool = True, cell_size: float | None = None,
+                     strict: bool = True, cell_size: float | None = None, layer: DataFrame | None = None,
                      **join_opts) -> DataFrame:
-    """Pairs (line id, point) with the point inside the r-buffer of the line.
+    """Pairs (line, point) with the point inside the r-buffer of the line.
 
     ``strict`` (``ST_Within(point, ST_Buffer(line, r))``) keeps distance < r.
-    Segments are replicated to the cells of their r-expanded boxes and grouped
-    per (line, cell) on the small side, so a point meets each line once and
-    the per-segment hits of one pair collapse without shuffling the points.
-    Returns the point columns plus ``id_col`` and ``distance``.
+    Each line has one row per cell of its segments' r-expanded boxes, with the
+    segments that reach that cell, so a point meets a line once. Two lines with
+    one id are two lines. Returns the point columns, ``id_col``, ``_wid`` (the
+    line's number in ``layer``, see ``numbered``) and ``distance``.
     """
-    px, py = point_xy
-    segs = C.materialize(_segment_table(lines, id_col, geom_col))
-    r = F.lit(float(radius))
-    stats = C.window_stats(segs, F.col("_maxx") - F.col("_minx") + F.lit(2.0 * radius),
-                           F.col("_maxy") - F.col("_miny") + F.lit(2.0 * radius))
-    # cells about the size of a segment (at least r): fewer candidates per
-    # point than cells as large as the r-expanded segment boxes
-    size = float(cell_size) if cell_size is not None else \
-        max(float(radius), C.auto_cell_size(stats, floor=2.0 * radius) - 2.0 * radius)
-    segs, levels = C.window_levels(segs, F.col("_minx") - r, F.col("_miny") - r,
-                                   F.col("_maxx") + r, F.col("_maxy") + r, size, stats)
-    segs = C.explode_bbox_cells(segs, F.col("_minx") - r, F.col("_miny") - r,
-                                F.col("_maxx") + r, F.col("_maxy") + r, F.col("_lsize"))
-    # one row per (segment, cell) with the segment's r-expanded box: the join
-    # residual is a box test and one small squared-distance expression, both in
-    # whole-stage codegen (lambdas over segment arrays would force the join out
-    # of codegen, and long inlined expressions out of the JIT).
-    seg_cells = C.materialize(segs.select(
-        id_col, "_lvl", "_cx", "_cy", "_seg",
-        (F.col("_minx") - r).alias("_bx0"), (F.col("_miny") - r).alias("_by0"),
-        (F.col("_maxx") + r).alias("_bx1"), (F.col("_maxy") + r).alias("_by1")))
-    n_rows = seg_cells.count()          # exact size (also fills the cache)
     if id_col in points.columns:
         raise ValueError(f"points already have a column named {id_col!r}")
-    keys = ["_lvl", "_cx", "_cy"]
-    # a row id assigned at the point scan (stable for a deterministic input),
-    # so genuinely duplicated point records stay separate pairs
-    pts = points.withColumn("_pid", F.monotonically_increasing_id())
-    left = C.point_levels(pts, px, py, size, levels)
+    px, py = point_xy
+    layer = layer if layer is not None else numbered(lines.select(id_col, geom_col), geom_col, "lines")
+    segs, r = _segment_rows(layer), F.lit(float(radius))
+    reach = (F.col("_minx") - r, F.col("_miny") - r, F.col("_maxx") + r, F.col("_maxy") + r)
+    # about the size of a segment, at least r: fewer candidates than cells as large as the expanded boxes
+    size = float(cell_size) if cell_size is not None else C.layer_cell_size(segs, "_minx", "_miny", "_maxx", "_maxy", floor=float(radius))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    l2 = dx * dx + dy * dy
+    one = F.struct(F.col("x1"), F.col("y1"), dx.alias("dx"), dy.alias("dy"), F.when(l2 == 0, F.lit(1.0)).otherwise(l2).alias("l2"))
+    cells = (C.explode_bbox_cells(segs.select("*", one.alias("_one")), *reach, size).groupBy("_wid", "_cx", "_cy")
+             .agg(F.collect_list("_one").alias("_list"), F.min(reach[0]).alias("_bx0"), F.min(reach[1]).alias("_by0"), F.max(reach[2]).alias("_bx1"), F.max(reach[3]).alias("_by1")))
+    cells = C.written(cells.join(layer.select("_wid", id_col), "_wid"), "line-cells")
+    bytes_ = C.measured_bytes(cells, "_list")
+    right, more, used = _flat(cells)
+    joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
     x, y = F.col(px), F.col(py)
     box = (x >= F.col("_bx0")) & (x <= F.col("_bx1")) & (y >= F.col("_by0")) & (y <= F.col("_by1"))
-    d2 = F.expr(G.seg_d2_sql(G.q(px), G.q(py), "_seg"))
+    parts = [G.vector_d2_sql(G.q(px), G.q(py), f"_e{i}") for i in range(used)]
+    if more:
+        parts.append(f"array_min(transform(_more, s -> {G.vector_d2_sql(G.q(px), G.q(py), 's')}))")
+    d2 = F.expr(f"least({', '.join(parts)})" if len(parts) > 1 else parts[0])  # least skips nulls
+    near = joined.filter(box).withColumn("_d2", d2)
     r2 = F.lit(float(radius) * float(radius))
-    joined = C.cell_join(left, seg_cells, keys, salt_cols=list(points.columns), right_bound=n_rows, **join_opts)
-    hits = joined.filter(box & ((d2 < r2) if strict else (d2 <= r2))).withColumn("_d2", d2)
-    # several segments of one line may hit the same point: collapse per
-    # (line, point row), partial aggregation trims duplicates map-side
-    out = hits.groupBy(id_col, "_pid").agg(F.min("_d2").alias("_d2"),
-                                           *[F.first(c).alias(c) for c in points.columns])
-    return out.select(*points.columns, id_col, F.sqrt("_d2").alias("distance"))
+    near = near.filter((F.col("_d2") < r2) if strict else (F.col("_d2") <= r2))
+    return near.select(*points.columns, id_col, "_wid", F.sqrt("_d2").alias("distance"))
+
+
+def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
+    """One row per polygon and cell that can hold inner points: _wid, _cx, _cy,
+    _par (the parity of edges that every point of the cell has to its right)
+    and _list (edges whose crossing depends on the point).
+
+    The even-odd test counts edges to the right of a point. For a cell only
+    edges can matter whose height range meets the cell's and that do not lie
+    wholly to its left; those wholly to its right that pass its whole height
+    are met by every point, and only their parity is kept.
+    """
+    s = F.lit(float(size))
+    edges = _segment_rows(layer)
+    first = edges.groupBy("_wid").agg(F.min(C.cell_index("_minx", size)).alias("_c0"))
+    rows = C.explode_range(edges.join(first, "_wid"), F.col("_c0"), C.cell_index("_maxx", size), "_cx")
+    rows = C.explode_range(rows, C.cell_index("_miny", size), C.cell_index("_maxy", size), "_cy")
+    always = ((F.col("_minx") >= (F.col("_cx") + 1) * s) & (F.col("_miny") <= F.col("_cy") * s) & (F.col("_maxy") >= (F.col("_cy") + 1) * s))
+    one = F.struct("x1", "y1", "x2", "y2")
+    cells = rows.groupBy("_wid", "_cx", "_cy").agg((F.sum(F.when(always, 1).otherwise(0)) % 2).cast("int").alias("_par"), F.collect_list(F.when(~always, one)).alias("_list"))
+    return cells.filter((F.col("_par") == 1) | (F.size("_list") > 0))
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
                  geom_col: str = "geom", boundary: bool = False,
-                 cell_size: float | None = None, right_prefix: str = "w_",
+                 cell_size: float | None = None, right_prefix: str = "w_", layer: DataFrame | None = None,
                  **join_opts) -> DataFrame:
     """Pairs (polygon, point) with the point inside the polygon.
 
-    ``boundary=False`` is ``ST_Within`` (interior only). Polygons are
-    replicated to the cells of their bounding box; the residual checks the
-    box, then runs the even-odd test. A point inside two polygons appears
-    twice (row semantics of the SQL join).
+    ``boundary=False`` is ``ST_Within`` (interior only). A point inside two
+    polygons appears twice (row semantics of the SQL join). Returns the point
+    columns, the polygons' columns but the geometry, and ``_wid``.
     """
     px, py = point_xy
-    polygons, mapping = _prefix_right(points, polygons, right_prefix)
-    gcol = mapping[geom_col]
-    g = G.q(gcol)
-    polys = C.materialize(polygons.withColumns({"_bb": F.expr(G.bbox_sql(g)), "_edges": F.expr(G.segments_sql(g)),
-                                                "_rect": F.expr(G.rect_sql(g))}))
-    stats = C.window_stats(polys, F.col("_bb.maxx") - F.col("_bb.minx"), F.col("_bb.maxy") - F.col("_bb.miny"),
-                           extra={"n_big": F.sum(F.when(F.size("_edges") > FLAT_EDGES, 1).otherwise(0))})
-    size = float(cell_size) if cell_size is not None else C.auto_cell_size(stats, floor=1e-9)
-    polys, levels = C.window_levels(polys, F.col("_bb.minx"), F.col("_bb.miny"),
-                                    F.col("_bb.maxx"), F.col("_bb.maxy"), size, stats)
-    polys = C.explode_bbox_cells(polys, F.col("_bb.minx"), F.col("_bb.miny"),
-                                 F.col("_bb.maxx"), F.col("_bb.maxy"), F.col("_lsize"), open_box=not boundary)
-    # a cell no edge touches lies wholly inside or outside; if its centre is
-    # inside, every point in it is inside (and none on the boundary)
-    rx0, ry0 = "(_cx * _lsize)", "(_cy * _lsize)"
-    rx1, ry1 = "((_cx + 1) * _lsize)", "((_cy + 1) * _lsize)"
-    inner = (f"_rect OR (NOT {G.hit_rect_sql('_edges', rx0, ry0, rx1, ry1)} AND "
-             f"{G.pip_sql('((_cx + 0.5) * _lsize)', '((_cy + 0.5) * _lsize)', '_edges')})")
-    polys = polys.withColumn("_inner", F.expr(inner))
-    left = C.point_levels(points, px, py, size, levels)
-    x, y = F.col(px), F.col(py)
-    if boundary:
-        box = (x >= F.col("_bb.minx")) & (x <= F.col("_bb.maxx")) & (y >= F.col("_bb.miny")) & (y <= F.col("_bb.maxy"))
-    else:
-        box = (x > F.col("_bb.minx")) & (x < F.col("_bb.maxx")) & (y > F.col("_bb.miny")) & (y < F.col("_bb.maxy"))
-    bound = (stats["n"] or 0) * C.DEFAULT_MAX_CELLS_PER_WINDOW
-    drop = ["_lvl", "_lsize", "_cx", "_cy", "_bb", "_edges", "_rect", "_inner", "_ne"]
-    # Polygons with at most FLAT_EDGES edges carry them as plain columns, so
-    # the even-odd test is codegen arithmetic inside the join; larger ones go
-    # through the array path (a lambda), joined separately and unioned.
-    k = FLAT_EDGES
-    flat_cols = [f"_e{i}" for i in range(k)]
-    polys = polys.withColumn("_ne", F.size("_edges"))
-    n_big = stats.get("n_big", None)
-    flat = polys.filter(F.col("_ne") <= k).withColumns(
-        {c: F.get(F.col("_edges"), i) for i, c in enumerate(flat_cols)})
-    j1 = C.cell_join(left, flat, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
-                     right_bound=bound, **join_opts)
-    # rectangles and interior cells need no even-odd test (short-circuit OR)
-    out = j1.filter(box & (F.col("_inner") | F.expr(G.flat_pip_sql(G.q(px), G.q(py), flat_cols, boundary)))) \
-        .drop(*drop, *flat_cols)
-    if n_big is None or n_big > 0:
-        big = polys.filter(F.col("_ne") > k)
-        j2 = C.cell_join(left, big, ["_lvl", "_cx", "_cy"], salt_cols=list(points.columns),
-                         right_bound=bound, **join_opts)
-        j2 = j2.filter(box & (F.col("_inner") | F.expr(G.pip_sql(G.q(px), G.q(py), "_edges", boundary)))).drop(*drop)
-        out = out.unionByName(j2)
-    return out
+    if layer is None:
+        renamed, mapping = _renamed(points, polygons, right_prefix)
+        layer = numbered(renamed, mapping[geom_col], "polygons")
+    rest = [c for c in layer.columns if c != "_segs"]
+    if cell_size is None:
+        v = F.col("_segs")
+        boxes = layer.select(F.array_min(F.transform(v, lambda s: F.least(s["x1"], s["x2"]))).alias("x0"), F.array_min(F.transform(v, lambda s: F.least(s["y1"], s["y2"]))).alias("y0"),
+                             F.array_max(F.transform(v, lambda s: F.greatest(s["x1"], s["x2"]))).alias("x1"), F.array_max(F.transform(v, lambda s: F.greatest(s["y1"], s["y2"]))).alias("y1"))
+        cell_size = C.layer_cell_size(boxes, "x0", "y0", "x1", "y1", floor=1e-9)
+    size = float(cell_size)
+    cells = C.written(polygon_cells(layer, size).join(layer.select(*rest), "_wid"), "polygon-cells")
+    bytes_ = C.measured_bytes(cells, "_list")
+    right, more, used = _flat(cells)
+    joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
+    x, y = G.q(px), G.q(py)
+    cross = " + ".join(G.crosses_sql(x, y, f"_e{i}") for i in range(used))
+    on = " OR ".join(G.on_edge_sql(x, y, f"_e{i}") for i in range(used))
+    if more:
+        cross += f" + aggregate(coalesce(_more, array()), 0, (a, s) -> a + {G.crosses_sql(x, y, 's')})"
+        on += f" OR exists(coalesce(_more, array()), s -> {G.on_edge_sql(x, y, 's')})"
+    odd = f"(_par + {cross}) % 2 = 1"
+    inside = f"({odd}) OR ({on})" if boundary else f"({odd}) AND NOT ({on})"
+    return joined.filter(F.expr(inside)).select(*points.columns, *rest)
 
 
 def regular_grid_join(points: DataFrame, *, point_xy=("x", "y"), x0: float, y0: float,
@@ -216,3 +217,45 @@ def regular_grid_join(points: DataFrame, *, point_xy=("x", "y"), x0: float, y0:
     if strict_edges:
         ok = ok & (fx != col.cast("double")) & (fy != row.cast("double"))
     return points.withColumn("oid", row * F.lit(nx) + col).filter(ok)
+
+
+def line_buffer_areas(layer: DataFrame, radius: float, steps: int = 32) -> DataFrame:
+    """Area of each line's dissolved r-buffer: _wid, area.
+
+    Horizontal scan lines ``radius / steps`` apart cut each segment's capsule
+    in one interval; the union of a line's intervals, times the distance of
+    scan lines, is the area (midpoint rule). With 32 steps the relative error
+    is below 0.2 %, the largest being that of a point's disc.
+    """
+    r, h = float(radius), float(radius) / steps
+    segs = _segment_rows(layer).select("_wid", "x1", "y1", "x2", "y2", "_miny", "_maxy")
+    segs = segs.withColumn("_len", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2))
+    # the normal of length r
+    segs = segs.withColumn("_nx", F.when(F.col("_len") > 0, -(F.col("y2") - F.col("y1")) / F.col("_len") * r).otherwise(0.0)) \
+               .withColumn("_ny", F.when(F.col("_len") > 0, (F.col("x2") - F.col("x1")) / F.col("_len") * r).otherwise(0.0))
+    block = 4096  # scan lines of a long segment are dealt in blocks, no array is longer
+    lo, hi = F.floor((F.col("_miny") - r) / h), F.floor((F.col("_maxy") + r) / h)
+    rows = C.explode_range(segs.withColumns({"_lo": lo, "_hi": hi}), F.floor(F.col("_lo") / block), F.floor(F.col("_hi") / block), "_b")
+    rows = C.explode_range(rows, F.greatest("_lo", F.col("_b") * block), F.least("_hi", F.col("_b") * block + (block - 1)), "_k")
+    y = (F.col("_k") + 0.5) * h
+    ends, sides = [], []
+    for ex, ey in (("x1", "y1"), ("x2", "y2")):
+        d = y - F.col(ey)
+        w = F.when(F.abs(d) <= r, F.sqrt(F.lit(r * r) - d * d))
+        ends.append((F.col(ex) - w, F.col(ex) + w))
+    for sign in (1.0, -1.0):
+        ax, ay = F.col("x1") + F.col("_nx") * sign, F.col("y1") + F.col("_ny") * sign
+        bx, by = F.col("x2") + F.col("_nx") * sign, F.col("y2") + F.col("_ny") * sign
+        sides.append(F.when((ay > y) != (by > y), ax + (y - ay) / (by - ay) * (bx - ax)))
+    left = F.least(*[a for a, _ in ends], *sides)
+    right = F.greatest(*[b for _, b in ends], *sides)
+    cut = rows.select("_wid", "_k", left.alias("_l"), right.alias("_r")).filter("_l IS NOT NULL")
+    return _covered(cut, h)
+
+
+def _covered(cut: DataFrame, h: float) -> DataFrame:
+    from pyspark.sql import Window
+    before = Window.partitionBy("_wid", "_k").orderBy("_l", "_r").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumn("_to", F.max("_r").over(before))
+    new = F.greatest(F.lit(0.0), F.col("_r") - F.greatest(F.col("_l"), F.coalesce(F.col("_to"), F.col("_l"))))
+    return own.groupBy("_wid").agg((F.sum(new) * F.lit(h)).alias("area"))

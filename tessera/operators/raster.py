@@ -20,6 +20,9 @@ MAX_PIXEL_COUNT = 2.0   # counts are capped at this value before normalising
 # ----------------------------------------------------------------------------------
 
 
+BLOCK = 4096             # steps of a segment in one generated array
+
+
 def _scale(z: Column) -> Column:
     return F.pow(F.lit(2.0), z) * F.lit(float(TILE_SIZE))
 
@@ -65,29 +68,34 @@ def heat_pixels(points: DataFrame, min_zoom: int, max_zoom: int, x: str = "x", y
                 cap: float = MAX_PIXEL_COUNT, region=None) -> DataFrame:
     """Point count per pixel for every zoom in [min_zoom, max_zoom];
     ``value = least(n, cap) / cap``. ``region`` (minx, miny, maxx, maxy in
-    3857) clips the points first."""
+    3857) clips the points first. Points are counted once, at the finest zoom;
+    a coarser pixel is the sum of the finer ones under it."""
     p = points.select(x, y)
     if region is not None:
         minx, miny, maxx, maxy = region
         p = p.filter((F.col(x) >= minx) & (F.col(x) <= maxx) & (F.col(y) >= miny) & (F.col(y) <= maxy))
-    p = _zooms(p, min_zoom, max_zoom)
-    g = p.select("z", F.floor(global_pixel_x(x, F.col("z"))).alias("gx"),
-                 F.floor(global_pixel_y(y, F.col("z"))).alias("gy"))
-    counts = g.groupBy("z", "gx", "gy").agg(F.count(F.lit(1)).alias("n"))
+    z = F.lit(max_zoom)
+    fine = p.select(F.floor(global_pixel_x(x, z)).alias("gx"), F.floor(global_pixel_y(y, z)).alias("gy")) \
+        .groupBy("gx", "gy").agg(F.count(F.lit(1)).alias("n"))
+    steps = _zooms(fine, min_zoom, max_zoom)
+    down = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(max_zoom) - F.col("z"))
+    counts = steps.select("z", F.floor(F.col("gx") / down).alias("gx"), F.floor(F.col("gy") / down).alias("gy"), "n") \
+        .groupBy("z", "gx", "gy").agg(F.sum("n").alias("n"))
     out = _split(counts, ["n"])
     return out.withColumn("value", F.least(F.col("n").cast("double"), F.lit(cap)) / F.lit(cap))
 
 
 def blur_pixels(pixels: DataFrame, radius: int = 1, cap: float = MAX_PIXEL_COUNT) -> DataFrame:
     """Box blur of the heat map: each pixel spreads n / (2r+1)^2 to its
-    neighbourhood (own rule), then the value is capped and normalised."""
+    neighbourhood within the world (own rule), then the value is capped and
+    normalised."""
     t = F.lit(TILE_SIZE)
     g = pixels.select("z", (F.col("tx") * t + F.col("px")).alias("gx"), (F.col("ty") * t + F.col("py")).alias("gy"), "n")
     offs = F.sequence(F.lit(-radius), F.lit(radius))
     g = g.withColumn("dx", F.explode(offs)).withColumn("dy", F.explode(offs))
     k = float((2 * radius + 1) ** 2)
     b = (g.select("z", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), "n")
-         .filter((F.col("gx") >= 0) & (F.col("gy") >= 0))
+         .filter((F.col("gx") >= 0) & (F.col("gy") >= 0) & (F.col("gx") < _scale(F.col("z"))) & (F.col("gy") < _scale(F.col("z"))))
          .groupBy("z", "gx", "gy").agg((F.sum("n") / F.lit(k)).alias("v")))
     out = _split(b, ["v"])
     return out.select("z", "tx", "ty", "px", "py", (F.least("v", F.lit(cap)) / F.lit(cap)).alias("value"))
@@ -102,11 +110,11 @@ def line_pixels(lines: DataFrame, min_zoom: int, max_zoom: int, geom_col: str =
     s = s.select("z", global_pixel_x(F.col("s.x1"), z).alias("gx1"), global_pixel_y(F.col("s.y1"), z).alias("gy1"),
                  global_pixel_x(F.col("s.x2"), z).alias("gx2"), global_pixel_y(F.col("s.y2"), z).alias("gy2"))
     s = s.withColumn("n", F.ceil(F.greatest(F.abs(F.col("gx2") - F.col("gx1")), F.abs(F.col("gy2") - F.col("gy1")))).cast("long"))
-    s = s.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
-    frac = F.when(F.col("n") == 0, F.lit(0.0))
+    # a long segment is dealt in pieces of BLOCK steps: no array is longer
+    s = s.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.lit(BLOCK)))))
+    s = s.withColumn("k", F.explode(F.sequence(F.col("b") * F.lit(BLOCK), F.least("n", F.col("b") * F.lit(BLOCK) + F.lit(BLOCK - 1)))))
     gx = F.when(F.col("n") == 0, F.col("gx1")).otherwise(F.col("gx1") + (F.col("gx2") - F.col("gx1")) * F.col("k") / F.col("n"))
     gy = F.when(F.col("n") == 0, F.col("gy1")).otherwise(F.col("gy1") + (F.col("gy2") - F.col("gy1")) * F.col("k") / F.col("n"))
-    del frac
     px = s.select("z", F.floor(gx).alias("gx"), F.floor(gy).alias("gy")).distinct()
     return _split(px, [])
 

@@ -25,9 +25,24 @@ from ..operators import raster as R
 from ..sources import fixtures as FX
 from . import jobs
 
+# ---- fixed values ----------------------------------------------------------------
+# Workload values of the queries: season month sets, area-code sets, the bounding
+# box (lng/lat, strict), station categories, the envelope of the equal grid.
+SPRING = (3, 4, 5)
+SUMMER = (6, 7, 8)
+AUTUMN = (9, 10, 11)
+WINTER = (12, 1, 2)
+WINTER_ALT = (11, 1, 2)
+AREA_CODES_11 = ("110101", "110102", "110105", "110106", "110107", "110108", "110111",
+                 "110112", "110114", "110115", "110120")
+AREA_CODES_10 = ("110101", "110102", "110105", "110106", "110107", "110108", "110111",
+                 "110112", "110114", "110115")
+REFERENCE_BBOX = (116.230633649, 39.863608449, 116.44120325, 39.979627788)
+STATION_CATEGORIES = ("公交车站相关", "地铁站")
+GRID_ENVELOPE = (115.8528796421, 39.59634, 116.94819, 40.3898263)
+
 # ---- query parameters (chosen once; see FIXTURES.md) -------------------------------
 START, END = "2024-01-01", "2024-02-01"           # events span January 2024
-WEEK_END = "2024-01-08"
 YEAR_LO, YEAR_HI = "1996-01-01", "1997-01-01"     # on points_by_month (midnight rows)
 R_POI = 1500.0
 R_EXPO, R2_EXPO = 400.0, 4500.0
@@ -38,6 +53,8 @@ ZOOM = 14                # the reference's configured plot zoom (min = max = 14)
 ZMIN, ZMAX = 14, 16      # heat maps: several zooms in one pass
 SECOND_BOUND = "2024-01-16"
 CATEGORIES = ("click", "view")
+UTM_X0, UTM_Y0, UTM_CELL, UTM_NX, UTM_NY = 431000.0, 4409000.0, 1000.0, 26, 22
+HEAT_REGION = (12936000.0, 4842000.0, 12958000.0, 4862000.0)
 CONTAIN_ENV = (12935000.0, 4841000.0, 12950000.0, 4860000.0)
 # -------------------------------------------------------------------------------------
 
@@ -65,7 +82,7 @@ def q_points(spark, sf):
 
 
 def q_time_range(spark, sf):
-    return P.time_range(_pbm(spark, sf), YEAR_LO, YEAR_HI).select("event_id", "sys_ms")
+    return P.time_range(_pbm(spark, sf), YEAR_LO, YEAR_HI, ts_col="ts").select("event_id", "sys_ms")
 
 
 def q_hour_is(spark, sf):
@@ -73,17 +90,17 @@ def q_hour_is(spark, sf):
 
 
 def q_season_filter(spark, sf):
-    p = P.season_filter(_pbm(spark, sf), P.WINTER, P.AREA_CODES_11)
+    p = P.season_filter(_pbm(spark, sf), WINTER, AREA_CODES_11)
     return p.select("event_id", "area_code", TF.ms_month("sys_ms").alias("month"))
 
 
 def q_season_filter_alt(spark, sf):
-    p = P.season_filter(_pbm(spark, sf), P.WINTER_ALT, P.AREA_CODES_10)
+    p = P.season_filter(_pbm(spark, sf), WINTER_ALT, AREA_CODES_10)
     return p.select("event_id", "area_code", TF.ms_month("sys_ms").alias("month"))
 
 
 def q_within_bbox(spark, sf):
-    return P.within_bbox(_pts(spark, sf)).select("event_id", "lng", "lat")
+    return P.within_bbox(_pts(spark, sf), REFERENCE_BBOX).select("event_id", "lng", "lat")
 
 
 def q_category_filter(spark, sf):
@@ -122,7 +139,7 @@ def q_monthly_sum_orders(spark, sf):
 
 
 def q_geohash_hourly_counts(spark, sf):
-    p = P.time_range(_pts(spark, sf), START, END, whole_days=True)
+    p = P.time_range(_pts(spark, sf), START, END, whole_days=True, ts_col="ts")
     return A.geohash_hourly_counts(p, 8)
 
 
@@ -132,11 +149,11 @@ def q_geohash_hourly_counts_stream(spark, sf):
 
 
 def q_equal_grid_counts(spark, sf):
-    return A.equal_grid_counts(_pts(spark, sf), nx=GRID_NX, ny=GRID_NY)
+    return A.equal_grid_counts(_pts(spark, sf), GRID_ENVELOPE, nx=GRID_NX, ny=GRID_NY)
 
 
 def q_equal_grid_hourly_counts(spark, sf):
-    return A.equal_grid_hourly_counts(_pts(spark, sf), START, WEEK_END, nx=GRID_NX, ny=GRID_NY)
+    return A.equal_grid_hourly_counts(_pts(spark, sf), START, END, GRID_ENVELOPE, nx=GRID_NX, ny=GRID_NY)
 
 
 def q_extent(spark, sf):
@@ -186,24 +203,24 @@ def q_road_pairs(spark, sf):
 
 
 def q_road_daily_counts(spark, sf):
-    return jobs.road_daily_counts(_pts(spark, sf), FX.roads(spark, sf), R_ROAD, START, END)
+    return jobs.road_daily_counts(_pts(spark, sf), FX.roads(spark, sf), R_ROAD, START, END, ts_col="ts")
 
 
 def q_road_daily_counts_unsorted(spark, sf):
-    return jobs.road_daily_counts(_pts(spark, sf), FX.roads(spark, sf), R_ROAD, START, END, sort=False)
+    return jobs.road_daily_counts(_pts(spark, sf), FX.roads(spark, sf), R_ROAD, START, END, sort=False, ts_col="ts")
 
 
 def q_poi_daily_counts(spark, sf):
-    return jobs.poi_daily_counts(_pts(spark, sf), FX.pois(spark, sf), R_POI, START, END, by_poi=True)
+    return jobs.poi_daily_counts(_pts(spark, sf), FX.pois(spark, sf), R_POI, START, END, by_poi=True, bbox=REFERENCE_BBOX, ts_col="ts")
 
 
 def q_poi_daily_counts_by_date(spark, sf):
-    return jobs.poi_daily_counts(_pts(spark, sf), FX.pois(spark, sf), R_POI, START, END, by_poi=False)
+    return jobs.poi_daily_counts(_pts(spark, sf), FX.pois(spark, sf), R_POI, START, END, by_poi=False, bbox=REFERENCE_BBOX, ts_col="ts")
 
 
 def q_exposure_counts(spark, sf):
     return jobs.exposure_counts(_pts(spark, sf), FX.pois(spark, sf), FX.cases(spark, sf),
-                                R_EXPO, R2_EXPO, START, END)
+                                R_EXPO, R2_EXPO, START, END, bbox=REFERENCE_BBOX, ts_col="ts")
 
 
 def q_pois_near_cases(spark, sf):
@@ -219,20 +236,20 @@ def q_poi_case_distances(spark, sf):
 
 
 def q_labeled_area_counts(spark, sf):
-    return jobs.labeled_area_counts(_pts(spark, sf), FX.areas(spark, sf), START, END)
+    return jobs.labeled_area_counts(_pts(spark, sf), FX.areas(spark, sf), START, END, ts_col="ts")
 
 
 def q_fishnet_daily_counts(spark, sf):
-    return jobs.fishnet_daily_counts(_pts(spark, sf), FX.fishnet(spark), START, END)
+    return jobs.fishnet_daily_counts(_pts(spark, sf), FX.fishnet(spark), START, END, ts_col="ts")
 
 
 def q_fishnet_counts(spark, sf):
-    return jobs.fishnet_counts(_pts(spark, sf), FX.fishnet(spark), START, END)
+    return jobs.fishnet_counts(_pts(spark, sf), FX.fishnet(spark), START, END, ts_col="ts")
 
 
 def q_regular_fishnet_counts(spark, sf):
     return jobs.regular_fishnet_counts(_pts(spark, sf), FX.FISHNET_X0, FX.FISHNET_Y0, FX.FISHNET_CELL,
-                                       FX.FISHNET_NX, FX.FISHNET_NY, START, END)
+                                       FX.FISHNET_NX, FX.FISHNET_NY, START, END, ts_col="ts")
 
 
 def q_to_utm(spark, sf):
@@ -354,13 +371,125 @@ def q_blur_pixels(spark, sf):
 
 def q_line_pixels(spark, sf):
     g = jobs.with_geom(FX.roads(spark, sf))
-    return R.line_pixels(g, ZOOM, ZOOM, geom_col="geom")
+    return R.line_pixels(g, ZMIN, ZMAX, geom_col="geom")
 
 
 def q_tile_summary(spark, sf):
     return R.tile_summary(R.heat_pixels(_pts(spark, sf), ZMIN, ZMAX))
 
 
+# ---- windows that share places and ids, and reports on line and polygon windows ------
+
+def _shared_roads(spark, sf):
+    """Every road with its ID and place taken modulo 100 and 150: IDs and geometries repeat."""
+    return FX.roads(spark, sf, ident=F.col("p_partkey") % F.lit(150)).withColumn("id", F.col("id") % F.lit(100))
+
+
+def q_poi_circle_counts_shared(spark, sf):
+    """J1 on POIs of which many stand at one place."""
+    return jobs.poi_circle_counts(_pts(spark, sf), FX.pois(spark, sf, ident=F.col("s_suppkey") % F.lit(7)), R_POI)
+
+
+def q_road_pairs_shared(spark, sf):
+    return jobs.road_pairs(_pts(spark, sf), _shared_roads(spark, sf), R_ROAD_SMALL, dedupe=False)
+
+
+def q_road_pairs_dedupe_shared(spark, sf):
+    return jobs.road_pairs(_pts(spark, sf), _shared_roads(spark, sf), R_ROAD_SMALL, dedupe=True)
+
+
+def q_road_daily_counts_shared(spark, sf):
+    return jobs.road_daily_counts(_pts(spark, sf), _shared_roads(spark, sf), R_ROAD_SMALL, START, END, ts_col="ts")
+
+
+def _ranked(df, n=None):
+    """Row number of an ordered report, so that its order is compared too."""
+    from pyspark.sql import Window
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("density").desc(), "id", "wkt")).cast("long"))
+
+
+def _road_windows(spark, sf):
+    c = jobs.road_window_counts(_pts(spark, sf), _shared_roads(spark, sf), R_ROAD)
+    return c.withColumn("area", F.round("area", 3))
+
+
+def q_line_density_rank(spark, sf):
+    d = A.density_rank(_road_windows(spark, sf), ["id", "wkt"], F.col("area"))
+    return d.withColumn("density", F.round(F.col("density") * F.lit(1e6), 6))
+
+
+def q_line_top_density(spark, sf):
+    d = A.top_density(_road_windows(spark, sf), ["id", "wkt"], F.col("area"), TOP)
+    return _ranked(d).withColumn("density", F.round(F.col("density") * F.lit(1e6), 6))
+
+
+def q_line_top_count(spark, sf):
+    return A.top_count(_road_windows(spark, sf).select("id", "wkt", "n"), ["id", "wkt"], TOP)
+
+
+def q_line_cardinality(spark, sf):
+    return A.join_cardinality(_road_windows(spark, sf), ["id", "wkt"])
+
+
+def q_line_members(spark, sf):
+    return jobs.road_members(_pts(spark, sf), _shared_roads(spark, sf), R_ROAD_SMALL)
+
+
+def _area_windows(spark, sf):
+    return jobs.area_window_counts(_pts(spark, sf), FX.holed_areas(spark, sf))
+
+
+def q_polygon_density_rank(spark, sf):
+    d = A.density_rank(_area_windows(spark, sf), ["id", "wkt"], F.col("area"))
+    return d.withColumn("density", F.round(F.col("density") * F.lit(1e6), 6))
+
+
+def q_polygon_top_density(spark, sf):
+    d = A.top_density(_area_windows(spark, sf), ["id", "wkt"], F.col("area"), TOP)
+    return _ranked(d).withColumn("density", F.round(F.col("density") * F.lit(1e6), 6))
+
+
+def q_polygon_top_count(spark, sf):
+    return A.top_count(_area_windows(spark, sf).select("id", "wkt", "n"), ["id", "wkt"], TOP)
+
+
+def q_polygon_cardinality(spark, sf):
+    return A.join_cardinality(_area_windows(spark, sf), ["id", "wkt"])
+
+
+def q_polygon_members(spark, sf):
+    from ..operators import joins as J
+    layer = jobs.with_geom(FX.holed_areas(spark, sf))
+    pairs = J.polygon_join(_pts(spark, sf).select("lng", "lat", "x", "y"), layer)
+    return A.join_members(pairs, ["id"], ["lng", "lat"])
+
+
+def q_area_holed(spark, sf):
+    g = jobs.with_geom(FX.holed_areas(spark, sf))
+    return g.select("id", F.round(G.area(F.col("geom")), 3).alias("area"))
+
+
+# ---- UTM fishnets and the datum-shifted, clipped heat map --------------------------------
+
+def _utm_net(spark):
+    return FX.fishnet(spark, UTM_X0, UTM_Y0, UTM_CELL, UTM_NX, UTM_NY)
+
+
+def q_utm_fishnet_daily_counts(spark, sf):
+    return jobs.fishnet_daily_counts(jobs.to_utm_points(_pts(spark, sf), 50), _utm_net(spark), START, END, ts_col="ts")
+
+
+def q_utm_fishnet_counts(spark, sf):
+    return jobs.fishnet_counts(jobs.to_utm_points(_pts(spark, sf), 50), _utm_net(spark), START, END, ts_col="ts")
+
+
+def q_shifted_heat_pixels(spark, sf):
+    raw = FX.points(spark, sf, mercator=False).select("lng", "lat")
+    w = crs.gcj_to_wgs_arrow("lng", "lat")
+    shifted = raw.select(w.alias("w")).select(F.col("w.lng").alias("lng"), F.col("w.lat").alias("lat"))
+    return R.heat_pixels(FX.with_mercator(shifted), ZMIN, ZMAX, region=HEAT_REGION)
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 
 
@@ -446,7 +575,7 @@ def _range(lo, hi, col="sys_ms"):
 
 
 def _bbox(col_x="lng", col_y="lat"):
-    minx, miny, maxx, maxy = P.REFERENCE_BBOX
+    minx, miny, maxx, maxy = REFERENCE_BBOX
     return f"{col_x} > {minx} AND {col_x} < {maxx} AND {col_y} > {miny} AND {col_y} < {maxy}"
 
 
@@ -473,11 +602,12 @@ _UTM_E2 = crs.WGS84_F * (2 - crs.WGS84_F)
 _UTM_EP2 = _UTM_E2 / (1 - _UTM_E2)
 
 
-def _utm_sql() -> str:
+def _utm_sql(rounded: bool = True) -> str:
+    """Easting and northing per event: a final SELECT, or unrounded as the table ``utm``."""
     e2, ep2 = _UTM_E2, _UTM_EP2
     e4, e6 = e2 * e2, e2 ** 3
     lon0 = math.radians(50 * 6 - 183)
-    return f"""utm0 AS (
+    text = f"""utm0 AS (
   SELECT event_id, radians(lat) AS phi, radians(lng) AS lam FROM pts),
 utm1 AS (
   SELECT event_id, phi, lam,
@@ -493,6 +623,11 @@ SELECT event_id,
   round(0.9996 * (m + n * tan(phi) * (aa*aa / 2.0 + (5.0 - t + 9.0 * c + 4.0 * c * c) * aa*aa*aa*aa / 24.0
      + (61.0 - 58.0 * t + t * t + 600.0 * c - {330.0 * ep2}) * aa*aa*aa*aa*aa*aa / 720.0)), 3) AS northing
 FROM utm1"""
+    if rounded:
+        return text
+    head, _, tail = text.partition("SELECT event_id,\n  round(")
+    return (head.rstrip() + ", utm AS (SELECT event_id, (" + tail.replace(", 3) AS easting,\n  round(", ") AS easting, (")
+            .replace(", 3) AS northing", ") AS northing") + ")")
 
 
 def _gcj_delta_sql(lng: str, lat: str) -> tuple[str, str]:
@@ -558,9 +693,9 @@ def _oracle() -> dict[str, str]:
     o["time_range"] = f"WITH {PBM} SELECT event_id, sys_ms FROM pts WHERE {_range(YEAR_LO, YEAR_HI)}"
     o["hour_is"] = f"WITH {PTS} SELECT event_id, sys_ms FROM pts WHERE hr = 8"
     o["season_filter"] = f"""WITH {PBM} SELECT event_id, area_code, mon AS month FROM pts
-      WHERE mon IN {P.WINTER} AND sys_ms <> 0 AND area_code IN {P.AREA_CODES_11}"""
+      WHERE mon IN {WINTER} AND sys_ms <> 0 AND area_code IN {AREA_CODES_11}"""
     o["season_filter_alt"] = f"""WITH {PBM} SELECT event_id, area_code, mon AS month FROM pts
-      WHERE mon IN {P.WINTER_ALT} AND sys_ms <> 0 AND area_code IN {P.AREA_CODES_10}"""
+      WHERE mon IN {WINTER_ALT} AND sys_ms <> 0 AND area_code IN {AREA_CODES_10}"""
     o["within_bbox"] = f"WITH {PTS} SELECT event_id, lng, lat FROM pts WHERE {_bbox()}"
     o["category_filter"] = f"WITH {PTS} SELECT event_id, company_code FROM pts WHERE company_code IN {CATEGORIES}"
     o["swap_columns"] = f"WITH {POIS} SELECT lat, lng FROM pois"
@@ -577,7 +712,7 @@ def _oracle() -> dict[str, str]:
     o["geohash_hourly_counts"] = f"""WITH {PTS} SELECT {_geohash_sql('lng', 'lat', 8)} AS envelope,
       strftime(ts, '%Y-%m-%d-%H') AS date, count(*) AS count FROM pts WHERE {_range(START, END)} GROUP BY 1, 2"""
     o["geohash_hourly_counts_stream"] = o["geohash_hourly_counts"]
-    minx, miny, maxx, maxy = A.REFERENCE_GRID_ENVELOPE
+    minx, miny, maxx, maxy = GRID_ENVELOPE
     dx, dy = (maxx - minx) / GRID_NX, (maxy - miny) / GRID_NY
     cell = (f"CAST(least(floor((lng - {minx}) / {dx}), {GRID_NX - 1}) AS BIGINT) * {GRID_NY}"
             f" + CAST(least(floor((lat - {miny}) / {dy}), {GRID_NY - 1}) AS BIGINT)")
@@ -585,7 +720,7 @@ def _oracle() -> dict[str, str]:
     o["equal_grid_counts"] = f"WITH {PTS} SELECT {cell} AS cell, count(*) AS count FROM pts WHERE {inside} GROUP BY 1"
     o["equal_grid_hourly_counts"] = f"""WITH {PTS},
       c AS (SELECT sys_ms // 3600000 AS h, {cell} AS cell, count(*) AS n FROM pts
-            WHERE {inside} AND {_range(START, WEEK_END)} AND sys_ms % 3600000 <> 0 GROUP BY 1, 2),
+            WHERE {inside} AND {_range(START, END)} AND sys_ms % 3600000 <> 0 GROUP BY 1, 2),
       hours AS (SELECT DISTINCT h FROM c),
       cells AS (SELECT range AS cell FROM range({GRID_NX * GRID_NY}))
       SELECT strftime(make_timestamp(hours.h * 3600000000), '%Y-%m-%d-%H') AS hour, cells.cell,
@@ -679,6 +814,70 @@ def _oracle() -> dict[str, str]:
          AND bool_or((x1 > {cminx} AND x1 < {cmaxx} AND y1 > {cminy} AND y1 < {cmaxy})
                   OR (x2 > {cminx} AND x2 < {cmaxx} AND y2 > {cminy} AND y2 < {cmaxy})
                   OR ((x1 + x2) / 2 > {cminx} AND (x1 + x2) / 2 < {cmaxx} AND (y1 + y2) / 2 > {cminy} AND (y1 + y2) / 2 < {cmaxy}))"""
+    # windows that share places and ids
+    shared_pois = POIS.replace("s_suppkey", "s_suppkey % 7").replace("s_suppkey % 7 AS objectid", "s_suppkey AS objectid")
+    o["poi_circle_counts_shared"] = f"""WITH {PTS}, {shared_pois} SELECT w.lng AS poi_lng, w.lat AS poi_lat, count(DISTINCT (p.lng, p.lat)) AS n
+      FROM pts p, poism w WHERE {DIST} <= {R_POI} GROUP BY 1, 2"""
+    shared_segs = f"""road_segs AS (SELECT fid, id % 100 AS id, k, x1, y1, x2, y2 FROM (
+      {ROAD_SEGS[ROAD_SEGS.index('SELECT'):ROAD_SEGS.rindex(')')].replace('p_partkey AS id', 'p_partkey AS fid, p_partkey % 150 AS id').replace('p_partkey*', '(p_partkey % 150)*')}))"""
+    shared = f"""WITH {PTS}, {shared_segs},
+      d AS (SELECT s.fid, s.id, p.event_id, p.lng, p.lat, p.date, p.sys_ms, min({SEG_DIST}) AS dist FROM pts p, road_segs s GROUP BY ALL)"""
+    o["road_pairs_shared"] = shared + f" SELECT id, event_id FROM d WHERE dist < {R_ROAD_SMALL}"
+    o["road_pairs_dedupe_shared"] = shared + f" SELECT DISTINCT id, lng, lat FROM d WHERE dist < {R_ROAD_SMALL}"
+    o["road_daily_counts_shared"] = shared + f" SELECT id, date, count(*) AS count FROM d WHERE dist < {R_ROAD_SMALL} AND {_range(START, END)} GROUP BY 1, 2"
+    # the area of a road's buffer by the rule of the operator: scan lines radius / 32 apart, covered length of each
+    h, r = R_ROAD / 32, R_ROAD
+    vert = "CAST(CAST({0} AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST({1} AS BIGINT) AS VARCHAR)"
+    windows = f"""wsegs AS (SELECT fid, any_value(id) AS id, k, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2 FROM road_segs GROUP BY fid, k),
+      lines AS (SELECT fid, any_value(id) AS id, 'LINESTRING (' || string_agg({vert.format('x1', 'y1')}, ', ' ORDER BY k) || ', ' || max(CASE WHEN k = 3 THEN {vert.format('x2', 'y2')} END) || ')' AS wkt FROM wsegs GROUP BY fid),
+      uniq AS (SELECT id, wkt, min(fid) AS fid FROM lines GROUP BY id, wkt),
+      sl AS (SELECT s.fid, s.*, CAST(kk AS BIGINT) AS line, (kk + 0.5) * {h} AS y, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS len
+             FROM wsegs s, LATERAL (SELECT unnest(generate_series(CAST(floor((least(y1, y2) - {r}) / {h}) AS BIGINT), CAST(floor((greatest(y1, y2) + {r}) / {h}) AS BIGINT))) AS kk)),
+      nrm AS (SELECT *, -(y2 - y1) / len * {r} AS nx, (x2 - x1) / len * {r} AS ny FROM sl),
+      ext AS (SELECT fid, line, unnest([
+          CASE WHEN abs(y - y1) <= {r} THEN x1 - sqrt({r * r} - (y - y1) * (y - y1)) END, CASE WHEN abs(y - y1) <= {r} THEN x1 + sqrt({r * r} - (y - y1) * (y - y1)) END,
+          CASE WHEN abs(y - y2) <= {r} THEN x2 - sqrt({r * r} - (y - y2) * (y - y2)) END, CASE WHEN abs(y - y2) <= {r} THEN x2 + sqrt({r * r} - (y - y2) * (y - y2)) END,
+          CASE WHEN (y1 + ny > y) <> (y2 + ny > y) THEN x1 + nx + (y - y1 - ny) / (y2 - y1) * (x2 - x1) END,
+          CASE WHEN (y1 - ny > y) <> (y2 - ny > y) THEN x1 - nx + (y - y1 + ny) / (y2 - y1) * (x2 - x1) END]) AS x, k FROM nrm),
+      iv AS (SELECT fid, line, k, min(x) AS l, max(x) AS rr FROM ext WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+      run AS (SELECT *, max(rr) OVER (PARTITION BY fid, line ORDER BY l, rr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM iv),
+      area AS (SELECT fid, sum(greatest(0, rr - greatest(l, coalesce(upto, l)))) * {h} AS area FROM run GROUP BY fid),
+      lw AS (SELECT u.id, u.wkt, count(DISTINCT (d.lng, d.lat)) AS n, round(any_value(a.area), 3) AS area
+             FROM uniq u JOIN d ON d.fid = u.fid AND d.dist < {r} JOIN area a ON a.fid = u.fid GROUP BY 1, 2)"""
+    lines = f"{shared}, {windows}"
+    o["line_density_rank"] = lines + " SELECT id, wkt, n, area, round(n / area * 1e6, 6) AS density FROM lw"
+    o["line_top_density"] = lines + f""" SELECT id, wkt, n, area, round(n / area * 1e6, 6) AS density, row_number() OVER (ORDER BY n / area DESC, id, wkt) AS rank
+      FROM lw QUALIFY rank <= {TOP}"""
+    o["line_top_count"] = lines + f" SELECT id, wkt, n FROM lw ORDER BY n DESC, id, wkt LIMIT {TOP}"
+    o["line_cardinality"] = lines + " SELECT count(*) AS n_windows FROM lw"
+    o["line_members"] = lines + f" SELECT DISTINCT l.id, l.wkt, d.lng, d.lat FROM lines l JOIN d ON d.fid = l.fid WHERE d.dist < {R_ROAD_SMALL}"
+    # polygons with holes of different sizes: a square ring around a centre, its area and its points in closed form
+    holed = """harea AS (SELECT p_partkey AS id, CAST(12935000 + (p_partkey*6113) % 31000 AS DOUBLE) AS cx, CAST(4841000 + (p_partkey*9973) % 26000 AS DOUBLE) AS cy,
+        CAST(300 + (p_partkey*37) % 500 AS DOUBLE) AS ro, CAST(50 + (p_partkey*53) % 200 AS DOUBLE) AS ri FROM part),
+      hw AS (SELECT *, 'POLYGON ((' || {0} || '), (' || {1} || '))' AS wkt, 4 * ro * ro - 4 * ri * ri AS area FROM harea)""".format(
+        *[" || ', ' || ".join(vert.format(f"cx {a} {k}", f"cy {b} {k}") for a, b in corners) for k, corners in (("ro", ("--", "+-", "++", "-+", "--")), ("ri", ("--", "-+", "++", "+-", "--")))])
+    inside = "greatest(abs(p.x - w.cx), abs(p.y - w.cy)) < w.ro AND greatest(abs(p.x - w.cx), abs(p.y - w.cy)) > w.ri"
+    polys = f"""WITH {PTS}, {holed}, pw AS (SELECT w.id, w.wkt, count(DISTINCT (p.lng, p.lat)) AS n, any_value(w.area) AS area FROM pts p, hw w WHERE {inside} GROUP BY 1, 2)"""
+    o["polygon_density_rank"] = polys + " SELECT id, wkt, n, area, round(n / area * 1e6, 6) AS density FROM pw"
+    o["polygon_top_density"] = polys + f""" SELECT id, wkt, n, area, round(n / area * 1e6, 6) AS density, row_number() OVER (ORDER BY n / area DESC, id, wkt) AS rank
+      FROM pw QUALIFY rank <= {TOP}"""
+    o["polygon_top_count"] = polys + f" SELECT id, wkt, n FROM pw ORDER BY n DESC, id, wkt LIMIT {TOP}"
+    o["polygon_cardinality"] = polys + " SELECT count(*) AS n_windows FROM pw"
+    o["polygon_members"] = f"WITH {PTS}, {holed} SELECT DISTINCT w.id, p.lng, p.lat FROM pts p, hw w WHERE {inside}"
+    o["area_holed"] = f"WITH {holed} SELECT id, round(area, 3) AS area FROM hw"
+    utm = _utm_sql(rounded=False)
+    net = f"""unet AS (SELECT range AS oid, {UTM_X0} + CAST(range % {UTM_NX} AS DOUBLE) * {UTM_CELL} AS minx, {UTM_Y0} + CAST(range // {UTM_NX} AS DOUBLE) * {UTM_CELL} AS miny FROM range({UTM_NX * UTM_NY}))"""
+    in_net = f"u.easting > f.minx AND u.easting < f.minx + {UTM_CELL} AND u.northing > f.miny AND u.northing < f.miny + {UTM_CELL}"
+    o["utm_fishnet_daily_counts"] = f"""WITH {PTS}, {utm}, {net} SELECT f.oid, p.date, count(*) AS join_count FROM pts p JOIN utm u USING (event_id), unet f
+      WHERE {_range(START, END, 'p.sys_ms')} AND p.sys_ms % 86400000 <> 0 AND {in_net} GROUP BY 1, 2"""
+    o["utm_fishnet_counts"] = f"""WITH {PTS}, {utm}, {net} SELECT f.oid, count(DISTINCT (u.easting, u.northing)) AS n_points FROM pts p JOIN utm u USING (event_id), unet f
+      WHERE {_range(START, END, 'p.sys_ms')} AND {in_net} GROUP BY 1"""
+    hx0, hy0, hx1, hy1 = HEAT_REGION
+    o["shifted_heat_pixels"] = f"""WITH {PTS}, {_gcj_iter_sql()},
+      sp AS (SELECT wlng * 20037508.342789244 / 180.0 AS x, ln(tan((90.0 + wlat) * pi() / 360.0)) * 6378137.0 AS y FROM g{crs.GCJ_MAX_STEPS}),
+      heat AS (SELECT z, gx // 256 AS tx, gy // 256 AS ty, gx % 256 AS px, gy % 256 AS py, count(*) AS n FROM (SELECT z, {_GX} AS gx, {_GY} AS gy
+        FROM sp, range({ZMIN}, {ZMAX + 1}) r(z) WHERE x >= {hx0} AND x <= {hx1} AND y >= {hy0} AND y <= {hy1}) GROUP BY ALL)
+      SELECT CAST(z AS INTEGER) AS z, tx, ty, px, py, n, least(n, 2) / 2.0 AS value FROM heat"""
     z = ZOOM
     o["tile_of_lonlat"] = f"""WITH {PTS} SELECT event_id, {z} AS z,
       CAST(trunc((lng + 180.0) / 360.0 * {float(1 << z)}) AS INTEGER) AS tx,
@@ -717,7 +916,7 @@ def _oracle() -> dict[str, str]:
     sgx2, sgy2 = (f"(s.x2 + {eq / 2.0}) / {eq} * CAST(1 << z AS DOUBLE) * 256.0",
                   f"({eq / 2.0} - s.y2) / {eq} * CAST(1 << z AS DOUBLE) * 256.0")
     o["line_pixels"] = f"""WITH {ROAD_SEGS},
-      sg AS (SELECT z, {sgx1} AS gx1, {sgy1} AS gy1, {sgx2} AS gx2, {sgy2} AS gy2 FROM road_segs s, range({ZOOM}, {ZOOM + 1}) r(z)),
+      sg AS (SELECT z, {sgx1} AS gx1, {sgy1} AS gy1, {sgx2} AS gx2, {sgy2} AS gy2 FROM road_segs s, range({ZMIN}, {ZMAX + 1}) r(z)),
       st AS (SELECT *, CAST(ceil(greatest(abs(gx2 - gx1), abs(gy2 - gy1))) AS BIGINT) AS n FROM sg),
       px AS (SELECT DISTINCT z, CAST(floor(CASE WHEN n = 0 THEN gx1 ELSE gx1 + (gx2 - gx1) * k / n END) AS BIGINT) AS gx,
                     CAST(floor(CASE WHEN n = 0 THEN gy1 ELSE gy1 + (gy2 - gy1) * k / n END) AS BIGINT) AS gy

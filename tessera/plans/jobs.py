@@ -1,8 +1,10 @@
 """The reference's analyses as composed DataFrame plans.
 
-Each job is one lazy plan: filters first (pushed to the scan where the source
-allows), then the cell equi-join, then a partial+final aggregate. Driver-side
-loops over days and hours in the reference become one grouped pass.
+Filters first (pushed to the scan where the source allows), then the cell
+equi-join, then a partial+final aggregate. The window side (small) is prepared
+by jobs that run when a function is called: it is measured and written to the
+shared checkpoint folder; the points are read by the returned plan alone, once.
+Driver-side loops over days and hours in the reference become one grouped pass.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import crs
 from ..functions import geom as G
 from ..functions import timefns as TF
-from ..operators import aggs as A
+from ..operators import cells as C
 from ..operators import filters as P
 from ..operators import joins as J
 
@@ -40,29 +43,22 @@ def with_geom(df: DataFrame, wkt_col: str = "wkt", geom_col: str = "geom") -> Da
 def poi_circle_pairs(points: DataFrame, pois: DataFrame, radius: float = RADIUS2, **opts) -> DataFrame:
     """(POI, point) pairs with the point in the POI's circle (inclusive).
 
-    The window is identified by the POI's coordinates (only geometry survives
-    the reference's reader); members are point coordinates.
+    A window is a circle, identified by the POI's coordinates (only geometry
+    survives the reference's reader): POIs at one place are one window. Members
+    are point coordinates, one row per point record.
     """
     pts = points.select("lng", "lat", "x", "y")
-    win = pois.select(F.col("lng").alias("poi_lng"), F.col("lat").alias("poi_lat"),
-                      F.col("x").alias("poi_x"), F.col("y").alias("poi_y"))
+    win = pois.select(F.col("lng").alias("poi_lng"), F.col("lat").alias("poi_lat")).distinct()
+    x, y = crs.to_mercator("poi_lng", "poi_lat")
+    win = win.withColumn("poi_x", x).withColumn("poi_y", y)
     return J.distance_join(pts, win, radius, window_xy=("poi_x", "poi_y"), with_distance=False, **opts)
 
 
 def poi_circle_counts(points: DataFrame, pois: DataFrame, radius: float = RADIUS2, **opts) -> DataFrame:
-    """|distinct points| per POI circle.
-
-    The points are de-duplicated on their coordinates *before* the join
-    (partial aggregation on the map side, one shuffle of at most N rows), so
-    each pair is already distinct and the per-POI count is a plain count,
-    instead of a distinct count over all (POI, point) pairs.
-    """
-    from ..functions import crs
-    pts = points.select("lng", "lat").distinct()
-    x, y = crs.to_mercator("lng", "lat")
-    pts = pts.withColumn("x", x).withColumn("y", y)
-    pairs = poi_circle_pairs(pts, pois, radius, **opts)
-    return pairs.groupBy("poi_lng", "poi_lat").agg(F.count(F.lit(1)).alias("n"))
+    """|distinct points| per POI circle: the join first, so that only points in
+    a circle reach a shuffle, then a distinct count (partial on the map side)."""
+    pairs = poi_circle_pairs(points, pois, radius, **opts)
+    return pairs.groupBy("poi_lng", "poi_lat").agg(F.count_distinct("lng", "lat").alias("n"))
 
 
 def circle_area(radius: float) -> float:
@@ -71,41 +67,74 @@ def circle_area(radius: float) -> float:
 
 # ---- J2-J5: road buffers --------------------------------------------------------------
 
+def road_layer(roads: DataFrame) -> DataFrame:
+    """The roads as a written table of numbered features (id, wkt, segments, _wid)."""
+    return J.numbered(with_geom(roads).select("id", "wkt", "geom"), "geom", "roads")
+
+
 def road_pairs(points: DataFrame, roads: DataFrame, radius: float = RADIUS, dedupe: bool = False,
                **opts) -> DataFrame:
     """J2 (``dedupe=True``: distinct point coordinates per road) and J3
-    (``dedupe=False``: one row per (road, point record))."""
-    lines = with_geom(roads).select("id", "geom")
-    pairs = J.line_buffer_join(points, lines, radius, id_col="id", geom_col="geom", **opts)
+    (``dedupe=False``: one row per (road, point record)). Roads are features:
+    two of one ID stay two in J3, and give their ID's distinct points in J2."""
+    pairs = J.line_buffer_join(points, roads, radius, layer=road_layer(roads), **opts)
     if dedupe:
         return pairs.select("id", "lng", "lat").distinct()
     return pairs.select("id", "event_id")
 
 
 def road_daily_counts(points: DataFrame, roads: DataFrame, radius: float = RADIUS,
-                      start=None, end=None, sort: bool = True, **opts) -> DataFrame:
-    """Points within the r-buffer of each road, counted by (ID, date)."""
-    pts = with_date(P.time_range(points, start, end)).select("event_id", "x", "y", "date")
-    lines = with_geom(roads).select("id", "geom")
-    pairs = J.line_buffer_join(pts, lines, radius, id_col="id", geom_col="geom", **opts)
+                      start=None, end=None, sort: bool = True, ts_col: str | None = None, **opts) -> DataFrame:
+    """Points within the r-buffer of each road, counted by (ID, date).
+    A point in the buffers of two roads of one ID counts for each."""
+    pts = with_date(P.time_range(points, start, end, ts_col=ts_col)).select("event_id", "x", "y", "date")
+    pairs = J.line_buffer_join(pts, roads, radius, layer=road_layer(roads), **opts)
     out = pairs.groupBy("id", "date").agg(F.count(F.lit(1)).alias("count"))
     return out.orderBy("date", "id") if sort else out
 
 
+def road_window_counts(points: DataFrame, roads: DataFrame, radius: float = RADIUS, **opts) -> DataFrame:
+    """Reports on line-buffer windows (modes 1-6 after J2): id, wkt, n (distinct
+    point coordinates) and area of each road's dissolved buffer, roads with a
+    match only. Equal roads (ID and geometry) are one window."""
+    layer = C.written(road_layer(roads).drop("_wid").groupBy("id", "wkt").agg(F.first("_segs").alias("_segs"))
+                      .withColumn("_wid", F.monotonically_increasing_id()), "road-windows")
+    pairs = J.line_buffer_join(points.select("lng", "lat", "x", "y"), roads, radius, layer=layer, **opts)
+    counts = pairs.groupBy("_wid").agg(F.count_distinct("lng", "lat").alias("n"))
+    return (counts.join(J.line_buffer_areas(layer, radius), "_wid").join(layer.select("_wid", "id", "wkt"), "_wid")
+            .select("id", "wkt", "n", "area"))
+
+
+def road_members(points: DataFrame, roads: DataFrame, radius: float = RADIUS, **opts) -> DataFrame:
+    """Mode 2 on line-buffer windows: distinct (id, wkt, lng, lat) rows."""
+    layer = road_layer(roads)
+    pairs = J.line_buffer_join(points.select("lng", "lat", "x", "y"), roads, radius, layer=layer, **opts)
+    return pairs.join(layer.select("_wid", "wkt"), "_wid").select("id", "wkt", "lng", "lat").distinct()
+
+
+def area_window_counts(points: DataFrame, areas: DataFrame, **opts) -> DataFrame:
+    """Reports on polygon windows (modes 1-6): id, wkt, n (distinct point
+    coordinates inside) and area. Equal polygons (ID and geometry) are one window."""
+    one = areas.select("id", "wkt").distinct()
+    layer = with_geom(one).withColumn("area", G.area(F.col("geom")))
+    pairs = J.polygon_join(points.select("lng", "lat", "x", "y"), layer, geom_col="geom", **opts)
+    return pairs.groupBy("id", "wkt", "area").agg(F.count_distinct("lng", "lat").alias("n")).select("id", "wkt", "n", "area")
+
+
 # ---- J6, J7, J12: POIs --------------------------------------------------------------------
 
-def _bbox_points(points: DataFrame, start, end, bbox) -> DataFrame:
-    pts = P.time_range(points, start, end, whole_days=True)
+def _bbox_points(points: DataFrame, start, end, bbox, ts_col) -> DataFrame:
+    pts = P.time_range(points, start, end, whole_days=True, ts_col=ts_col)
     if bbox is not None:
         pts = P.within_bbox(pts, bbox)
     return with_date(pts)
 
 
 def poi_daily_counts(points: DataFrame, pois: DataFrame, radius: float = RADIUS, start=None, end=None,
-                     by_poi: bool = True, bbox=P.REFERENCE_BBOX, **opts) -> DataFrame:
-    """Points (in the bbox, in the day range) within ``radius`` of a POI
+                     by_poi: bool = True, bbox=None, ts_col: str | None = None, **opts) -> DataFrame:
+    """Points (in the bbox if one is given, in the day range) within ``radius`` of a POI
     (inclusive), counted by (OBJECTID, date) or by date."""
-    pts = _bbox_points(points, start, end, bbox).select("x", "y", "date")
+    pts = _bbox_points(points, start, end, bbox, ts_col).select("x", "y", "date")
     win = pois.select("objectid", F.col("x").alias("poi_x"), F.col("y").alias("poi_y"))
     pairs = J.distance_join(pts, win, radius, window_xy=("poi_x", "poi_y"), with_distance=False, **opts)
     keys = ["objectid", "date"] if by_poi else ["date"]
@@ -127,19 +156,21 @@ def pois_near_cases(pois: DataFrame, cases: DataFrame, radius2: float = RADIUS2,
 
 def exposure_counts(points: DataFrame, pois: DataFrame, cases: DataFrame, radius: float = RADIUS,
                     radius2: float = RADIUS2, start=None, end=None, days: int = BAND_DAYS,
-                    bbox=P.REFERENCE_BBOX, **opts) -> DataFrame:
+                    bbox=None, ts_col: str | None = None, **opts) -> DataFrame:
     """POIs near a case; then points near those POIs within ±days of the
     case date (inclusive), counted by (OBJECTID, point date).
 
     The time band is part of the equi-key (day buckets of the band width) so
-    candidates are cut by space and time before the residual test.
+    candidates are cut by space and time before the residual test. The nearby
+    POIs are computed once, as a written table.
     """
     band_ms = days * TF.MS_PER_DAY
     near = pois_near_cases_pairs(pois, cases, radius2, **opts)
     day_ms = TF.date_text_to_ms(F.col("case_date"))
     near = near.select("objectid", F.col("x").alias("poi_x"), F.col("y").alias("poi_y"),
                        (day_ms - F.lit(band_ms)).alias("lo_ms"), (day_ms + F.lit(band_ms)).alias("hi_ms"))
-    pts = _bbox_points(points, start, end, bbox).select("x", "y", "sys_ms", "date")
+    near = C.written(near, "near-cases")
+    pts = _bbox_points(points, start, end, bbox, ts_col).select("x", "y", "sys_ms", "date")
     pairs = J.distance_join(pts, near, radius, window_xy=("poi_x", "poi_y"), with_distance=False,
                             band=dict(point_col="sys_ms", lo="lo_ms", hi="hi_ms", bucket=2 * band_ms), **opts)
     out = pairs.groupBy("objectid", "date").agg(F.count(F.lit(1)).alias("join_count"))
@@ -149,21 +180,21 @@ def exposure_counts(points: DataFrame, pois: DataFrame, cases: DataFrame, radius
 # ---- J9-J11: polygons ---------------------------------------------------------------------
 
 def labeled_area_counts(points: DataFrame, areas: DataFrame, start=None, end=None,
-                        hour: int = MORNING_HOUR, **opts) -> DataFrame:
+                        hour: int = MORNING_HOUR, ts_col: str | None = None, **opts) -> DataFrame:
     """Points inside labelled areas during hour ``hour``, counted by date.
     A point inside two areas counts twice."""
-    pts = with_date(P.hour_is(P.time_range(points, start, end, whole_days=True), hour)).select("x", "y", "date")
+    pts = with_date(P.hour_is(P.time_range(points, start, end, whole_days=True, ts_col=ts_col), hour)).select("x", "y", "date")
     polys = with_geom(areas).select("id", "geom")
     pairs = J.polygon_join(pts, polys, geom_col="geom", **opts)
     return pairs.groupBy("date").agg(F.count(F.lit(1)).alias("join_count")).orderBy("date")
 
 
 def fishnet_daily_counts(points: DataFrame, fishnet: DataFrame, start=None, end=None,
-                         drop_boundary: bool = True, **opts) -> DataFrame:
+                         drop_boundary: bool = True, ts_col: str | None = None, **opts) -> DataFrame:
     """Points per fishnet polygon per day, one pass instead of a day loop.
     Day bounds are open in the reference, so points exactly at midnight are
     dropped when ``drop_boundary``."""
-    pts = P.time_range(points, start, end, whole_days=True)
+    pts = P.time_range(points, start, end, whole_days=True, ts_col=ts_col)
     if drop_boundary:
         pts = pts.filter(F.pmod(F.col("sys_ms"), F.lit(TF.MS_PER_DAY)) != F.lit(0))
     pts = with_date(pts).select("x", "y", "date")
@@ -172,17 +203,23 @@ def fishnet_daily_counts(points: DataFrame, fishnet: DataFrame, start=None, end=
     return pairs.groupBy("oid", "date").agg(F.count(F.lit(1)).alias("join_count"))
 
 
-def fishnet_counts(points: DataFrame, fishnet: DataFrame, start=None, end=None, **opts) -> DataFrame:
+def fishnet_counts(points: DataFrame, fishnet: DataFrame, start=None, end=None, ts_col: str | None = None, **opts) -> DataFrame:
     """Distinct point geometries per fishnet polygon over the whole range."""
-    pts = P.time_range(points, start, end).select("x", "y")
+    pts = P.time_range(points, start, end, ts_col=ts_col).select("x", "y")
     polys = with_geom(fishnet).select("oid", "geom")
-    pairs = J.polygon_join(pts, polys, geom_col="geom", **opts)
+    pairs = J.polygon_join(pts, polys, geom_col="geom", **opts)  # join first: only points in the net are shuffled
     return pairs.groupBy("oid").agg(F.count_distinct("x", "y").alias("n_points"))
 
 
 def regular_fishnet_counts(points: DataFrame, x0: float, y0: float, cell: float, nx: int, ny: int,
-                           start=None, end=None) -> DataFrame:
+                           start=None, end=None, ts_col: str | None = None) -> DataFrame:
     """J11 for an axis-aligned regular fishnet: closed-form cell, no join."""
-    pts = P.time_range(points, start, end).select("x", "y")
+    pts = P.time_range(points, start, end, ts_col=ts_col).select("x", "y")
     return (J.regular_grid_join(pts, x0=x0, y0=y0, cell=cell, nx=nx, ny=ny)
             .groupBy("oid").agg(F.count_distinct("x", "y").alias("n_points")))
+
+
+def to_utm_points(points: DataFrame, zone: int) -> DataFrame:
+    """The points with x, y in UTM metres of a northern zone."""
+    e, n = crs.to_utm("lng", "lat", zone)
+    return points.withColumns({"x": e, "y": n})

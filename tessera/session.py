@@ -7,7 +7,6 @@ that change results (UTC session zone) or plans (AQE, skew join).
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,20 +47,18 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is respected as
-    is. Only when it is unset (local tests) a scratch folder is created.
+    On a cluster this setting must point at storage that all executors share,
+    and is respected as is; without it this fails there. Only a local session
+    (one machine, as in tests) gets a scratch folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = current.get() if current.isDefined() else None
     if not current:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
-
-
-def scratch_table_path(spark: SparkSession, name: str) -> str:
-    """Folder for a materialised intermediate table, under the checkpoint dir."""
-    return os.path.join(ensure_checkpoint_dir(spark), "tables", name)

@@ -77,14 +77,15 @@ def points_by_month(spark: SparkSession, sf_dir: str, mercator: bool = True) ->
     return with_mercator(df) if mercator else df
 
 
-def pois(spark: SparkSession, sf_dir: str, mercator: bool = True) -> DataFrame:
-    """POIs from ``supplier``: objectid, name, lng, lat (+ x, y)."""
-    s = table(spark, sf_dir, "supplier")
+def pois(spark: SparkSession, sf_dir: str, mercator: bool = True, ident=None) -> DataFrame:
+    """POIs from ``supplier``: objectid, name, lng, lat (+ x, y). ``ident``: the
+    number that places a POI, its key by default."""
+    s = table(spark, sf_dir, "supplier").withColumn("_place", F.col("s_suppkey") if ident is None else ident)
     df = s.select(
         F.col("s_suppkey").alias("objectid"),
         F.col("s_name").alias("name"),
-        _hash_coord("s_suppkey", 7919, None, 0, 10007, LNG0, LNG_SPAN).alias("lng"),
-        _hash_coord("s_suppkey", 104729, None, 0, 10009, LAT0, LAT_SPAN).alias("lat"),
+        _hash_coord("_place", 7919, None, 0, 10007, LNG0, LNG_SPAN).alias("lng"),
+        _hash_coord("_place", 104729, None, 0, 10009, LAT0, LAT_SPAN).alias("lat"),
     )
     return with_mercator(df) if mercator else df
 
@@ -105,10 +106,11 @@ def _int_txt(c):
     return c.cast("long").cast("string")
 
 
-def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roads from every ``part`` row: id, wkt (5-vertex LINESTRING in 3857)."""
+def roads(spark: SparkSession, sf_dir: str, ident=None) -> DataFrame:
+    """Roads from every ``part`` row: id, wkt (5-vertex LINESTRING in 3857).
+    ``ident``: the number that names and places a road, its key by default."""
     p = table(spark, sf_dir, "part")
-    ident = F.col("p_partkey")
+    ident = F.col("p_partkey") if ident is None else ident
     verts = []
     for k in range(5):
         x = F.lit(ROAD_X0) + (ident * F.lit(7919)) % F.lit(31000) + F.lit(k * 400)
@@ -130,6 +132,20 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(ident.alias("id"), F.concat(F.lit("POLYGON (("), ring, F.lit("))")).alias("wkt"))
 
 
+def holed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square rings of different sizes from every ``part`` row: id, wkt (a shell and a hole)."""
+    p = table(spark, sf_dir, "part")
+    ident = F.col("p_partkey")
+    cx = F.lit(ROAD_X0) + (ident * F.lit(6113)) % F.lit(31000)
+    cy = F.lit(ROAD_Y0) + (ident * F.lit(9973)) % F.lit(26000)
+
+    def ring(r, corners):
+        return F.concat_ws(", ", *[F.concat(_int_txt(cx + r * F.lit(a)), F.lit(" "), _int_txt(cy + r * F.lit(b))) for a, b in corners])
+    shell = ring(F.lit(300) + (ident * F.lit(37)) % F.lit(500), ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)))
+    hole = ring(F.lit(50) + (ident * F.lit(53)) % F.lit(200), ((-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1)))
+    return p.select(ident.alias("id"), F.concat(F.lit("POLYGON (("), shell, F.lit("), ("), hole, F.lit("))")).alias("wkt"))
+
+
 def fishnet(spark: SparkSession, x0: float = FISHNET_X0, y0: float = FISHNET_Y0,
             cell: float = FISHNET_CELL, nx: int = FISHNET_NX, ny: int = FISHNET_NY) -> DataFrame:
     """Regular fishnet polygons: oid = row * nx + col, WKT squares."""

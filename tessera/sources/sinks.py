@@ -24,19 +24,20 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", header: bool = True,
                 partition_by=None, mode: str = "overwrite", sort_by=None) -> None:
     """K1-K6: write a frame as csv / tsv (``sep``) / json / parquet / text.
 
-    ``fmt='text'`` joins the columns with ``sep`` into one line per row;
+    ``fmt='text'`` joins the columns with ``sep`` into one line per row (a null
+    is an empty field, so every line has every field);
     ``sort_by`` sorts globally first (range-partitioned, so the output files
     are in order). ``partition_by`` writes one folder per value.
     """
     if sort_by is not None:
         df = df.orderBy(*([sort_by] if isinstance(sort_by, str) else sort_by))
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     if fmt == "text":
-        cols = [c for c in df.columns if c not in (partition_by or [])]
-        df = df.select(F.concat_ws(sep, *[F.col(c).cast("string") for c in cols]).alias("value"),
-                       *(partition_by or []))
+        fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c not in parts]
+        df = df.select(F.concat_ws(sep, *fields).alias("value"), *parts)
     w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    if parts:
+        w = w.partitionBy(*parts)
     if fmt == "csv":
         w.option("header", header).option("sep", sep).csv(path)
     elif fmt == "json":

@@ -1,21 +1,22 @@
 """Hourly cell counts as Structured Streaming queries.
 
 The reference loops over hours on the driver. As a stream, points arrive as
-files; an event-time column with a watermark bounds the state, and
-``window(evt, '1 hour')`` groups them. ``append`` mode emits an hour once the
-watermark has passed it (bounded state, the production setting); ``complete``
-mode re-emits every hour and is only for bounded inputs and tests.
+files. ``append`` queries carry an event-time column with a watermark that
+bounds the state and emit an hour once the watermark has passed it. For a
+result that is exact at any time without state, ``count_batches`` writes each
+micro-batch's partial counts as one folder and sums them on reading.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geohash import with_geohash
-from ..operators.aggs import REFERENCE_GRID_ENVELOPE, equal_grid_cell
+from ..functions.timefns import ms_to_hour_str
+from ..operators.aggs import equal_grid_cell
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import points_from_events
 
@@ -43,53 +44,57 @@ def geohash_hourly_stream(points: DataFrame, precision: int = 8, watermark: str
     agg = p.groupBy(F.window("evt", "1 hour").alias("w"), "envelope") \
         .agg(F.count(F.lit(1)).alias("count"))
     start_ms = F.unix_millis(F.col("w.start"))
-    from ..functions.timefns import ms_to_hour_str
     return agg.select("envelope", ms_to_hour_str(start_ms).alias("date"), "count")
 
 
-def grid_hourly_stream(points: DataFrame, envelope=REFERENCE_GRID_ENVELOPE, nx: int = 2, ny: int = 2,
+def grid_hourly_stream(points: DataFrame, envelope, nx: int, ny: int,
                        watermark: str = "1 hour", lng: str = "lng", lat: str = "lat") -> DataFrame:
     """A3 counts on a stream (non-empty cells only; zero-filling needs the
     finished hour, see ``equal_grid_hourly_counts`` for the batch form)."""
     p = with_event_time(points).withWatermark("evt", watermark)
     p = p.withColumn("cell", equal_grid_cell(lng, lat, envelope, nx, ny)).filter(F.col("cell").isNotNull())
     agg = p.groupBy(F.window("evt", "1 hour").alias("w"), "cell").agg(F.count(F.lit(1)).alias("count"))
-    from ..functions.timefns import ms_to_hour_str
     return agg.select(ms_to_hour_str(F.unix_millis(F.col("w.start"))).alias("hour"), "cell", "count")
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "append", sink: str = "memory",
-                      path: str | None = None) -> DataFrame:
-    """Run a streaming frame over everything available now and return the
-    sink's contents. The checkpoint lives under the session's shared
-    checkpoint folder, so a restarted job resumes instead of recounting."""
+def run_available_now(df: DataFrame, name: str, path: str) -> DataFrame:
+    """Append a streaming frame's output over everything available now to the
+    Parquet folder ``path`` and return what it holds. The checkpoint, named by
+    ``name``, lies in the session's shared checkpoint folder, so a restarted
+    job resumes instead of recounting."""
     spark = df.sparkSession
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    if sink == "memory":  # tests only: the memory sink lives on the driver
-        q = w.format("memory").queryName(name).start()
-        q.awaitTermination()
-        return spark.table(name)
-    if sink == "table":
-        # each micro-batch rewrites the table from the executors (complete mode)
-        path = path or os.path.join(ensure_checkpoint_dir(spark), "stream_tables", name)
-        q = w.foreachBatch(lambda b, _eid: b.write.mode("overwrite").parquet(path)).start()
-        q.awaitTermination()
-        return spark.read.parquet(path)
-    q = w.format(sink).option("path", path).start()
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    q = df.writeStream.outputMode("append").option("checkpointLocation", ckpt).trigger(availableNow=True).format("parquet").option("path", path).start()
     q.awaitTermination()
-    return spark.read.format(sink).load(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def count_batches(rows: DataFrame, keys: list[str], name: str, path: str) -> DataFrame:
+    """Counts per ``keys`` over a stream of rows, without state.
+
+    Each micro-batch overwrites its own folder with its partial counts, so a
+    batch that runs twice counts once; the returned frame sums them. A restart
+    under the same ``name`` and ``path`` goes on where it stopped.
+    """
+    spark = rows.sparkSession
+    ckpt = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows.select(*keys).writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(path).groupBy(*keys).agg(F.sum("n").alias("count"))
 
 
 def geohash_hourly_counts_stream(spark: SparkSession, sf_dir: str, precision: int = 8,
                                  start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Run A1 as a bounded stream over ``events`` and return the result."""
-    src = event_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet", like=f"{sf_dir.rstrip('/')}/events.parquet")
+    """A1 over the ``events`` table as a bounded stream, in a run of its own."""
+    src = event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet*", like=f"{sf_dir.rstrip('/')}/events.parquet")
     pts = points_from_events(src, mercator=False)
     if start_ms is not None:
         pts = pts.filter(F.col("sys_ms") > F.lit(start_ms))
     if end_ms is not None:
         pts = pts.filter(F.col("sys_ms") < F.lit(end_ms))
-    import uuid
-    name = "geohash_hourly_" + uuid.uuid4().hex[:8]
-    return run_available_now(geohash_hourly_stream(pts, precision), name, mode="complete", sink="table")
+    rows = with_geohash(pts, "lng", "lat", precision, "envelope").select("envelope", ms_to_hour_str("sys_ms").alias("date"))
+    run = uuid.uuid4().hex
+    return count_batches(rows, ["envelope", "date"], run, f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_tables/{run}")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geom as G
 from tessera.operators import joins as J
+from tessera.plans import jobs
+from tessera.sources import fixtures as FX
 
 
 def rnd_points(seed, n, lo=-500.0, hi=500.0, grid=None):
@@ -64,7 +66,7 @@ def test_distance_join_shuffle_and_salt_paths(spark):
     p = spark.createDataFrame(pts, "pid long, x double, y double")
     w = spark.createDataFrame(wins, "wid long, x double, y double")
     want = brute_pairs(pts, wins, 10.0)
-    for opts in (dict(), dict(broadcast_rows=0, salt=False), dict(broadcast_rows=0, hot_rows=50, salt_buckets=4)):
+    for opts in (dict(), dict(broadcast_bytes=0), dict(broadcast_bytes=0, salt=True, hot_rows=50)):
         got = {(x.pid, x.wid) for x in J.distance_join(p, w, 10.0, **opts).collect()}
         assert got == want, opts
 
@@ -95,7 +97,7 @@ def _seg_d(px, py, a, b):
     return math.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
-@pytest.mark.parametrize("opts", [dict(), dict(broadcast_rows=0, hot_rows=5, salt_buckets=3), dict(cell_size=3.0)])
+@pytest.mark.parametrize("opts", [dict(), dict(broadcast_bytes=0, salt=True, hot_rows=5), dict(cell_size=3.0)])
 def test_line_buffer_join_equals_brute_force(spark, opts):
     r = random.Random(11)
     lines = []
@@ -116,6 +118,75 @@ def test_line_buffer_join_equals_brute_force(spark, opts):
     assert got == _brute_line(pts, lines, 30.0)
 
 
+def test_line_with_many_segments_in_a_cell(spark):
+    # more segments than plain columns: the rest goes by the array
+    verts = [(math.cos(k / 5) * (20 + k / 3), math.sin(k / 5) * (20 + k / 3)) for k in range(60)]
+    wkt = "LINESTRING (" + ", ".join(f"{x!r} {y!r}" for x, y in verts) + ")"
+    L = spark.createDataFrame([(1, wkt)], "id long, wkt string").select("id", G.geom_from_wkt(F.col("wkt")).alias("geom"))
+    pts = rnd_points(13, 500, -60, 60)
+    p = spark.createDataFrame(pts, "pid long, x double, y double")
+    got = {(x.id, x.pid): x.distance for x in J.line_buffer_join(p, L, 3.0, cell_size=60.0).collect()}
+    assert got.keys() == _brute_line(pts, [(1, verts)], 3.0)
+
+
+def test_lines_of_one_id_stay_two(spark):
+    L = spark.createDataFrame([(1, "LINESTRING (0 0, 10 0)"), (1, "LINESTRING (0 1, 10 1)")], "id long, wkt string")
+    p = spark.createDataFrame([(7, 0.0, 0.0, 5.0, 0.5, 5)], "event_id long, lng double, lat double, x double, y double, sys_ms long")
+    assert jobs.road_pairs(p, L, 2.0).count() == 2 and jobs.road_pairs(p, L, 2.0, dedupe=True).count() == 1
+    assert jobs.road_daily_counts(p, L, 2.0).first()["count"] == 2
+
+
+def test_pois_at_one_place_are_one_window(spark):
+    pois = spark.createDataFrame([(1, 116.3, 39.9), (2, 116.3, 39.9)], "objectid long, lng double, lat double")
+    p = FX.with_mercator(spark.createDataFrame([(116.3, 39.9), (116.3, 39.9)], "lng double, lat double"))
+    assert [r.n for r in jobs.poi_circle_counts(p, pois, 10.0).collect()] == [1]
+
+
+def test_replaced_file_is_read_anew(spark, tmpdir_path):
+    p = spark.createDataFrame([(7, 5.0, 0.5)], "event_id long, x double, y double")
+    for wkt, want in (("LINESTRING (0 0, 10 0)", 1), ("LINESTRING (0 90, 10 90)", 0)):
+        spark.createDataFrame([(1, wkt)], "id long, wkt string").write.mode("overwrite").parquet(f"{tmpdir_path}/roads")
+        roads = jobs.with_geom(spark.read.parquet(f"{tmpdir_path}/roads"))
+        assert J.line_buffer_join(p, roads, 2.0).count() == want
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_points_are_read_once_and_not_replicated(spark, tmpdir_path):
+    # small areas and one outline over all of them
+    polys = [(i, _square(i * 30.0, 0.0, 10.0)) for i in range(50)] + [(99, _square(700.0, 0.0, 5000.0))]
+    df = jobs.with_geom(spark.createDataFrame(polys, "pid_poly long, wkt string")).drop("wkt")
+    spark.createDataFrame(rnd_points(3, 200), "pid long, x double, y double").write.parquet(f"{tmpdir_path}/pts")
+    for opts in ({}, {"broadcast_bytes": 0}):
+        out = J.polygon_join(spark.read.parquet(f"{tmpdir_path}/pts"), df, **opts)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("/pts") == 1 and "Generate explode" not in plan
+        assert ("BroadcastHashJoin" in plan) == (not opts)
+
+
+def test_large_polygon_is_not_broadcast(spark):
+    n = 100_000
+    ring = [(1000 * math.cos(2 * math.pi * k / n), 1000 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    wkt = "POLYGON ((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*ring, ring[0]]) + "))"
+    df = jobs.with_geom(spark.createDataFrame([(1, wkt)], "poly long, wkt string")).select("poly", "geom")
+    pts = rnd_points(9, 2000, -1200, 1200)
+    out = J.polygon_join(spark.createDataFrame(pts, "pid long, x double, y double"), df, cell_size=50.0, broadcast_bytes=8 << 20)
+    assert "_segs" not in out.columns and "geom" not in out.columns
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.pid for r in out.collect()} == {i for i, x, y in pts if math.hypot(x, y) < 1000}
+
+
+def test_buffer_areas_within_the_stated_bound(spark):
+    layer = J.numbered(jobs.with_geom(spark.createDataFrame([
+        (1, "LINESTRING (0 0, 0 0)"), (2, "LINESTRING (0 0, 300 0)"), (3, "LINESTRING (0 0, 0 5000)"), (4, "LINESTRING (0 0, 200 150, 0 0)"),
+        (5, "LINESTRING (0 0, 100 0, 100 100, 0 100, 0 0)")], "id long, wkt string")).select("id", "geom"))
+    r = 50.0
+    disc, want = math.pi * r * r, {}
+    want[1], want[2], want[3], want[4] = disc, disc + 300 * 2 * r, disc + 5000 * 2 * r, disc + 250 * 2 * r
+    want[5] = disc + 4 * 100 * r + 100 * 100     # the square with rounded edges, its inside wholly covered
+    got = {x.id: x.area for x in J.line_buffer_areas(layer, r).join(layer, "_wid").collect()}
+    assert all(abs(got[k] / want[k] - 1) < 0.002 for k in want)
+
+
 def test_line_join_collapses_segment_hits(spark):
     # a point near the shared vertex of two segments is one (line, point) pair
     L = spark.createDataFrame([(1, "LINESTRING (0 0, 10 0, 10 10)")], "id long, wkt string") \
@@ -128,11 +199,11 @@ def _square(cx, cy, h):
     return f"POLYGON (({cx - h} {cy - h}, {cx + h} {cy - h}, {cx + h} {cy + h}, {cx - h} {cy + h}, {cx - h} {cy - h}))"
 
 
-@pytest.mark.parametrize("opts", [dict(), dict(broadcast_rows=0, hot_rows=3, salt_buckets=4), dict(cell_size=7.0)])
+@pytest.mark.parametrize("opts", [dict(), dict(broadcast_bytes=0, salt=True, hot_rows=3), dict(cell_size=7.0)])
 def test_polygon_join_equals_brute_force(spark, opts):
     r = random.Random(21)
     polys = [(i, r.uniform(-300, 300), r.uniform(-300, 300), r.choice([10.0, 40.0, 90.0])) for i in range(30)]
-    polys.append((99, 0.0, 0.0, 2000.0))                 # one huge polygon (coarser level)
+    polys.append((99, 0.0, 0.0, 2000.0))                 # one huge polygon in a layer of small ones
     pts = rnd_points(22, 600, grid=10.0)                 # many points on square edges
     df = spark.createDataFrame([(i, _square(cx, cy, h)) for i, cx, cy, h in polys], "pid_poly long, wkt string") \
         .select("pid_poly", G.geom_from_wkt(F.col("wkt")).alias("geom"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions import timefns as TF
 from tessera.operators import aggs as A
 from tessera.operators import filters as P
-from tessera.plans import jobs
+from tessera.plans import catalog, jobs
 
 DAY = 86_400_000
 
@@ -31,8 +31,8 @@ def test_winter_sets_both_variants(spark):
     nov = TF.to_ms_literal("2023-11-05")
     df = pts(spark, [(1, 0, 0, 0, 0, dec, "110101"), (2, 0, 0, 0, 0, nov, "110101"), (3, 0, 0, 0, 0, 0, "110101"),
                      (4, 0, 0, 0, 0, dec, "999999"), (5, 0, 0, 0, 0, dec, "110120")])
-    a = sorted(r.event_id for r in P.season_filter(df, P.WINTER, P.AREA_CODES_11).collect())
-    b = sorted(r.event_id for r in P.season_filter(df, P.WINTER_ALT, P.AREA_CODES_10).collect())
+    a = sorted(r.event_id for r in P.season_filter(df, catalog.WINTER, catalog.AREA_CODES_11).collect())
+    b = sorted(r.event_id for r in P.season_filter(df, catalog.WINTER_ALT, catalog.AREA_CODES_10).collect())
     assert a == [1, 5] and b == [2]
 
 
@@ -97,3 +97,16 @@ def test_axis_order_x_is_longitude(spark):
     from tessera.sources.fixtures import with_mercator
     df = with_mercator(spark.createDataFrame([(116.3, 39.9)], "lng double, lat double")).first()
     assert df.x > 1.29e7 and df.y < 5e6
+
+
+def test_defaults_drop_nothing(spark):
+    """Calls without bounds keep every row, and a column that happens to be called ts is not read."""
+    import datetime as dt
+    far = TF.to_ms_literal("2031-05-05")
+    df = spark.createDataFrame([(1, 5.0, 5.0, 0.0, 0.0, far, "x", dt.datetime(1970, 1, 1))],
+                               "event_id long, lng double, lat double, x double, y double, sys_ms long, area_code string, ts timestamp_ntz")
+    assert A.counts_per_second(df).count() == 1
+    assert P.time_range(df, "2031-01-01", "2032-01-01").count() == 1 and P.time_range(df).count() == 1
+    assert P.season_filter(df, (5,), None).count() == 1
+    pois = spark.createDataFrame([(7, 0.0, 0.0)], "objectid long, x double, y double")
+    assert jobs.poi_daily_counts(df, pois, 10.0).count() == 1

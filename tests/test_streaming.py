@@ -15,11 +15,22 @@ def test_stream_equals_batch(spark):
     assert sorted(tuple(r) for r in s.collect()) == sorted(tuple(r) for r in b.select("envelope", "date", "count").collect())
 
 
-def test_grid_stream_append_mode(spark):
+def test_grid_stream_append_mode(spark, tmpdir_path):
     from tessera.sources.fixtures import points_from_events
     src = hourly.event_stream(spark, SF_SMALL + "/events*.parquet", like=SF_SMALL + "/events.parquet")
-    out = hourly.run_available_now(hourly.grid_hourly_stream(points_from_events(src, mercator=False)),
-                                   "grid_stream_" + uuid.uuid4().hex[:8], mode="append", sink="memory")
+    stream = hourly.grid_hourly_stream(points_from_events(src, mercator=False), catalog.GRID_ENVELOPE, 2, 2)
+    out = hourly.run_available_now(stream, "grid_stream_" + uuid.uuid4().hex[:8], tmpdir_path + "/grid")
     rows = out.collect()
     # append mode emits only hours the watermark has passed: all but the newest
     assert len(rows) > 0 and all(r["count"] > 0 for r in rows)
+
+
+def test_stream_goes_on_where_it_stopped(spark, tmpdir_path):
+    rows = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
+    rows.write.parquet(tmpdir_path + "/in")
+    name = uuid.uuid4().hex
+    for n in (1, 2, 2):
+        got = hourly.count_batches(hourly.event_stream(spark, tmpdir_path + "/in"), ["k"], name, tmpdir_path + "/out")
+        assert {r.k: r["count"] for r in got.collect()} == {"a": 2 * n, "b": n}
+        if n == 1:
+            rows.write.mode("append").parquet(tmpdir_path + "/in")
