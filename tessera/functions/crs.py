@@ -29,6 +29,16 @@ GCJ_AXIS = 6378245.0
 GCJ_EE = 0.00669342162296594323
 GCJ_TOLERANCE = 1e-7
 GCJ_MAX_STEPS = 6
+# The published GCJ-02 offset in metres, for x = lng - 105 and y = lat - 35: a
+# polynomial (1, x, y, x*x, y*y, x*y, sqrt|x|) plus 2/3 of harmonics
+# (amplitude, variable, multiplier, divisor) = amplitude * sin(variable * multiplier / divisor * pi).
+GCJ_ORIGIN = (105.0, 35.0)
+GCJ_NORTH = ((-100.0, 2.0, 3.0, 0.0, 0.2, 0.1, 0.2),
+             ((20.0, "x", 6.0, 1.0), (20.0, "x", 2.0, 1.0), (20.0, "y", 1.0, 1.0), (40.0, "y", 1.0, 3.0),
+              (160.0, "y", 1.0, 12.0), (320.0, "y", 1.0, 30.0)))
+GCJ_EAST = ((300.0, 1.0, 2.0, 0.1, 0.0, 0.1, 0.1),
+            ((20.0, "x", 6.0, 1.0), (20.0, "x", 2.0, 1.0), (20.0, "x", 1.0, 1.0), (40.0, "x", 1.0, 3.0),
+             (150.0, "x", 1.0, 12.0), (300.0, "x", 1.0, 30.0)))
 # ---------------------------------------------------------------------------
 
 
@@ -120,24 +130,30 @@ def to_utm(lng, lat, zone: int = 50, north: bool = True):
 
 # ---- GCJ-02 --------------------------------------------------------------------
 
-def _transform_lat(x: Column, y: Column) -> Column:
-    pi = F.lit(math.pi)
-    ret = (F.lit(-100.0) + F.lit(2.0) * x + F.lit(3.0) * y + F.lit(0.2) * y * y
-           + F.lit(0.1) * x * y + F.lit(0.2) * F.sqrt(F.abs(x)))
-    ret = ret + (F.lit(20.0) * F.sin(F.lit(6.0) * x * pi) + F.lit(20.0) * F.sin(F.lit(2.0) * x * pi)) * F.lit(2.0) / F.lit(3.0)
-    ret = ret + (F.lit(20.0) * F.sin(y * pi) + F.lit(40.0) * F.sin(y / F.lit(3.0) * pi)) * F.lit(2.0) / F.lit(3.0)
-    ret = ret + (F.lit(160.0) * F.sin(y / F.lit(12.0) * pi) + F.lit(320.0) * F.sin(y * pi / F.lit(30.0))) * F.lit(2.0) / F.lit(3.0)
-    return ret
-
-
-def _transform_lon(x: Column, y: Column) -> Column:
-    pi = F.lit(math.pi)
-    ret = (F.lit(300.0) + x + F.lit(2.0) * y + F.lit(0.1) * x * x
-           + F.lit(0.1) * x * y + F.lit(0.1) * F.sqrt(F.abs(x)))
-    ret = ret + (F.lit(20.0) * F.sin(F.lit(6.0) * x * pi) + F.lit(20.0) * F.sin(F.lit(2.0) * x * pi)) * F.lit(2.0) / F.lit(3.0)
-    ret = ret + (F.lit(20.0) * F.sin(x * pi) + F.lit(40.0) * F.sin(x / F.lit(3.0) * pi)) * F.lit(2.0) / F.lit(3.0)
-    ret = ret + (F.lit(150.0) * F.sin(x / F.lit(12.0) * pi) + F.lit(300.0) * F.sin(x / F.lit(30.0) * pi)) * F.lit(2.0) / F.lit(3.0)
-    return ret
+def _offset_metres(series, x, y, m):
+    """A GCJ-02 offset component from its table; ``m`` has sin, sqrt and abs for
+    the kind of values (columns or arrays)."""
+    poly, harmonics = series
+    monomials = (None, x, y, x * x, y * y, x * y, m.sqrt(m.abs(x)))
+    total = poly[0]
+    for c, v in zip(poly[1:], monomials[1:]):
+        if c:
+            total = v * c + total
+    waves = sum(m.sin((x if var == "x" else y) * (mul / div * math.pi)) * amp for amp, var, mul, div in harmonics)
+    return total + waves * (2.0 / 3.0)
+
+
+def _offset_degrees(lng, lat, m):
+    """(dlng, dlat) in degrees: metres over the ellipsoid's radii of curvature,
+    along the parallel and along the meridian."""
+    x, y = lng - GCJ_ORIGIN[0], lat - GCJ_ORIGIN[1]
+    phi = lat * (math.pi / 180.0)
+    w2 = m.sin(phi) * m.sin(phi) * -GCJ_EE + 1.0
+    normal = m.sqrt(w2) ** -1 * GCJ_AXIS
+    meridian = normal / w2 * (1 - GCJ_EE)
+    to_degrees = 180.0 / math.pi
+    return (_offset_metres(GCJ_EAST, x, y, m) / (normal * m.cos(phi)) * to_degrees,
+            _offset_metres(GCJ_NORTH, x, y, m) / meridian * to_degrees)
 
 
 def gcj_delta(lng, lat) -> Column:
@@ -145,17 +161,8 @@ def gcj_delta(lng, lat) -> Column:
 
     Returns ``struct<dlng:double, dlat:double>``; GCJ = WGS + delta.
     """
-    lng, lat = _c(lng), _c(lat)
-    x = lng - F.lit(105.0)
-    y = lat - F.lit(35.0)
-    d_lat = _transform_lat(x, y)
-    d_lon = _transform_lon(x, y)
-    rad = lat / F.lit(180.0) * F.lit(math.pi)
-    magic = F.lit(1.0) - F.lit(GCJ_EE) * F.sin(rad) * F.sin(rad)
-    sqrt_magic = F.sqrt(magic)
-    d_lat = (d_lat * F.lit(180.0)) / ((F.lit(GCJ_AXIS * (1 - GCJ_EE))) / (magic * sqrt_magic) * F.lit(math.pi))
-    d_lon = (d_lon * F.lit(180.0)) / (F.lit(GCJ_AXIS) / sqrt_magic * F.cos(rad) * F.lit(math.pi))
-    return F.struct(d_lon.alias("dlng"), d_lat.alias("dlat"))
+    east, north = _offset_degrees(_c(lng), _c(lat), F)
+    return F.struct(east.alias("dlng"), north.alias("dlat"))
 
 
 def wgs_to_gcj(lng, lat) -> Column:
@@ -192,27 +199,6 @@ def gcj_to_wgs(lng, lat) -> Column:
 
 # ---- vectorised datum shift (Arrow batches) ------------------------------------------
 
-def _np_delta(lng, lat):
-    import numpy as np
-    x = lng - 105.0
-    y = lat - 35.0
-    pi = math.pi
-    t_lat = (-100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * np.sqrt(np.abs(x))
-             + (20.0 * np.sin(6.0 * x * pi) + 20.0 * np.sin(2.0 * x * pi)) * 2.0 / 3.0
-             + (20.0 * np.sin(y * pi) + 40.0 * np.sin(y / 3.0 * pi)) * 2.0 / 3.0
-             + (160.0 * np.sin(y / 12.0 * pi) + 320.0 * np.sin(y * pi / 30.0)) * 2.0 / 3.0)
-    t_lon = (300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * np.sqrt(np.abs(x))
-             + (20.0 * np.sin(6.0 * x * pi) + 20.0 * np.sin(2.0 * x * pi)) * 2.0 / 3.0
-             + (20.0 * np.sin(x * pi) + 40.0 * np.sin(x / 3.0 * pi)) * 2.0 / 3.0
-             + (150.0 * np.sin(x / 12.0 * pi) + 300.0 * np.sin(x / 30.0 * pi)) * 2.0 / 3.0)
-    rad = lat / 180.0 * pi
-    magic = 1.0 - GCJ_EE * np.sin(rad) * np.sin(rad)
-    sqrt_magic = np.sqrt(magic)
-    d_lat = (t_lat * 180.0) / ((GCJ_AXIS * (1 - GCJ_EE)) / (magic * sqrt_magic) * pi)
-    d_lon = (t_lon * 180.0) / (GCJ_AXIS / sqrt_magic * np.cos(rad) * pi)
-    return d_lon, d_lat
-
-
 def gcj_to_wgs_batch(g_lng, g_lat):
     """C4 on numpy arrays (same iteration and stop rule as ``gcj_to_wgs``)."""
     import numpy as np
@@ -221,7 +207,7 @@ def gcj_to_wgs_batch(g_lng, g_lat):
     w_lng, w_lat = g_lng.copy(), g_lat.copy()
     done = np.zeros(len(g_lng), dtype=bool)
     for i in range(GCJ_MAX_STEPS):
-        d_lng, d_lat = _np_delta(w_lng, w_lat)
+        d_lng, d_lat = _offset_degrees(w_lng, w_lat, np)
         n_lng, n_lat = g_lng - d_lng, g_lat - d_lat
         if i == 0:
             conv = (np.abs(w_lng) <= GCJ_TOLERANCE) & (np.abs(w_lat) <= GCJ_TOLERANCE)

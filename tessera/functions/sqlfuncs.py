@@ -1,10 +1,12 @@
 """SQL functions: the column functions made callable from SQL.
 
 Closed-form functions are registered as Spark SQL functions
-(``CREATE TEMPORARY FUNCTION ... RETURN <expr>``): Catalyst inlines them, so a
-SQL query using them plans exactly like the DataFrame version, in codegen.
-The GCJ-02 inverse (an iteration) is registered as an Arrow-batched pandas
-UDF, like the reference's ``transLon``/``transLat``.
+(``CREATE TEMPORARY FUNCTION ... RETURN <expr>``) from the same SQL text that
+the operators use; Catalyst inlines them, so a SQL query using them plans like
+the DataFrame version. A geometry in SQL is a struct of kind, parts and radius
+(0 but for buffers). All functions give null for a null argument. The GCJ-02
+inverse (an iteration) is an Arrow-batched pandas UDF: ``gcj_to_wgs`` returns
+both coordinates from one run, ``trans_lon`` and ``trans_lat`` one each.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import math
 
 from pyspark.sql import SparkSession
 
+from . import geom as G
 from .crs import MERC_HALF, MERC_R, gcj_to_wgs_batch
 from .geohash import BASE32
 from .tiles import EQUATOR
@@ -34,10 +37,54 @@ def _geohash_expr(precision: int = 8) -> str:
             src, k, n = (qx, j // 2, n_lng) if j % 2 == 0 else (qy, j // 2, n_lat)
             terms.append(f"shiftleft(shiftright({src}, {n - 1 - k}) & 1, {4 - b})")
         chars.append(f"substr('{BASE32}', CAST({' + '.join(terms)} AS INT) + 1, 1)")
-    return "concat(" + ", ".join(chars) + ")"
+    return "IF(lng IS NULL OR lat IS NULL, NULL, concat(" + ", ".join(chars) + "))"
 
 
+GEOMETRY = "STRUCT<kind: STRING, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>, radius: DOUBLE>"
+
+
+def _geometry(kind: str, parts: str, radius: str = "0D") -> str:
+    return f"named_struct('kind', {kind}, 'parts', {parts}, 'radius', {radius})"
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value`` once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+_X, _Y = "{0}.parts[0][0][0].x", "{0}.parts[0][0][0].y"
+_XY = [f.format(p) for p in ("a", "b") for f in (_X, _Y)]
+_VECTORS = ("transform(" + G.segments_sql("g") + ", s -> named_struct('x1', s.x1, 'y1', s.y1, 'dx', s.x2 - s.x1, 'dy', s.y2 - s.y1, "
+            "'l2', IF(s.x1 = s.x2 AND s.y1 = s.y2, 1D, (s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1))))")
+_WITHIN = (f"CASE WHEN g.radius > 0 AND g.kind = 'POINT' THEN sqrt(pow(p.parts[0][0][0].x - g.parts[0][0][0].x, 2) + pow(p.parts[0][0][0].y - g.parts[0][0][0].y, 2)) < g.radius "
+           f"WHEN g.radius > 0 THEN array_min(transform({_VECTORS}, v -> {G.vector_d2_sql(_X.format('p'), _Y.format('p'), 'v')})) < g.radius * g.radius "
+           f"ELSE {_let(G.segments_sql('g'), 'e', G.pip_sql(_X.format('p'), _Y.format('p'), 'e'))} END")
+_BOX = "named_struct('x0', array_min(transform({0}, v -> v.x)), 'y0', array_min(transform({0}, v -> v.y)), 'x1', array_max(transform({0}, v -> v.x)), 'y1', array_max(transform({0}, v -> v.y)))"
+# the envelope covers all vertices, and some vertex or middle of a segment lies inside it
+_COVERS = _let(_BOX.format("flatten(flatten(g.parts))"), "b", "forall(flatten(flatten(p.parts)), v -> v.x >= b.x0 AND v.x <= b.x1 AND v.y >= b.y0 AND v.y <= b.y1) AND ("
+               "exists(flatten(flatten(p.parts)), v -> v.x > b.x0 AND v.x < b.x1 AND v.y > b.y0 AND v.y < b.y1) OR "
+               f"exists({G.segments_sql('p')}, s -> (s.x1 + s.x2) / 2 > b.x0 AND (s.x1 + s.x2) / 2 < b.x1 AND (s.y1 + s.y2) / 2 > b.y0 AND (s.y1 + s.y2) / 2 < b.y1))")
+_RING = "abs(aggregate(" + "IF(size({r}) >= 2, sequence(0, size({r}) - 2), array())" + ", 0D, (a, i) -> a + (get({r}, i).x * get({r}, i + 1).y - get({r}, i + 1).x * get({r}, i).y))) / 2"
+_MERCATOR = ("transform(g.parts, p -> transform(p, r -> transform(r, v -> named_struct("
+             f"'x', v.x * {MERC_HALF!r}D / 180.0D, 'y', ln(tan((90.0D + v.y) * {math.pi!r}D / 360.0D)) * {MERC_R!r}D))))")
+
 FUNCTIONS = {
+    "st_point": ("x DOUBLE, y DOUBLE", GEOMETRY, f"IF(x IS NULL OR y IS NULL, NULL, {_geometry(chr(39) + 'POINT' + chr(39), 'array(array(array(named_struct(' + chr(39) + 'x' + chr(39) + ', x, ' + chr(39) + 'y' + chr(39) + ', y))))')})"),
+    "st_geomfromwkt": ("wkt STRING", GEOMETRY, _let(G.wkt_sql("wkt"), "q", f"IF(q IS NULL, NULL, {_geometry('q.kind', 'q.parts')})")),
+    "st_geomfromtext": ("wkt STRING", GEOMETRY, _let(G.wkt_sql("wkt"), "q", f"IF(q IS NULL, NULL, {_geometry('q.kind', 'q.parts')})")),
+    "st_polygonfromenvelope": ("minx DOUBLE, miny DOUBLE, maxx DOUBLE, maxy DOUBLE", GEOMETRY,
+                               "IF(minx IS NULL OR miny IS NULL OR maxx IS NULL OR maxy IS NULL, NULL, " + _geometry("'POLYGON'", "array(array(array("
+                               + ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))) + ")))") + ")"),
+    "st_transform": (f"g {GEOMETRY}, source STRING, target STRING", GEOMETRY,
+                     f"CASE WHEN g IS NULL OR source IS NULL OR target IS NULL THEN NULL WHEN lower(source) = lower(target) THEN g "
+                     f"WHEN lower(source) = 'epsg:4326' AND lower(target) = 'epsg:3857' THEN {_geometry('g.kind', _MERCATOR, 'g.radius')} "
+                     "ELSE raise_error('st_transform: only epsg:4326 to epsg:3857') END"),
+    "st_buffer": (f"g {GEOMETRY}, r DOUBLE", GEOMETRY, f"IF(g IS NULL OR r IS NULL, NULL, {_geometry('g.kind', 'g.parts', 'g.radius + r')})"),
+    "st_distance": (f"a {GEOMETRY}, b {GEOMETRY}", "DOUBLE", f"sqrt(({_XY[0]} - {_XY[2]}) * ({_XY[0]} - {_XY[2]}) + ({_XY[1]} - {_XY[3]}) * ({_XY[1]} - {_XY[3]}))"),
+    "st_within": (f"p {GEOMETRY}, g {GEOMETRY}", "BOOLEAN", f"IF(p IS NULL OR g IS NULL, NULL, {_WITHIN})"),
+    "st_contains": (f"g {GEOMETRY}, p {GEOMETRY}", "BOOLEAN", f"CASE WHEN p IS NULL OR g IS NULL THEN NULL WHEN p.kind = 'POINT' THEN {_WITHIN} ELSE {_COVERS} END"),
+    "st_area": (f"g {GEOMETRY}", "DOUBLE", f"CASE WHEN g IS NULL THEN NULL WHEN g.kind = 'POINT' THEN {math.pi!r}D * g.radius * g.radius WHEN g.kind NOT LIKE '%POLYGON' THEN 0D ELSE "
+                "aggregate(transform(g.parts, p -> aggregate(slice(p, 2, greatest(size(p) - 1, 0)), " + _RING.format(r="p[0]") + ", (a, r) -> a - " + _RING.format(r="r").replace("(a, i) -> a +", "(c, i) -> c +") + ")), 0D, (a, v) -> a + v) END"),
     "st_mercator_x": ("lng DOUBLE", "DOUBLE", f"lng * {MERC_HALF!r} / 180.0"),
     "st_mercator_y": ("lat DOUBLE", "DOUBLE", f"ln(tan((90.0 + lat) * {math.pi!r} / 360.0)) * {MERC_R!r}"),
     "st_distance_xy": ("x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE", "DOUBLE",
@@ -59,14 +106,23 @@ def register_all(spark: SparkSession) -> list[str]:
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
+    def both(a, b):
+        return gcj_to_wgs_batch(a.to_numpy(dtype="float64", na_value=float("nan")), b.to_numpy(dtype="float64", na_value=float("nan")))
+
+    def _pair(a, b):
+        lng, lat = both(a, b)
+        none = a.isna() | b.isna()
+        return pd.DataFrame({"lng": pd.Series(lng).mask(none.to_numpy()), "lat": pd.Series(lat).mask(none.to_numpy())})
+
     def _lon(a, b):
-        return pd.Series(gcj_to_wgs_batch(a.to_numpy(dtype="float64"), b.to_numpy(dtype="float64"))[0])
+        return _pair(a, b)["lng"]
 
     def _lat(a, b):
-        return pd.Series(gcj_to_wgs_batch(a.to_numpy(dtype="float64"), b.to_numpy(dtype="float64"))[1])
+        return _pair(a, b)["lat"]
 
-    for f in (_lon, _lat):
-        f.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    for f, kind in ((_pair, pd.DataFrame), (_lon, pd.Series), (_lat, pd.Series)):
+        f.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": kind}
+    spark.udf.register("gcj_to_wgs", pandas_udf(_pair, "lng double, lat double"))
     spark.udf.register("trans_lon", pandas_udf(_lon, "double"))
     spark.udf.register("trans_lat", pandas_udf(_lat, "double"))
-    return list(FUNCTIONS) + ["trans_lon", "trans_lat"]
+    return list(FUNCTIONS) + ["gcj_to_wgs", "trans_lon", "trans_lat"]

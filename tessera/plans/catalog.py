@@ -11,18 +11,20 @@ transcendental results are rounded, since engines differ in the last bits.
 
 from __future__ import annotations
 
-import datetime as dt
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import crs, geohash, tiles
+from ..functions import crs, geohash, sqlfuncs, tiles
 from ..functions import geom as G
 from ..functions import timefns as TF
 from ..operators import aggs as A
 from ..operators import filters as P
 from ..operators import raster as R
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources import readers, sinks
 from . import jobs
 
 # ---- fixed values ----------------------------------------------------------------
@@ -490,6 +492,157 @@ def q_shifted_heat_pixels(spark, sf):
     return R.heat_pixels(FX.with_mercator(shifted), ZMIN, ZMAX, region=HEAT_REGION)
 
 
+# ---- sources and sinks: written under the shared checkpoint folder and read back ---------
+
+def _path(spark):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/io/{uuid.uuid4().hex}"
+
+
+def _raw_points(spark, sf):
+    """Point records as a source file has them; every seventh latitude is not a number."""
+    p = FX.points(spark, sf, mercator=False)
+    bad = F.when(F.col("event_id") % 7 == 0, F.lit("n/a")).otherwise(F.col("lat").cast("string"))
+    return p.select("event_id", F.col("lng").cast("string").alias("lng"), bad.alias("lat"), F.col("sys_ms").alias("sysTime"), "company_code")
+
+
+def _rounded(df):
+    return df.select("event_id", F.round("lng", 9).alias("lng"), F.round("lat", 9).alias("lat"), *[c for c in ("sys_ms", "company_code") if c in df.columns])
+
+
+def q_csv_points(spark, sf):
+    """S1, C1, K1."""
+    path = _path(spark)
+    sinks.write_table(_raw_points(spark, sf), path)
+    p = readers.read_points(spark, path, keep=["event_id", "company_code"], mercator=False)
+    return _rounded(p.withColumn("event_id", F.col("event_id").cast("long")))
+
+
+def q_csv_points_by_position(spark, sf):
+    """No header, columns by place, no time."""
+    path = _path(spark)
+    sinks.write_table(_raw_points(spark, sf), path, header=False)
+    p = readers.read_points(spark, path, header=False, lng=1, lat=2, time=None, keep=["_c0"], mercator=False)
+    return _rounded(p.withColumn("event_id", F.col("_c0").cast("long")))
+
+
+def q_csv_points_inferred(spark, sf):
+    """S4."""
+    path = _path(spark)
+    sinks.write_table(_raw_points(spark, sf).drop("lat"), path)
+    d = readers.read_csv(spark, path, infer=True)
+    return d.select(F.col("event_id").cast("long").alias("event_id"), F.round("lng", 9).alias("lng"), F.col("sysTime").cast("long").alias("sys_ms"))
+
+
+def q_shifted_untimed_points(spark, sf):
+    """S2 with the datum shift and the projection."""
+    path = _path(spark)
+    sinks.write_table(_raw_points(spark, sf).filter("event_id % 7 <> 0"), path, sep="\t")
+    p = readers.read_points(spark, path, sep="\t", time=None, keep=["event_id"], gcj_to_wgs=True)
+    return p.select(F.col("event_id").cast("long").alias("event_id"), F.round("lng", 8).alias("lng"), F.round("lat", 8).alias("lat"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+def q_wkt_table(spark, sf):
+    """Delimited text with WKT, every tenth geometry with a bad vertex."""
+    path = _path(spark)
+    r = FX.roads(spark, sf)
+    sinks.write_table(r.select("id", F.when(F.col("id") % 10 == 0, F.lit("LINESTRING (1, 2 3)")).otherwise(F.col("wkt")).alias("geom")), path, sep="|")
+    g = readers.read_wkt_table(spark, path)
+    return g.select(F.col("id").cast("long").alias("id"), F.col("geometry.kind").alias("kind"), F.size(G.vertices(F.col("geometry"))).alias("n_vertices"))
+
+
+def q_text_lines(spark, sf):
+    """K6 with nulls, S6, D10: lines joined and split again, all fields kept."""
+    path = _path(spark)
+    d = _raw_points(spark, sf).select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("company_code")).alias("company_code"), F.col("event_id").alias("again"))
+    sinks.write_table(d, path, fmt="text", sep=";")
+    f = F.col("fields")
+    return readers.read_lines(spark, path, sep=";", skip_header=False).select(F.get(f, 0).cast("long").alias("event_id"), F.get(f, 1).alias("company_code"), F.get(f, 2).cast("long").alias("again"), F.size(f).alias("n_fields"))
+
+
+def q_sorted_text(spark, sf):
+    """Lines sorted by their text; the place of each among all."""
+    path = _path(spark)
+    sinks.write_table(FX.pois(spark, sf, mercator=False).select("name", "objectid"), path, fmt="text", sort_by="name")
+    from pyspark.sql import Window
+    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("i", F.monotonically_increasing_id())
+    return lines.select("value", F.row_number().over(Window.orderBy("file", "i")).cast("long").alias("place"))
+
+
+def _folders(df, column):
+    return df.groupBy(F.col(column).cast("string").alias(column)).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"))
+
+
+def q_month_folders(spark, sf):
+    """K2."""
+    path = _path(spark)
+    sinks.write_table(sinks.regroup_by(_pbm(spark, sf).select("event_id", "sys_ms"), "month"), path, partition_by="month")
+    return _folders(spark.read.option("header", True).csv(path), "month")
+
+
+def q_date_folders(spark, sf):
+    """K3, as JSON (K4)."""
+    path = _path(spark)
+    sinks.write_table(sinks.regroup_by(_pts(spark, sf).select("event_id", "sys_ms"), "date"), path, fmt="json", partition_by=["date"])
+    return _folders(spark.read.json(path), "date")
+
+
+def q_hour_folders(spark, sf):
+    """K3 per hour, tab-separated (K5)."""
+    path = _path(spark)
+    hours = sinks.regroup_by(_pts(spark, sf).filter("event_id % 20 = 0").select("event_id", "sys_ms"), "date_hour")
+    sinks.write_table(hours, path, sep="\t", partition_by="date_hour")
+    return _folders(spark.read.option("header", True).option("sep", "\t").csv(path), "date_hour")
+
+
+def q_year_folders(spark, sf):
+    """K7."""
+    path = _path(spark)
+    sinks.split_by_year(_pbm(spark, sf).select("event_id", "sys_ms"), path)
+    return _folders(spark.read.option("header", True).csv(path), "year")
+
+
+# ---- SQL text: the same joins with the registered geometry functions ---------------------
+
+def _sql_views(spark, sf):
+    sqlfuncs.register_all(spark)
+    pts = jobs.with_date(P.time_range(_pts(spark, sf), START, END, ts_col="ts"))
+    for name, df in (("v_points", pts), ("v_roads", FX.roads(spark, sf)), ("v_pois", FX.pois(spark, sf)), ("v_areas", FX.holed_areas(spark, sf))):
+        df.createOrReplaceTempView(name)
+
+
+def _sql_join(window: str, select: str, where: str, reach: float, size: float, keys: str) -> str:
+    """A cell join in SQL: windows (id, g) by the cells of their reach, points by their cell."""
+    box = "flatten(flatten(g.parts))"
+    lo, hi = f"(array_min(transform({box}, v -> v.{{0}})) - {reach}) / {size}", f"(array_max(transform({box}, v -> v.{{0}})) + {reach}) / {size}"
+    axis = lambda a: f"explode(sequence(CAST(floor({lo.format(a)}) AS BIGINT), CAST(floor({hi.format(a)}) AS BIGINT)))"
+    return f"""WITH w AS ({window}), wx AS (SELECT *, {axis('x')} AS cx FROM w), wc AS (SELECT *, {axis('y')} AS cy FROM wx),
+      pc AS (SELECT *, CAST(floor(x / {size}) AS BIGINT) AS cx, CAST(floor(y / {size}) AS BIGINT) AS cy FROM v_points)
+      SELECT {select} FROM pc JOIN wc ON pc.cx = wc.cx AND pc.cy = wc.cy WHERE {where} GROUP BY {keys}"""
+
+
+def q_sql_road_daily_counts(spark, sf):
+    """J4 in SQL: ST_Within(point, ST_Buffer(line, r))."""
+    _sql_views(spark, sf)
+    return spark.sql(_sql_join("SELECT id, ST_GeomFromWKT(wkt) AS g FROM v_roads", "id, date, count(*) AS count",
+                               f"ST_Within(ST_Point(x, y), ST_Buffer(g, {R_ROAD}D))", R_ROAD, 1000.0, "id, date"))
+
+
+def q_sql_poi_daily_counts(spark, sf):
+    """J6 in SQL: ST_Distance of transformed points, in the box by ST_Contains."""
+    _sql_views(spark, sf)
+    minx, miny, maxx, maxy = REFERENCE_BBOX
+    inside = f"ST_Contains(ST_PolygonFromEnvelope({minx}D, {miny}D, {maxx}D, {maxy}D), ST_Point(lng, lat))"
+    return spark.sql(_sql_join("SELECT objectid, ST_Transform(ST_Point(lng, lat), 'epsg:4326', 'epsg:3857') AS g FROM v_pois", "objectid, date, count(*) AS join_count",
+                               f"{inside} AND ST_Distance(ST_Point(x, y), g) <= {R_POI}", R_POI, R_POI, "objectid, date"))
+
+
+def q_sql_area_daily_counts(spark, sf):
+    """J9's predicate in SQL: ST_Within(point, polygon with a hole), with its ST_Area."""
+    _sql_views(spark, sf)
+    return spark.sql(_sql_join("SELECT id, ST_GeomFromText(wkt) AS g FROM v_areas", "id, date, count(*) AS join_count, max(ST_Area(g)) AS area",
+                               "ST_Within(ST_Point(x, y), g)", 0.0, 1000.0, "id, date"))
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 
 
@@ -814,6 +967,22 @@ def _oracle() -> dict[str, str]:
          AND bool_or((x1 > {cminx} AND x1 < {cmaxx} AND y1 > {cminy} AND y1 < {cmaxy})
                   OR (x2 > {cminx} AND x2 < {cmaxx} AND y2 > {cminy} AND y2 < {cmaxy})
                   OR ((x1 + x2) / 2 > {cminx} AND (x1 + x2) / 2 < {cmaxx} AND (y1 + y2) / 2 > {cminy} AND (y1 + y2) / 2 < {cmaxy}))"""
+    bad = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lat, 9) END AS lat"
+    o["csv_points"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad}, sys_ms, company_code FROM pts"
+    o["csv_points_by_position"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad} FROM pts"
+    o["csv_points_inferred"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, sys_ms FROM pts"
+    o["shifted_untimed_points"] = f"""WITH {PTS}, {_gcj_iter_sql()} SELECT event_id, round(wlng, 8) AS lng, round(wlat, 8) AS lat,
+      round(wlng * 20037508.342789244 / 180.0, 2) AS x, round(ln(tan((90.0 + wlat) * pi() / 360.0)) * 6378137.0, 2) AS y
+      FROM g{crs.GCJ_MAX_STEPS} WHERE event_id % 7 <> 0"""
+    o["wkt_table"] = """SELECT p_partkey AS id, CASE WHEN p_partkey % 10 <> 0 THEN 'LINESTRING' END AS kind,
+      CAST(CASE WHEN p_partkey % 10 <> 0 THEN 5 END AS INTEGER) AS n_vertices FROM part"""
+    o["text_lines"] = f"WITH {PTS} SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN company_code ELSE '' END AS company_code, event_id AS again, 3 AS n_fields FROM pts"
+    o["sorted_text"] = f"WITH {POIS} SELECT name || ',' || CAST(objectid AS VARCHAR) AS value, row_number() OVER (ORDER BY name) AS place FROM pois"
+    for name, cte, key, cond in (("month_folders", PBM, "CAST(mon AS VARCHAR) AS month", "true"), ("date_folders", PTS, "date", "true"),
+                                 ("hour_folders", PTS, "strftime(ts, '%Y-%m-%d-%H') AS date_hour", "event_id % 20 = 0"), ("year_folders", PBM, "CAST(year(ts) AS VARCHAR) AS year", "true")):
+        o[name] = f"WITH {cte} SELECT {key}, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM pts WHERE {cond} GROUP BY 1"
+    o["sql_road_daily_counts"] = o["road_daily_counts_unsorted"]
+    o["sql_poi_daily_counts"] = o["poi_daily_counts"]
     # windows that share places and ids
     shared_pois = POIS.replace("s_suppkey", "s_suppkey % 7").replace("s_suppkey % 7 AS objectid", "s_suppkey AS objectid")
     o["poi_circle_counts_shared"] = f"""WITH {PTS}, {shared_pois} SELECT w.lng AS poi_lng, w.lat AS poi_lat, count(DISTINCT (p.lng, p.lat)) AS n
@@ -865,6 +1034,8 @@ def _oracle() -> dict[str, str]:
     o["polygon_cardinality"] = polys + " SELECT count(*) AS n_windows FROM pw"
     o["polygon_members"] = f"WITH {PTS}, {holed} SELECT DISTINCT w.id, p.lng, p.lat FROM pts p, hw w WHERE {inside}"
     o["area_holed"] = f"WITH {holed} SELECT id, round(area, 3) AS area FROM hw"
+    o["sql_area_daily_counts"] = f"""WITH {PTS}, {holed} SELECT w.id, p.date, count(*) AS join_count, any_value(w.area) AS area FROM pts p, hw w
+      WHERE {_range(START, END, 'p.sys_ms')} AND {inside} GROUP BY 1, 2"""
     utm = _utm_sql(rounded=False)
     net = f"""unet AS (SELECT range AS oid, {UTM_X0} + CAST(range % {UTM_NX} AS DOUBLE) * {UTM_CELL} AS minx, {UTM_Y0} + CAST(range // {UTM_NX} AS DOUBLE) * {UTM_CELL} AS miny FROM range({UTM_NX * UTM_NY}))"""
     in_net = f"u.easting > f.minx AND u.easting < f.minx + {UTM_CELL} AND u.northing > f.miny AND u.northing < f.miny + {UTM_CELL}"

@@ -75,6 +75,34 @@ def test_shapefile_source(spark, tmpdir_path):
     assert r.OID_ == "3" and r.geometry.startswith("POLYGON ((0 0, 0 4") and r.geometry.count("(") == 3
 
 
+def test_shapefile_holes_deleted_rows_and_no_index(spark, tmpdir_path):
+    def ring(x, y, h, hole=False):
+        r = [(x - h, y - h), (x - h, y + h), (x + h, y + h), (x + h, y - h), (x - h, y - h)]
+        return r[::-1] if hole else r
+    # two shells, then the hole of the first one; an island inside a hole has a hole of its own
+    shapes = [[ring(0, 0, 5), ring(20, 0, 5), ring(0, 0, 1, hole=True)], [ring(0, 0, 10), ring(0, 0, 6, hole=True), ring(0, 0, 4), ring(0, 0, 1, hole=True)], [ring(9, 9, 1)]]
+    base = os.path.join(tmpdir_path, "net")
+    write_shp(base, 5, shapes, [("OID_", 4)], [(1,), (2,), (3,)])
+    os.rename(base + ".shx", base + ".gone")
+    with open(base + ".dbf", "r+b") as f:  # the third record is deleted
+        data = f.read()
+        head, size = int.from_bytes(data[8:10], "little"), int.from_bytes(data[10:12], "little")
+        f.seek(head + 2 * size)
+        f.write(b"*")
+    for path in (tmpdir_path, base, base + ".shp"):
+        rows = {r.OID_: r.geometry for r in shapefile.read_shapefile(spark, path).collect()}
+        assert rows.keys() == {"1", "2"}
+        assert rows["1"] == "MULTIPOLYGON (((-5 -5, -5 5, 5 5, 5 -5, -5 -5), (-1 -1, 1 -1, 1 1, -1 1, -1 -1)), ((15 -5, 15 5, 25 5, 25 -5, 15 -5)))"
+        assert rows["2"].count("((") == 2 and "(-10 -10, -10 10, 10 10, 10 -10, -10 -10), (-6 -6" in rows["2"] and "(-4 -4, -4 4, 4 4, 4 -4, -4 -4), (-1 -1" in rows["2"]
+
+
+def test_text_sink_keeps_every_field(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, None, "x"), (2, "b", None)], "id long, tag string, part string")
+    sinks.write_table(df, os.path.join(tmpdir_path, "t"), fmt="text", sep=";", partition_by="part")
+    rows = spark.read.text(os.path.join(tmpdir_path, "t")).collect()
+    assert sorted(r.value for r in rows) == ["1;", "2;b"]
+
+
 def test_sinks_round_trip(spark, tmpdir_path):
     df = spark.createDataFrame([(1, 1704067200000, "a"), (2, 1735689600000, "b"), (3, 1704153600000, "c")],
                                "id long, sys_ms long, tag string")
@@ -105,5 +133,14 @@ def test_sql_functions(spark):
                   "st_distance_xy(0, 0, 3, 4) AS d, tile_x(0.0, 1) AS tx, trans_lon(116.4, 39.9) AS tl").first()
     assert r.g == "u4pruydq" and abs(r.x - 20037508.342789244) < 1e-6 and r.h == 1 and r.d == 5.0 and r.tx == 1
     assert 116.39 < r.tl < 116.4
+    assert spark.sql("SELECT gcj_to_wgs(116.4, 39.9).lng").first()[0] == r.tl
+    null = spark.sql("SELECT geohash8(CAST(NULL AS DOUBLE), 1.0) a, geohash8(1.0, CAST(NULL AS DOUBLE)) b, ST_Point(NULL, 1.0) c, ST_GeomFromWKT('LINESTRING (1, 2 3)') d, "
+                     "ST_Within(NULL, ST_Point(1, 1)) e, ST_Distance(ST_Point(1, 1), NULL) f, gcj_to_wgs(CAST(NULL AS DOUBLE), 1.0).lng g, st_mercator_x(NULL) h, ST_Area(NULL) i").first()
+    assert all(v is None for v in null)
+    geo = spark.sql("SELECT ST_Area(ST_PolygonFromEnvelope(0, 0, 3, 2)) a, ST_Area(ST_Buffer(ST_Point(0, 0), 2)) b, ST_Area(ST_GeomFromText('LINESTRING (0 0, 1 1)')) c, "
+                    "ST_Contains(ST_PolygonFromEnvelope(0, 0, 10, 10), ST_GeomFromWKT('LINESTRING (0 0, 10 10)')) d, ST_Contains(ST_PolygonFromEnvelope(0, 0, 10, 10), ST_GeomFromWKT('LINESTRING (0 0, 10 0)')) e, "
+                    "ST_Within(ST_Point(3, 0), ST_Buffer(ST_Point(0, 0), 3)) f, ST_Within(ST_Point(1, 1), ST_PolygonFromEnvelope(0, 0, 2, 2)) g, "
+                    "ST_Area(ST_GeomFromWKT('MULTIPOLYGON (((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1)), ((5 5, 6 5, 6 6, 5 5)))')) h").first()
+    assert tuple(geo) == (6.0, 12.566370614359172, 0.0, True, False, False, True, 15.5)
     plan = spark.sql("SELECT st_mercator_x(id * 1.0) FROM range(3)")._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
