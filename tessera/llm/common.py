@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: Arrow batches handed to Python hold at most this many rows and bytes.
-ARROW_ROWS, ARROW_BYTES = "2000", str(8 << 20)
+ARROW_ROWS, ARROW_BYTES = "2000", str(4 << 20)
 #: Rows of plain longs (or equally small rows) that may be broadcast: under 32 MB.
 BROADCAST_ROWS = 500_000
 

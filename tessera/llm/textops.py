@@ -89,7 +89,7 @@ def word_keys(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix(total ^ ((end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93)))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 8 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 4 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows and about so many bytes of text; a single
     longer text comes alone."""
     for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from . import textops
 
 #: Cuttings held by a worker's cache; a full one starts anew.
-CACHE = 1_500_000
+CACHE = 800_000
 
 # classes of bytes: other, white space, letter, digit, punctuation, apostrophe
 _O, _W, _L, _N, _P, _A = range(6)
@@ -174,5 +174,5 @@ def encoder(path: str) -> Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int = 0) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """For batches of (doc_id, text): doc_ids, all ids with the end ids, and offsets."""
     own = encoder(path)
-    for batch in textops.sliced(batches, size=4 << 20):
+    for batch in textops.sliced(batches, size=2 << 20):
         yield batch.column(0).to_pylist(), *own.encode(batch.column(1), end)
