@@ -466,6 +466,22 @@ def q_polygon_members(spark, sf):
     return A.join_members(pairs, ["id"], ["lng", "lat"])
 
 
+def q_line_buffer_cover(spark, sf):
+    """G2's shape: per road, points safely within r that lie in a capsule of its buffer
+    (n_inner), that lie in none (n_missed), and points of a capsule beyond r (n_outside).
+    Arcs are inscribed, so the capsule reaches r · cos(pi / 32) at least and r at most."""
+    from ..operators import joins as J
+    pts, roads = _pts(spark, sf).select("event_id", "x", "y"), jobs.with_geom(FX.roads(spark, sf)).select("id", "geom")
+    part = F.explode(G.line_buffer(F.col("geom"), R_ROAD_SMALL)["parts"])
+    capsules = roads.select("id", part.alias("p")).select("id", F.struct(F.lit("POLYGON").alias("kind"), F.array("p").alias("parts")).alias("geom"))
+    covered = J.polygon_join(pts, capsules, boundary=True).select("id", "event_id").distinct().withColumn("covered", F.lit(True))
+    near = J.line_buffer_join(pts, roads, R_ROAD_SMALL).select("id", "event_id", (F.col("distance") < R_ROAD_SMALL * math.cos(math.pi / 32)).alias("inner"))
+    both = near.join(covered, ["id", "event_id"], "full")
+    n = lambda c: F.count(F.when(c, 1))
+    return both.groupBy("id").agg(n(F.col("inner") & F.col("covered").isNotNull()).alias("n_inner"), n(F.col("inner") & F.col("covered").isNull()).alias("n_missed"),
+                                  n(F.col("inner").isNull()).alias("n_outside")).filter("n_inner + n_missed + n_outside > 0")
+
+
 def q_area_holed(spark, sf):
     g = jobs.with_geom(FX.holed_areas(spark, sf))
     return g.select("id", F.round(G.area(F.col("geom")), 3).alias("area"))
@@ -967,6 +983,7 @@ def _oracle() -> dict[str, str]:
          AND bool_or((x1 > {cminx} AND x1 < {cmaxx} AND y1 > {cminy} AND y1 < {cmaxy})
                   OR (x2 > {cminx} AND x2 < {cmaxx} AND y2 > {cminy} AND y2 < {cmaxy})
                   OR ((x1 + x2) / 2 > {cminx} AND (x1 + x2) / 2 < {cmaxx} AND (y1 + y2) / 2 > {cminy} AND (y1 + y2) / 2 < {cmaxy}))"""
+    o["line_buffer_cover"] = road + f" SELECT id, count(*) AS n_inner, 0 AS n_missed, 0 AS n_outside FROM d WHERE dist < {R_ROAD_SMALL * math.cos(math.pi / 32)!r} GROUP BY 1"
     bad = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lat, 9) END AS lat"
     o["csv_points"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad}, sys_ms, company_code FROM pts"
     o["csv_points_by_position"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad} FROM pts"
