@@ -74,14 +74,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measured_bytes(df: DataFrame, segments: str | None = None) -> int:
-    """Upper estimate of a window side's size in memory: 24 bytes a column, texts
-    and binaries by length, 64 bytes for each entry of the ``segments`` array."""
+def measured(df: DataFrame, segments: str | None = None) -> tuple[int, int]:
+    """Upper estimate of a window side's bytes in memory (24 a column, texts and
+    binaries by length, 64 for each entry of the ``segments`` array), and the
+    most segments of a row. One aggregate."""
     wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
     texts = [F.sum(F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))) for c in wide]
-    entries = [F.sum(F.greatest(F.size(segments), F.lit(0)) * F.lit(64))] if segments else []
-    row = df.agg(F.count(F.lit(1)), *texts, *entries).first()
-    return row[0] * 24 * (len(df.columns) + 1) + sum(int(v or 0) for v in row[1:])
+    size = F.greatest(F.size(segments), F.lit(0)) if segments else F.lit(0)
+    rows, most, entries, *lengths = df.agg(F.count(F.lit(1)), F.max(size), F.sum(size), *texts).first()
+    return rows * 24 * (len(df.columns) + 1) + 64 * int(entries or 0) + sum(int(v or 0) for v in lengths), int(most or 0)
 
 
 def salt_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
@@ -124,12 +125,12 @@ def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *, right_bytes
 
 
 def layer_cell_size(df: DataFrame, minx, miny, maxx, maxy, floor: float) -> float:
-    """One cell size for a layer of boxes: the median extent (at least
-    ``floor``), doubled until the boxes' cells are at most CELLS_PER_WINDOW a
-    box on average plus CELLS_FLOOR. One aggregate over the layer."""
-    w, h = _c(maxx) - _c(minx), _c(maxy) - _c(miny)
-    base = df.agg(F.percentile_approx(F.greatest(w, h), 0.5, 1000), F.count(F.lit(1))).first()
-    size, n = max(float(base[0] or 0.0), floor) or 1.0, base[1]
-    steps = [size * 2.0 ** k for k in range(40)]
-    cells = df.agg(*[F.sum((F.floor(w / F.lit(s)) + 2) * (F.floor(h / F.lit(s)) + 2)) for s in steps]).first()
-    return next((s for s, c in zip(steps, cells) if (c or 0) <= CELLS_PER_WINDOW * n + CELLS_FLOOR), steps[-1])
+    """One cell size for a layer of boxes: the smallest power of two that is at
+    least three quarters of the median extent and of ``floor`` and with which the boxes' cells are at
+    most CELLS_PER_WINDOW a box on average plus CELLS_FLOOR. One aggregate."""
+    boxes = df.select((_c(maxx) - _c(minx)).alias("w"), (_c(maxy) - _c(miny)).alias("h"))
+    steps = [2.0 ** k for k in range(-20, 41)]
+    cells = [F.expr(f"sum((w / {s!r}D + 2) * (h / {s!r}D + 2))") for s in steps]
+    median, n, *sums = boxes.agg(F.expr("percentile_approx(greatest(w, h), 0.5D, 1000)"), F.count(F.lit(1)), *cells).first()
+    least = max(float(median or 0.0), floor)
+    return next((s for s, c in zip(steps, sums) if s >= least * 0.75 and (c or 0) <= CELLS_PER_WINDOW * n + CELLS_FLOOR), steps[-1])

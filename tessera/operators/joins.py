@@ -60,7 +60,7 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
         keys.append("_cb")
         widest = windows.agg(F.max(F.floor(F.col(hi) / F.lit(b)) - F.floor(F.col(lo) / F.lit(b)))).first()[0]
         copies *= int(widest or 0) + 1
-    joined = C.cell_join(left, right, keys, right_bytes=copies * (C.measured_bytes(windows) + 72), salt_cols=list(points.columns), **join_opts)
+    joined = C.cell_join(left, right, keys, right_bytes=copies * (C.measured(windows)[0] + 72), salt_cols=list(points.columns), **join_opts)
     dx = F.col(px) - F.col(wx)
     dy = F.col(py) - F.col(wy)
     # cheap box test first, then the exact distance
@@ -93,10 +93,9 @@ def _segment_rows(layer: DataFrame) -> DataFrame:
     return s.withColumns({"_minx": F.least("x1", "x2"), "_miny": F.least("y1", "y2"), "_maxx": F.greatest("x1", "x2"), "_maxy": F.greatest("y1", "y2")})
 
 
-def _flat(cells: DataFrame, segs: str = "_list") -> tuple[DataFrame, bool, int]:
-    """Segments as FLAT plain columns and an array of the rest; whether any row
-    has a rest, and how many columns are used at all."""
-    most = cells.agg(F.max(F.size(segs))).first()[0] or 0
+def _flat(cells: DataFrame, most: int, segs: str = "_list") -> tuple[DataFrame, bool, int]:
+    """Segments as up to FLAT plain columns and an array of the rest; whether any
+    row has a rest, and how many columns are used. ``most``: segments of a row."""
     used = max(1, min(FLAT, most))
     out = cells.withColumns({f"_e{i}": F.get(F.col(segs), F.lit(i)) for i in range(used)})
     out = out.withColumn("_more", F.when(F.size(segs) > FLAT, F.slice(segs, FLAT + 1, F.greatest(F.size(segs) - FLAT, F.lit(1)))))
@@ -129,8 +128,8 @@ def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
     cells = (C.explode_bbox_cells(segs.select("*", one.alias("_one")), *reach, size).groupBy("_wid", "_cx", "_cy")
              .agg(F.collect_list("_one").alias("_list"), F.min(reach[0]).alias("_bx0"), F.min(reach[1]).alias("_by0"), F.max(reach[2]).alias("_bx1"), F.max(reach[3]).alias("_by1")))
     cells = C.written(cells.join(layer.select("_wid", id_col), "_wid"), "line-cells")
-    bytes_ = C.measured_bytes(cells, "_list")
-    right, more, used = _flat(cells)
+    bytes_, most = C.measured(cells, "_list")
+    right, more, used = _flat(cells, most)
     joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
     x, y = F.col(px), F.col(py)
     box = (x >= F.col("_bx0")) & (x <= F.col("_bx1")) & (y >= F.col("_by0")) & (y <= F.col("_by1"))
@@ -187,8 +186,8 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
         cell_size = C.layer_cell_size(boxes, "x0", "y0", "x1", "y1", floor=1e-9)
     size = float(cell_size)
     cells = C.written(polygon_cells(layer, size).join(layer.select(*rest), "_wid"), "polygon-cells")
-    bytes_ = C.measured_bytes(cells, "_list")
-    right, more, used = _flat(cells)
+    bytes_, most = C.measured(cells, "_list")
+    right, more, used = _flat(cells, most)
     joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
     x, y = G.q(px), G.q(py)
     cross = " + ".join(G.crosses_sql(x, y, f"_e{i}") for i in range(used))
