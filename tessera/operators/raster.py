@@ -112,6 +112,8 @@ def line_pixels(lines: DataFrame, min_zoom: int, max_zoom: int, geom_col: str =
     s = s.withColumn("n", F.ceil(F.greatest(F.abs(F.col("gx2") - F.col("gx1")), F.abs(F.col("gy2") - F.col("gy1")))).cast("long"))
     # a long segment is dealt in pieces of BLOCK steps: no array is longer
     s = s.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.lit(BLOCK)))))
+    # pieces, not segments, are dealt over the tasks: a few long lines make most of the steps
+    s = s.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s = s.withColumn("k", F.explode(F.sequence(F.col("b") * F.lit(BLOCK), F.least("n", F.col("b") * F.lit(BLOCK) + F.lit(BLOCK - 1)))))
     gx = F.when(F.col("n") == 0, F.col("gx1")).otherwise(F.col("gx1") + (F.col("gx2") - F.col("gx1")) * F.col("k") / F.col("n"))
     gy = F.when(F.col("n") == 0, F.col("gy1")).otherwise(F.col("gy1") + (F.col("gy2") - F.col("gy1")) * F.col("k") / F.col("n"))
