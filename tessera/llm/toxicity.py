@@ -35,8 +35,8 @@ STEM = (4, 5, 6)
 #: Words on either side of a match that are its window.
 WINDOW = 4
 THRESHOLD = 0.3
-#: Letters of a term from which one edit is allowed; longest word that is matched with edits.
-EDIT_FROM, LONGEST = 5, 24
+#: Letters of a term from which one edit is allowed.
+EDIT_FROM = 5
 
 #: Bytes that part words: ASCII but letters, digits; others belong to words.
 _PARTS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
@@ -58,6 +58,7 @@ class Trie:
 
     def __init__(self, terms: list[str]):
         self.terms, self.children, self.ends = terms, [{}], [-1]
+        self.longest = max(map(len, terms), default=0) + 1  # a longer word is two edits from any term
         for i, term in enumerate(terms):
             node = 0
             for ch in term:
@@ -76,10 +77,10 @@ class Trie:
         for i, w in enumerate(words):
             if w in exact:
                 term[i], best[i] = exact[w], 0
-        fuzzy = np.array([i for i, w in enumerate(words) if best[i] and EDIT_FROM - 1 <= len(w) <= LONGEST], np.int64)
+        fuzzy = np.array([i for i, w in enumerate(words) if best[i] and EDIT_FROM - 1 <= len(w) <= self.longest], np.int64)
         if not len(fuzzy):
             return term, best
-        width = LONGEST + 1
+        width = self.longest + 1
         chars = np.zeros((len(fuzzy), width), np.uint32)
         size = np.zeros(len(fuzzy), np.int64)
         for row, i in enumerate(fuzzy):
