@@ -59,6 +59,31 @@ def test_windows_match_brute_force(spark):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(x) for x, _ in docs if not any(x == y for y, _ in want))
 
 
+def test_documents_shorter_than_an_item(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, [rnd.choice(vocab) for _ in range(n)]) for i, n in enumerate([5, 6, 9, 12, 37, 60])] + [(9, ["same"] * 20), (10, ["a", "b", "c"])]
+    docs = []
+    for _, q in items:
+        docs += [q[:n] for n in range(len(q) + 1)] + [q[n:] for n in range(1, 12)] + [q[:-2] + ["edit"], q[:9] + q[10:]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    want = {}
+    for d, t in docs:
+        for item, q in items:
+            k, w = min(5, len(q)), words(t)
+            bags = [Counter(tuple(x[i: i + k]) for i in range(len(x) - k + 1)) for x in (w, q)]
+            sim = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+            if len(w) <= len(q) and sim >= 0.8:
+                want[d, item] = (0, len(q), sim)
+    assert sum(len(words(docs[d][1])) < n for (d, _), (_, n, _) in want.items()) > 20
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(q)) for i, q in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.annotate(d, b).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[x][:2] == want[x][:2] and got[x][2] == pytest.approx(want[x][2]) for x in want)
+    assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_no_documents_or_items(spark):
     d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
