@@ -1,12 +1,14 @@
 """License scan: notices as token sets, found by an exact set-similarity join.
 
-A text block is a line. A block holds a template when it has at least a share
-``CONTAINMENT`` of the template's distinct words. Template words are ordered
+A template is held where some span of words, twice as long as the template and
+wherever lines break, has at least a share ``CONTAINMENT`` of its distinct words.
+Text blocks are overlapping windows in one of which each such span lies whole
+(or lines, if asked for: then a line as a whole is the span). Template words are ordered
 by how many blocks of the whole corpus have them, rare ones first: a block
 that reaches the share must have one of a template's first words (prefix
 filter), enough words of templates at all (length filter), and enough left at
 or after its place of the shared word (positional filter); what passes is
-counted exactly. Beside it, phrases are found word by word. Everything is
+counted exactly, in windows span by span. Beside it, phrases are found word by word. Everything is
 DataFrame functions, and each template is weighed against each block by this
 join alone.
 """
@@ -56,12 +58,24 @@ def _template_sets() -> list[tuple[int, str, list[str]]]:
     return out
 
 
+def _span(template: int) -> int:
+    return 2 * len(TEMPLATES[template][1].split())
+
+
+#: Words from one window to the next; a window has twice as many.
+_STEP = max(map(_span, range(len(TEMPLATES))))
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _scan(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Per row: row, doc_id, n_words, places of phrases, and each block's distinct template words."""
+def _window(w: Column, block: Column) -> Column:
+    return F.slice(w, block * _STEP + 1, 2 * _STEP)
+
+
+def _scan(docs: DataFrame, vocabulary: list[str], lines: bool) -> DataFrame:
+    """Per row: row, doc_id, key (a hash of the text), n_words, places of phrases, and each block's distinct template words."""
     low = docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
     # only texts in which a phrase may stand are taken apart for places
     maybe = F.col("low").rlike("|".join(_PARTS.join(p.split()) for p in PHRASES))
@@ -73,12 +87,27 @@ def _scan(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
     phrases = F.when(maybe, common.let(_tokens(F.col("low")), lambda w: F.struct(*[starts(p, w).alias(label) for p, label in PHRASES.items()])))
     vocab = _strings(vocabulary)
-    blocks = F.filter(F.transform(F.split("low", "[\n\r]+"), lambda line: F.array_intersect(F.split(line, _PARTS), vocab)), lambda b: F.size(b) > 0)
+    if lines:
+        blocks = F.filter(F.transform(F.split("low", "[\n\r]+"), lambda line: F.array_intersect(F.split(line, _PARTS), vocab)), lambda b: F.size(b) > 0)
+    else:  # none is left out, their places count
+        blocks = common.let(_tokens(F.col("low")), lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / _STEP).cast("int")), lambda c: F.array_intersect(_window(w, c), vocab)))
     n_words = F.regexp_count("low", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
-    return low.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), phrases.alias("phrases"), blocks.alias("blocks"))
+    return low.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("low").alias("key"), n_words.alias("n_words"), phrases.alias("phrases"), blocks.alias("blocks"))
+
+
+def _in_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """``held`` where one span of a template's length has the words needed; n is the most that one has."""
+    held = common.written(held, "held")
+    wanted = common.written(held.groupBy("key").agg(F.collect_set(F.struct("block", "template", "tokens", "span")).alias("spots")), "spots")
+    low = docs.select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    texts = low.withColumn("key", F.xxhash64("low")).join(common.if_small(wanted, 20_000), "key").dropDuplicates(["key"])
+    windows = texts.select("key", "spots", _tokens(F.col("low")).alias("w")).select("key", "w", F.explode("spots").alias("s")).select("key", "s.*", _window(F.col("w"), F.col("s.block")).alias("w"))
+    most = common.let(F.col("w"), lambda w: F.array_max(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.size(F.array_intersect(F.slice(w, i, F.col("span")), F.col("tokens"))))))
+    spans = common.if_small(common.written(windows.select("key", "block", "template", most.alias("n")), "spans"))
+    return held.drop("n").join(spans, ["key", "block", "template"]).filter("n >= needed")
 
 
-def annotate(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def annotate(docs: DataFrame, containment: float = CONTAINMENT, lines: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels, score.
 
@@ -86,13 +115,15 @@ def annotate(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     smallest and largest start (null without any); labels joins the phrases'
     labels and those of templates that a block contains; score is 1 with a
     phrase, else the greatest containment that reaches the threshold, else 0.
+    With ``lines`` a template must stand in one line, as in the SQL; without,
+    notices are found over line breaks and only in spans of their length.
     Null and empty texts have no words and no labels; repeated rows answer
     alike; other columns play no part.
     """
     spark = docs.sparkSession
     sets = _template_sets()
     vocabulary = sorted({t for _, _, s in sets for t in s})
-    scanned = common.written(_scan(docs, vocabulary), "scanned")
+    scanned = common.written(_scan(docs, vocabulary, lines), "scanned")
 
     # the global order of template words, by the blocks that have them; as many rows as there are such words
     counts = dict(scanned.select(F.explode("blocks").alias("b")).select(F.explode("b").alias("token")).groupBy("token").count().collect())
@@ -101,20 +132,22 @@ def annotate(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     for i, label, tokens in sets:
         ordered = sorted(tokens, key=rank.get)
         need = max(1, math.ceil(containment * len(ordered) - 1e-9))
-        whole.append((i, label, ordered, need))
+        whole.append((i, label, ordered, need, _span(i)))
         prefix += [(t, i, place, len(ordered), need, rank[t]) for place, t in enumerate(ordered[: len(ordered) - need + 1])]
     prefixes = F.broadcast(spark.createDataFrame(prefix, "token string, template int, place int, size int, need int, rank int"))
-    templates = F.broadcast(spark.createDataFrame(whole, "template int, label string, tokens array<string>, needed int"))
+    templates = F.broadcast(spark.createDataFrame(whole, "template int, label string, tokens array<string>, needed int, span int"))
     ordered_vocabulary = _strings(sorted(vocabulary, key=rank.get))
     first = _strings(sorted({p[0] for p in prefix}))
 
-    blocks = scanned.select("row", F.posexplode("blocks").alias("block", "b")).filter(F.arrays_overlap("b", first))
-    sorted_blocks = blocks.select("row", "block", F.array_intersect(ordered_vocabulary, "b").alias("b"))  # in the global order
-    shared = sorted_blocks.select("row", "block", "b", F.explode(F.array_intersect("b", first)).alias("token")).join(prefixes, "token")
+    blocks = scanned.select("row", "key", F.posexplode("blocks").alias("block", "b")).filter(F.arrays_overlap("b", first))
+    sorted_blocks = blocks.select("row", "key", "block", F.array_intersect(ordered_vocabulary, "b").alias("b"))  # in the global order
+    shared = sorted_blocks.select("row", "key", "block", "b", F.explode(F.array_intersect("b", first)).alias("token")).join(prefixes, "token")
     left = F.size("b") - F.array_position("b", F.col("token")) + 1
     passed = shared.filter((F.size("b") >= F.col("need")) & (F.least(left, F.col("size") - F.col("place")) + F.least(F.array_position("b", F.col("token")) - 1, F.col("place")) >= F.col("need")))
-    candidates = passed.select("row", "block", "b", "template").distinct().join(templates, "template")
+    candidates = passed.select("row", "key", "block", "b", "template").distinct().join(templates, "template")
     held = candidates.withColumn("n", F.size(F.array_intersect("b", "tokens"))).filter("n >= needed")
+    if not lines:
+        held = _in_spans(docs, held.drop("b"))
     by_row = held.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("n") / F.size("tokens")).alias("held"))
 
     names = list(PHRASES.values())

@@ -16,7 +16,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.annotate(common.table(spark, sf_dir, "documents"))
+    return licenses.annotate(common.table(spark, sf_dir, "documents"), lines=False)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

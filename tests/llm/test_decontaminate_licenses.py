@@ -1,10 +1,12 @@
 import random
 import re
+import tempfile
+import textwrap
 from collections import Counter
 
 import pytest
 
-from tessera.llm import common, decontaminate, licenses
+from tessera.llm import common, decontaminate, licenses, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -135,3 +137,40 @@ def test_license_scan_matches_brute_force(spark):
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.annotate(d).collect()), key=str)
     assert got == sorted(((a, *brute_license(b)) for a, b in data), key=str)
     assert licenses.annotate(d.limit(0)).count() == 0
+
+
+def test_notices_over_line_breaks_and_in_long_lines(spark):
+    rnd = random.Random(8)
+    vocabulary = sorted({t for _, _, s in licenses._template_sets() for t in s})
+    prose = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    wrap = lambda t, width, start: "\n".join(start + x for x in textwrap.wrap(t, width))
+    texts = [None, "", "...", "licensed under cc by\nnc 4.0"]
+    for _, t in licenses.TEMPLATES:
+        texts += [wrap(t, 30, ""), wrap(t, 79, " * "), " ".join(prose(rnd.randrange(300))) + "\n" + wrap(t, 40, "# ") + "\n" + " ".join(prose(90))]
+        scattered = t.split()
+        for at in range(len(scattered) - 1, 0, -1):
+            scattered[at:at] = prose(12)
+        texts.append(" ".join(scattered))
+    texts += [" ".join(prose(n) + licenses.TEMPLATES[6][1].split() + prose(3_000)) for n in range(40, 60)]
+    texts += [" ".join(rnd.choice(vocabulary) if rnd.random() < 0.6 else "x" for _ in range(900)) for _ in range(12)]
+
+    def brute(text):
+        w, labels, best = WORD.findall((text or "").lower()), set(), 0.0
+        labels |= {label for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if w[i: i + len(phrase.split())] == phrase.split()}
+        phrased = bool(labels)
+        for i, label, tokens in licenses._template_sets():
+            span = 2 * len(licenses.TEMPLATES[i][1].split())
+            share = max((len(set(w[a: a + span]) & set(tokens)) for a in range(len(w))), default=0) / len(tokens)
+            if share >= 0.9 - 1e-12:
+                labels.add(label)
+                best = max(best, share)
+        return ",".join(sorted(labels)), 1.0 if phrased else best
+
+    want = {i: brute(t) for i, t in enumerate(texts)}
+    assert all(label in want[4 + 4 * i + j][0].split(",") for i, (label, _) in enumerate(licenses.TEMPLATES) for j in range(3))
+    assert want[3] == ("cc-by-nc", 1.0) and want[4 + 4 * 6 + 3] == ("", 0.0)
+    path = tempfile.mkdtemp(prefix="tessera-test-")
+    rows = [*enumerate(texts), (2, texts[7]), (5, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = queries.op3_license_scan(spark, path).collect()
+    assert sorted((r.doc_id, r.labels, r.score) for r in got) == sorted((i, *brute(t)) for i, t in rows)
