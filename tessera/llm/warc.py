@@ -28,13 +28,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In,
-                                    InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage)
+                                    InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith)
 
+from ..sources.committed import Commit, Written, listed, store
 from . import common
 
 SCHEMA = ("record_type string, record_id string, date string, target_uri string, refers_to string, payload_digest string, content_type string, content_length long, "
@@ -51,10 +51,6 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
 
-def _store(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-
-
 # ---- reading -----------------------------------------------------------------------------
 
 class _Input:
@@ -227,7 +223,7 @@ def _block(row: dict, block: bytes) -> None:
 
 def records(path: str, wanted: Callable[[dict], bool], columns: list[str]) -> Iterator[dict]:
     """Rows of one file's records for which ``wanted`` holds, given their header alone."""
-    fs, name = _store(path)
+    fs, name = store(path)
     need = bool(BLOCK & set(columns))
     size = fs.get_file_info(name).size
     with fs.open_input_file(name) as file:
@@ -280,18 +276,8 @@ class WarcFiles(InputPartition):
 
 def plan_files(path: str, most: int = PARTITION_BYTES) -> list[list[str]]:
     """The archives under ``path`` (a file or a folder), dealt into lists of at most ``most`` bytes, large files alone."""
-    fs, name = _store(path)
-    info = fs.get_file_info(name)
-    if info.type == pa.fs.FileType.File:
-        return [[path]]
-    root = path.rstrip("/")
-    found = []
-    for x in fs.get_file_info(pa.fs.FileSelector(name, recursive=True, allow_not_found=True)):
-        own = x.path[len(name.rstrip("/")) + 1:]
-        if x.type == pa.fs.FileType.File and x.size and not any(p[:1] in "._" for p in own.split("/")) and re.search(r"\.warc(\.gz)?$", own, re.I):
-            found.append((x.size, f"{root}/{own}"))
     out, held = [], most + 1
-    for size, file in sorted(found, reverse=True):
+    for file, size in sorted(listed(path, r"\.warc(\.gz)?$"), key=lambda x: (-x[1], x[0])):
         if held + size > most:
             out.append([])
             held = 0
@@ -356,22 +342,14 @@ def to_member(record: bytes, level: int) -> bytes:
     return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHII", 12, b"sl", 8, length, len(record)) + body + tail
 
 
-@dataclass
-class WarcCommit(WriterCommitMessage):
-    files: list[str]
-
-
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.job = Commit(options["path"], overwrite)
         self.packed = options.get("compression", "gzip").lower() in ("gzip", "gz")
         self.level, self.most = int(options.get("level", 6)), int(options.get("maxFileBytes", FILE_BYTES))
-        self.run = uuid.uuid4().hex
 
     def write(self, iterator):
         context = TaskContext.get()
-        fs, root = _store(self.path)
-        fs.create_dir(f"{root}/_temporary/{self.run}", recursive=True)
         files, out = [], None
         info = {"record_type": "warcinfo", "date": "1970-01-01T00:00:00Z", "content_type": "application/warc-fields", "payload": b"format: WARC File Format 1.1\r\n"}
         try:
@@ -379,8 +357,8 @@ class WarcWriter(DataSourceArrowWriter):
                 columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c in FIELDS or c in ("headers", "http_head", "payload")}
                 for values in zip(*columns.values(), strict=True):
                     if out is None:
-                        files.append(f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files)}-{self.run[:12]}.warc{'.gz' if self.packed else ''}")
-                        out = fs.open_output_stream(f"{root}/_temporary/{self.run}/{files[-1]}", compression=None)
+                        files.append(f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{len(files)}-{self.job.run[:12]}.warc{'.gz' if self.packed else ''}")
+                        out = self.job.open(files[-1])
                         self._put(out, info | {"record_id": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, files[-1])}>"})
                     self._put(out, dict(zip(columns, values, strict=True)))
                     if out.tell() >= self.most:
@@ -389,35 +367,17 @@ class WarcWriter(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
-        return WarcCommit(files)
+        return Written(files)
 
     def _put(self, out, row: dict) -> None:
         record = to_record(row)
         out.write(to_member(record, self.level) if self.packed else record)
 
     def commit(self, messages) -> None:
-        fs, root = _store(self.path)
-        fs.create_dir(root, recursive=True)
-        if self.overwrite:
-            for x in fs.get_file_info(pa.fs.FileSelector(root)):
-                if x.type == pa.fs.FileType.File:
-                    fs.delete_file(x.path)
-        for message in messages:
-            for file in message.files if message else ():
-                fs.move(f"{root}/_temporary/{self.run}/{file}", f"{root}/{file}")
-        self._clear(fs, root)
-        with fs.open_output_stream(f"{root}/_SUCCESS"):
-            pass
+        self.job.commit(messages)
 
     def abort(self, messages) -> None:
-        self._clear(*_store(self.path))
-
-    def _clear(self, fs, root: str) -> None:
-        if fs.get_file_info(f"{root}/_temporary/{self.run}").type == pa.fs.FileType.Directory:
-            fs.delete_dir(f"{root}/_temporary/{self.run}")
-        rest = fs.get_file_info(pa.fs.FileSelector(f"{root}/_temporary", allow_not_found=True))
-        if not rest and fs.get_file_info(f"{root}/_temporary").type == pa.fs.FileType.Directory:
-            fs.delete_dir(f"{root}/_temporary")
+        self.job.abort()
 
 
 class WarcSource(DataSource):
