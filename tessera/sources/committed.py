@@ -24,13 +24,15 @@ def store(path: str) -> tuple[FileSystem, str]:
 def listed(path: str, ending: str) -> list[tuple[str, int]]:
     """(URI, bytes) of the files under ``path`` whose name matches the regular
     expression ``ending``, sorted; hidden files and folders are left out. A
-    path to one file is that file."""
+    path to one file is that file; a path to nothing raises an error."""
     fs, name = store(path)
     info = fs.get_file_info(name)
     if info.type == FileType.File:
         return [(path, info.size)]
+    if info.type == FileType.NotFound:
+        raise FileNotFoundError(path)
     out, root = [], name.rstrip("/")
-    for x in fs.get_file_info(FileSelector(name, recursive=True, allow_not_found=True)):
+    for x in fs.get_file_info(FileSelector(name, recursive=True)):
         own = x.path[len(root) + 1:]
         if x.type == FileType.File and not any(p[:1] in "._" for p in own.split("/")) and re.search(ending, own, re.I):
             out.append((f"{path.rstrip('/')}/{own}", x.size))

@@ -52,10 +52,9 @@ _GEOM = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(_
 
 def _layers(path: str) -> list[dict]:
     """Per ``.shp`` its ``.shx`` and ``.dbf`` (None where absent) and its size."""
-    if not path.lower().endswith(".shp") and not listed(path, r"\.shp$"):
-        fs, name = store(path + ".shp")  # a base name
-        if fs.get_file_info(name).is_file:
-            path += ".shp"
+    if not path.lower().endswith(".shp"):
+        fs, name = store(path + ".shp")
+        path += ".shp" if fs.get_file_info(name).is_file else ""  # a base name
     if path.lower().endswith(".shp"):
         folder = path.rpartition("/")[0]
         all_ = {f[: -4].lower() + f[-4:].lower(): (f, n) for f, n in listed(folder, r"\.(shp|shx|dbf)$")}
