@@ -98,19 +98,20 @@ class _Member:
             at += 4 + n
         return None
 
-    def _more(self, keep: bool = True) -> bool:
+    def _more(self, keep: bool = True, most: int = 0) -> bool:
+        """Inflate some more, ``most`` bytes if over 0."""
         data = self.source.peek(16384 if keep else CHUNK)
         if self.inflate.eof or not data:
             return False
-        got = self.inflate.decompress(data)
-        self.source.skip(len(data) - len(self.inflate.unused_data))
+        got = self.inflate.decompress(data, most)
+        self.source.skip(len(data) - len(self.inflate.unused_data) - len(self.inflate.unconsumed_tail))
         if keep:
             self.out += got
         return True
 
     def until(self, mark: bytes, most: int) -> bytes:
         while (at := self.out.find(mark)) < 0:
-            if len(self.out) > most or not self._more():
+            if len(self.out) > most or not self._more(most=4096):
                 raise ValueError("no end of the header")
         out, self.out = self.out[: at], self.out[at + len(mark):]
         return out
