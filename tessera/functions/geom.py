@@ -279,8 +279,12 @@ def wkt_sql(w: str) -> str:
             f"CASE WHEN forall(flatten(flatten(g.parts)), v -> v.x IS NOT NULL AND v.y IS NOT NULL) THEN g END), 1)")
 
 
-def segments_sql(g: str) -> str:
-    return (f"flatten(transform(flatten({g}.parts), r -> transform("
+def segments_sql(g: str, closed: bool = False) -> str:
+    """The segments of all rings; ``closed`` adds a last one to rings that do not end where they begin."""
+    rings = f"flatten({g}.parts)"
+    if closed:
+        rings = f"transform({rings}, r -> IF(size(r) > 2 AND get(r, 0) <> get(r, size(r) - 1), concat(r, slice(r, 1, 1)), r))"
+    return (f"flatten(transform({rings}, r -> transform("
             f"IF(size(r) >= 2, sequence(0, size(r) - 2), array()), "
             f"i -> named_struct('x1', get(r, i).x, 'y1', get(r, i).y, 'x2', get(r, i + 1).x, 'y2', get(r, i + 1).y))))")
 

@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -74,15 +75,41 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame, segments: str | None = None) -> tuple[int, int]:
-    """Upper estimate of a window side's bytes in memory (24 a column, texts and
-    binaries by length, 64 for each entry of the ``segments`` array), and the
-    most segments of a row. One aggregate."""
-    wide = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
-    texts = [F.sum(F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))) for c in wide]
-    size = F.greatest(F.size(segments), F.lit(0)) if segments else F.lit(0)
-    rows, most, entries, *lengths = df.agg(F.count(F.lit(1)), F.max(size), F.sum(size), *texts).first()
-    return rows * 24 * (len(df.columns) + 1) + 64 * int(entries or 0) + sum(int(v or 0) for v in lengths), int(most or 0)
+def _fixed(t: T.DataType) -> int | None:
+    """Bytes of a value of a type without variable parts, None with them."""
+    if isinstance(t, T.StructType):
+        own = [_fixed(f.dataType) for f in t.fields]
+        return None if None in own else 16 + sum(own)
+    return None if isinstance(t, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.VariantType)) else 8
+
+
+def _bytes_sql(t: T.DataType, e: str, depth: int = 0) -> str:
+    """SQL for about the bytes of a value in memory, nested ones by their entries."""
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return f"(24L + coalesce(octet_length({e}), 0))"
+    if isinstance(t, T.ArrayType):
+        width = _fixed(t.elementType)
+        if width is not None:
+            return f"(24L + {width} * coalesce(greatest(size({e}), 0), 0))"
+        a, x = f"a{depth}", f"x{depth}"
+        return f"coalesce(aggregate({e}, 24L, ({a}, {x}) -> {a} + {_bytes_sql(t.elementType, x, depth + 1)}), 24L)"
+    if isinstance(t, T.MapType):
+        return f"({_bytes_sql(T.ArrayType(t.keyType), f'map_keys({e})', depth)} + {_bytes_sql(T.ArrayType(t.valueType), f'map_values({e})', depth)})"
+    if isinstance(t, T.StructType):
+        return "(24L + " + " + ".join([_bytes_sql(f.dataType, f"{e}.`{f.name}`", depth) for f in t.fields] or ["0"]) + ")"
+    if isinstance(t, T.VariantType):
+        return f"(24L + coalesce(octet_length(to_json({e})), 0))"
+    return "24L"
+
+
+def measured(df: DataFrame, *arrays: str) -> tuple[int, ...]:
+    """Upper estimate of a window side's bytes in memory (24 a column, texts,
+    arrays, structs and maps by what they hold), and the most entries of each of
+    ``arrays``. One aggregate."""
+    sizes = [f"sum({_bytes_sql(f.dataType, '`' + f.name.replace('`', '``') + '`')})" for f in df.schema.fields]
+    most = [F.max(F.size(a)) for a in arrays]
+    rows, *found = df.agg(F.count(F.lit(1)), *most, *[F.expr(s) for s in sizes]).first()
+    return (24 * rows + sum(int(v or 0) for v in found[len(arrays):]), *(max(0, int(v or 0)) for v in found[: len(arrays)]))
 
 
 def salt_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,

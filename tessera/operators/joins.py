@@ -10,7 +10,7 @@ they share; ``_wid`` numbers them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
@@ -18,6 +18,8 @@ from . import cells as C
 
 #: Segments of a window's cell that are plain columns; further ones are an array.
 FLAT = 6
+#: Heights of a cell (see polygon_cells) that are plain columns.
+FLAT_UPS = 2
 
 
 def _renamed(left: DataFrame, right: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
@@ -78,11 +80,11 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
 
 # ---- windows with segments -----------------------------------------------------------
 
-def numbered(windows: DataFrame, geom_col: str = "geom", tag: str = "windows") -> DataFrame:
+def numbered(windows: DataFrame, geom_col: str = "geom", tag: str = "windows", closed: bool = False) -> DataFrame:
     """The window layer as a written table with ``_wid``, a number per feature,
-    and its segments in place of the geometry."""
+    and its segments (``closed``: of closed rings) in place of the geometry."""
     rest = [c for c in windows.columns if c != geom_col]
-    segs = windows.select(*rest, F.expr(G.segments_sql(G.q(geom_col))).alias("_segs"))
+    segs = windows.select(*rest, F.expr(G.segments_sql(G.q(geom_col), closed)).alias("_segs"))
     return C.written(segs.withColumn("_wid", F.monotonically_increasing_id()), tag)
 
 
@@ -143,25 +145,68 @@ def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
     return near.select(*points.columns, id_col, "_wid", F.sqrt("_d2").alias("distance"))
 
 
+def edge_touches(layer: DataFrame, size: float) -> DataFrame:
+    """One row per edge of a polygon and cell that it touches: _wid, _cx, _cy, the edge's
+    ends, _c0 (the first cell that it touches in this row of cells), _top (1 if it passes
+    the row's upper line) and _u1, _u2 (the height of an end that lies in this row, in a
+    cell further right).
+
+    An edge goes through a row of cells in one range of x, found by cutting it at
+    the row's lines; the range is widened by the rounding of that cut.
+    """
+    rows = C.explode_range(_segment_rows(layer), C.cell_index("_miny", size), C.cell_index("_maxy", size), "_cy")
+    rising = F.col("y1") <= F.col("y2")
+    lx, hx = F.when(rising, F.col("x1")).otherwise(F.col("x2")), F.when(rising, F.col("x2")).otherwise(F.col("x1"))
+    low, high = F.col("_cy") * F.lit(float(size)), (F.col("_cy") + 1) * F.lit(float(size))
+    bottom, top = F.greatest(F.col("_miny"), low - F.abs(low) * 1e-15), F.least(F.col("_maxy"), high + F.abs(high) * 1e-15)
+    height = F.col("_maxy") - F.col("_miny")
+    at = lambda y: lx + (y - F.col("_miny")) / height * (hx - lx)
+    a, b = F.when(height == 0, F.col("_minx")).otherwise(at(bottom)), F.when(height == 0, F.col("_maxx")).otherwise(at(top))
+    slack = (F.abs("x1") + F.abs("x2")) * 1e-14
+    first = C.cell_index(F.greatest(F.col("_minx"), F.least(a, b)) - slack, size)
+    last = C.cell_index(F.least(F.col("_maxx"), F.greatest(a, b)) + slack, size)
+    rows = rows.withColumns({"_c0": first, "_c1": last, "_r1": C.cell_index("y1", size), "_r2": C.cell_index("y2", size)})
+    cells = C.explode_range(rows, F.col("_c0"), F.col("_c1"), "_cx")
+    over = (F.col("_r1") > F.col("_cy")) != (F.col("_r2") > F.col("_cy"))
+    up = lambda i: F.when((F.col(f"_r{i}") == F.col("_cy")) & (C.cell_index(f"x{i}", size) > F.col("_cx")), F.col(f"y{i}"))
+    return cells.select("_wid", "_cx", "_cy", "x1", "y1", "x2", "y2", "_c0", F.when(over, 1).otherwise(0).alias("_top"), up(1).alias("_u1"), up(2).alias("_u2"))
+
+
+#: Heights are paired off where a cell has at most so many; more are kept as they are, to the same effect.
+PAIRED = 64
+
+
 def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
     """One row per polygon and cell that can hold inner points: _wid, _cx, _cy,
-    _par (the parity of edges that every point of the cell has to its right)
-    and _list (edges whose crossing depends on the point).
+    _par, _list (edges that touch the cell) and _ups (heights).
 
-    The even-odd test counts edges to the right of a point. For a cell only
-    edges can matter whose height range meets the cell's and that do not lie
-    wholly to its left; those wholly to its right that pass its whole height
-    are met by every point, and only their parity is kept.
+    The even-odd test counts the edges to the right of a point. Those that touch
+    the point's cell are tested one by one. Of the others in the cell's row only
+    those to the right count, and their number's parity is that of
+
+    * _par: those that pass the row's upper line, and
+    * _ups above the point: the ends of touching edges that lie in the row, right
+      of the cell. (At an end that lies there an even number of edges of closed
+      rings meets, each of which either touches the cell or lies to its right.)
+
+    So an edge goes only to cells that it touches, and _par is carried along a row
+    of cells by a running sum over the edges' first cells. Cells between two touched
+    ones are wholly inside or outside by the same sum; inner ones get a row without
+    edges. There are as many rows as touched cells and inner cells, however wide an outline is.
     """
-    s = F.lit(float(size))
-    edges = _segment_rows(layer)
-    first = edges.groupBy("_wid").agg(F.min(C.cell_index("_minx", size)).alias("_c0"))
-    rows = C.explode_range(edges.join(first, "_wid"), F.col("_c0"), C.cell_index("_maxx", size), "_cx")
-    rows = C.explode_range(rows, C.cell_index("_miny", size), C.cell_index("_maxy", size), "_cy")
-    always = ((F.col("_minx") >= (F.col("_cx") + 1) * s) & (F.col("_miny") <= F.col("_cy") * s) & (F.col("_maxy") >= (F.col("_cy") + 1) * s))
-    one = F.struct("x1", "y1", "x2", "y2")
-    cells = rows.groupBy("_wid", "_cx", "_cy").agg((F.sum(F.when(always, 1).otherwise(0)) % 2).cast("int").alias("_par"), F.collect_list(F.when(~always, one)).alias("_list"))
-    return cells.filter((F.col("_par") == 1) | (F.size("_list") > 0))
+    touched = (edge_touches(layer, size).repartition("_wid", "_cy").groupBy("_wid", "_cy", "_cx")
+               .agg((F.sum(F.when(F.col("_cx") == F.col("_c0"), F.col("_top"))) % 2).alias("_here"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_list"),
+                    F.array_sort(F.concat(F.collect_list("_u1"), F.collect_list("_u2"))).alias("_all")))
+    paired = "aggregate(_all, CAST(array() AS array<double>), (a, u) -> IF(size(a) > 0 AND get(a, size(a) - 1) = u, slice(a, 1, size(a) - 1), concat(a, array(u))))"
+    right = Window.partitionBy("_wid", "_cy").orderBy(F.col("_cx").desc())
+    before = F.coalesce(F.sum(F.coalesce("_here", F.lit(0))).over(right.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = touched.select("_wid", "_cy", F.col("_cx").alias("_at"), "_list", F.expr(f"IF(size(_all) <= {PAIRED}, {paired}, _all)").alias("_ups"),
+                           (before % 2).cast("int").alias("_right"), ((before + F.coalesce("_here", F.lit(0))) % 2).cast("int").alias("_run"), F.lead("_cx").over(right).alias("_next"))
+    begin = F.when((F.col("_run") == 1) & F.col("_next").isNotNull(), F.col("_next") + 1).otherwise(F.col("_at"))
+    cells = C.explode_range(cells.withColumn("_begin", begin), F.col("_begin"), F.col("_at"), "_cx")
+    own = F.col("_cx") == F.col("_at")
+    return cells.select("_wid", "_cx", "_cy", F.when(own, F.col("_right")).otherwise(1).alias("_par"), F.when(own, F.col("_list")).otherwise(F.array()).alias("_list"),
+                        F.when(own, F.col("_ups")).otherwise(F.array()).alias("_ups"))
 
 
 def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
@@ -171,13 +216,14 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
     """Pairs (polygon, point) with the point inside the polygon.
 
     ``boundary=False`` is ``ST_Within`` (interior only). A point inside two
-    polygons appears twice (row semantics of the SQL join). Returns the point
-    columns, the polygons' columns but the geometry, and ``_wid``.
+    polygons appears twice (row semantics of the SQL join). Rings are closed, a
+    ``layer`` must have been numbered so. Returns the point columns, the
+    polygons' columns but the geometry, and ``_wid``.
     """
     px, py = point_xy
     if layer is None:
         renamed, mapping = _renamed(points, polygons, right_prefix)
-        layer = numbered(renamed, mapping[geom_col], "polygons")
+        layer = numbered(renamed, mapping[geom_col], "polygons", closed=True)
     rest = [c for c in layer.columns if c != "_segs"]
     if cell_size is None:
         v = F.col("_segs")
@@ -186,11 +232,19 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
         cell_size = C.layer_cell_size(boxes, "x0", "y0", "x1", "y1", floor=1e-9)
     size = float(cell_size)
     cells = C.written(polygon_cells(layer, size).join(layer.select(*rest), "_wid"), "polygon-cells")
-    bytes_, most = C.measured(cells, "_list")
+    bytes_, most, ups = C.measured(cells, "_list", "_ups")
     right, more, used = _flat(cells, most)
+    for i in range(min(ups, FLAT_UPS)):
+        right = right.withColumn(f"_u{i}", F.get("_ups", F.lit(i)))
+    if ups > FLAT_UPS:
+        right = right.withColumn("_ups", F.when(F.size("_ups") > FLAT_UPS, F.slice("_ups", FLAT_UPS + 1, F.greatest(F.size("_ups") - FLAT_UPS, F.lit(1)))))
+    else:
+        right = right.drop("_ups")
     joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
     x, y = G.q(px), G.q(py)
-    cross = " + ".join(G.crosses_sql(x, y, f"_e{i}") for i in range(used))
+    cross = " + ".join([G.crosses_sql(x, y, f"_e{i}") for i in range(used)] + [f"IF(_u{i} > {y}, 1, 0)" for i in range(min(ups, FLAT_UPS))])
+    if ups > FLAT_UPS:
+        cross += f" + IF(_ups IS NULL, 0, size(filter(_ups, u -> u > {y})))"
     on = " OR ".join(G.on_edge_sql(x, y, f"_e{i}") for i in range(used))
     if more:
         cross += f" + aggregate(coalesce(_more, array()), 0, (a, s) -> a + {G.crosses_sql(x, y, 's')})"
@@ -253,7 +307,6 @@ def line_buffer_areas(layer: DataFrame, radius: float, steps: int = 32) -> DataF
 
 
 def _covered(cut: DataFrame, h: float) -> DataFrame:
-    from pyspark.sql import Window
     before = Window.partitionBy("_wid", "_k").orderBy("_l", "_r").rowsBetween(Window.unboundedPreceding, -1)
     own = cut.withColumn("_to", F.max("_r").over(before))
     new = F.greatest(F.lit(0.0), F.col("_r") - F.greatest(F.col("_l"), F.coalesce(F.col("_to"), F.col("_l"))))

@@ -169,7 +169,7 @@ def test_large_polygon_is_not_broadcast(spark):
     wkt = "POLYGON ((" + ", ".join(f"{x:.6f} {y:.6f}" for x, y in [*ring, ring[0]]) + "))"
     df = jobs.with_geom(spark.createDataFrame([(1, wkt)], "poly long, wkt string")).select("poly", "geom")
     pts = rnd_points(9, 2000, -1200, 1200)
-    out = J.polygon_join(spark.createDataFrame(pts, "pid long, x double, y double"), df, cell_size=50.0, broadcast_bytes=8 << 20)
+    out = J.polygon_join(spark.createDataFrame(pts, "pid long, x double, y double"), df, cell_size=50.0, broadcast_bytes=4 << 20)
     assert "_segs" not in out.columns and "geom" not in out.columns
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert {r.pid for r in out.collect()} == {i for i, x, y in pts if math.hypot(x, y) < 1000}
@@ -249,3 +249,90 @@ def test_concave_polygon_interior_cells(spark, cell):
     got = {r.pid for r in J.polygon_join(p, polys, cell_size=cell).collect()}
     want = {i for i, x, y in pts if _py_inside(x, y, ring)}
     assert got == want and len(want) > 300
+
+
+# ---- polygon cells by running parity ---------------------------------------------------
+
+def _wkt(rings):
+    return "POLYGON (" + ", ".join("(" + ", ".join(f"{x!r} {y!r}" for x, y in r) + ")" for r in rings) + ")"
+
+
+def _even_odd(x, y, rings, boundary=False):
+    c, on = False, False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            on |= (x - x1) * (y2 - y1) - (y - y1) * (x2 - x1) == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2)
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                c = not c
+    return (c or on) if boundary else (c and not on)
+
+
+def _random_rings(r, grid):
+    """Rings of any shape, self-crossing and with edges along the lines of cells."""
+    rings = []
+    for _ in range(r.randint(1, 3)):
+        n = r.randint(3, 9)
+        pts = [(r.uniform(-60, 60), r.uniform(-60, 60)) for _ in range(n)]
+        if grid:
+            pts = [(round(x / grid) * grid, round(y / grid) * grid) for x, y in pts]
+        rings.append([*pts, pts[0]])
+    return rings
+
+
+@settings(max_examples=10, deadline=None)
+@given(seed=st.integers(0, 10 ** 6), grid=st.sampled_from([None, 1.0, 8.0]), cell=st.sampled_from([3.7, 8.0, 16.0, 200.0, None]), move=st.sampled_from([0.0, 12_935_000.0]))
+def test_polygon_join_of_any_rings_equals_brute_force(spark, seed, grid, cell, move):
+    r = random.Random(seed)
+    polys = [(i, [[(x + move, y + move) for x, y in ring] for ring in _random_rings(r, grid)]) for i in range(12)]
+    pts = [(i, x + move, y + move) for i, x, y in rnd_points(seed + 1, 250, -70, 70, grid=grid and grid / 2)]
+    pts += [(1000 + k, x, y) for k, (x, y) in enumerate(v for _, rings in polys[:4] for v in rings[0])]
+    df = jobs.with_geom(spark.createDataFrame([(i, _wkt(rings)) for i, rings in polys], "poly long, wkt string")).select("poly", "geom")
+    p = spark.createDataFrame(pts, "pid long, x double, y double")
+    for boundary in (False, True):
+        got = {(x.poly, x.pid) for x in J.polygon_join(p, df, boundary=boundary, cell_size=cell).collect()}
+        assert got == {(i, j) for j, x, y in pts for i, rings in polys if _even_odd(x, y, rings, boundary)}
+
+
+def test_flat_edges_and_open_rings(spark):
+    flat = [[(0.0, 7.999999), (100000.0, 8.000001), (50000.0, 30.0), (0.0, 7.999999)]]  # its edge crosses a line of cells at a slant of 2e-11
+    open_ = "POLYGON ((0 0, 10 0, 10 10, 0 10))"
+    df = jobs.with_geom(spark.createDataFrame([(1, _wkt(flat)), (2, open_)], "poly long, wkt string")).select("poly", "geom")
+    r = random.Random(4)
+    pts = [(i, r.uniform(-100, 100100), 8.0 + r.choice([-1, 1]) * 10.0 ** r.uniform(-7, 1)) for i in range(1500)]
+    p = spark.createDataFrame(pts, "pid long, x double, y double")
+    ring2 = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
+    for cell in (8.0, 64.0):
+        got = {(x.poly, x.pid) for x in J.polygon_join(p, df, cell_size=cell).collect()}
+        assert got == {(i, j) for j, x, y in pts for i, rings in ((1, flat), (2, [ring2])) if _even_odd(x, y, rings)}
+
+
+def test_polygon_cells_are_bounded_by_touched_and_inner_cells(spark):
+    # small squares and one outline of many vertices: an edge goes to the cells it touches, not to all left of it
+    side, n = 10.0, 4000
+    squares = [(i, [[(x, y), (x + side, y), (x + side, y + side), (x, y + side), (x, y)]]) for i in range(2000) for x, y in [((i % 50) * 20.0 + 0.3, (i // 50) * 20.0 + 0.3)]]
+    ring = [(500 + 480 * math.cos(2 * math.pi * k / n) * (1 + 0.01 * (k % 2)), 400 + 390 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    polys = [*squares, (9999, [[*ring, ring[0]]])]
+    layer = J.numbered(jobs.with_geom(spark.createDataFrame([(i, _wkt(r)) for i, r in polys], "poly long, wkt string")).select("poly", "geom"), closed=True)
+    size = 8.0
+    touches = J.edge_touches(layer, size)
+    n_touches, n_cells = touches.count(), touches.select("_wid", "_cx", "_cy").distinct().count()
+    assert n_touches <= 2.2 * (2000 * 4 + n)  # a short edge touches one to four cells
+    cells = J.polygon_cells(layer, size)
+    inner = cells.filter("size(_list) = 0").count()
+    assert cells.count() == n_cells + inner
+    assert inner <= math.pi * 480 * 390 / size ** 2 + 2000 * 4
+    assert cells.select("_wid", "_cx", "_cy").distinct().count() == n_cells + inner
+
+
+def test_measured_counts_nested_columns(spark):
+    from tessera.operators import cells as C
+    ring = "POLYGON ((" + ", ".join(f"{k} {k * k % 97}" for k in range(20_000)) + ", 0 0))"
+    df = jobs.with_geom(spark.createDataFrame([(1, ring, {"a": "x" * 1000}, [["y" * 500], None])], "id long, wkt string, m map<string,string>, l array<array<string>>"))
+    base = C.measured(df.select("id"))[0]
+    assert C.measured(df.select("id", "geom"))[0] - base > 20_000 * 16
+    assert C.measured(df.select("id", "m"))[0] - base > 1000 and C.measured(df.select("id", "l"))[0] - base > 500
+    assert C.measured(df.limit(0), "l") == (0, 0)
+    pts = spark.createDataFrame([(7, 1.0, 1.0)], "pid long, x double, y double")
+    w = df.select("id", "geom", F.lit(0.0).alias("wx"), F.lit(0.0).alias("wy"))
+    wide = J.distance_join(pts, w, 5.0, window_xy=("wx", "wy"), broadcast_bytes=1 << 20)
+    assert "BroadcastHashJoin" not in wide._jdf.queryExecution().executedPlan().toString() and wide.count() == 1
