@@ -7,7 +7,7 @@ unbounded group: member sets are returned as (window, member) rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timefns as TF
@@ -102,8 +102,7 @@ def equal_grid_hourly_counts(df: DataFrame, start, end, envelope, nx: int, ny: i
     Hours without any point emit nothing; every other hour emits every cell,
     zero-filled. The reference tests each hour with open bounds, so a point
     exactly on the hour is dropped (``drop_boundary``). One pass over the
-    points: counts per (hour, cell) become one map per hour, of at most
-    nx × ny entries, and a generator over the cells fills the gaps.
+    points; the counts per (hour, cell) are filled by ``dense_cells``.
     """
     lo, hi = TF.to_ms_literal(start), TF.to_ms_literal(end)
     t = F.col(ms_col)
@@ -114,10 +113,35 @@ def equal_grid_hourly_counts(df: DataFrame, start, end, envelope, nx: int, ny: i
         F.floor(t / F.lit(TF.MS_PER_HOUR)).cast("long").alias("_h"),
         equal_grid_cell(lng, lat, envelope, nx, ny).alias("cell")).filter(F.col("cell").isNotNull())
     counts = pts.groupBy("_h", "cell").agg(F.count(F.lit(1)).alias("n"))
-    hours = counts.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("by_cell"))
-    dense = hours.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx * ny - 1).cast("long"))))
-    return dense.select(TF.ms_to_hour_str(F.col("_h") * F.lit(TF.MS_PER_HOUR)).alias("hour"), "cell",
-                        F.coalesce(F.try_element_at("by_cell", F.col("cell")), F.lit(0)).cast("long").alias("count"))
+    dense = dense_cells(counts, "_h", nx * ny, label=TF.ms_to_hour_str(F.col("_h") * F.lit(TF.MS_PER_HOUR)))
+    return dense.select(F.col("label").alias("hour"), "cell", F.col("n").alias("count"))
+
+
+#: Cells of a group that are filled in one task.
+GAP_BLOCK = 1 << 16
+
+
+def dense_cells(counts: DataFrame, group: str, n_cells: int, label: Column | None = None, block: int = GAP_BLOCK) -> DataFrame:
+    """Counts per (``group``, cell) with a row for every cell 0 to n_cells - 1 of
+    each group that occurs: group, label, cell, n.
+
+    Each present cell emits itself and the gap up to the next present one, found by
+    ``lead``; so the work is linear in the rows that come out. Cells are taken in
+    blocks: a block's first cell is always present (with a count of zero if need
+    be), so a block fills itself and a group of any number of cells is many tasks.
+    """
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_cells - 1) // block).cast("long")))
+    # summed, not distinct: the counts' shuffle is reused instead of a second scan
+    groups = counts.groupBy(group).agg(F.sum("n").alias("_n")).filter("_n > 0")
+    first = groups.select(group, starts.alias("_b")).select(group, (F.col("_b") * block).alias("cell"), F.lit(0).cast("long").alias("n"))
+    both = counts.select(group, F.col("cell").cast("long").alias("cell"), F.col("n").cast("long").alias("n")).unionByName(first)
+    both = both.withColumn("_b", F.floor(F.col("cell") / block).cast("long")).repartition(group, "_b")
+    present = both.groupBy(group, "_b", "cell").agg(F.sum("n").alias("n"))
+    last = F.least((F.col("_b") + 1) * block, F.lit(n_cells)) - 1
+    upto = F.coalesce(F.lead("cell").over(Window.partitionBy(group, "_b").orderBy("cell")) - 1, last)
+    spans = present.select(group, (label if label is not None else F.col(group)).alias("label"), F.col("cell").alias("_at"), "n", upto.alias("_to"))
+    rows = spans.withColumn("cell", F.explode(F.sequence("_at", "_to")))
+    return rows.select(group, "label", "cell", F.when(F.col("cell") == F.col("_at"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"))
 
 
 # ---- join reports (modes 1-6) --------------------------------------------------------
