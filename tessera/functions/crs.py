@@ -128,6 +128,25 @@ def to_utm(lng, lat, zone: int = 50, north: bool = True):
     return x, y
 
 
+def utm_sql(lng: str, lat: str, zone: str, south: str) -> str:
+    """C3 as SQL text: ``struct<x, y>`` in the UTM zone given by SQL fragments for its
+    number and whether it is a southern one."""
+    e2 = WGS84_F * (2 - WGS84_F)
+    ep2 = e2 / (1 - e2)
+    e4, e6 = e2 * e2, e2 * e2 * e2
+    m = (f"{WGS84_A!r}D * ({1 - e2 / 4 - 3 * e4 / 64 - 5 * e6 / 256!r}D * q.phi - {3 * e2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024!r}D * sin(2D * q.phi) "
+         f"+ {15 * e4 / 256 + 45 * e6 / 1024!r}D * sin(4D * q.phi) - {35 * e6 / 3072!r}D * sin(6D * q.phi))")
+    n = f"{WGS84_A!r}D / sqrt(1D - {e2!r}D * sin(q.phi) * sin(q.phi))"
+    east = (f"{UTM_FALSE_EASTING!r}D + {UTM_K0!r}D * w.n * (w.a + (1D - w.t + w.c) * pow(w.a, 3) / 6D "
+            f"+ (5D - 18D * w.t + w.t * w.t + 72D * w.c - {58.0 * ep2!r}D) * pow(w.a, 5) / 120D)")
+    north = (f"{UTM_K0!r}D * (w.m + w.n * sqrt(w.t) * sign(w.phi) * (pow(w.a, 2) / 2D + (5D - w.t + 9D * w.c + 4D * w.c * w.c) * pow(w.a, 4) / 24D "
+             f"+ (61D - 58D * w.t + w.t * w.t + 600D * w.c - {330.0 * ep2!r}D) * pow(w.a, 6) / 720D)) + IF({south}, {UTM_FALSE_NORTHING_SOUTH!r}D, 0D)")
+    inner = (f"named_struct('phi', q.phi, 'n', {n}, 't', tan(q.phi) * tan(q.phi), 'c', {ep2!r}D * cos(q.phi) * cos(q.phi), "
+             f"'a', cos(q.phi) * (q.lam - radians({zone} * 6D - 183D)), 'm', {m})")
+    return (f"element_at(transform(transform(array(named_struct('phi', radians({lat}), 'lam', radians({lng}))), q -> {inner}), "
+            f"w -> named_struct('x', {east}, 'y', {north})), 1)")
+
+
 # ---- GCJ-02 --------------------------------------------------------------------
 
 def _offset_metres(series, x, y, m):
@@ -221,18 +240,24 @@ def gcj_to_wgs_batch(g_lng, g_lat):
     return w_lng, w_lat
 
 
-def gcj_to_wgs_arrow(lng, lat) -> Column:
-    """C4 as an Arrow-batched pandas UDF returning ``struct<lng, lat>``:
-    the iteration runs as numpy over whole batches (no per-row Python)."""
+def gcj_to_wgs_udf():
+    """C4 as an Arrow-batched pandas UDF returning ``struct<lng, lat>``: the
+    iteration runs as numpy over whole batches (no per-row Python). Both are
+    null where one coordinate is."""
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     def _gcj(a, b):
         x, y = gcj_to_wgs_batch(a.to_numpy(dtype="float64", na_value=float("nan")),
                                 b.to_numpy(dtype="float64", na_value=float("nan")))
-        return pd.DataFrame({"lng": x, "lat": y})
+        none = (a.isna() | b.isna()).to_numpy()
+        return pd.DataFrame({"lng": pd.Series(x).mask(none), "lat": pd.Series(y).mask(none)})
 
     # real annotation objects (this module uses postponed annotations)
     _gcj.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.DataFrame}
-    udf = pandas_udf(_gcj, "lng double, lat double")
-    return udf(_c(lng).cast("double"), _c(lat).cast("double"))
+    return pandas_udf(_gcj, "lng double, lat double")
+
+
+def gcj_to_wgs_arrow(lng, lat) -> Column:
+    """C4 of two columns by ``gcj_to_wgs_udf``."""
+    return gcj_to_wgs_udf()(_c(lng).cast("double"), _c(lat).cast("double"))

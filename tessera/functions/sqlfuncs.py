@@ -5,8 +5,10 @@ Closed-form functions are registered as Spark SQL functions
 the operators use; Catalyst inlines them, so a SQL query using them plans like
 the DataFrame version. A geometry in SQL is a struct of kind, parts and radius
 (0 but for buffers). All functions give null for a null argument. The GCJ-02
-inverse (an iteration) is an Arrow-batched pandas UDF: ``gcj_to_wgs`` returns
-both coordinates from one run, ``trans_lon`` and ``trans_lat`` one each.
+inverse (an iteration) is an Arrow-batched pandas UDF, ``gcj_to_wgs``, which returns
+both coordinates; ``trans_lon`` and ``trans_lat`` are its fields, so a query with both
+runs the iteration once. ``cells_of(g, reach, size)`` is a table function: the grid
+cells that a geometry's box, widened by ``reach``, touches, for lateral use.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import SparkSession
 
 from . import geom as G
-from .crs import MERC_HALF, MERC_R, gcj_to_wgs_batch
+from .crs import MERC_HALF, MERC_R, gcj_to_wgs_udf, utm_sql
 from .geohash import BASE32
 from .tiles import EQUATOR
 
@@ -67,6 +69,11 @@ _COVERS = _let(_BOX.format("flatten(flatten(g.parts))"), "b", "forall(flatten(fl
 _RING = "abs(aggregate(" + "IF(size({r}) >= 2, sequence(0, size({r}) - 2), array())" + ", 0D, (a, i) -> a + (get({r}, i).x * get({r}, i + 1).y - get({r}, i + 1).x * get({r}, i).y))) / 2"
 _MERCATOR = ("transform(g.parts, p -> transform(p, r -> transform(r, v -> named_struct("
              f"'x', v.x * {MERC_HALF!r}D / 180.0D, 'y', ln(tan((90.0D + v.y) * {math.pi!r}D / 360.0D)) * {MERC_R!r}D))))")
+_LONLAT = ("transform(g.parts, p -> transform(p, r -> transform(r, v -> named_struct("
+           f"'x', v.x / {MERC_HALF!r}D * 180D, 'y', degrees(2D * atan(exp(v.y / {MERC_R!r}D)) - {math.pi / 2!r}D)))))")
+_UTM = ("transform(g.parts, p -> transform(p, r -> transform(r, v -> "
+        + utm_sql("v.x", "v.y", "CAST(substr(target, 9) AS INT)", "substr(target, 8, 1) = '7'") + ")))")
+_UTM_CODE = "'(?i)^epsg:32[67](0[1-9]|[1-5][0-9]|60)$'"
 
 FUNCTIONS = {
     "st_point": ("x DOUBLE, y DOUBLE", GEOMETRY, f"IF(x IS NULL OR y IS NULL, NULL, {_geometry(chr(39) + 'POINT' + chr(39), 'array(array(array(named_struct(' + chr(39) + 'x' + chr(39) + ', x, ' + chr(39) + 'y' + chr(39) + ', y))))')})"),
@@ -78,7 +85,9 @@ FUNCTIONS = {
     "st_transform": (f"g {GEOMETRY}, source STRING, target STRING", GEOMETRY,
                      f"CASE WHEN g IS NULL OR source IS NULL OR target IS NULL THEN NULL WHEN lower(source) = lower(target) THEN g "
                      f"WHEN lower(source) = 'epsg:4326' AND lower(target) = 'epsg:3857' THEN {_geometry('g.kind', _MERCATOR, 'g.radius')} "
-                     "ELSE raise_error('st_transform: only epsg:4326 to epsg:3857') END"),
+                     f"WHEN lower(source) = 'epsg:3857' AND lower(target) = 'epsg:4326' THEN {_geometry('g.kind', _LONLAT, 'g.radius')} "
+                     f"WHEN lower(source) = 'epsg:4326' AND target RLIKE {_UTM_CODE} THEN {_geometry('g.kind', _UTM, 'g.radius')} "
+                     "ELSE raise_error('st_transform: from epsg:4326 to epsg:3857, epsg:326zz and epsg:327zz (UTM), and from epsg:3857 to epsg:4326') END"),
     "st_buffer": (f"g {GEOMETRY}, r DOUBLE", GEOMETRY, f"IF(g IS NULL OR r IS NULL, NULL, {_geometry('g.kind', 'g.parts', 'g.radius + r')})"),
     "st_distance": (f"a {GEOMETRY}, b {GEOMETRY}", "DOUBLE", f"sqrt(({_XY[0]} - {_XY[2]}) * ({_XY[0]} - {_XY[2]}) + ({_XY[1]} - {_XY[3]}) * ({_XY[1]} - {_XY[3]}))"),
     "st_within": (f"p {GEOMETRY}, g {GEOMETRY}", "BOOLEAN", f"IF(p IS NULL OR g IS NULL, NULL, {_WITHIN})"),
@@ -99,30 +108,22 @@ FUNCTIONS = {
 }
 
 
+_AXIS = "sequence(CAST(floor((array_min(transform(flatten(flatten(g.parts)), v -> v.{0})) - reach) / size) AS BIGINT), CAST(floor((array_max(transform(flatten(flatten(g.parts)), v -> v.{0})) + reach) / size) AS BIGINT))"
+
+#: Table functions: parameters, columns, query.
+TABLE_FUNCTIONS = {
+    "cells_of": (f"g {GEOMETRY}, reach DOUBLE, size DOUBLE", "cx BIGINT, cy BIGINT",
+                 f"SELECT c.cx, c.cy FROM (SELECT explode(flatten(transform({_AXIS.format('x')}, x -> transform({_AXIS.format('y')}, y -> named_struct('cx', x, 'cy', y))))) AS c)"),
+}
+
+
 def register_all(spark: SparkSession) -> list[str]:
     """Register every SQL function in this session; returns their names."""
     for name, (args, ret, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def both(a, b):
-        return gcj_to_wgs_batch(a.to_numpy(dtype="float64", na_value=float("nan")), b.to_numpy(dtype="float64", na_value=float("nan")))
-
-    def _pair(a, b):
-        lng, lat = both(a, b)
-        none = a.isna() | b.isna()
-        return pd.DataFrame({"lng": pd.Series(lng).mask(none.to_numpy()), "lat": pd.Series(lat).mask(none.to_numpy())})
-
-    def _lon(a, b):
-        return _pair(a, b)["lng"]
-
-    def _lat(a, b):
-        return _pair(a, b)["lat"]
-
-    for f, kind in ((_pair, pd.DataFrame), (_lon, pd.Series), (_lat, pd.Series)):
-        f.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": kind}
-    spark.udf.register("gcj_to_wgs", pandas_udf(_pair, "lng double, lat double"))
-    spark.udf.register("trans_lon", pandas_udf(_lon, "double"))
-    spark.udf.register("trans_lat", pandas_udf(_lat, "double"))
-    return list(FUNCTIONS) + ["gcj_to_wgs", "trans_lon", "trans_lat"]
+    for name, (args, columns, body) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE ({columns}) RETURN {body}")
+    spark.udf.register("gcj_to_wgs", gcj_to_wgs_udf())
+    for name, field in (("trans_lon", "lng"), ("trans_lat", "lat")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(lng DOUBLE, lat DOUBLE) RETURNS DOUBLE RETURN gcj_to_wgs(lng, lat).{field}")
+    return [*FUNCTIONS, *TABLE_FUNCTIONS, "gcj_to_wgs", "trans_lon", "trans_lat"]

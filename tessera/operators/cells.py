@@ -133,22 +133,39 @@ def salt_hot_keys(left: DataFrame, right: DataFrame, keys: list[str], hot_rows:
     return lh, rh, keys + ["_salt"]
 
 
-def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *, right_bytes: int,
+HOW = ("inner", "left_semi", "left_anti")
+
+
+def cell_join(left: DataFrame, right: DataFrame, keys: list[str], *, right_bytes: int, how: str = "inner", residual: Column | None = None,
               broadcast_bytes: int = BROADCAST_BYTES, salt: bool = False, hot_rows: int = HOT_ROWS,
               salt_cols: list[str] | None = None) -> DataFrame:
-    """Inner equi-join of point cells (left) with window cells (right).
+    """Equi-join of point cells (left) with window cells (right).
 
     Right is broadcast when its measured size is within the bound (no shuffle
     of the big side, no skew). Otherwise both sides shuffle on the cell and
     adaptive execution splits hot cells at run time; ``salt`` splits them
     beforehand, at the cost of a pass that counts cells, for sessions that run
     without adaptive skew joins.
+
+    ``how`` is inner (candidates, of which the caller keeps those that pass its
+    residual), ``left_semi`` or ``left_anti``. For those two the ``residual`` is
+    part of the join condition, so that Spark leaves a point's candidates at the
+    first window that holds it.
     """
-    if right_bytes <= broadcast_bytes:
-        return left.join(F.broadcast(right), keys, "inner")
-    if salt:
+    if how not in HOW:
+        raise ValueError(f"how must be one of {HOW}")
+    broadcast = right_bytes <= broadcast_bytes
+    if salt and not broadcast:
         left, right, keys = salt_hot_keys(left, right, keys, hot_rows, salt_cols)
-    return left.join(right.hint("merge"), keys, "inner").drop("_salt")
+    right = F.broadcast(right) if broadcast else right.hint("merge")
+    if how == "inner":
+        return left.join(right, keys, "inner").drop("_salt")
+    for k in keys:
+        right = right.withColumnRenamed(k, "_w" + k)
+    on = residual
+    for k in keys:
+        on = (F.col(k) == F.col("_w" + k)) & on
+    return left.join(right, on, how).drop("_salt")
 
 
 def layer_cell_size(df: DataFrame, minx, miny, maxx, maxy, floor: float) -> float:

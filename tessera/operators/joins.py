@@ -1,7 +1,8 @@
 """Spatial joins as cell equi-joins with an exact residual.
 
-All joins are inner (the reference writes no other kind). Points are the big
-side: they are read once and never replicated. Windows (circles, lines,
+Joins are inner, or (``how``) ``left_semi`` and ``left_anti``: the points in some
+window, or in none, without any columns of windows. Points are the big side:
+they are read once and never replicated. Windows (circles, lines,
 polygons) have one row per cell they can match in, with only the segments that
 matter there, so a (window, point) pair arises at most once and nothing has to
 be collapsed. Windows are features: two of them stay two, whatever attributes
@@ -34,7 +35,7 @@ def _renamed(left: DataFrame, right: DataFrame, prefix: str) -> tuple[DataFrame,
 def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
                   point_xy=("x", "y"), window_xy=("x", "y"), inclusive: bool = True,
                   cell_size: float | None = None, right_prefix: str = "w_",
-                  band: dict | None = None, with_distance: bool = True,
+                  band: dict | None = None, with_distance: bool = True, how: str = "inner",
                   **join_opts) -> DataFrame:
     """Pairs (point, window) with planar distance ≤ radius (``< radius`` when
     ``inclusive=False``).
@@ -43,7 +44,7 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
     equi-key, e.g. time: ``dict(point_col='sys_ms', lo='lo_ms', hi='hi_ms',
     bucket=864000000)`` keeps pairs with lo ≤ point_col ≤ hi (both window
     columns). Window columns that clash with point columns get
-    ``right_prefix``.
+    ``right_prefix``. A point with a null coordinate is near no window.
     """
     size = float(cell_size or radius)
     if size < radius:
@@ -62,7 +63,6 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
         keys.append("_cb")
         widest = windows.agg(F.max(F.floor(F.col(hi) / F.lit(b)) - F.floor(F.col(lo) / F.lit(b)))).first()[0]
         copies *= int(widest or 0) + 1
-    joined = C.cell_join(left, right, keys, right_bytes=copies * (C.measured(windows)[0] + 72), salt_cols=list(points.columns), **join_opts)
     dx = F.col(px) - F.col(wx)
     dy = F.col(py) - F.col(wy)
     # cheap box test first, then the exact distance
@@ -72,6 +72,9 @@ def distance_join(points: DataFrame, windows: DataFrame, radius: float, *,
     if band:
         t = F.col(band["point_col"])
         cond = cond & (t >= F.col(mapping[band["lo"]])) & (t <= F.col(mapping[band["hi"]]))
+    joined = C.cell_join(left, right, keys, right_bytes=copies * (C.measured(windows)[0] + 72), how=how, residual=cond, salt_cols=list(points.columns), **join_opts)
+    if how != "inner":
+        return joined.select(*points.columns)
     out = joined.filter(cond).drop(*keys)
     if with_distance:
         out = out.withColumn("distance", dist)
@@ -107,7 +110,7 @@ def _flat(cells: DataFrame, most: int, segs: str = "_list") -> tuple[DataFrame,
 def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
                      point_xy=("x", "y"), id_col: str = "id", geom_col: str = "geom",
                      strict: bool = True, cell_size: float | None = None, layer: DataFrame | None = None,
-                     **join_opts) -> DataFrame:
+                     how: str = "inner", **join_opts) -> DataFrame:
     """Pairs (line, point) with the point inside the r-buffer of the line.
 
     ``strict`` (``ST_Within(point, ST_Buffer(line, r))``) keeps distance < r.
@@ -132,15 +135,18 @@ def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
     cells = C.written(cells.join(layer.select("_wid", id_col), "_wid"), "line-cells")
     bytes_, most = C.measured(cells, "_list")
     right, more, used = _flat(cells, most)
-    joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
     x, y = F.col(px), F.col(py)
     box = (x >= F.col("_bx0")) & (x <= F.col("_bx1")) & (y >= F.col("_by0")) & (y <= F.col("_by1"))
     parts = [G.vector_d2_sql(G.q(px), G.q(py), f"_e{i}") for i in range(used)]
     if more:
         parts.append(f"array_min(transform(_more, s -> {G.vector_d2_sql(G.q(px), G.q(py), 's')}))")
     d2 = F.expr(f"least({', '.join(parts)})" if len(parts) > 1 else parts[0])  # least skips nulls
-    near = joined.filter(box).withColumn("_d2", d2)
     r2 = F.lit(float(radius) * float(radius))
+    joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, how=how, residual=box & ((d2 < r2) if strict else (d2 <= r2)),
+                         salt_cols=list(points.columns), **join_opts)
+    if how != "inner":
+        return joined.select(*points.columns)
+    near = joined.filter(box).withColumn("_d2", d2)
     near = near.filter((F.col("_d2") < r2) if strict else (F.col("_d2") <= r2))
     return near.select(*points.columns, id_col, "_wid", F.sqrt("_d2").alias("distance"))
 
@@ -212,7 +218,7 @@ def polygon_cells(layer: DataFrame, size: float) -> DataFrame:
 def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
                  geom_col: str = "geom", boundary: bool = False,
                  cell_size: float | None = None, right_prefix: str = "w_", layer: DataFrame | None = None,
-                 **join_opts) -> DataFrame:
+                 how: str = "inner", **join_opts) -> DataFrame:
     """Pairs (polygon, point) with the point inside the polygon.
 
     ``boundary=False`` is ``ST_Within`` (interior only). A point inside two
@@ -240,7 +246,6 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
         right = right.withColumn("_ups", F.when(F.size("_ups") > FLAT_UPS, F.slice("_ups", FLAT_UPS + 1, F.greatest(F.size("_ups") - FLAT_UPS, F.lit(1)))))
     else:
         right = right.drop("_ups")
-    joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, salt_cols=list(points.columns), **join_opts)
     x, y = G.q(px), G.q(py)
     cross = " + ".join([G.crosses_sql(x, y, f"_e{i}") for i in range(used)] + [f"IF(_u{i} > {y}, 1, 0)" for i in range(min(ups, FLAT_UPS))])
     if ups > FLAT_UPS:
@@ -251,6 +256,9 @@ def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
         on += f" OR exists(coalesce(_more, array()), s -> {G.on_edge_sql(x, y, 's')})"
     odd = f"(_par + {cross}) % 2 = 1"
     inside = f"({odd}) OR ({on})" if boundary else f"({odd}) AND NOT ({on})"
+    joined = C.cell_join(C.with_point_cell(points, px, py, size), right, ["_cx", "_cy"], right_bytes=bytes_, how=how, residual=F.expr(inside), salt_cols=list(points.columns), **join_opts)
+    if how != "inner":
+        return joined.select(*points.columns)
     return joined.filter(F.expr(inside)).select(*points.columns, *rest)
 
 

@@ -21,10 +21,12 @@ from ..functions import geom as G
 from ..functions import timefns as TF
 from ..operators import aggs as A
 from ..operators import filters as P
+from ..operators import joins as J
+from ..operators import ranking
 from ..operators import raster as R
 from ..session import ensure_checkpoint_dir
 from ..sources import fixtures as FX
-from ..sources import readers, sinks
+from ..sources import readers, shapes, sinks
 from . import jobs
 
 # ---- fixed values ----------------------------------------------------------------
@@ -51,9 +53,12 @@ R_EXPO, R2_EXPO = 400.0, 4500.0
 R_ROAD_SMALL, R_ROAD = 50.0, 200.0
 TOP = 10
 GRID_NX = GRID_NY = 2
+FINE_NX, FINE_NY = 12, 9
 ZOOM = 14                # the reference's configured plot zoom (min = max = 14)
 ZMIN, ZMAX = 14, 16      # heat maps: several zooms in one pass
 SECOND_BOUND = "2024-01-16"
+SECONDS = ("2024-01-05 06:07:08", "2024-01-20 18:19:20")
+SHAPE_BOX = (12940000.0, 4846000.0, 12950000.0, 4852000.0)
 CATEGORIES = ("click", "view")
 UTM_X0, UTM_Y0, UTM_CELL, UTM_NX, UTM_NY = 431000.0, 4409000.0, 1000.0, 26, 22
 HEAT_REGION = (12936000.0, 4842000.0, 12958000.0, 4862000.0)
@@ -87,6 +92,11 @@ def q_time_range(spark, sf):
     return P.time_range(_pbm(spark, sf), YEAR_LO, YEAR_HI, ts_col="ts").select("event_id", "sys_ms")
 
 
+def q_time_range_seconds(spark, sf):
+    """Bounds to the second."""
+    return P.time_range(_pts(spark, sf), *SECONDS, ts_col="ts").select("event_id", "sys_ms")
+
+
 def q_hour_is(spark, sf):
     return P.hour_is(_pts(spark, sf), 8).select("event_id", "sys_ms")
 
@@ -158,6 +168,11 @@ def q_equal_grid_hourly_counts(spark, sf):
     return A.equal_grid_hourly_counts(_pts(spark, sf), START, END, GRID_ENVELOPE, nx=GRID_NX, ny=GRID_NY)
 
 
+def q_fine_grid_hourly_counts(spark, sf):
+    """A3 on a grid most of whose cells are empty in any hour."""
+    return A.equal_grid_hourly_counts(_pts(spark, sf), START, END, GRID_ENVELOPE, nx=FINE_NX, ny=FINE_NY)
+
+
 def q_extent(spark, sf):
     e = A.extent(_pts(spark, sf))
     return e.select(*[F.round(c, 3).alias(c) for c in ("minx", "miny", "maxx", "maxy")], "count")
@@ -229,8 +244,32 @@ def q_pois_near_cases(spark, sf):
     return jobs.pois_near_cases(FX.pois(spark, sf), FX.cases(spark, sf), R2_EXPO)
 
 
+def q_pois_far_from_cases(spark, sf):
+    """J12 the other way: an anti join on circles."""
+    return jobs.pois_near_cases(FX.pois(spark, sf), FX.cases(spark, sf), R2_EXPO, how="left_anti")
+
+
+def q_points_on_roads(spark, sf):
+    """Semi join on line buffers: point records within r of any road."""
+    return jobs.points_off_roads(_pts(spark, sf), FX.roads(spark, sf), R_ROAD_SMALL, how="left_semi").select("event_id", "sys_ms")
+
+
+def q_points_off_roads(spark, sf):
+    """Anti join on line buffers."""
+    return jobs.points_off_roads(_pts(spark, sf), FX.roads(spark, sf), R_ROAD_SMALL).select("event_id", "sys_ms")
+
+
+def q_points_in_areas(spark, sf):
+    """Semi join on polygons: a point in several areas comes once."""
+    return jobs.points_in_areas(_pts(spark, sf), FX.holed_areas(spark, sf)).select("event_id", "sys_ms")
+
+
+def q_points_outside_areas(spark, sf):
+    """Anti join on polygons."""
+    return jobs.points_in_areas(_pts(spark, sf), FX.holed_areas(spark, sf), how="left_anti").select("event_id", "sys_ms")
+
+
 def q_poi_case_distances(spark, sf):
-    from ..operators import joins as J
     p = FX.pois(spark, sf).select("objectid", "x", "y")
     c = FX.cases(spark, sf).select("case_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
     d = J.distance_join(p, c, R2_EXPO, window_xy=("cx", "cy"))
@@ -460,7 +499,6 @@ def q_polygon_cardinality(spark, sf):
 
 
 def q_polygon_members(spark, sf):
-    from ..operators import joins as J
     layer = jobs.with_geom(FX.holed_areas(spark, sf))
     pairs = J.polygon_join(_pts(spark, sf).select("lng", "lat", "x", "y"), layer)
     return A.join_members(pairs, ["id"], ["lng", "lat"])
@@ -470,7 +508,6 @@ def q_line_buffer_cover(spark, sf):
     """G2's shape: per road, points safely within r that lie in a capsule of its buffer
     (n_inner), that lie in none (n_missed), and points of a capsule beyond r (n_outside).
     Arcs are inscribed, so the capsule reaches r · cos(pi / 32) at least and r at most."""
-    from ..operators import joins as J
     pts, roads = _pts(spark, sf).select("event_id", "x", "y"), jobs.with_geom(FX.roads(spark, sf)).select("id", "geom")
     part = F.explode(G.line_buffer(F.col("geom"), R_ROAD_SMALL)["parts"])
     capsules = roads.select("id", part.alias("p")).select("id", F.struct(F.lit("POLYGON").alias("kind"), F.array("p").alias("parts")).alias("geom"))
@@ -550,13 +587,39 @@ def q_csv_points_inferred(spark, sf):
 
 
 def q_shifted_untimed_points(spark, sf):
-    """S2 with the datum shift and the projection."""
+    """S2 with the datum shift and the projection; a bad latitude gives nulls."""
     path = _path(spark)
-    sinks.write_table(_raw_points(spark, sf).filter("event_id % 7 <> 0"), path, sep="\t")
+    sinks.write_table(_raw_points(spark, sf), path, sep="\t")
     p = readers.read_points(spark, path, sep="\t", time=None, keep=["event_id"], gcj_to_wgs=True)
     return p.select(F.col("event_id").cast("long").alias("event_id"), F.round("lng", 8).alias("lng"), F.round("lat", 8).alias("lat"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
+def q_winter_points_headerless(spark, sf):
+    """P5: a headerless file by position, winter months, any area."""
+    path = _path(spark)
+    p = _pbm(spark, sf)
+    sinks.write_table(p.select("event_id", "area_code", "lng", "lat", "sys_ms"), path, header=False)
+    read = readers.read_points(spark, path, header=False, lng=2, lat=3, time=4, keep=["_c0"], mercator=False)
+    return P.season_filter(read, WINTER, None).select(F.col("_c0").cast("long").alias("event_id"), TF.ms_month("sys_ms").alias("month"))
+
+
+def q_shapefile_areas(spark, sf):
+    """Areas with holes written as shapefiles (shells clockwise) and read back."""
+    path = _path(spark)
+    shapes.write_shapes(jobs.with_geom(FX.holed_areas(spark, sf)).select("id", "geom"), path)
+    r = shapes.read_shapes(spark, path)
+    return r.select(F.col("id").cast("long").alias("id"), F.col("geometry").alias("wkt"), "minx", "maxy")
+
+
+def q_shapefile_roads_in_box(spark, sf):
+    """Roads whose box meets another, by predicates that the source answers itself."""
+    path = _path(spark)
+    shapes.write_shapes(jobs.with_geom(FX.roads(spark, sf)).select("id", "geom"), path)
+    x0, y0, x1, y1 = SHAPE_BOX
+    meets = (F.col("minx") <= x1) & (F.col("maxx") >= x0) & (F.col("miny") <= y1) & (F.col("maxy") >= y0)
+    return shapes.read_shapes(spark, path).filter(meets).select(F.col("id").cast("long").alias("id"), F.col("geom.kind").alias("kind"), F.size(G.vertices(F.col("geom"))).alias("n_vertices"))
+
+
 def q_wkt_table(spark, sf):
     """Delimited text with WKT, every tenth geometry with a bad vertex."""
     path = _path(spark)
@@ -579,9 +642,14 @@ def q_sorted_text(spark, sf):
     """Lines sorted by their text; the place of each among all."""
     path = _path(spark)
     sinks.write_table(FX.pois(spark, sf, mercator=False).select("name", "objectid"), path, fmt="text", sort_by="name")
-    from pyspark.sql import Window
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("i", F.monotonically_increasing_id())
-    return lines.select("value", F.row_number().over(Window.orderBy("file", "i")).cast("long").alias("place"))
+    at = F.col("_metadata.file_block_start")  # a large file is read in blocks
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), at.alias("block"), F.monotonically_increasing_id().alias("i"))
+    return ranking.numbered_rows(lines, "file", "block", "i").select("value", "place")
+
+
+def q_numbered_points(spark, sf):
+    """Every point record numbered by time, then event_id."""
+    return ranking.numbered_rows(_pts(spark, sf).select("event_id", "sys_ms"), "sys_ms", F.col("event_id").desc()).select("event_id", "place")
 
 
 def _folders(df, column):
@@ -605,7 +673,7 @@ def q_date_folders(spark, sf):
 def q_hour_folders(spark, sf):
     """K3 per hour, tab-separated (K5)."""
     path = _path(spark)
-    hours = sinks.regroup_by(_pts(spark, sf).filter("event_id % 20 = 0").select("event_id", "sys_ms"), "date_hour")
+    hours = sinks.regroup_by(_pts(spark, sf).select("event_id", "sys_ms"), "date_hour")
     sinks.write_table(hours, path, sep="\t", partition_by="date_hour")
     return _folders(spark.read.option("header", True).option("sep", "\t").csv(path), "date_hour")
 
@@ -628,11 +696,8 @@ def _sql_views(spark, sf):
 
 def _sql_join(window: str, select: str, where: str, reach: float, size: float, keys: str) -> str:
     """A cell join in SQL: windows (id, g) by the cells of their reach, points by their cell."""
-    box = "flatten(flatten(g.parts))"
-    lo, hi = f"(array_min(transform({box}, v -> v.{{0}})) - {reach}) / {size}", f"(array_max(transform({box}, v -> v.{{0}})) + {reach}) / {size}"
-    axis = lambda a: f"explode(sequence(CAST(floor({lo.format(a)}) AS BIGINT), CAST(floor({hi.format(a)}) AS BIGINT)))"
-    return f"""WITH w AS ({window}), wx AS (SELECT *, {axis('x')} AS cx FROM w), wc AS (SELECT *, {axis('y')} AS cy FROM wx),
-      pc AS (SELECT *, CAST(floor(x / {size}) AS BIGINT) AS cx, CAST(floor(y / {size}) AS BIGINT) AS cy FROM v_points)
+    return f"""WITH w AS ({window}), wc AS (SELECT w.*, c.cx, c.cy FROM w, LATERAL cells_of(w.g, {reach}D, {size}D) c),
+      pc AS (SELECT *, CAST(floor(x / {size}D) AS BIGINT) AS cx, CAST(floor(y / {size}D) AS BIGINT) AS cy FROM v_points)
       SELECT {select} FROM pc JOIN wc ON pc.cx = wc.cx AND pc.cy = wc.cy WHERE {where} GROUP BY {keys}"""
 
 
@@ -659,6 +724,19 @@ def q_sql_area_daily_counts(spark, sf):
                                "ST_Within(ST_Point(x, y), g)", 0.0, 1000.0, "id, date"))
 
 
+def q_sql_utm_points(spark, sf):
+    """ST_Transform to UTM zone 50 in SQL."""
+    _sql_views(spark, sf)
+    return spark.sql("""SELECT event_id, round(g.parts[0][0][0].x, 3) AS easting, round(g.parts[0][0][0].y, 3) AS northing
+      FROM (SELECT event_id, ST_Transform(ST_Point(lng, lat), 'epsg:4326', 'epsg:32650') AS g FROM v_points)""")
+
+
+def q_sql_shifted_points(spark, sf):
+    """The datum shift in SQL, both coordinates from one run of the iteration."""
+    _sql_views(spark, sf)
+    return spark.sql("SELECT event_id, round(trans_lon(lng, lat), 8) AS wgs_lng, round(trans_lat(lng, lat), 8) AS wgs_lat FROM v_points")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 
 
@@ -895,6 +973,17 @@ def _oracle() -> dict[str, str]:
       SELECT strftime(make_timestamp(hours.h * 3600000000), '%Y-%m-%d-%H') AS hour, cells.cell,
         CAST(coalesce(c.n, 0) AS BIGINT) AS count
       FROM hours CROSS JOIN cells LEFT JOIN c ON c.h = hours.h AND c.cell = cells.cell"""
+    fdx, fdy = (maxx - minx) / FINE_NX, (maxy - miny) / FINE_NY
+    fine = (f"CAST(least(floor((lng - {minx}) / {fdx}), {FINE_NX - 1}) AS BIGINT) * {FINE_NY}"
+            f" + CAST(least(floor((lat - {miny}) / {fdy}), {FINE_NY - 1}) AS BIGINT)")
+    o["fine_grid_hourly_counts"] = f"""WITH {PTS},
+      c AS (SELECT sys_ms // 3600000 AS h, {fine} AS cell, count(*) AS n FROM pts
+            WHERE {inside} AND {_range(START, END)} AND sys_ms % 3600000 <> 0 GROUP BY 1, 2),
+      hours AS (SELECT DISTINCT h FROM c),
+      cells AS (SELECT range AS cell FROM range({FINE_NX * FINE_NY}))
+      SELECT strftime(make_timestamp(hours.h * 3600000000), '%Y-%m-%d-%H') AS hour, cells.cell,
+        CAST(coalesce(c.n, 0) AS BIGINT) AS count
+      FROM hours CROSS JOIN cells LEFT JOIN c ON c.h = hours.h AND c.cell = cells.cell"""
     o["extent"] = f"""WITH {PTS} SELECT round(min(x), 3) AS minx, round(min(y), 3) AS miny, round(max(x), 3) AS maxx,
       round(max(y), 3) AS maxy, count(*) AS count FROM pts"""
     circle = f"""WITH {PTS}, {POIS},
@@ -931,6 +1020,7 @@ def _oracle() -> dict[str, str]:
         AND p.sys_ms >= w.day_ms - 864000000 AND p.sys_ms <= w.day_ms + 864000000
       GROUP BY 1, 2 ORDER BY 2, 1"""
     o["pois_near_cases"] = f"WITH {POIS}, {CASES}, {near} SELECT DISTINCT objectid FROM near"
+    o["pois_far_from_cases"] = f"WITH {POIS}, {CASES}, {near} SELECT objectid FROM pois WHERE objectid NOT IN (SELECT objectid FROM near)"
     o["poi_case_distances"] = f"""WITH {POIS}, {CASES} SELECT w.objectid, c.case_id,
       round(sqrt((w.x - c.x) * (w.x - c.x) + (w.y - c.y) * (w.y - c.y)), 3) AS distance FROM poism w, casesm c
       WHERE sqrt((w.x - c.x) * (w.x - c.x) + (w.y - c.y) * (w.y - c.y)) <= {R2_EXPO}"""
@@ -990,14 +1080,20 @@ def _oracle() -> dict[str, str]:
     o["csv_points_inferred"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, sys_ms FROM pts"
     o["shifted_untimed_points"] = f"""WITH {PTS}, {_gcj_iter_sql()} SELECT event_id, round(wlng, 8) AS lng, round(wlat, 8) AS lat,
       round(wlng * 20037508.342789244 / 180.0, 2) AS x, round(ln(tan((90.0 + wlat) * pi() / 360.0)) * 6378137.0, 2) AS y
-      FROM g{crs.GCJ_MAX_STEPS} WHERE event_id % 7 <> 0"""
+      FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN wlng END AS wlng, CASE WHEN event_id % 7 <> 0 THEN wlat END AS wlat FROM g{crs.GCJ_MAX_STEPS})"""
     o["wkt_table"] = """SELECT p_partkey AS id, CASE WHEN p_partkey % 10 <> 0 THEN 'LINESTRING' END AS kind,
       CAST(CASE WHEN p_partkey % 10 <> 0 THEN 5 END AS INTEGER) AS n_vertices FROM part"""
     o["text_lines"] = f"WITH {PTS} SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN company_code ELSE '' END AS company_code, event_id AS again, 3 AS n_fields FROM pts"
     o["sorted_text"] = f"WITH {POIS} SELECT name || ',' || CAST(objectid AS VARCHAR) AS value, row_number() OVER (ORDER BY name) AS place FROM pois"
     for name, cte, key, cond in (("month_folders", PBM, "CAST(mon AS VARCHAR) AS month", "true"), ("date_folders", PTS, "date", "true"),
-                                 ("hour_folders", PTS, "strftime(ts, '%Y-%m-%d-%H') AS date_hour", "event_id % 20 = 0"), ("year_folders", PBM, "CAST(year(ts) AS VARCHAR) AS year", "true")):
+                                 ("hour_folders", PTS, "strftime(ts, '%Y-%m-%d-%H') AS date_hour", "true"), ("year_folders", PBM, "CAST(year(ts) AS VARCHAR) AS year", "true")):
         o[name] = f"WITH {cte} SELECT {key}, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM pts WHERE {cond} GROUP BY 1"
+    o["numbered_points"] = f"WITH {PTS} SELECT event_id, row_number() OVER (ORDER BY sys_ms, event_id DESC) AS place FROM pts"
+    o["time_range_seconds"] = f"WITH {PTS} SELECT event_id, sys_ms FROM pts WHERE {_range(*SECONDS)}"
+    winter = ", ".join(map(str, WINTER))
+    o["winter_points_headerless"] = f"WITH {PBM} SELECT event_id, mon AS month FROM pts WHERE mon IN ({winter}) AND sys_ms <> 0"
+    o["sql_utm_points"] = f"SELECT * FROM ({o['to_utm']}) JOIN (WITH {PTS} SELECT event_id FROM pts WHERE {_range(START, END)}) USING (event_id)"
+    o["sql_shifted_points"] = f"SELECT * FROM ({o['gcj_to_wgs']}) JOIN (WITH {PTS} SELECT event_id FROM pts WHERE {_range(START, END)}) USING (event_id)"
     o["sql_road_daily_counts"] = o["road_daily_counts_unsorted"]
     o["sql_poi_daily_counts"] = o["poi_daily_counts"]
     # windows that share places and ids
@@ -1035,6 +1131,9 @@ def _oracle() -> dict[str, str]:
     o["line_top_density"] = lines + f""" SELECT id, wkt, n, area, round(n / area * 1e6, 6) AS density, row_number() OVER (ORDER BY n / area DESC, id, wkt) AS rank
       FROM lw QUALIFY rank <= {TOP}"""
     o["line_top_count"] = lines + f" SELECT id, wkt, n FROM lw ORDER BY n DESC, id, wkt LIMIT {TOP}"
+    near_road = f"SELECT p.event_id FROM pts p, road_segs s WHERE {SEG_DIST} < {R_ROAD_SMALL}"
+    o["points_on_roads"] = f"WITH {PTS}, {ROAD_SEGS} SELECT event_id, sys_ms FROM pts WHERE event_id IN ({near_road})"
+    o["points_off_roads"] = f"WITH {PTS}, {ROAD_SEGS} SELECT event_id, sys_ms FROM pts WHERE event_id NOT IN ({near_road})"
     o["line_cardinality"] = lines + " SELECT count(*) AS n_windows FROM lw"
     o["line_members"] = lines + f" SELECT DISTINCT l.id, l.wkt, d.lng, d.lat FROM lines l JOIN d ON d.fid = l.fid WHERE d.dist < {R_ROAD_SMALL}"
     # polygons with holes of different sizes: a square ring around a centre, its area and its points in closed form
@@ -1049,6 +1148,15 @@ def _oracle() -> dict[str, str]:
       FROM pw QUALIFY rank <= {TOP}"""
     o["polygon_top_count"] = polys + f" SELECT id, wkt, n FROM pw ORDER BY n DESC, id, wkt LIMIT {TOP}"
     o["polygon_cardinality"] = polys + " SELECT count(*) AS n_windows FROM pw"
+    held = f"SELECT p.event_id FROM pts p, hw w WHERE {inside}"
+    o["points_in_areas"] = f"WITH {PTS}, {holed} SELECT event_id, sys_ms FROM pts WHERE event_id IN ({held})"
+    o["points_outside_areas"] = f"WITH {PTS}, {holed} SELECT event_id, sys_ms FROM pts WHERE event_id NOT IN ({held})"
+    turned = holed.replace(" AS wkt,", " AS w0,").replace("FROM harea)", "FROM harea)")
+    shell, hole = [" || ', ' || ".join(vert.format(f"cx {a} {k}", f"cy {b} {k}") for a, b in corners) for k, corners in (("ro", ("--", "-+", "++", "+-", "--")), ("ri", ("--", "+-", "++", "-+", "--")))]
+    o["shapefile_areas"] = f"WITH {turned} SELECT id, 'POLYGON ((' || {shell} || '), (' || {hole} || '))' AS wkt, cx - ro AS minx, cy + ro AS maxy FROM hw"
+    x0, y0, x1, y1 = SHAPE_BOX
+    o["shapefile_roads_in_box"] = f"""WITH {ROAD_SEGS} SELECT id, 'LINESTRING' AS kind, 5 AS n_vertices FROM road_segs GROUP BY id
+      HAVING min(least(x1, x2)) <= {x1} AND max(greatest(x1, x2)) >= {x0} AND min(least(y1, y2)) <= {y1} AND max(greatest(y1, y2)) >= {y0}"""
     o["polygon_members"] = f"WITH {PTS}, {holed} SELECT DISTINCT w.id, p.lng, p.lat FROM pts p, hw w WHERE {inside}"
     o["area_holed"] = f"WITH {holed} SELECT id, round(area, 3) AS area FROM hw"
     o["sql_area_daily_counts"] = f"""WITH {PTS}, {holed} SELECT w.id, p.date, count(*) AS join_count, any_value(w.area) AS area FROM pts p, hw w

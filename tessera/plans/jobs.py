@@ -149,9 +149,24 @@ def pois_near_cases_pairs(pois: DataFrame, cases: DataFrame, radius2: float = RA
     return J.distance_join(p, c, radius2, window_xy=("case_x", "case_y"), with_distance=False, **opts)
 
 
-def pois_near_cases(pois: DataFrame, cases: DataFrame, radius2: float = RADIUS2, **opts) -> DataFrame:
-    """Distinct OBJECTIDs of POIs within radius2 of any case."""
-    return pois_near_cases_pairs(pois, cases, radius2, **opts).select("objectid").distinct()
+def pois_near_cases(pois: DataFrame, cases: DataFrame, radius2: float = RADIUS2, how: str = "left_semi", **opts) -> DataFrame:
+    """OBJECTIDs of POIs within radius2 of any case (``left_anti``: of none).
+
+    A semi join: a POI comes once however many cases are near. OBJECTIDs are a
+    key of the POIs; where they repeat, so do the rows.
+    """
+    c = cases.select(F.col("x").alias("case_x"), F.col("y").alias("case_y"))
+    return J.distance_join(pois.select("objectid", "x", "y"), c, radius2, window_xy=("case_x", "case_y"), with_distance=False, how=how, **opts).select("objectid")
+
+
+def points_off_roads(points: DataFrame, roads: DataFrame, radius: float = RADIUS, how: str = "left_anti", **opts) -> DataFrame:
+    """Point records in no road's r-buffer (``left_semi``: in that of any)."""
+    return J.line_buffer_join(points, roads, radius, layer=road_layer(roads), how=how, **opts)
+
+
+def points_in_areas(points: DataFrame, areas: DataFrame, how: str = "left_semi", **opts) -> DataFrame:
+    """Point records inside some area, each once (``left_anti``: inside none)."""
+    return J.polygon_join(points, with_geom(areas).select("id", "geom"), how=how, **opts)
 
 
 def exposure_counts(points: DataFrame, pois: DataFrame, cases: DataFrame, radius: float = RADIUS,

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import timefns as TF
 
+#: Rows of a written file at most.
+ROWS_PER_FILE = 5_000_000
+
 _UNITS = {
     "year": lambda ms: TF.ms_year(ms).alias("year"),
     "month": lambda ms: TF.ms_month(ms).alias("month"),
@@ -21,13 +24,16 @@ _UNITS = {
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", header: bool = True, sep: str = ",",
-                partition_by=None, mode: str = "overwrite", sort_by=None) -> None:
+                partition_by=None, mode: str = "overwrite", sort_by=None, rows_per_file: int = ROWS_PER_FILE) -> None:
     """K1-K6: write a frame as csv / tsv (``sep``) / json / parquet / text.
 
     ``fmt='text'`` joins the columns with ``sep`` into one line per row (a null
     is an empty field, so every line has every field);
     ``sort_by`` sorts globally first (range-partitioned, so the output files
-    are in order). ``partition_by`` writes one folder per value.
+    are in order). ``partition_by`` writes one folder per value: rows are first
+    rebalanced by these columns, so that a folder's rows meet in one task and
+    adaptive execution splits the tasks of hot folders. There are about as many
+    files as folders and tasks, and none with more than ``rows_per_file`` rows.
     """
     if sort_by is not None:
         df = df.orderBy(*([sort_by] if isinstance(sort_by, str) else sort_by))
@@ -35,7 +41,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", header: bool = True,
     if fmt == "text":
         fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns if c not in parts]
         df = df.select(F.concat_ws(sep, *fields).alias("value"), *parts)
-    w = df.write.mode(mode)
+    if parts and sort_by is None:
+        df = df.hint("rebalance", *parts)
+    w = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     if parts:
         w = w.partitionBy(*parts)
     if fmt == "csv":

@@ -49,6 +49,27 @@ def test_query_matches_oracle(spark, duck, name):
     assert _rows(s_cols, s_rows) == _rows(d_cols, d_rows)
 
 
+#: Reports whose rows come in a fixed order.
+ORDERED = ["road_daily_counts", "poi_daily_counts", "poi_daily_counts_by_date", "exposure_counts", "labeled_area_counts", "counts_per_second", "monthly_sum", "monthly_sum_orders",
+           "density_rank", "top_density", "top_count", "line_density_rank", "line_top_density", "line_top_count", "polygon_density_rank", "polygon_top_density", "polygon_top_count"]
+ORDER_OF = {"exposure_counts": "date, objectid", "labeled_area_counts": "date", "counts_per_second": "date", "monthly_sum": "year, month", "monthly_sum_orders": "year, month",
+            "poi_daily_counts": "date, objectid", "poi_daily_counts_by_date": "date", "road_daily_counts": "date, id",
+            "line_density_rank": "n / area DESC, id, wkt", "polygon_density_rank": "n / area DESC, id, wkt", "line_top_density": "rank", "polygon_top_density": "rank"}
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_order_of_report_rows(spark, duck, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    sql = E.oracle_sql()[name]
+    if name in ORDER_OF:
+        sql = f"SELECT * FROM ({sql}) ORDER BY {ORDER_OF[name]}"
+    else:
+        assert "ORDER BY" in sql[sql.rindex("FROM"):]
+    res = duck.execute(sql)
+    columns = [d[0] for d in res.description]
+    assert [tuple(_norm(r[c]) for c in columns) for r in df.collect()] == [tuple(map(_norm, r)) for r in res.fetchall()]
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["objectid", "date", "join_count"]

@@ -144,3 +144,35 @@ def test_sql_functions(spark):
     assert tuple(geo) == (6.0, 12.566370614359172, 0.0, True, False, False, True, 15.5)
     plan = spark.sql("SELECT st_mercator_x(id * 1.0) FROM range(3)")._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_sql_utm_and_table_function(spark):
+    sqlfuncs.register_all(spark)
+    from tessera.functions import crs
+    df = spark.createDataFrame([(116.3, 39.9), (117.0, -33.5), (119.9, 0.0), (None, 1.0)], "lng double, lat double")
+    df.createOrReplaceTempView("t_utm")
+    for zone, north, code in ((50, True, "epsg:32650"), (50, False, "EPSG:32750"), (51, True, "epsg:32651")):
+        e, n = crs.to_utm("lng", "lat", zone, north)
+        rows = spark.sql(f"SELECT lng, lat, ST_Transform(ST_Point(lng, lat), 'epsg:4326', '{code}').parts[0][0][0] AS p FROM t_utm").withColumns({"e": e, "n": n}).collect()
+        for r in rows[:3]:
+            assert abs(r.p.x - r.e) < 1e-6 and abs(r.p.y - r.n) < 1e-6
+        assert rows[3].p is None
+    back = spark.sql("SELECT ST_Transform(ST_Transform(ST_Point(116.3, 39.9), 'epsg:4326', 'epsg:3857'), 'epsg:3857', 'epsg:4326').parts[0][0][0] AS p").first().p
+    assert abs(back.x - 116.3) < 1e-9 and abs(back.y - 39.9) < 1e-9
+    with pytest.raises(Exception, match="st_transform"):
+        spark.sql("SELECT ST_Transform(ST_Point(1, 1), 'epsg:4326', 'epsg:32661')").collect()
+    cells = spark.sql("SELECT cx, cy FROM cells_of(ST_GeomFromWKT('LINESTRING (0 0, 25 -1)'), 1D, 10D)").collect()
+    assert sorted(map(tuple, cells)) == [(x, y) for x in range(-1, 3) for y in (-1, 0)]
+    spark.createDataFrame([(1, "POINT (5 5)"), (2, None), (3, "POLYGON EMPTY")], "id int, w string").createOrReplaceTempView("t_geo")
+    lateral = spark.sql("SELECT g.id, c.cx FROM (SELECT id, ST_GeomFromWKT(w) AS g FROM t_geo) g, LATERAL cells_of(g.g, 0D, 10D) c")
+    assert [tuple(r) for r in lateral.collect()] == [(1, 0)]
+    plan = lateral._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" in plan
+
+
+def test_sql_shift_runs_once(spark):
+    sqlfuncs.register_all(spark)
+    df = spark.sql("SELECT trans_lon(lng, lat) a, trans_lat(lng, lat) b FROM VALUES (116.3D, 39.9D), (NULL, 1D) AS t(lng, lat)")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    udfs = [x for x in plan.split("ArrowEvalPython [")[1].split("]")[0].split("gcj_to_wgs(") if x]
+    assert len(udfs) == 1 and [tuple(r) for r in df.collect()][1] == (None, None)
