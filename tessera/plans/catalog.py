@@ -20,6 +20,7 @@ from ..functions import crs, geohash, sqlfuncs, tiles
 from ..functions import geom as G
 from ..functions import timefns as TF
 from ..operators import aggs as A
+from ..operators import buffers
 from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import ranking
@@ -519,6 +520,19 @@ def q_line_buffer_cover(spark, sf):
                                   n(F.col("inner").isNull()).alias("n_outside")).filter("n_inner + n_missed + n_outside > 0")
 
 
+def q_dissolved_buffer_cover(spark, sf):
+    """The same of each road's one dissolved outline; a point lies in it or not, so no distinct."""
+    layer = jobs.road_layer(FX.roads(spark, sf))
+    outlines = buffers.dissolved_buffers(layer, R_ROAD_SMALL).join(layer.select("_wid", "id"), "_wid").select("id", F.col("buffer").alias("geom"))
+    pts = _pts(spark, sf).select("event_id", "x", "y")
+    covered = J.polygon_join(pts, outlines, boundary=True).select("id", "event_id", F.lit(True).alias("covered"))
+    near = J.line_buffer_join(pts, jobs.with_geom(FX.roads(spark, sf)).select("id", "geom"), R_ROAD_SMALL).select("id", "event_id", (F.col("distance") < R_ROAD_SMALL * math.cos(math.pi / (4 * buffers.STEPS))).alias("inner"))
+    both = near.join(covered, ["id", "event_id"], "full")
+    n = lambda c: F.count(F.when(c, 1))
+    return both.groupBy("id").agg(n(F.col("inner") & F.col("covered").isNotNull()).alias("n_inner"), n(F.col("inner") & F.col("covered").isNull()).alias("n_missed"),
+                                  n(F.col("inner").isNull()).alias("n_outside")).filter("n_inner + n_missed + n_outside > 0")
+
+
 def q_area_holed(spark, sf):
     g = jobs.with_geom(FX.holed_areas(spark, sf))
     return g.select("id", F.round(G.area(F.col("geom")), 3).alias("area"))
@@ -1075,6 +1089,8 @@ def _oracle() -> dict[str, str]:
                   OR ((x1 + x2) / 2 > {cminx} AND (x1 + x2) / 2 < {cmaxx} AND (y1 + y2) / 2 > {cminy} AND (y1 + y2) / 2 < {cmaxy}))"""
     o["line_buffer_cover"] = road + f" SELECT id, count(*) AS n_inner, 0 AS n_missed, 0 AS n_outside FROM d WHERE dist < {R_ROAD_SMALL * math.cos(math.pi / 32)!r} GROUP BY 1"
     bad = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lat, 9) END AS lat"
+    o["dissolved_buffer_cover"] = road + f" SELECT id, count(*) AS n_inner, 0 AS n_missed, 0 AS n_outside FROM d WHERE dist < {R_ROAD_SMALL * math.cos(math.pi / (4 * buffers.STEPS))!r} GROUP BY 1"
+    bad = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lat, 9) END AS lat"
     o["csv_points"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad}, sys_ms, company_code FROM pts"
     o["csv_points_by_position"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad} FROM pts"
     o["csv_points_inferred"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, sys_ms FROM pts"
