@@ -289,6 +289,26 @@ def q_fishnet_counts(spark, sf):
     return jobs.fishnet_counts(_pts(spark, sf), FX.fishnet(spark), START, END, ts_col="ts")
 
 
+def _streamed(spark, sf):
+    """The points of the batch queries as a stream over the same file, and a run of its own."""
+    from ..streaming import hourly
+    pts = P.time_range(FX.points_from_events(hourly.table_stream(spark, f"{sf.rstrip('/')}/events.parquet"), keep_ts=True), START, END, ts_col="ts")
+    run = uuid.uuid4().hex
+    return pts, run, f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream_tables/{run}"
+
+
+def q_fishnet_daily_counts_stream(spark, sf):
+    from ..streaming import fishnet
+    pts, run, path = _streamed(spark, sf)
+    return fishnet.fishnet_daily_counts(pts, FX.fishnet(spark), run, path)
+
+
+def q_fishnet_counts_stream(spark, sf):
+    from ..streaming import fishnet
+    pts, run, path = _streamed(spark, sf)
+    return fishnet.fishnet_counts(pts, FX.fishnet(spark), run, path, watermark="40 days")
+
+
 def q_regular_fishnet_counts(spark, sf):
     return jobs.regular_fishnet_counts(_pts(spark, sf), FX.FISHNET_X0, FX.FISHNET_Y0, FX.FISHNET_CELL,
                                        FX.FISHNET_NX, FX.FISHNET_NY, START, END, ts_col="ts")
@@ -1047,6 +1067,7 @@ def _oracle() -> dict[str, str]:
       GROUP BY 1, 2"""
     o["fishnet_counts"] = f"""WITH {PTS}, {FISHNET} SELECT f.oid, count(DISTINCT (p.x, p.y)) AS n_points
       FROM pts p, fishnet f WHERE {_range(START, END, 'p.sys_ms')} AND {fish_in} GROUP BY 1"""
+    o["fishnet_daily_counts_stream"], o["fishnet_counts_stream"] = o["fishnet_daily_counts"], o["fishnet_counts"]
     o["regular_fishnet_counts"] = o["fishnet_counts"]
     o["to_utm"] = f"WITH {PTS}, {_utm_sql()}"
     dlng, dlat = _gcj_delta_sql("lng", "lat")

@@ -32,6 +32,12 @@ def event_stream(spark: SparkSession, path: str, like: str | None = None,
     return r.parquet(path)
 
 
+def table_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream one Parquet file or folder. A file stream takes folders and globs only:
+    the path becomes a glob that nothing else matches."""
+    return event_stream(spark, f"{path[:-1]}[{path[-1]}]", like=path, max_files_per_trigger=max_files_per_trigger)
+
+
 def with_event_time(points: DataFrame, ms_col: str = "sys_ms") -> DataFrame:
     """Event-time column (an instant, independent of the session zone)."""
     return points.withColumn("evt", F.timestamp_millis(F.col(ms_col)))
@@ -89,7 +95,7 @@ def count_batches(rows: DataFrame, keys: list[str], name: str, path: str) -> Dat
 def geohash_hourly_counts_stream(spark: SparkSession, sf_dir: str, precision: int = 8,
                                  start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """A1 over the ``events`` table as a bounded stream, in a run of its own."""
-    src = event_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet*", like=f"{sf_dir.rstrip('/')}/events.parquet")
+    src = table_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     pts = points_from_events(src, mercator=False)
     if start_ms is not None:
         pts = pts.filter(F.col("sys_ms") > F.lit(start_ms))
