@@ -620,6 +620,25 @@ def q_csv_points_inferred(spark, sf):
     return d.select(F.col("event_id").cast("long").alias("event_id"), F.round("lng", 9).alias("lng"), F.col("sysTime").cast("long").alias("sys_ms"))
 
 
+def _checked_points(spark, sf):
+    """Point records of which some have a bad latitude, no longitude, a field too many or one too few."""
+    path = _path(spark)
+    r, i = _raw_points(spark, sf), F.col("event_id")
+    text = F.concat_ws(",", i, F.when(i % 17 != 0, F.col("lng")).otherwise(F.lit("")), "lat", "sysTime", F.when(i % 13 != 0, F.col("company_code")))
+    sinks.write_table(r.select(F.when(i % 11 == 0, F.concat(text, F.lit(",more"))).otherwise(text).alias("line")), path, fmt="text")
+    return readers.read_checked(spark, path, "event_id long, lng double, lat double, sys_ms long, company_code string", header=False)
+
+
+def q_csv_points_checked(spark, sf):
+    """S1, S2 with a declared schema: bad records beside good ones."""
+    return _checked_points(spark, sf).select("event_id", F.round("lng", 9).alias("lng"), F.round("lat", 9).alias("lat"), "sys_ms", "company_code", F.col(readers.BAD).isNotNull().alias("is_bad"))
+
+
+def q_csv_points_accounted(spark, sf):
+    """How many records are good, bad, and without a longitude."""
+    return readers.accounted(_checked_points(spark, sf), required=["lng", "company_code"])
+
+
 def q_shifted_untimed_points(spark, sf):
     """S2 with the datum shift and the projection; a bad latitude gives nulls."""
     path = _path(spark)
@@ -1113,6 +1132,14 @@ def _oracle() -> dict[str, str]:
     o["dissolved_buffer_cover"] = road + f" SELECT id, count(*) AS n_inner, 0 AS n_missed, 0 AS n_outside FROM d WHERE dist < {R_ROAD_SMALL * math.cos(math.pi / (4 * buffers.STEPS))!r} GROUP BY 1"
     bad = "CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(lat, 9) END AS lat"
     o["csv_points"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad}, sys_ms, company_code FROM pts"
+    # concat_ws leaves out a null: one field too few; with one too many besides the count is right again
+    short, more = "event_id % 13 = 0", "event_id % 11 = 0"
+    is_bad = f"(event_id % 7 = 0 OR (({short}) <> ({more})))"
+    code = f"CASE WHEN NOT ({short}) THEN company_code WHEN {more} THEN 'more' END"
+    checked = f"""ck AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN round(lng, 9) END AS lng, {bad}, sys_ms, {code} AS company_code, {is_bad} AS is_bad FROM pts)"""
+    o["csv_points_checked"] = f"WITH {PTS}, {checked} SELECT * FROM ck"
+    o["csv_points_accounted"] = f"""WITH {PTS}, {checked} SELECT count(*) AS n_rows, count(*) FILTER (NOT is_bad) AS n_good, count(*) FILTER (is_bad) AS n_bad,
+      count(*) FILTER (NOT is_bad AND lng IS NULL) AS n_no_lng, count(*) FILTER (NOT is_bad AND company_code IS NULL) AS n_no_company_code FROM ck"""
     o["csv_points_by_position"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, {bad} FROM pts"
     o["csv_points_inferred"] = f"WITH {PTS} SELECT event_id, round(lng, 9) AS lng, sys_ms FROM pts"
     o["shifted_untimed_points"] = f"""WITH {PTS}, {_gcj_iter_sql()} SELECT event_id, round(wlng, 8) AS lng, round(wlat, 8) AS lat,

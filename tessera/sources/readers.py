@@ -25,6 +25,38 @@ def read_csv(spark: SparkSession, path, header: bool = True, sep: str = ",",
     return r.csv(path)
 
 
+#: Column with the whole text of a record that its declared schema does not fit.
+BAD = "_bad"
+
+
+def _whole_lines(spark: SparkSession, path, header: bool) -> DataFrame:
+    """``line``: the records as they stand. Spark's own CSV reader drops the header line of
+    every file (it knows where each file starts), reading each whole line as one field."""
+    return spark.read.option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000").option("header", header).csv(path).toDF("line")
+
+
+def read_checked(spark: SparkSession, path, schema: str, header: bool = True, sep: str = ",", bad: str = BAD) -> DataFrame:
+    """S1/S2 with a declared schema: typed columns, and ``bad`` with the record's text
+    where a value is not of its type or there are too few or too many fields.
+
+    Bad records stay in the result, with the fields that could be read; nothing is
+    dropped and nothing stops the job. A record is one line. It is parsed whole
+    (``from_csv``) whatever columns a query asks for: the file reader would parse
+    those alone, and call a record bad or not accordingly.
+    """
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    parsed = F.from_csv("line", f"{schema}, `{bad}` string", options)
+    return _whole_lines(spark, path, header).select(parsed.alias("r")).select("r.*")
+
+
+def accounted(df: DataFrame, required=(), bad: str = BAD) -> DataFrame:
+    """One row about records read by ``read_checked``: n_rows, n_good, n_bad, and for each
+    ``required`` column n_no_<column>, the good records without a value there."""
+    b = F.col(f"`{bad}`")
+    missing = [F.count(F.when(b.isNull() & F.col(f"`{c}`").isNull(), 1)).alias(f"n_no_{c}") for c in required]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(b.isNull(), 1)).alias("n_good"), F.count(b).alias("n_bad"), *missing)
+
+
 def to_points(df: DataFrame, lng: str = "lng", lat: str = "lat", time: str | None = "sysTime",
               keep: list[str] | None = None, scale: int = 14, mercator: bool = True,
               gcj_to_wgs: bool = False) -> DataFrame:
@@ -69,8 +101,7 @@ def read_lines(spark: SparkSession, path, sep: str = ",", skip_header: bool = Tr
     instead of dropping "the first line of partition 0", which depends on how
     files are split.
     """
-    r = spark.read.option("sep", "\u0001").option("quote", "\u0000").option("escape", "\u0000")
-    df = r.option("header", skip_header).csv(path).toDF("line")
+    df = _whole_lines(spark, path, skip_header)
     return df.select(F.split(F.trim(F.col("line")), sep).alias("fields"))
 
 

@@ -176,3 +176,17 @@ def test_sql_shift_runs_once(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     udfs = [x for x in plan.split("ArrowEvalPython [")[1].split("]")[0].split("gcj_to_wgs(") if x]
     assert len(udfs) == 1 and sorted(r.a is None for r in df.collect()) == [False, True]
+
+
+def test_bad_records_stay_beside_good_ones(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "p.csv"), "a,lng,lat\n1,116.3,39.9\n2,x,39.9\n3,116.3\n4,116.3,39.9,9\n5,,39.9\n\n6,1e400,nan\n")
+    df = readers.read_checked(spark, p, "a long, lng double, lat double")
+    rows = {r.a: r for r in df.collect()}
+    assert {k: r._bad for k, r in rows.items() if r._bad} == {2: "2,x,39.9", 3: "3,116.3", 4: "4,116.3,39.9,9"} | ({6: rows[6]._bad} if rows[6]._bad else {})
+    assert rows[2].lng is None and rows[2].lat == 39.9 and rows[4].lat == 39.9 and rows[5]._bad is None
+    acc = readers.accounted(df, ["lng"]).first()
+    assert acc.n_rows == 6 and acc.n_good + acc.n_bad == 6 and acc.n_bad >= 3 and acc.n_no_lng == 1
+    # a record is as bad when other columns are asked for
+    assert df.select("a", "_bad").filter("_bad IS NOT NULL").count() == acc.n_bad == df.filter("_bad IS NOT NULL").count()
+    empty = _write(os.path.join(tmpdir_path, "e.csv"), "a,lng,lat\n")
+    assert tuple(readers.accounted(readers.read_checked(spark, empty, "a long, lng double, lat double")).first()) == (0, 0, 0)
