@@ -4,17 +4,23 @@ Terms are words that occur in toxic rows of a bounded labelled sample far more
 often than in others, counted by their different neighbours; beginnings that
 many such words share are stems. Terms form a trie. A batch's distinct words walk through
 it together: each word's state at a node is its row of edit distances to the
-node's prefix (an automaton that accepts words within one edit or one swap of
-neighbours), words whose row exceeds the distance leave, and those left at a
-term's node match it. Each match is read in its window: between quotation
-marks or after words of reporting it counts as quoted, near words of address
-as aimed at someone. A logistic model over those counts, fitted on the sample,
-gives the score.
+node's prefix (an automaton that accepts words within the term's distance, a swap
+of neighbours being one edit), words whose row exceeds the distance leave, and those
+left at a term's node match it. A term of four letters or more allows one edit, one of
+eight or more two. A misspelled term counts like the term, less a fixed part: its
+sign is not fitted, as few labelled rows have one. Words that the sample has in clean
+rows are harmless, and a term with many harmless neighbours is matched exactly.
+
+Each match is read in its context: inside a quotation (the marks may stand anywhere
+in the paragraph) or after words of reporting it counts as quoted, near words of
+address as aimed at someone. A logistic model over those counts, fitted on the
+sample, gives the score.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +34,19 @@ from .quality import labelled
 
 #: Labelled rows used for training at most, by hash order of doc_id.
 TRAINING_ROWS = 20_000
-#: Terms of the lexicon at most, the strongest first.
-TERMS = 1_000
 #: Letters of a stem: a beginning that many terms share, after which any ending matches.
 STEM = (4, 5, 6)
 #: Words on either side of a match that are its window.
 WINDOW = 4
 THRESHOLD = 0.3
-#: Letters of a term from which one edit is allowed.
-EDIT_FROM = 5
+#: Letters of a term from which one edit is allowed, and two.
+EDIT_FROM, EDITS_FROM = 4, 8
+#: A misspelled term counts as this part of the term.
+MISSPELLED = 0.9
+#: A term is matched exactly if it has more harmless words near it than one, and one more for so many of its places.
+CROWDED = 10
+#: Toxic share of a term's places and of a stem's.
+TERM_SHARE, STEM_SHARE = 0.9, 0.5
 
 #: Bytes that part words: ASCII but letters, digits; others belong to words.
 _PARTS = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
@@ -53,94 +63,105 @@ def _keys(words: list[str]) -> np.ndarray:
     return textops.word_keys(np.frombuffer(b"".join(data), np.uint8), end - size, end)
 
 
+def allowed(letters: int) -> int:
+    """Edits that a term of so many letters allows."""
+    return 0 if letters < EDIT_FROM else 1 if letters < EDITS_FROM else 2
+
+
+_WIDE = 2  # the most edits: a word's state is the diagonal and as many neighbours on each side
+
+
 class Trie:
-    """Terms as a trie: children by character, and the term that ends at a node."""
+    """Terms as a trie: children by character, the term that ends at a node, and
+    the most edits that a term below it allows. ``exact``: terms that allow none."""
 
-    def __init__(self, terms: list[str]):
-        self.terms, self.children, self.ends = terms, [{}], [-1]
-        self.longest = max(map(len, terms), default=0) + 1  # a longer word is two edits from any term
+    def __init__(self, terms: list[str], exact: set[str] = frozenset()):
+        self.terms, self.children, self.ends, self.reach = terms, [{}], [-1], [0]
+        self.edits = [0 if t in exact else allowed(len(t)) for t in terms]
+        self.longest = max(map(len, terms), default=0) + _WIDE
         for i, term in enumerate(terms):
             node = 0
+            self.reach[0] = max(self.reach[0], self.edits[i])
             for ch in term:
                 if ch not in self.children[node]:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.ends.append(-1)
+                    self.reach.append(0)
                 node = self.children[node][ch]
+                self.reach[node] = max(self.reach[node], self.edits[i])
             self.ends[node] = i
 
     def match(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the nearest term within its distance (0, or 1 for
-        terms of EDIT_FROM letters on) and that distance; -1 and 9 for none."""
+        """For each word the nearest term within its distance and that distance; -1 and 9 for none."""
         term, best = np.full(len(words), -1), np.full(len(words), 9)
         exact = {t: i for i, t in enumerate(self.terms)}
         for i, w in enumerate(words):
             if w in exact:
                 term[i], best[i] = exact[w], 0
         fuzzy = np.array([i for i, w in enumerate(words) if best[i] and EDIT_FROM - 1 <= len(w) <= self.longest], np.int64)
-        if not len(fuzzy):
+        if not len(fuzzy) or not self.reach[0]:
             return term, best
         width = self.longest + 1
-        chars = np.zeros((len(fuzzy), width), np.uint32)
+        chars = np.zeros((len(fuzzy), width + _WIDE), np.uint32)
         size = np.zeros(len(fuzzy), np.int64)
         for row, i in enumerate(fuzzy):
             code = np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), np.uint32)
             chars[row, : len(code)], size[row] = code, len(code)
-        # only the diagonal's neighbours can be within one edit: offsets -1, 0, 1 of the depth
-        stack = [(0, 0, np.arange(len(fuzzy)), np.tile(np.array([9, 0, 1], np.int8), (len(fuzzy), 1)), None, 0)]
+        start = np.array([9] * _WIDE + list(range(_WIDE + 1)), np.int8)
+        stack = [(0, 0, np.arange(len(fuzzy)), np.tile(start, (len(fuzzy), 1)), None, 0)]
         while stack:
             node, depth, rows, now, before, last = stack.pop()
             for ch, child in self.children[node].items():
+                if not self.reach[child]:
+                    continue
                 c = ord(ch)
-                new = np.full((len(rows), 3), 9, np.int8)
-                for k, shift in enumerate((-1, 0, 1)):
-                    j = depth + 1 + shift  # letters of the word read at this state
-                    if j < 0 or j > width:
+                new = np.full((len(rows), 2 * _WIDE + 1), 9, np.int8)
+                for k in range(2 * _WIDE + 1):
+                    j = depth + 1 + k - _WIDE  # letters of the word read at this state
+                    if j < 0:
                         continue
-                    cost = now[:, k + 1] + 1 if k < 2 else np.full(len(rows), 9, np.int8)  # the term's letter is extra
+                    cost = now[:, k + 1] + 1 if k < 2 * _WIDE else np.full(len(rows), 9, np.int8)  # the term's letter is extra
                     if k > 0:
                         cost = np.minimum(cost, new[:, k - 1] + 1)  # the word's letter is extra
-                    if 0 < j <= width:
+                    if j > 0:
                         cost = np.minimum(cost, now[:, k] + (chars[rows, j - 1] != c))
-                    if before is not None and 1 < j <= width:
+                    if before is not None and j > 1:
                         swap = (chars[rows, j - 2] == c) & (chars[rows, j - 1] == last)
                         cost = np.where(swap, np.minimum(cost, before[:, k] + 1), cost)
                     new[:, k] = np.minimum(cost, 9)
-                alive = new.min(axis=1) <= 1
-                if before is None:
-                    alive |= now.min(axis=1) <= 0  # a swap may begin at the first letter
-                else:
-                    alive |= now.min(axis=1) <= 0
+                alive = new.min(axis=1) <= self.reach[child]
                 if not alive.any():
                     continue
                 own, state = rows[alive], new[alive]
-                if (end := self.ends[child]) >= 0 and depth + 1 >= EDIT_FROM:
-                    gap = size[own] - (depth + 1) + 1
-                    fits = (gap >= 0) & (gap <= 2)
+                if (end := self.ends[child]) >= 0 and self.edits[end]:
+                    gap = size[own] - (depth + 1) + _WIDE
+                    fits = (gap >= 0) & (gap <= 2 * _WIDE)
                     found = np.full(len(own), 9)
                     found[fits] = state[fits, gap[fits]]
-                    hit = np.flatnonzero((found <= 1) & (found < best[fuzzy[own]]))
+                    nearer = (found < best[fuzzy[own]]) | ((found == best[fuzzy[own]]) & (end < term[fuzzy[own]]))
+                    hit = np.flatnonzero((found <= self.edits[end]) & nearer)
                     best[fuzzy[own[hit]]], term[fuzzy[own[hit]]] = found[hit], end
                 stack.append((child, depth + 1, own, state, now[alive], c))
         return term, best
 
 
 class Lexicon:
-    """Terms with weights, words known to be harmless though near a term, and
-    a cache of the words met: their term's weight and distance by word key."""
+    """Terms with weights, stems, words known to be harmless though near a term, terms matched
+    exactly, and a cache of the words met: their weight and distance by word key (-1: a stem)."""
 
-    def __init__(self, terms: dict[str, float], harmless: set[str] = frozenset(), stems: dict[str, float] | None = None):
+    def __init__(self, terms: dict[str, float], harmless: set[str] = frozenset(), stems: dict[str, float] | None = None, exact: set[str] = frozenset()):
         self.stems = dict(sorted((stems or {}).items()))
         self.terms = sorted(terms)
         self.weights = np.array([terms[t] for t in self.terms])
-        self.harmless = sorted(harmless)
+        self.harmless, self.exact = sorted(harmless), sorted(exact)
         self._ready = False
 
     def __getstate__(self) -> dict:
-        return {"stems": self.stems, "terms": self.terms, "weights": self.weights, "harmless": self.harmless, "_ready": False}
+        return {"stems": self.stems, "terms": self.terms, "weights": self.weights, "harmless": self.harmless, "exact": self.exact, "_ready": False}
 
     def _prepare(self) -> None:
-        self.trie, self.safe = Trie(self.terms), frozenset(self.harmless)
+        self.trie, self.safe = Trie(self.terms, set(self.exact)), frozenset(self.harmless)
         self.keys, self.weight, self.edits = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int8)
         self.report, self.address = np.sort(_keys(REPORTING)), np.sort(_keys(ADDRESS))
         self._ready = True
@@ -156,19 +177,19 @@ class Lexicon:
         if len(new):
             fresh = words(new)
             term, edits = self.trie.match(fresh)
-            safe = np.fromiter((d == 1 and w in self.safe for w, d in zip(fresh, edits.tolist(), strict=True)), bool, len(fresh))
+            safe = np.fromiter((0 < d < 9 and w in self.safe for w, d in zip(fresh, edits.tolist(), strict=True)), bool, len(fresh))
             term[safe] = -1
             weight = np.where(term >= 0, self.weights[term] if len(self.terms) else 0.0, 0.0)
             for i in np.flatnonzero(edits > 0).tolist() if self.stems else ():
                 known = max((self.stems.get(fresh[i][:k], 0.0) for k in STEM if len(fresh[i]) > k), default=0.0)
                 if known:
-                    weight[i], edits[i] = known, 0
+                    weight[i], edits[i] = known, -1
             self.keys, self.weight, self.edits = (np.insert(self.keys, at[new], keys[new]), np.insert(self.weight, at[new], weight), np.insert(self.edits, at[new], edits.astype(np.int8)))
             at = np.searchsorted(self.keys, keys)
         return self.weight[at], self.edits[at]
 
     def spot(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        """All matches of a batch: doc, word (its place), weight, edits, quoted, aimed; and words per text."""
+        """All matches of a batch: doc, word (its place), weight, edits (-1: by a stem), quoted, aimed; and words per text."""
         if not self._ready:
             self._prepare()
         raw, off = textops.flat(pa.array([t.lower() if t else "" for t in texts.to_pylist()], pa.string()))
@@ -183,39 +204,57 @@ class Lexicon:
         quoted, aimed = np.zeros(len(hit), bool), np.zeros(len(hit), bool)
         for n, (i, d) in enumerate(zip(hit.tolist(), doc.tolist(), strict=True)):
             a, b = max(first[d], i - WINDOW), min(first[d + 1], i + WINDOW + 1)
-            before = data[end[a - 1] if a > first[d] else off[d]: start[i]]
-            after = data[end[i]: start[b] if b < first[d + 1] else off[d + 1]]
-            quoted[n] = _open(before) and _closed(after) or bool(np.isin(keys[a:i], self.report).any())
+            quoted[n] = bool(np.isin(keys[a:i], self.report).any())
             aimed[n] = bool(np.isin(np.r_[keys[a:i], keys[i + 1: b]], self.address).any())
+        for d in np.unique(doc).tolist():
+            a, b = np.array(quotations(data[off[d]: off[d + 1]]), np.int64).reshape(-1, 2).T + off[d]
+            mine = np.flatnonzero(doc == d)
+            k = np.searchsorted(a, start[hit[mine]]) - 1  # the last quotation that begins before the match
+            quoted[mine] |= (k >= 0) & (start[hit[mine]] < b[np.maximum(k, 0)]) if len(a) else False
         return {"doc": doc, "word": hit - first[doc], "weight": weight[which][hit], "edits": edits[which][hit], "quoted": quoted, "aimed": aimed, "words": words}
 
 
-def _open(before: bytes) -> bool:
-    """A quotation was opened and not closed before the match."""
-    text = before.decode(errors="ignore")
-    return text.count('"') % 2 == 1 or max(text.rfind("“"), text.rfind("„")) > text.rfind("”") or text.rfind("«") > text.rfind("»")
+_MARKS = re.compile('"|“|”|„|«|»|\n[ \t\r]*\n'.encode())
 
 
-def _closed(after: bytes) -> bool:
-    text = after.decode(errors="ignore")
-    return any(x in text for x in '"“”»')
+def quotations(text: bytes) -> list[tuple[int, int]]:
+    """Where quotations begin and end in a text: between two straight marks, or from an opening
+    mark to its closing one. A quotation ends within its paragraph or is none, so that a stray
+    mark turns nothing round that follows an empty line. They do not overlap, and come in order."""
+    out: list[tuple[int, int]] = []
+    opened: tuple[str, int] | None = None
+    for m in _MARKS.finditer(text):
+        mark = m[0].decode()
+        if mark[0] == "\n":
+            opened = None
+        elif opened is None:
+            opened = None if mark in "”»" else (mark, m.start())
+        elif mark in {'"': '"', "“": "”“", "„": "“”", "«": "»"}[opened[0]]:
+            out.append((opened[1], m.start()))
+            opened = None
+    return out
 
 
 def inputs(lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
-    """Per text: log counts of plain, misspelled, quoted and aimed matches, the
-    strongest plain weight, the sum of plain weights, plain matches a word."""
+    """Per text, of matches that are not quoted unless said: log counts of terms (a misspelled one counts
+    less), of quoted ones and of aimed ones, the strongest log odds, the log sum of weights, terms a
+    word (its root), log count of stems, stems a word (its root)."""
     x, n = lexicon.spot(texts), len(texts)
-    plain, near = ~x["quoted"] & (x["edits"] == 0), ~x["quoted"] & (x["edits"] > 0)
-    count = lambda flags: np.bincount(x["doc"][flags], minlength=n).astype(float)
+    part = np.where(x["edits"] > 0, MISSPELLED, 1.0)
+    term, stem = ~x["quoted"] & (x["edits"] >= 0), ~x["quoted"] & (x["edits"] < 0)
+    count = lambda flags, w=part: np.bincount(x["doc"][flags], w[flags], n)
     strongest = np.zeros(n)
-    np.maximum.at(strongest, x["doc"][~x["quoted"]], x["weight"][~x["quoted"]] * np.where(x["edits"][~x["quoted"]] > 0, 0.5, 1))
-    total = np.bincount(x["doc"][plain], x["weight"][plain], n)
-    return np.stack([np.log1p(count(plain)), np.log1p(count(near)), np.log1p(count(x["quoted"])), np.log1p(count(x["aimed"] & ~x["quoted"])), strongest, np.log1p(total),
-                     np.sqrt(count(plain | near) / np.maximum(x["words"], 1))], axis=1)
+    odds = np.log(np.maximum(x["weight"], 0.5) / np.maximum(1 - x["weight"], 1e-3))
+    np.maximum.at(strongest, x["doc"][term], (odds * part)[term] / 3)
+    words = np.maximum(x["words"], 1)
+    return np.stack([np.log1p(count(term)), np.log1p(count(x["quoted"])), np.log1p(count(x["aimed"] & term)), strongest, np.log1p(count(term, x["weight"] * part)),
+                     np.sqrt(count(term) / words), np.log1p(count(stem)), np.sqrt(count(stem) / words)], axis=1)
 
 
-#: What a plain, misspelled, quoted, aimed match and so on should mean before any label is seen.
-_PRIOR = np.array([0.5, 0.2, 0.0, 0.2, 0.5, 0.5, 2.0])
+#: What each input should mean before any label is seen.
+_PRIOR = np.array([0.5, 0.0, 0.2, 1.0, 0.5, 2.0, 0.5, 3.0])
+#: Inputs that may not speak against toxicity, whatever the sample says: terms, aimed ones, stems.
+_NOT_BELOW = np.array([0.2, -np.inf, 0.0, 0.5, 0.2, 0.0, 0.0, 0.0])
 
 
 class Model:
@@ -226,21 +265,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(inputs(self.lexicon, texts) @ self.weight + self.bias, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Newton steps for a logistic model that leans towards _PRIOR."""
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Newton steps for a logistic model that leans towards _PRIOR, no weight below _NOT_BELOW
+    (one that would go below stays there, and the others are solved for)."""
     a = np.c_[x, np.ones(len(x))]
-    centre = np.r_[_PRIOR, -3.0]
-    w, ridge = centre.copy(), l2 * len(x) * np.eye(len(centre))
+    centre, least = np.r_[_PRIOR, -3.0], np.r_[_NOT_BELOW, -np.inf]
+    w, ridge = centre.copy(), l2 * len(x)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        move = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (y - p) - ridge @ (w - centre))
-        w = w + move * min(1.0, 2.0 / max(1e-9, np.abs(move).max()))
-        if np.abs(move).max() < 1e-6:
+        up = a.T @ (y - p) - ridge * (w - centre)
+        free = (w > least + 1e-12) | (up > 0)
+        f = a[:, free]
+        move = np.zeros(len(w))
+        move[free] = np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + ridge * np.eye(f.shape[1]), up[free])
+        new = np.maximum(w + move * min(1.0, 2.0 / max(1e-9, np.abs(move).max())), least)
+        done = np.abs(new - w).max() < 1e-6
+        w = new
+        if done:
             break
     return w[:-1], float(w[-1])
 
 
-def fit(training: DataFrame, terms: int = TERMS) -> Model:
+def fit(training: DataFrame) -> Model:
     """A model from a bounded number of (doc_id, text, y) rows. Without toxic rows: an empty lexicon, low scores."""
     spark = training.sparkSession
     common.small_batches(spark)
@@ -273,29 +319,33 @@ def fit(training: DataFrame, terms: int = TERMS) -> Model:
     t, c = F.col("toxic"), F.col("clean")
     ratio = t * F.log(t / (t + c) / share) + F.when(c > 0, c * F.log(c / (t + c) / max(1e-9, 1 - share))).otherwise(0.0)
     ahead = math.log(max(2, sums["words"])) + 2
-    good = counts.filter("toxic >= 3 and length(word) >= 3").withColumn("evidence", ratio).filter((F.col("evidence") > ahead) & (t / (t + c) >= 0.9))
-    strong = good.orderBy(F.desc("evidence"), "word").limit(terms).collect()
+    good = counts.filter("toxic >= 3 and length(word) >= 3").withColumn("evidence", ratio).filter((F.col("evidence") > ahead) & (t / (t + c) >= TERM_SHARE))
+    strong = good.collect()  # every one, of a bounded sample's words
     stems: dict[str, float] = {}
     for k in STEM:
         by_stem = (counts.filter(F.length("word") > k).groupBy(F.substring("word", 1, k).alias("stem")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("words"))
-                   .filter("words >= 5 and toxic >= 5").withColumn("evidence", ratio).filter((F.col("evidence") > ahead) & (t / (t + c) >= 0.97)))
-        for r in by_stem.orderBy(F.desc("evidence"), "stem").limit(terms // 10).collect():
+                   .filter("words >= 5 and toxic >= 5").withColumn("evidence", ratio).filter((F.col("evidence") > ahead) & (t / (t + c) >= STEM_SHARE)))
+        for r in by_stem.collect():
             if not any(r["stem"].startswith(x) for x in stems):
                 stems[r["stem"]] = r["toxic"] / (r["toxic"] + r["clean"] + 1)
-    lexicon = Lexicon({r["word"]: r["toxic"] / (r["toxic"] + r["clean"] + 1) for r in strong}, stems=stems)
-    if not strong and not stems:
-        return Model(lexicon, bias=-4.0)
-    # words of clean rows that are one edit from a term: known to be harmless, unless they are as toxic themselves
-    trie_terms = spark.sparkContext.broadcast(lexicon.terms)
+    weights = {r["word"]: r["toxic"] / (r["toxic"] + r["clean"] + 1) for r in strong}
+    if not weights and not stems:
+        return Model(Lexicon({}), bias=-4.0)
+    # words near a term that are met in clean rows at least as often as in toxic ones: known to be harmless
+    trie_terms = spark.sparkContext.broadcast(sorted(weights))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(trie_terms.value)
         for batch in batches:
-            _, edits = trie.match(batch.column(0).to_pylist())
-            yield batch.filter(pa.array(edits == 1))
-
-    beside = counts.filter(F.col("clean") * toxic > F.col("toxic") * max(clean, 1)).select("word").mapInArrow(near, "word string").orderBy("word").limit(20 * terms).collect()
-    lexicon = Lexicon(dict(zip(lexicon.terms, lexicon.weights.tolist(), strict=True)), {r["word"] for r in beside}, stems)
+            term, edits = trie.match(batch.column(0).to_pylist())
+            at = np.flatnonzero((edits > 0) & (edits < 9))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([trie.terms[i] for i in term[at].tolist()], pa.string())], names=["word", "term"])
+
+    beside = counts.filter((F.col("clean") > 0) & (F.col("clean") >= F.col("toxic"))).select("word").mapInArrow(near, "word string, term string").collect()
+    around: dict[str, int] = {}
+    for r in beside:
+        around[r["term"]] = around.get(r["term"], 0) + 1
+    lexicon = Lexicon(weights, {r["word"] for r in beside}, stems, {r["word"] for r in strong if around.get(r["word"], 0) - 1 > r["toxic"] / CROWDED})
     shared = spark.sparkContext.broadcast(lexicon)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -207,26 +207,66 @@ def distance(a, b):
 
 def test_automaton_matches_edit_distance():
     rnd = random.Random(2)
-    terms = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randint(3, 8))) for _ in range(25)})
-    words = ["", "a", *("".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 9))) for _ in range(600))]
+    terms = sorted({"".join(rnd.choice("abcé") for _ in range(rnd.randint(3, 11))) for _ in range(40)})
+    words = ["", "a", *("".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 12))) for _ in range(900))]
     for t in terms:
-        i = rnd.randrange(len(t))
-        words += [t, t[:i] + t[i + 1:], t[:i] + "z" + t[i:], t[:i] + "z" + t[i + 1:], t[:i] + t[i: i + 2][::-1] + t[i + 2:], t + "q" * 30]
-    term, edits = toxicity.Trie(terms).match(words)
+        for _ in range(3):
+            w = t
+            for _ in range(rnd.randint(1, 3)):
+                i = rnd.randrange(len(w))
+                w = rnd.choice([w[:i] + w[i + 1:], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1:], w[:i] + w[i: i + 2][::-1] + w[i + 2:]]) or "z"
+            words += [t, w, t + "q" * 30]
+    only = set(terms[::7])
+    term, edits = toxicity.Trie(terms, only).match(words)
     for w, i, e in zip(words, term.tolist(), edits.tolist()):
-        near = 0 if w in terms else min((distance(w, t) for t in terms if len(t) >= toxicity.EDIT_FROM and len(w) >= toxicity.EDIT_FROM - 1), default=9)
-        assert e == (near if near <= 1 else 9), w
-        assert (i >= 0) == (e <= 1) and (e > 1 or distance(w, terms[i]) == e)
+        near = 0 if w in terms else min((d for t in terms if t not in only and len(w) >= toxicity.EDIT_FROM - 1 and (d := distance(w, t)) <= toxicity.allowed(len(t))), default=9)
+        assert e == near, w
+        assert (i >= 0) == (e < 9) and (e == 9 or distance(w, terms[i]) == e)
+    assert [toxicity.allowed(n) for n in (3, 4, 7, 8, 20)] == [0, 1, 1, 2, 2]
+    assert toxicity.Trie(["scum", "worthless"]).match(["scvm", "scuum", "wrothles", "wortless", "worhtles", "sc"])[1].tolist() == [1, 1, 2, 1, 2, 9]
+
+
+def test_quotations_hold_in_their_paragraph():
+    q = lambda t: [t.encode()[a:b].decode() for a, b in toxicity.quotations(t.encode())]
+    assert q('he "a b" and "c" d') == ['"a b', '"c']
+    assert q("„a“ b “c” d «e» f “g“") == ["„a", "“c", "«e", "“g"]
+    assert q('a 5" pipe\n\n"b" c') == ['"b'] and q('"over\ntwo lines" x') == ['"over\ntwo lines']
+    assert q("» a « b » c ” d „ e") == ["« b "] and q('"') == [] and q("") == []
+
+
+LEXICON = {"idiot": 0.99, "worthless": 0.99, "scum": 0.99}
 
 
 def test_context_parts_quotation_from_abuse():
-    lex = toxicity.Lexicon({"idiot": 1.0}, harmless={"idiom"})
+    lex = toxicity.Lexicon(LEXICON, harmless={"idiom"})
     x = lex.spot(pa.array(['you are an idiot', 'the word "idiot" was there', "an idiom is fine", "an 1diot", None, "idoit"]))
     assert x["doc"].tolist() == [0, 1, 3, 5]
     assert x["edits"].tolist() == [0, 0, 1, 1] and x["quoted"].tolist() == [False, True, False, False] and x["aimed"].tolist() == [True, False, False, False]
     m = toxicity.Model(lex)
     p = m.score(pa.array(["you idiot", 'she said "idiot"', "nothing"]))
     assert p[0] > p[1] >= p[2]
+    # both marks far from the term
+    far = 'They wrote "all of these many words and then idiot and many more words to the end" here'
+    assert lex.spot(pa.array([far]))["quoted"].tolist() == [True]
+    assert lex.spot(pa.array([far.replace('"', "")]))["quoted"].tolist() == [False]
+    assert lex.spot(pa.array(['a stray " mark\n\nyou idiot and "more"']))["quoted"].tolist() == [False]
+
+
+def misspellings(t):
+    i = len(t) // 2
+    out = [t[:i] + "q" + t[i + 1:], t[:i] + t[i + 1:], t[:i] + t[i] + t[i:], t[:i] + t[i + 1] + t[i] + t[i + 2:]]
+    return out + ([t[:2] + "q" + t[3:-1] + "q"] if toxicity.allowed(len(t)) == 2 else [])
+
+
+def check_misspelled_and_quoted(model):
+    terms = [t for t in model.lexicon.terms if t not in model.lexicon.exact and t.isascii() and 4 <= len(t) <= 10][:12]
+    assert len(terms) >= 8
+    texts = [f"the of {t} and to from here" for t in terms]
+    wrong = [f"the of {w} and to from here" for t in terms for w in misspellings(t)]
+    assert (model.score(pa.array(texts)) >= 0.3).all() and (model.score(pa.array(wrong)) >= 0.3).all()
+    assert (model.score(pa.array([f'the of "the and {t} to of from" here' for t in terms])) < 0.3).all()
+    p, q = model.score(pa.array(texts)), model.score(pa.array([x.replace(t, misspellings(t)[0]) for x, t in zip(texts, terms)]))
+    assert (q < p).all()
 
 
 def test_toxicity_held_out(spark):
@@ -236,4 +276,17 @@ def test_toxicity_held_out(spark):
     out = got.join(labels.filter("toxic is not null"), "doc_id").collect()
     assert accuracy([r for r in out if r.held_out], "toxic") > 0.9
     assert np.mean([r.predicted for r in out if r.toxic == 0]) < 0.02
+    assert np.mean([r.predicted for r in out if r.held_out and r.toxic == 1]) >= 0.9
     assert all(r.held_out == held(r.doc_id, 4, 2) and r.predicted == (r.score >= 0.3) for r in out)
+
+
+def test_toxicity_through_its_method_on_more_rows(spark):
+    big = "/root/testdata/sf0.1"
+    docs, labels = common.table(spark, big, "documents"), common.table(spark, big, "labels")
+    model = toxicity.fit(quality.labelled(docs, labels, "toxic", toxicity.TRAINING_ROWS, langid.remainder(4) != 2))
+    check_misspelled_and_quoted(model)
+    out = toxicity.score(docs, model).withColumn("held_out", langid.remainder(4) == 2).join(labels.filter("toxic is not null"), "doc_id").collect()
+    assert np.mean([r.predicted for r in out if r.held_out and r.toxic == 1]) >= 0.9
+    assert np.mean([r.predicted for r in out if r.toxic == 0]) < 0.01
+    small = common.table(spark, SF, "documents")
+    check_misspelled_and_quoted(toxicity.fit(quality.labelled(small, common.table(spark, SF, "labels"), "toxic", toxicity.TRAINING_ROWS, langid.remainder(4) != 2)))
