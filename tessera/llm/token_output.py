@@ -57,7 +57,8 @@ def from_payload(payload: bytes) -> dict:
 
 def segments(docs: DataFrame, tokenizer: str, end: int = 0, segment: int = SEGMENT, partitions: int | None = None) -> DataFrame:
     """Segments of all documents: sorted by doc_id (null first, repeated ids by
-    text), tokenised where they lie. Null texts are empty: one end id."""
+    text), tokenised where they lie. Null texts are empty: one end id; the string of an
+    added token is that token, as in the library's plain call."""
     spark = docs.sparkSession
     common.small_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,16 +5,19 @@ space; a space goes with what follows it) before it merges. Texts are cut, all
 at once with numpy, at places that are borders of pieces whatever stands
 around them; each distinct cutting is encoded once by the tokenizers library
 and its ids are copied to every place where it occurs. The ids are those of
-the library for the whole text.
+the library for the whole text, called without settings of ours: the string of an
+added token (such as ``<|endoftext|>``) is that token wherever it stands in a text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import textops
 
@@ -89,7 +92,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model, self.limit = Tokenizer.from_file(path), cache
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.model.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: Added tokens that only part a text where they stand; others are left to the library.
+        self.parting = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=lambda c: (-len(c), c)))) + ")") if self.added else None
         (self.feed,) = self.model.encode("\n", add_special_tokens=False).ids
         self._clear()
 
@@ -133,6 +140,30 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids back to back and len + 1 offsets; ``end`` closes each text. Null is empty."""
+        if not self.added or not any(pc.any(pc.match_substring(texts, c)).as_py() for c in self.added):
+            return self._plain(texts, end)
+        parts = [self.marks.split(t) if t else [""] for t in texts.to_pylist()]  # text, added token, text, ...
+        if self.parting:
+            ids, off = self._plain(pa.array([x for p in parts for x in p[::2]], pa.string()))
+        else:
+            parts = [["".join(p)] for p in parts]
+            found = self.whole([p[0] for p in parts])
+            ids, off = np.concatenate([np.zeros(0, "<u4"), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        out, bounds, k = [], [0], 0
+        for p in parts:
+            for i, x in enumerate(p):
+                if i % 2:
+                    out.append(np.array([self.added[x]], "<u4"))
+                else:
+                    out.append(ids[off[k]: off[k + 1]])
+                    k += 1
+            if end is not None:
+                out.append(np.array([end], "<u4"))
+            bounds.append(bounds[-1] + sum(map(len, out[-(len(p) + (end is not None)):])))
+        return np.concatenate([np.zeros(0, "<u4"), *out]), np.array(bounds, np.int64)
+
+    def _plain(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of texts without added tokens."""
         buf, off = textops.flat(texts)
         tail = 0 if end is None else 1
         if not len(buf):
