@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cells import measured
 from ..session import ensure_checkpoint_dir
 
 #: Arrow batches handed to Python hold at most this many rows and bytes.
 ARROW_ROWS, ARROW_BYTES = "2000", str(4 << 20)
-#: Rows of plain longs (or equally small rows) that may be broadcast: under 32 MB.
-BROADCAST_ROWS = 500_000
+#: Bytes of a table that may be broadcast, estimated from above.
+BROADCAST_BYTES = 48 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,10 +50,11 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table of narrow rows for broadcast if its counted rows are
-    within the bound; beyond it Spark plans a shuffle join. Same rows either way."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if its measured bytes (texts and nested
+    columns by what they hold) are within the bound; beyond it Spark plans a
+    shuffle join. Same rows either way."""
+    return F.broadcast(df) if measured(df)[0] <= max_bytes else df
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:

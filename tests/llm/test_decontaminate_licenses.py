@@ -94,18 +94,84 @@ def test_no_documents_or_items(spark):
     assert decontaminate.clean(d, b.limit(0)).count() == 1 and decontaminate.clean(d, b).count() == 0
 
 
-def test_radius_finds_what_blocks_promise(spark):
+def py_bits(hashes):
+    return sum(1 << i for i in range(64) if sum(x >> i & 1 for x in hashes) * 2 > len(hashes))
+
+
+def test_simhash_bits(spark):
     rnd = random.Random(4)
-    hashes = [[rnd.getrandbits(63) for _ in range(9)] for _ in range(20)]
+    hashes = [[rnd.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 9, 10, 127, 128, 254, 255, 256, 400)]
     rows = spark.createDataFrame([(h,) for h in hashes], "h array<long>").select("h", decontaminate.simhash(common.F.col("h")).alias("fp")).collect()
     for r in rows:
-        assert r.fp & (2**64 - 1) == sum(1 << i for i in range(64) if sum(x >> i & 1 for x in r.h) * 2 > len(r.h))
+        assert r.fp & (2**64 - 1) == py_bits([x & (2**64 - 1) for x in r.h]), len(r.h)
+
+
+def test_index_finds_every_fingerprint_within_the_radius(spark):
+    F, rnd = common.F, random.Random(6)
+    sizes = decontaminate.blocks()
+    assert len(sizes) == 11 and sum(b for *_, b in sizes) == 128 and {b for *_, b in sizes} <= {10, 11, 12, 13}
+    items, prints = [], []
+    signed = lambda x: [(v if v < 1 << 63 else v - (1 << 64)) for v in (x >> 64, x & (2**64 - 1))]
+    for i in range(300):
+        x = rnd.getrandbits(128)
+        items.append((i, 10, 5, signed(x)))
+        y = x
+        for b in rnd.sample(range(128), rnd.choice([0, 5, 20, 31, 32])):
+            y ^= 1 << b
+        prints.append((10, 5, signed(y), i))
+    bench = spark.createDataFrame(items, "item long, n int, k int, fp array<long>")
+    asked = spark.createDataFrame(prints, "n int, k int, fp array<long>, i long")
+    for some in (asked, asked.filter("i < 40")):  # either side may be the one that is filed
+        got = decontaminate.near_items(some.select("n", "k", "fp"), bench).join(some, ["n", "k", "fp"])
+        assert {(r.i, r.item) for r in got.collect()} >= {(r.i, r.i) for r in some.collect()}
+    with pytest.raises(ValueError):
+        decontaminate.near_items(asked, bench, 33)
+
+
+def test_a_window_meets_few_of_a_hundred_thousand_items(spark):
+    F = common.F
+    size = (F.col("id") % 50 + 20).cast("int")
+    bench = spark.range(100_000).select(F.col("id").alias("item"), size.alias("n"), F.lit(5).alias("k"), F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("fp"))
+    # each print differs from one item in a few bits
+    off = F.array(F.col("fp")[0].bitwiseXOR(F.lit(0x1000010000100)), F.col("fp")[1].bitwiseXOR(F.lit(0x10101)))
+    prints = bench.filter("item % 5000 = 0").select("n", "k", off.alias("fp"))
+    found = decontaminate.near_items(prints, bench)
+    assert sorted(r.item for r in found.collect()) == list(range(0, 100_000, 5000))
+    left = prints.select("n", "k", "fp", decontaminate._filed(True).alias("x")).select("n", "k", "fp", "x.block", "x.value")
+    right = bench.select("n", "k", decontaminate._filed(False).alias("x")).select("n", "k", "x.block", "x.value")
+    joined = left.join(right, ["n", "k", "block", "value"]).count()
+    assert joined / 20 < 1000  # of 100,000 items, 2,000 of them of the window's size
+
+
+def test_recall_of_the_radius(spark):
+    """Items with changed words: nearly all pairs of a similarity of 0.8 and more lie within the radius."""
+    F, rnd = common.F, random.Random(11)
+    pairs = []
+    for _ in range(1500):
+        q = [f"w{rnd.randrange(4000)}" for _ in range(rnd.randint(14, 60))]
+        v = list(q)
+        kind = rnd.random()
+        if kind < 0.7:
+            v[rnd.randrange(len(v))] = "edit"
+        elif kind < 0.9:
+            n = rnd.randint(1, 3)
+            v = v[n:] + [f"e{i}" for i in range(n)]
+        else:
+            v = v[:-rnd.randint(1, 3)]
+        bag = [Counter(tuple(x[i: i + 5]) for i in range(len(x) - 4)) for x in (q, v)]
+        if sum((bag[0] & bag[1]).values()) / sum((bag[0] | bag[1]).values()) >= 0.8:
+            pairs.append((" ".join(q), " ".join(v)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    fp = lambda c: common.let(decontaminate.shingles(decontaminate.words(c), F.lit(5)), decontaminate.fingerprint)
+    far = df.select(decontaminate.distance(fp("a"), fp("b")).alias("d")).toPandas().d
+    assert len(far) > 500 and (far <= decontaminate.RADIUS).mean() >= 0.995
 
 
 def test_native_plan(spark):
     d = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
-    plan = licenses.annotate(d)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    for df in (licenses.annotate(d), decontaminate.annotate(d, d.selectExpr("doc_id AS item_id", "text"))):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
 def brute_license(text):
