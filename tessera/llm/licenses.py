@@ -2,9 +2,8 @@
 
 A template is held where some span of words, twice as long as the template and
 wherever lines break, has at least a share ``CONTAINMENT`` of its distinct words.
-Text blocks are overlapping windows in one of which each such span lies whole
-(or lines, if asked for: then a line as a whole is the span). Template words are ordered
-by how many blocks of the whole corpus have them, rare ones first: a block
+Text blocks are overlapping windows in one of which each such span lies whole.
+Template words are ordered by how many blocks of the whole corpus have them, rare ones first: a block
 that reaches the share must have one of a template's first words (prefix
 filter), enough words of templates at all (length filter), and enough left at
 or after its place of the shared word (positional filter); what passes is
@@ -74,9 +73,14 @@ def _window(w: Column, block: Column) -> Column:
     return F.slice(w, block * _STEP + 1, 2 * _STEP)
 
 
-def _scan(docs: DataFrame, vocabulary: list[str], lines: bool) -> DataFrame:
+def _low(text: str = "text") -> Column:
+    """The text with A to Z in lower case, null as empty."""
+    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _scan(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Per row: row, doc_id, key (a hash of the text), n_words, places of phrases, and each block's distinct template words."""
-    low = docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    low = docs.select("doc_id", _low().alias("low"))
     # only texts in which a phrase may stand are taken apart for places
     maybe = F.col("low").rlike("|".join(_PARTS.join(p.split()) for p in PHRASES))
 
@@ -87,10 +91,8 @@ def _scan(docs: DataFrame, vocabulary: list[str], lines: bool) -> DataFrame:
 
     phrases = F.when(maybe, common.let(_tokens(F.col("low")), lambda w: F.struct(*[starts(p, w).alias(label) for p, label in PHRASES.items()])))
     vocab = _strings(vocabulary)
-    if lines:
-        blocks = F.filter(F.transform(F.split("low", "[\n\r]+"), lambda line: F.array_intersect(F.split(line, _PARTS), vocab)), lambda b: F.size(b) > 0)
-    else:  # none is left out, their places count
-        blocks = common.let(_tokens(F.col("low")), lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / _STEP).cast("int")), lambda c: F.array_intersect(_window(w, c), vocab)))
+    # no block is left out, their places count
+    blocks = common.let(_tokens(F.col("low")), lambda w: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - 1, F.lit(0)) / _STEP).cast("int")), lambda c: F.array_intersect(_window(w, c), vocab)))
     n_words = F.regexp_count("low", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).cast("long")
     return low.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("low").alias("key"), n_words.alias("n_words"), phrases.alias("phrases"), blocks.alias("blocks"))
 
@@ -99,31 +101,30 @@ def _in_spans(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``held`` where one span of a template's length has the words needed; n is the most that one has."""
     held = common.written(held, "held")
     wanted = common.written(held.groupBy("key").agg(F.collect_set(F.struct("block", "template", "tokens", "span")).alias("spots")), "spots")
-    low = docs.select(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
-    texts = low.withColumn("key", F.xxhash64("low")).join(common.if_small(wanted, 20_000), "key").dropDuplicates(["key"])
+    low = docs.select(_low().alias("low"))
+    texts = low.withColumn("key", F.xxhash64("low")).join(common.if_small(wanted), "key").dropDuplicates(["key"])
     windows = texts.select("key", "spots", _tokens(F.col("low")).alias("w")).select("key", "w", F.explode("spots").alias("s")).select("key", "s.*", _window(F.col("w"), F.col("s.block")).alias("w"))
     most = common.let(F.col("w"), lambda w: F.array_max(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.size(F.array_intersect(F.slice(w, i, F.col("span")), F.col("tokens"))))))
     spans = common.if_small(common.written(windows.select("key", "block", "template", most.alias("n")), "spans"))
     return held.drop("n").join(spans, ["key", "block", "template"]).filter("n >= needed")
 
 
-def annotate(docs: DataFrame, containment: float = CONTAINMENT, lines: bool = True) -> DataFrame:
+def annotate(docs: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels, score.
 
     n_base counts the places of phrases, first_word and last_word are their
     smallest and largest start (null without any); labels joins the phrases'
-    labels and those of templates that a block contains; score is 1 with a
-    phrase, else the greatest containment that reaches the threshold, else 0.
-    With ``lines`` a template must stand in one line, as in the SQL; without,
-    notices are found over line breaks and only in spans of their length.
+    labels and those of templates that a span of twice their words contains,
+    wherever lines break; score is 1 with a phrase, else the greatest
+    containment that reaches the threshold, else 0.
     Null and empty texts have no words and no labels; repeated rows answer
     alike; other columns play no part.
     """
     spark = docs.sparkSession
     sets = _template_sets()
     vocabulary = sorted({t for _, _, s in sets for t in s})
-    scanned = common.written(_scan(docs, vocabulary, lines), "scanned")
+    scanned = common.written(_scan(docs, vocabulary), "scanned")
 
     # the global order of template words, by the blocks that have them; as many rows as there are such words
     counts = dict(scanned.select(F.explode("blocks").alias("b")).select(F.explode("b").alias("token")).groupBy("token").count().collect())
@@ -146,8 +147,7 @@ def annotate(docs: DataFrame, containment: float = CONTAINMENT, lines: bool = Tr
     passed = shared.filter((F.size("b") >= F.col("need")) & (F.least(left, F.col("size") - F.col("place")) + F.least(F.array_position("b", F.col("token")) - 1, F.col("place")) >= F.col("need")))
     candidates = passed.select("row", "key", "block", "b", "template").distinct().join(templates, "template")
     held = candidates.withColumn("n", F.size(F.array_intersect("b", "tokens"))).filter("n >= needed")
-    if not lines:
-        held = _in_spans(docs, held.drop("b"))
+    held = _in_spans(docs, held.drop("b"))
     by_row = held.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("n") / F.size("tokens")).alias("held"))
 
     names = list(PHRASES.values())
@@ -161,15 +161,20 @@ def annotate(docs: DataFrame, containment: float = CONTAINMENT, lines: bool = Tr
 
 
 def oracle(containment: float = CONTAINMENT) -> str:
-    """The same answer in DuckDB SQL, each template against each line."""
-    rows = ", ".join(f"('{label}', [{', '.join(repr(t) for t in tokens)}])" for _, label, tokens in _template_sets())
-    words = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    """The same answer in DuckDB SQL: the words of each template that stand in the span from each of its words on."""
+    rows = ", ".join(f"({i}, '{label}', [{', '.join(repr(t) for t in tokens)}], {_span(i)})" for i, label, tokens in _template_sets())
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     place = " UNION ALL ".join(f"SELECT row, '{label}' AS label, i - 1 AS p FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = '{p}'" for p, label in PHRASES.items())
-    return f"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS low, {words.format("lower(coalesce(text, ''))")} AS w FROM documents),
-t AS (SELECT * FROM (VALUES {rows}) v(label, tokens)),
-b AS (SELECT row, {words.format("line")} AS line FROM (SELECT row, unnest(string_split_regex(low, '[\\n\\r]+')) AS line FROM d)),
-h AS (SELECT row, label, len(list_intersect(list_distinct(line), tokens)) / len(tokens) AS c FROM b, t WHERE len(list_intersect(list_distinct(line), tokens)) >= ceil({containment} * len(tokens) - 1e-9)),
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {rows}) v(template, label, tokens, span)),
+tw AS (SELECT template, span, unnest(tokens) AS token FROM t),
+dw AS (SELECT row, i AS p, w[i] AS token FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+hit AS (SELECT row, template, span, p, token FROM dw JOIN tw USING (token)),
+many AS (SELECT row, template FROM hit JOIN t USING (template) GROUP BY row, template HAVING count(DISTINCT token) >= any_value(ceil({containment} * len(tokens) - 1e-9))),
+near AS (SELECT hit.* FROM hit JOIN many USING (row, template)),
+n AS (SELECT a.row, a.template, a.p, count(DISTINCT b.token) AS n FROM near a JOIN near b ON a.row = b.row AND a.template = b.template AND b.p >= a.p AND b.p < a.p + a.span GROUP BY ALL),
+h AS (SELECT row, label, max(n) / any_value(len(tokens)) AS c FROM n JOIN t USING (template) WHERE n >= ceil({containment} * len(tokens) - 1e-9) GROUP BY row, template, label),
 p AS ({place}),
 base AS (SELECT row, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word FROM p GROUP BY row),
 labels AS (SELECT row, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT row, label FROM h UNION SELECT row, label FROM p) GROUP BY row),

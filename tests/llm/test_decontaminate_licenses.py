@@ -4,6 +4,7 @@ import tempfile
 import textwrap
 from collections import Counter
 
+import duckdb
 import pytest
 
 from tessera.llm import common, decontaminate, licenses, queries
@@ -174,25 +175,38 @@ def test_native_plan(spark):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def brute_license(text):
-    low = (text or "").lower()
-    w = WORD.findall(low)
+    w = WORD.findall((text or "").translate(LOW))
     spots = [(i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if w[i: i + len(phrase.split())] == phrase.split()]
     labels, best = {x for _, x in spots}, 0.0
-    for line in re.split(r"[\n\r]+", low):
-        have = set(WORD.findall(line))
-        for _, label, tokens in licenses._template_sets():
-            share = len(have & set(tokens)) / len(tokens)
-            if share >= 0.9 - 1e-12:
-                labels.add(label)
-                best = max(best, share)
+    for i, label, tokens in licenses._template_sets():
+        span, own = 2 * len(licenses.TEMPLATES[i][1].split()), set(tokens)
+        share = max((len(set(w[a: a + span]) & own) for a in range(len(w)) if w[a] in own), default=0) / len(tokens)
+        if share >= 0.9 - 1e-12:
+            labels.add(label)
+            best = max(best, share)
     at = [i for i, _ in spots]
     return (len(w), len(spots), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in spots})), ",".join(sorted(labels)), 1.0 if spots else best)
 
 
+COLUMNS = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def by_sql(sql, path, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+    res = con.execute(sql)
+    names = [d[0] for d in res.description]
+    return [dict(zip(names, r)) for r in res.fetchall()]
+
+
 def test_license_scan_matches_brute_force(spark):
     rnd = random.Random(6)
-    texts = [None, "", "...", "MIT\nLicense", "the MIT-license and the mit license, Apache License", "x " * 50_000 + "General Public License", "license mit", "mitlicense", "Licensed under CC BY-NC 4.0.", "by 4.0 nc under cc licensed", "licensed under cc by\nnc 4.0"]
+    texts = [None, "", "...", "MIT\nLicense", "the MIT-license and the mit license, Apache License", "x " * 50_000 + "General Public License", "license mit", "mitlicense", "Licensed under CC BY-NC 4.0.", "by 4.0 nc under cc licensed", "licensed under cc by\nnc 4.0", "MIT lİcense \u212a", "\u212alicensed under CC BY-NC 4.0"]
     for _, t in licenses.TEMPLATES:
         parts = t.split()
         texts += [t, t.upper(), "foo\n" + t + " bar", " ".join(parts[1:]), " ".join(rnd.sample(parts, len(parts)))]
@@ -200,7 +214,7 @@ def test_license_scan_matches_brute_force(spark):
             texts.append(" ".join(parts[2:]))
     data = list(enumerate(texts)) + [(3, texts[3]), (None, texts[4])]
     d = spark.createDataFrame([(a, b, "x", 1) for a, b in data], "doc_id long, text string, label string, `row` int")
-    got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in licenses.annotate(d).collect()), key=str)
+    got = sorted((tuple(r[c] for c in COLUMNS) for r in licenses.annotate(d).collect()), key=str)
     assert got == sorted(((a, *brute_license(b)) for a, b in data), key=str)
     assert licenses.annotate(d.limit(0)).count() == 0
 
@@ -220,23 +234,25 @@ def test_notices_over_line_breaks_and_in_long_lines(spark):
     texts += [" ".join(prose(n) + licenses.TEMPLATES[6][1].split() + prose(3_000)) for n in range(40, 60)]
     texts += [" ".join(rnd.choice(vocabulary) if rnd.random() < 0.6 else "x" for _ in range(900)) for _ in range(12)]
 
-    def brute(text):
-        w, labels, best = WORD.findall((text or "").lower()), set(), 0.0
-        labels |= {label for phrase, label in licenses.PHRASES.items() for i in range(len(w)) if w[i: i + len(phrase.split())] == phrase.split()}
-        phrased = bool(labels)
-        for i, label, tokens in licenses._template_sets():
-            span = 2 * len(licenses.TEMPLATES[i][1].split())
-            share = max((len(set(w[a: a + span]) & set(tokens)) for a in range(len(w))), default=0) / len(tokens)
-            if share >= 0.9 - 1e-12:
-                labels.add(label)
-                best = max(best, share)
-        return ",".join(sorted(labels)), 1.0 if phrased else best
-
-    want = {i: brute(t) for i, t in enumerate(texts)}
-    assert all(label in want[4 + 4 * i + j][0].split(",") for i, (label, _) in enumerate(licenses.TEMPLATES) for j in range(3))
-    assert want[3] == ("cc-by-nc", 1.0) and want[4 + 4 * 6 + 3] == ("", 0.0)
+    want = {i: brute_license(t) for i, t in enumerate(texts)}
+    assert all(label in want[4 + 4 * i + j][5].split(",") for i, (label, _) in enumerate(licenses.TEMPLATES) for j in range(3))
+    assert want[3][5:] == ("cc-by-nc", 1.0) and want[4 + 4 * 6 + 3][5:] == ("", 0.0)
     path = tempfile.mkdtemp(prefix="tessera-test-")
     rows = [*enumerate(texts), (2, texts[7]), (5, texts[5])]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
-    got = queries.op3_license_scan(spark, path).collect()
-    assert sorted((r.doc_id, r.labels, r.score) for r in got) == sorted((i, *brute(t)) for i, t in rows)
+    got = sorted((tuple(r[c] for c in COLUMNS) for r in queries.op3_license_scan(spark, path).collect()), key=str)
+    assert got == sorted(((i, *brute_license(t)) for i, t in rows), key=str)
+    # the SQL has the same rule
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in by_sql(licenses.oracle(), path, "documents")), key=str) == got
+
+
+def test_sql_of_decontamination_has_the_same_rule(spark):
+    rnd = random.Random(12)
+    items = [[f"w{rnd.randrange(80)}" for _ in range(n)] for n in (5, 6, 9, 12, 37, 60)]
+    docs = [" ".join(q[:-n]) for q in items for n in (1, 2, 4, 9) if n < len(q)] + [" ".join(["x"] * 30 + q + ["y"] * 7) for q in items] + [None, ""]
+    path = tempfile.mkdtemp(prefix="tessera-test-")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    got = queries.op1_decontamination(spark, path)
+    rows = sorted((r.asDict() for r in got.collect()), key=str)
+    assert len(rows) > 10 and rows == sorted(({c: r[c] for c in got.columns} for r in by_sql(decontaminate.ORACLE, path, "documents", "benchmark")), key=str)
