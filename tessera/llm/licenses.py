@@ -74,8 +74,10 @@ def _window(w: Column, block: Column) -> Column:
 
 
 def _low(text: str = "text") -> Column:
-    """The text with A to Z in lower case, null as empty."""
-    return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """The text in lower case, null as empty. Words are held against ASCII words alone, and
+    of all other characters only the Kelvin sign has an ASCII letter as its lower case:
+    it becomes some other letter, so that A to Z alone are lowered as far as it counts."""
+    return F.lower(F.replace(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u0142")))
 
 
 def _scan(docs: DataFrame, vocabulary: list[str]) -> DataFrame:

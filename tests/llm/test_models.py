@@ -169,24 +169,122 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.annotate(none).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
+SCRIPTS = {"x": "abc ", "y": "abdé ", "z": "".join(chr(0x4E00 + i) for i in range(60)) + " "}
+
+
+def four_grams(spark, texts):
+    """Counts of four characters, one by one."""
+    import unicodedata
+    out = {}
+    for lang, t in texts:
+        clean = "".join(c.lower()[0] if unicodedata.category(c)[0] in "LM" else " " for c in t)
+        clean = re.sub(" +", " ", clean)
+        chars = [0] * 4 + [0 if c == " " else ord(c) for c in (clean[1:] if clean[:1] == " " else clean)]
+        for i in range(4, len(chars)):
+            k = (lang, (chars[i - 3] << 42) | (chars[i - 2] << 21) | chars[i - 1], chars[i])
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+def test_four_grams_equal_counting_one_by_one():
+    rnd = random.Random(3)
+    wide = [chr(c) for c in (*range(97, 123), 0xE9, 0xC9, 0xDF, 0x301, 0x4E00, 0x4E8C, 0x939, 0x93F, 0x1F600)] + [" ", ".", "7", "\n"]
+    texts = [("l", "".join(rnd.choice(wide) for _ in range(rnd.randint(0, 60)))) for _ in range(80)] + [("l", ""), ("l", "...  "), ("m", "Ab, c")]
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in texts], "lang": [x for x, _ in texts]})
+    got = {}
+    for b in langid._counts(iter([batch.slice(0, 40), batch.slice(40)])):
+        got.update({(r["lang"], r["context"], r["last"]): r["n"] for r in b.to_pylist()})
+    assert got == four_grams(None, texts)
+
+
+def brute_kneser_ney(cells, lang, letters):
+    """Probabilities by the textbook: prob(context tuple, char)."""
+    counts = {4: {}}
+    for (one, context, last), n in cells.items():
+        if one == lang:
+            counts[4][((context >> 42), (context >> 21) & (2**21 - 1), context & (2**21 - 1)), last] = n
+    for k in (3, 2, 1):
+        counts[k] = {}
+        for context, last in counts[k + 1]:
+            counts[k][context[1:], last] = counts[k].get((context[1:], last), 0) + 1
+
+    def prob(context, c, k):
+        if k == 0:
+            return 1 / (letters + 1)
+        ones, twos = (sum(n == v for n in counts[k].values()) for v in (1, 2))
+        d = min(0.95, max(1, ones) / (max(1, ones) + 2 * twos))
+        after = {w: n for (h, w), n in counts[k].items() if h == context}
+        if not after:
+            return prob(context[1:], c, k - 1)
+        total = sum(after.values())
+        gamma = 1 - sum(max(n - d, 0) for n in after.values()) / total
+        return max(after.get(c, 0) - d, 0) / total + gamma * prob(context[1:], c, k - 1)
+
+    return prob
+
+
+@pytest.fixture(scope="module")
+def kneser_ney(spark):
     rnd = random.Random(1)
-    counts = {}
-    for one, letters in (("x", "abc "), ("y", "abd ")):
-        code, _, _ = langid.codes(pa.array(["".join(rnd.choice(letters) for _ in range(400))]))
-        counts[one] = np.unique(code, return_counts=True)
-    m = langid.Model(counts)
-    for context in (0, 1 | 2 << 6, 3 | 1 << 6 | 2 << 12, 9 | 9 << 6):
-        p = np.exp(m._look(np.arange(64, dtype=np.uint32) | np.uint32(context << 6), langid.ORDER))
-        assert p.sum(axis=0) == pytest.approx([1, 1])
-
-
-def test_codes_do_not_depend_on_the_batch():
+    texts = [(one, "".join(rnd.choice(letters) for _ in range(300))) for one, letters in SCRIPTS.items()]
+    cells = four_grams(None, texts)
+    df = spark.createDataFrame([(*k, n) for k, n in cells.items()], "lang string, context long, last int, n long")
+    letters = len({k[2] for k in cells})
+
+    def model(most):
+        own, contexts = langid.tables(df, most)
+        return langid.Model(own.toArrow(), contexts.toArrow(), letters)
+    return cells, letters, model
+
+
+def test_kneser_ney_equals_the_textbook(kneser_ney):
+    cells, letters, model = kneser_ney
+    m, rnd = model(10_000), random.Random(5)
+    assert m.langs == ["x", "y", "z"]
+    chars = sorted({k[2] for k in cells})
+    for lang in m.langs:
+        prob = brute_kneser_ney(cells, lang, letters)
+        asked = [[rnd.choice(chars[:8] if lang != "z" else chars) for _ in range(4)] for _ in range(60)]
+        got = np.exp(m.look(lang, np.array(asked, np.uint64)))
+        assert got == pytest.approx([prob(tuple(a[:3]), a[3], 4) for a in asked], rel=1e-5)
+
+
+@pytest.mark.parametrize("most", [10_000, 150])
+def test_kneser_ney_sums_to_one(kneser_ney, most):
+    cells, letters, model = kneser_ney
+    m = model(most)
+    assert sum(len(g[4][0]) for g in m.grams.values()) <= max(most, 0) and (most == 150 or len(m.grams["z"][4][0]) > 200)
+    chars = sorted({k[2] for k in cells}) + [0x10FFFF]  # and one unknown
+    for context in ([0, 0, 0], [97, 98, 99], [0x4E00, 0x4E01, 0x4E02], [120, 120, 120], [0, 97, 98]):
+        for lang in m.langs:
+            p = np.exp(m.look(lang, np.array([[*context, c] for c in chars], np.uint64)))
+            assert p.sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_scripts_of_many_letters(spark):
+    """Two languages of one script with thousands of letters, told apart by their sequences."""
+    rnd = random.Random(9)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    after = {one: {c: [rnd.choice(han) for _ in range(3)] for c in han} for one in ("za", "zb")}
+
+    def text(one, n):
+        out = [rnd.choice(han)]
+        while len(out) < n:
+            out.append(rnd.choice(after[one][out[-1]]) if rnd.random() < 0.9 else rnd.choice(han))
+        return "".join(out)
+    rows = [(i, text(("za", "zb")[i % 2], 400), ("za", "zb")[i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.annotate(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([r.lang_pred == r.lang for r in out if r.held_out]) > 0.97
+    assert langid.grams(pa.array(["一丁七"]))[0].tolist()[-1] == [0, 0x4E00, 0x4E01, 0x4E03]
+
+
+def test_grams_do_not_depend_on_the_batch():
     texts = ["", "Ab, c", None, "  é!!x ", "9"]
-    together, off, letters = langid.codes(pa.array(texts, pa.string()))
+    together, which, off, letters = langid.grams(pa.array(texts, pa.string()))
     for i, t in enumerate(texts):
-        alone, _, n = langid.codes(pa.array([t], pa.string()))
-        assert together[off[i]: off[i + 1]].tolist() == alone.tolist() and n[0] == letters[i] == sum(c.isalpha() for c in t or "")
+        own, at, _, n = langid.grams(pa.array([t], pa.string()))
+        assert together[which[off[i]: off[i + 1]]].tolist() == own[at].tolist() and n[0] == letters[i] == sum(c.isalpha() for c in t or "")
 
 
 # ---- toxicity
