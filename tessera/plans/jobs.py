@@ -100,8 +100,9 @@ def road_window_counts(points: DataFrame, roads: DataFrame, radius: float = RADI
     layer = C.written(road_layer(roads).drop("_wid").groupBy("id", "wkt").agg(F.first("_segs").alias("_segs"))
                       .withColumn("_wid", F.monotonically_increasing_id()), "road-windows")
     pairs = J.line_buffer_join(points.select("lng", "lat", "x", "y"), roads, radius, layer=layer, **opts)
-    counts = pairs.groupBy("_wid").agg(F.count_distinct("lng", "lat").alias("n"))
-    return (counts.join(J.line_buffer_areas(layer, radius), "_wid").join(layer.select("_wid", "id", "wkt"), "_wid")
+    counts = C.written(pairs.groupBy("_wid").agg(F.count_distinct("lng", "lat").alias("n")), "road-counts")
+    matched = layer.join(counts.select("_wid"), "_wid", "left_semi")  # areas of roads with a match alone
+    return (counts.join(J.line_buffer_areas(matched, radius), "_wid").join(layer.select("_wid", "id", "wkt"), "_wid")
             .select("id", "wkt", "n", "area"))
 
 
