@@ -279,6 +279,21 @@ def test_scripts_of_many_letters(spark):
     assert langid.grams(pa.array(["一丁七"]))[0].tolist()[-1] == [0, 0x4E00, 0x4E01, 0x4E03]
 
 
+def test_waves_answer_as_one_model(spark):
+    """No n-gram is left out however large the model is, and its waves' answers are those of the whole."""
+    docs = common.table(spark, SF, "documents").select("doc_id", "text", "lang").limit(150)
+    docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, "and so on", "en"), (-5, None, "en"), (-6, " ", "en")], "doc_id long, text string, lang string"))
+    assert not hasattr(langid, "MODEL_CELLS")
+    one, many = langid.fit(docs), langid.fit(docs, wave=2_000)
+    assert type(one) is langid.Model and isinstance(many, langid.Waves) and len(many.waves) > 3
+    assert (many.letters, many.langs, many.temperature) == (one.letters, one.langs, one.temperature) and many.bound == pytest.approx(one.bound)
+    parts = list(many.models())
+    assert sum(len(m.grams[x][4][0]) for m in parts for x in m.langs) == sum(len(one.grams[x][4][0]) for x in one.langs)
+    got, want = (sorted(map(tuple, langid.predict(docs, m).collect()), key=str) for m in (many, one))
+    assert len(got) == docs.count() and [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-9)
+
+
 def test_grams_do_not_depend_on_the_batch():
     texts = ["", "Ab, c", None, "  é!!x ", "9"]
     together, which, off, letters = langid.grams(pa.array(texts, pa.string()))
