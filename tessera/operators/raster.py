@@ -20,7 +20,8 @@ MAX_PIXEL_COUNT = 2.0   # counts are capped at this value before normalising
 # ----------------------------------------------------------------------------------
 
 
-BLOCK = 4096             # steps of a segment in one generated array
+BLOCK = 64               # steps of a segment in one piece: it lies in four tiles at most
+STRIP = 64               # rows of pixels of a tile that are one part
 
 
 def _scale(z: Column) -> Column:
@@ -103,21 +104,31 @@ def blur_pixels(pixels: DataFrame, radius: int = 1, cap: float = MAX_PIXEL_COUNT
 
 def line_pixels(lines: DataFrame, min_zoom: int, max_zoom: int, geom_col: str = "geom") -> DataFrame:
     """Pixels touched by line segments (scatter raster, one colour),
-    sampled at unit steps along each segment, de-duplicated."""
+    sampled at unit steps along each segment, de-duplicated.
+
+    Pieces of BLOCK steps are shuffled, not pixels: a piece goes to each tile of its ends' box and
+    is sampled there, so that a tile's pixels are made distinct where they arise. Tiles are dealt by
+    parts of their rows of pixels, so that one crowded tile is many tasks."""
     s = lines.select(F.explode(G.segments(F.col(geom_col))).alias("s"))
     s = _zooms(s, min_zoom, max_zoom)
     z = F.col("z")
     s = s.select("z", global_pixel_x(F.col("s.x1"), z).alias("gx1"), global_pixel_y(F.col("s.y1"), z).alias("gy1"),
                  global_pixel_x(F.col("s.x2"), z).alias("gx2"), global_pixel_y(F.col("s.y2"), z).alias("gy2"))
     s = s.withColumn("n", F.ceil(F.greatest(F.abs(F.col("gx2") - F.col("gx1")), F.abs(F.col("gy2") - F.col("gy1")))).cast("long"))
-    # a long segment is dealt in pieces of BLOCK steps: no array is longer
     s = s.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.lit(BLOCK)))))
-    # pieces, not segments, are dealt over the tasks: a few long lines make most of the steps
-    s = s.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    s = s.withColumn("k", F.explode(F.sequence(F.col("b") * F.lit(BLOCK), F.least("n", F.col("b") * F.lit(BLOCK) + F.lit(BLOCK - 1)))))
-    gx = F.when(F.col("n") == 0, F.col("gx1")).otherwise(F.col("gx1") + (F.col("gx2") - F.col("gx1")) * F.col("k") / F.col("n"))
-    gy = F.when(F.col("n") == 0, F.col("gy1")).otherwise(F.col("gy1") + (F.col("gy2") - F.col("gy1")) * F.col("k") / F.col("n"))
-    px = s.select("z", F.floor(gx).alias("gx"), F.floor(gy).alias("gy")).distinct()
+    s = s.withColumns({"k0": F.col("b") * F.lit(BLOCK), "k1": F.least("n", F.col("b") * F.lit(BLOCK) + F.lit(BLOCK - 1))})
+    at = lambda c, k: F.when(F.col("n") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * F.col(k) / F.col("n"))
+    part = lambda c, size: F.floor(F.col(c) / F.lit(size))
+    ends = {c + k: F.floor(at(c, k)) for c in ("gx", "gy") for k in ("k0", "k1")}
+    s = s.withColumns(ends)
+    for c, name, size in (("gx", "tx", TILE_SIZE), ("gy", "strip", STRIP)):
+        lo, hi = F.least(f"{c}k0", f"{c}k1"), F.greatest(f"{c}k0", f"{c}k1")
+        s = s.withColumn(name, F.explode(F.sequence(F.floor(lo / F.lit(size)), F.floor(hi / F.lit(size)))))
+    s = s.select("z", "tx", "strip", "gx1", "gy1", "gx2", "gy2", "n", "k0", "k1")
+    s = s.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "z", "tx", "strip")
+    s = s.withColumn("k", F.explode(F.sequence("k0", "k1")))
+    px = s.select("z", "tx", "strip", F.floor(at("gx", "k")).alias("gx"), F.floor(at("gy", "k")).alias("gy"))
+    px = px.filter((part("gx", TILE_SIZE) == F.col("tx")) & (part("gy", STRIP) == F.col("strip"))).distinct()
     return _split(px, [])
 
 
