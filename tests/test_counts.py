@@ -1,13 +1,17 @@
 """Counts without pairs are the counts of the joins' pairs."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.tiles import EQUATOR
 from tessera.operators import aggs as A
+from tessera.operators import cells as C
 from tessera.operators import counts as N
 from tessera.operators import joins as J
+from tessera.operators import raster as R
 from tessera.plans import jobs
 
 DAYS = ("2024-01-01", "2024-01-02", None)
@@ -69,3 +73,44 @@ def test_members_of_distinct_sides_need_no_shuffle(spark):
     pairs = jobs.poi_circle_pairs(jobs.places(p), pois, 60.0)
     members = A.join_members(pairs, ["poi_lng", "poi_lat"], ["lng", "lat"], unique=True)
     assert sorted(map(tuple, members.collect())) == sorted(map(tuple, A.join_members(pairs, ["poi_lng", "poi_lat"], ["lng", "lat"]).collect())) and members.count() > 100
+
+
+def test_polygon_members_are_pairs_of_distinct_sides(spark):
+    square = lambda c, r: f"POLYGON (({c - r} {-r}, {c + r} {-r}, {c + r} {r}, {c - r} {r}, {c - r} {-r}))"
+    p = _points(spark, grid=True).withColumns({"lng": F.col("x"), "lat": F.col("y")})
+    once = [(1, square(0, 30)), (1, square(0, 30)), (2, square(10, 20))]
+    shared = [(3, square(-5, 30)), (3, square(15, 30)), (None, square(0, 10)), (None, square(3, 10))]  # polygons of one ID overlap
+    for rows in (once, once + shared):
+        areas = spark.createDataFrame(rows, "id long, wkt string")
+        want = A.join_members(J.polygon_join(p.select("lng", "lat", "x", "y"), jobs.with_geom(areas)), ["id"], ["lng", "lat"])
+        got = jobs.area_members(p, areas)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = jobs.area_members(p, spark.createDataFrame(once, "id long, wkt string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [id" not in plan and "Aggregate [lng" in plan  # points are made distinct, pairs are not
+
+
+def test_windows_are_parsed_by_all_tasks(spark):
+    roads = spark.range(40).coalesce(1).select("id", F.lit("LINESTRING (-50 0, 50 3)").alias("wkt"))
+    assert C.dealt(roads).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert len(jobs.road_layer(roads).select(F.input_file_name()).distinct().collect()) > 1
+
+
+def test_line_pixels_shuffle_pieces_not_pixels(spark):
+    r = random.Random(4)
+    ends = [tuple(r.uniform(-3e5, 3e5) for _ in range(4)) for _ in range(12)] + [(10.0, 20.0, 10.0, 20.0), (0.0, 0.0, -4e5, 1.0)]
+    lines = jobs.with_geom(spark.createDataFrame([(f"LINESTRING ({a!r} {b!r}, {c!r} {d!r})",) for a, b, c, d in ends], "wkt string"))
+    want = set()
+    for z in (9, 11):
+        scale = 2.0 ** z * 256.0
+        for a, b, c, d in ends:
+            x1, x2 = ((v + EQUATOR / 2.0) / EQUATOR * scale for v in (a, c))
+            y1, y2 = ((EQUATOR / 2.0 - v) / EQUATOR * scale for v in (b, d))
+            n = math.ceil(max(abs(x2 - x1), abs(y2 - y1)))
+            for k in range(n + 1):
+                gx, gy = (math.floor(u + (v - u) * k / n) if n else math.floor(u) for u, v in ((x1, x2), (y1, y2)))
+                want.add((z, gx // 256, gy // 256, gx % 256, gy % 256))
+    out = R.line_pixels(lines, 9, 11, geom_col="geom")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(z" in plan and "tx#" in plan.split("Exchange hashpartitioning")[1].split(")")[0]
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and {g for g in got if g[0] != 10} == want
