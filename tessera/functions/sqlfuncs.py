@@ -3,8 +3,8 @@
 Closed-form functions are registered as Spark SQL functions
 (``CREATE TEMPORARY FUNCTION ... RETURN <expr>``) from the same SQL text that
 the operators use; Catalyst inlines them, so a SQL query using them plans like
-the DataFrame version. A geometry in SQL is a struct of kind, parts and radius
-(0 but for buffers). All functions give null for a null argument. The GCJ-02
+the DataFrame version. A geometry in SQL is a struct of kind, parts, radius
+(0 but for buffers) and edges (of its rings, none for a point). All functions give null for a null argument. The GCJ-02
 inverse (an iteration) is an Arrow-batched pandas UDF, ``gcj_to_wgs``, which returns
 both coordinates; ``trans_lon`` and ``trans_lat`` are its fields, so a query with both
 runs the iteration once. ``cells_of(g, reach, size)`` is a table function: the grid
@@ -42,11 +42,13 @@ def _geohash_expr(precision: int = 8) -> str:
     return "IF(lng IS NULL OR lat IS NULL, NULL, concat(" + ", ".join(chars) + "))"
 
 
-GEOMETRY = "STRUCT<kind: STRING, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>, radius: DOUBLE>"
+#: edges: the segments of all rings with their vectors, made once with the geometry and read by every predicate.
+_EDGES = "ARRAY<STRUCT<x1: DOUBLE, y1: DOUBLE, x2: DOUBLE, y2: DOUBLE, dx: DOUBLE, dy: DOUBLE, l2: DOUBLE>>"
+GEOMETRY = f"STRUCT<kind: STRING, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>, radius: DOUBLE, edges: {_EDGES}>"
 
 
-def _geometry(kind: str, parts: str, radius: str = "0D") -> str:
-    return f"named_struct('kind', {kind}, 'parts', {parts}, 'radius', {radius})"
+def _geometry(kind: str, parts: str, radius: str = "0D", edges: str = f"CAST(array() AS {_EDGES})") -> str:
+    return f"named_struct('kind', {kind}, 'parts', {parts}, 'radius', {radius}, 'edges', {edges})"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -56,11 +58,35 @@ def _let(value: str, name: str, body: str) -> str:
 
 _X, _Y = "{0}.parts[0][0][0].x", "{0}.parts[0][0][0].y"
 _XY = [f.format(p) for p in ("a", "b") for f in (_X, _Y)]
-_VECTORS = ("transform(" + G.segments_sql("g") + ", s -> named_struct('x1', s.x1, 'y1', s.y1, 'dx', s.x2 - s.x1, 'dy', s.y2 - s.y1, "
+_VECTORS = ("transform(" + G.segments_sql("n") + ", s -> named_struct('x1', s.x1, 'y1', s.y1, 'x2', s.x2, 'y2', s.y2, 'dx', s.x2 - s.x1, 'dy', s.y2 - s.y1, "
             "'l2', IF(s.x1 = s.x2 AND s.y1 = s.y2, 1D, (s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1))))")
-_WITHIN = (f"CASE WHEN g.radius > 0 AND g.kind = 'POINT' THEN sqrt(pow(p.parts[0][0][0].x - g.parts[0][0][0].x, 2) + pow(p.parts[0][0][0].y - g.parts[0][0][0].y, 2)) < g.radius "
-           f"WHEN g.radius > 0 THEN array_min(transform({_VECTORS}, v -> {G.vector_d2_sql(_X.format('p'), _Y.format('p'), 'v')})) < g.radius * g.radius "
-           f"ELSE {_let(G.segments_sql('g'), 'e', G.pip_sql(_X.format('p'), _Y.format('p'), 'e'))} END")
+
+
+def _edged(kind: str, parts: str, radius: str = "0D") -> str:
+    """A geometry with its edges."""
+    return _let(f"named_struct('kind', {kind}, 'parts', {parts}, 'radius', {radius})", "n", _geometry("n.kind", "n.parts", "n.radius", _VECTORS))
+
+
+# an envelope's edges one by one, without lambdas: Spark folds those of literals
+_CORNERS = [("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny")]
+
+
+def _edge(a: tuple[str, str], b: tuple[str, str]) -> str:
+    dx, dy = f"({b[0]} - {a[0]})", f"({b[1]} - {a[1]})"
+    return (f"named_struct('x1', {a[0]}, 'y1', {a[1]}, 'x2', {b[0]}, 'y2', {b[1]}, 'dx', {dx}, 'dy', {dy}, "
+            f"'l2', IF({a[0]} = {b[0]} AND {a[1]} = {b[1]}, 1D, {dx} * {dx} + {dy} * {dy}))")
+
+
+_PX, _PY = _X.format("p"), _Y.format("p")
+# the point's coordinates are bound once: an argument is inlined wherever its name stands, and inside a
+# lambda it would be built anew for every edge
+_POINT = f"named_struct('x', {_PX}, 'y', {_PY}, 'e', g.edges)"
+# squared distances in steps, each of which is evaluated once (the same arithmetic as geom.vector_d2_sql)
+_D2 = ("transform(transform(transform(q.e, v -> named_struct('v', v, 't', greatest(0.0D, least(1.0D, ((q.x - v.x1) * v.dx + (q.y - v.y1) * v.dy) / v.l2)))), "
+       "u -> named_struct('x', q.x - (u.v.x1 + u.t * u.v.dx), 'y', q.y - (u.v.y1 + u.t * u.v.dy))), w -> w.x * w.x + w.y * w.y)")
+_WITHIN = (f"CASE WHEN g.radius > 0 AND g.kind = 'POINT' THEN sqrt(pow({_PX} - g.parts[0][0][0].x, 2) + pow({_PY} - g.parts[0][0][0].y, 2)) < g.radius "
+           f"WHEN g.radius > 0 THEN {_let(_POINT, 'q', f'array_min({_D2})')} < g.radius * g.radius "
+           f"ELSE {_let(_POINT, 'q', G.pip_sql('q.x', 'q.y', 'q.e'))} END")
 _BOX = "named_struct('x0', array_min(transform({0}, v -> v.x)), 'y0', array_min(transform({0}, v -> v.y)), 'x1', array_max(transform({0}, v -> v.x)), 'y1', array_max(transform({0}, v -> v.y)))"
 # the envelope covers all vertices, and some vertex or middle of a segment lies inside it
 _COVERS = _let(_BOX.format("flatten(flatten(g.parts))"), "b", "forall(flatten(flatten(p.parts)), v -> v.x >= b.x0 AND v.x <= b.x1 AND v.y >= b.y0 AND v.y <= b.y1) AND ("
@@ -77,23 +103,25 @@ _UTM_CODE = "'(?i)^epsg:32[67](0[1-9]|[1-5][0-9]|60)$'"
 
 FUNCTIONS = {
     "st_point": ("x DOUBLE, y DOUBLE", GEOMETRY, f"IF(x IS NULL OR y IS NULL, NULL, {_geometry(chr(39) + 'POINT' + chr(39), 'array(array(array(named_struct(' + chr(39) + 'x' + chr(39) + ', x, ' + chr(39) + 'y' + chr(39) + ', y))))')})"),
-    "st_geomfromwkt": ("wkt STRING", GEOMETRY, _let(G.wkt_sql("wkt"), "q", f"IF(q IS NULL, NULL, {_geometry('q.kind', 'q.parts')})")),
-    "st_geomfromtext": ("wkt STRING", GEOMETRY, _let(G.wkt_sql("wkt"), "q", f"IF(q IS NULL, NULL, {_geometry('q.kind', 'q.parts')})")),
+    "st_geomfromwkt": ("wkt STRING", GEOMETRY, _let(G.wkt_sql("wkt"), "q", f"IF(q IS NULL, NULL, {_edged('q.kind', 'q.parts')})")),
+    "st_geomfromtext": ("wkt STRING", GEOMETRY, _let(G.wkt_sql("wkt"), "q", f"IF(q IS NULL, NULL, {_edged('q.kind', 'q.parts')})")),
     "st_polygonfromenvelope": ("minx DOUBLE, miny DOUBLE, maxx DOUBLE, maxy DOUBLE", GEOMETRY,
                                "IF(minx IS NULL OR miny IS NULL OR maxx IS NULL OR maxy IS NULL, NULL, " + _geometry("'POLYGON'", "array(array(array("
-                               + ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))) + ")))") + ")"),
+                               + ", ".join(f"named_struct('x', {a}, 'y', {b})" for a, b in _CORNERS) + ")))", edges="array(" + ", ".join(map(_edge, _CORNERS, _CORNERS[1:])) + ")") + ")"),
     "st_transform": (f"g {GEOMETRY}, source STRING, target STRING", GEOMETRY,
                      f"CASE WHEN g IS NULL OR source IS NULL OR target IS NULL THEN NULL WHEN lower(source) = lower(target) THEN g "
-                     f"WHEN lower(source) = 'epsg:4326' AND lower(target) = 'epsg:3857' THEN {_geometry('g.kind', _MERCATOR, 'g.radius')} "
-                     f"WHEN lower(source) = 'epsg:3857' AND lower(target) = 'epsg:4326' THEN {_geometry('g.kind', _LONLAT, 'g.radius')} "
-                     f"WHEN lower(source) = 'epsg:4326' AND target RLIKE {_UTM_CODE} THEN {_geometry('g.kind', _UTM, 'g.radius')} "
+                     f"WHEN lower(source) = 'epsg:4326' AND lower(target) = 'epsg:3857' THEN {_edged('g.kind', _MERCATOR, 'g.radius')} "
+                     f"WHEN lower(source) = 'epsg:3857' AND lower(target) = 'epsg:4326' THEN {_edged('g.kind', _LONLAT, 'g.radius')} "
+                     f"WHEN lower(source) = 'epsg:4326' AND target RLIKE {_UTM_CODE} THEN {_edged('g.kind', _UTM, 'g.radius')} "
                      "ELSE raise_error('st_transform: from epsg:4326 to epsg:3857, epsg:326zz and epsg:327zz (UTM), and from epsg:3857 to epsg:4326') END"),
-    "st_buffer": (f"g {GEOMETRY}, r DOUBLE", GEOMETRY, f"IF(g IS NULL OR r IS NULL, NULL, {_geometry('g.kind', 'g.parts', 'g.radius + r')})"),
+    "st_buffer": (f"g {GEOMETRY}, r DOUBLE", GEOMETRY, f"IF(g IS NULL OR r IS NULL, NULL, {_geometry('g.kind', 'g.parts', 'g.radius + r', 'g.edges')})"),
     "st_distance": (f"a {GEOMETRY}, b {GEOMETRY}", "DOUBLE", f"sqrt(({_XY[0]} - {_XY[2]}) * ({_XY[0]} - {_XY[2]}) + ({_XY[1]} - {_XY[3]}) * ({_XY[1]} - {_XY[3]}))"),
     "st_within": (f"p {GEOMETRY}, g {GEOMETRY}", "BOOLEAN", f"IF(p IS NULL OR g IS NULL, NULL, {_WITHIN})"),
     "st_contains": (f"g {GEOMETRY}, p {GEOMETRY}", "BOOLEAN", f"CASE WHEN p IS NULL OR g IS NULL THEN NULL WHEN p.kind = 'POINT' THEN {_WITHIN} ELSE {_COVERS} END"),
     "st_area": (f"g {GEOMETRY}", "DOUBLE", f"CASE WHEN g IS NULL THEN NULL WHEN g.kind = 'POINT' THEN {math.pi!r}D * g.radius * g.radius WHEN g.kind NOT LIKE '%POLYGON' THEN 0D ELSE "
                 "aggregate(transform(g.parts, p -> aggregate(slice(p, 2, greatest(size(p) - 1, 0)), " + _RING.format(r="p[0]") + ", (a, r) -> a - " + _RING.format(r="r").replace("(a, i) -> a +", "(c, i) -> c +") + ")), 0D, (a, v) -> a + v) END"),
+    **{f"st_{c}{m}": (f"g {GEOMETRY}", "DOUBLE", f"array_{m}(transform(flatten(flatten(g.parts)), v -> v.{c})) {sign} g.radius")
+       for c in "xy" for m, sign in (("min", "-"), ("max", "+"))},
     "st_mercator_x": ("lng DOUBLE", "DOUBLE", f"lng * {MERC_HALF!r} / 180.0"),
     "st_mercator_y": ("lat DOUBLE", "DOUBLE", f"ln(tan((90.0 + lat) * {math.pi!r} / 360.0)) * {MERC_R!r}"),
     "st_distance_xy": ("x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE", "DOUBLE",
