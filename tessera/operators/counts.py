@@ -2,11 +2,11 @@
 
 A count by window and date has one row for what a join has thousands of pairs. Points
 and windows meet by blocks of the plane (``cells``), as in the joins, but in a cogroup:
-there a finer grid parts a block's points. A fine cell that lies wholly inside a window
-counts as its sum, a run of such cells in a row as the difference of two running sums,
-and only the points of cells on the outline are tested one by one, by the joins' own
-predicates. So the work of a window grows with its outline, not with the points
-inside it, and what leaves a block is one row per window and date.
+there strips of finer cells part a block's points. Each segment marks, strip by strip, what
+it may touch and what lies wholly inside, for many windows at once; a run of cells inside a
+window counts as the difference of two running sums, and only the points that an outline
+may touch are tested one by one, by the joins' own predicates. So the work of a window grows
+with its outline, not with the points inside it, and what leaves a block is one row per window and date.
 
 Equal points are one row with a number beforehand. A block with many points or many
 windows is dealt in parts: counts of parts add up, nothing is dropped.
@@ -24,9 +24,9 @@ from . import cells as C
 from . import joins as J
 
 #: Points and windows of a block that meet in one task; more are dealt in parts.
-POINTS_PART, WINDOWS_PART = 1 << 19, 1 << 15
-#: Points of a fine cell on average; sums held at most; numbers of one matrix.
-PER_FINE, SUMS, MATRIX = 32, 1 << 22, 1 << 20
+POINTS_PART, WINDOWS_PART = 1 << 19, 1 << 14
+#: Marks, points tested and sums held at once.
+MARKS, MATRIX, SUMS = 1 << 17, 1 << 19, 1 << 22
 
 
 def _block(size: float) -> float:
@@ -36,126 +36,226 @@ def _block(size: float) -> float:
 
 # ---- within a block -----------------------------------------------------------------
 
-def _d2(x, y, s) -> np.ndarray:
-    """Squared distances of points to the nearest of the segments (x1, y1, dx, dy, l2), as ``vector_d2_sql`` has them."""
-    best, step = None, max(1, MATRIX // max(len(x), 1))
-    for i in range(0, len(s), step):
-        x1, y1, dx, dy, l2 = s[i:i + step].T[:, :, None]
-        t = np.maximum(0.0, np.minimum(1.0, ((x - x1) * dx + (y - y1) * dy) / l2))
-        ex, ey = x - (x1 + t * dx), y - (y1 + t * dy)
-        d2 = (ex * ex + ey * ey).min(axis=0)
-        best = d2 if best is None else np.minimum(best, d2)
-    return np.full(len(x), np.inf) if best is None else best
-
+def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
-class Circle:
-    """A disc of a radius, its edge included or not."""
 
-    columns = ("_x", "_y")
+def _list(t: pa.Table, name: str, fields: tuple[str, ...] = ()):
+    """Offsets and values (a matrix of ``fields``, if given) of a list column."""
+    a = t[name].combine_chunks()
+    a = a if isinstance(a, pa.Array) else a.chunk(0)
+    off, v = a.offsets.to_numpy().astype(np.int64), a.flatten()
+    parts = [v.field(f) for f in fields] if fields else [v]
+    m = [x.to_numpy(zero_copy_only=False).astype(float) for x in parts]
+    return off - off[0], np.stack(m, axis=1) if fields else m[0]
 
-    def __init__(self, radius: float, strict: bool):
-        self.r, self.strict = radius, strict
 
-    def read(self, t: pa.Table):
-        x, y = t["_x"].to_numpy(), t["_y"].to_numpy()
-        return lambda i: (x[i], y[i])
+class Grid:
+    """A block's strips (rows) of columns, and the points sorted by them: equal cells are neighbours."""
 
-    def box(self, w):
-        return w[0] - self.r, w[1] - self.r, w[0] + self.r, w[1] + self.r
+    def __init__(self, x: np.ndarray, y: np.ndarray, cx: int, cy: int, side: float):
+        bits = np.log2(max(len(x), 1))
+        self.rows = 1 << int(np.clip(round(bits / 2 - 1.5), 0, 9))
+        self.columns = 1 << int(np.clip(np.ceil(bits - np.log2(self.rows)), 0, 12))
+        self.x0, self.y0, self.high, self.wide = cx * side, cy * side, side / self.rows, side / self.columns
+        column = np.clip(np.floor(x / self.wide) - float(cx) * self.columns, 0, self.columns - 1).astype(np.int64)
+        row = np.clip(np.floor(y / self.high) - float(cy) * self.rows, 0, self.rows - 1).astype(np.int64)
+        cell = row * self.columns + column
+        self.order = np.argsort(cell, kind="stable")
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=self.rows * self.columns))])
+        self.reach = max(abs(self.x0), abs(self.y0), side)
 
-    def grid(self, w, x, y, half):
-        d = np.sqrt((x - w[0]) ** 2 + (y - w[1]) ** 2)
-        return d <= self.r - half, np.abs(d - self.r) < half
+    def strips(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First strip and number of strips of ranges of y."""
+        a = np.clip(np.floor((low - self.y0) / self.high), 0, self.rows)
+        return a.astype(np.int64), np.maximum(0, np.clip(np.floor((high - self.y0) / self.high) + 1, 0, self.rows) - a).astype(np.int64)
 
-    def holds(self, w, x, y):
-        dx, dy = x - w[0], y - w[1]
-        d = np.sqrt(dx * dx + dy * dy)
-        return d < self.r if self.strict else d <= self.r
+    def at(self, row: np.ndarray, x: np.ndarray, after: int) -> np.ndarray:
+        """Number of the first point of x's cell, or (``after``: 1) of the cell after it."""
+        return self.first[row * self.columns + np.clip(np.floor((x - self.x0) / self.wide) + after, 0, self.columns).astype(np.int64)]
 
 
-def _lists(t: pa.Table, name: str, fields: tuple[str, ...]):
-    """Row number -> matrix of a list column's structs."""
-    a = t[name].combine_chunks()
-    a = a if isinstance(a, pa.Array) else a.chunk(0)
-    at, v = a.offsets.to_numpy(), a.values
-    m = np.stack([v.field(f).to_numpy(zero_copy_only=False) for f in fields], axis=1) if len(v) else np.zeros((0, len(fields)))
-    return lambda i: m[at[i]:at[i + 1]]
+def _marks(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, near: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple:
+    """Where ranges of points begin and end: group, number of the point, how many ranges near an outline
+    are open from there on (more or fewer), and what that adds to those inside."""
+    return np.r_[group, group], np.r_[lo, hi], np.r_[near, -near], np.r_[begin, end]
 
 
 class Line:
     """The r-buffer of segments."""
 
-    columns = ("_list",)
+    columns, parity = ("_list",), False
 
     def __init__(self, radius: float, strict: bool):
         self.r, self.strict = radius, strict
 
-    def read(self, t: pa.Table):
-        return _lists(t, "_list", ("x1", "y1", "dx", "dy", "l2"))
+    def read(self, t: pa.Table) -> None:
+        self.off, self.s = _list(t, "_list", ("x1", "y1", "dx", "dy", "l2"))
+
+    def place(self, g: Grid) -> np.ndarray:
+        """Slack, the strips of every segment, and the number of marks of every window."""
+        s = self.s
+        self.slack = 4e-12 * max(g.reach, self.r, np.abs(s[:, :4]).max(initial=0.0))
+        low, high = np.minimum(s[:, 1], s[:, 1] + s[:, 3]), np.maximum(s[:, 1], s[:, 1] + s[:, 3])
+        self.row, self.n = g.strips(low - self.r - self.slack, high + self.r + self.slack)
+        return 4 * np.diff(np.concatenate([[0], np.cumsum(self.n)])[self.off])
+
+    def _section(self, s, y):
+        """Ends of the buffer of each segment at a height, NaN off it."""
+        x1, y1, dx, dy, l2 = s.T
+        long = np.sqrt(dx * dx + dy * dy)
+        nx, ny = (np.where(long > 0, d / np.where(long > 0, long, 1.0) * self.r, 0.0) for d in (-dy, dx))
+        lo, hi = np.full(len(y), np.nan), np.full(len(y), np.nan)
+        for ex, ey in ((x1, y1), (x1 + dx, y1 + dy)):
+            w = np.sqrt(self.r * self.r - (y - ey) ** 2)
+            lo, hi = np.fmin(lo, ex - w), np.fmax(hi, ex + w)
+        for sign in (1.0, -1.0):
+            t = (y - (y1 + sign * ny)) / dy
+            x = np.where((t >= 0) & (t <= 1), x1 + sign * nx + t * dx, np.nan)
+            lo, hi = np.fmin(lo, x), np.fmax(hi, x)
+        return lo, hi
+
+    def marks(self, g: Grid, i: int, j: int):
+        """Of each segment and strip what it may reach and what lies wholly within it (the buffer is convex:
+        what does so at the strip's both edges). The strip is widened by the slack, which covers all rounding."""
+        a, b = self.off[i], self.off[j]
+        at = np.repeat(np.arange(a, b), self.n[a:b])
+        row = _gathered(self.row[a:b], self.n[a:b])
+        window = np.repeat(np.arange(i, j), np.diff(self.off[i:j + 1]))[at - a]
+        s, e = self.s[at], self.slack
+        y0, y1 = g.y0 + row * g.high - e, g.y0 + (row + 1) * g.high + e
+        x2, y2 = s[:, 0] + s[:, 2], s[:, 1] + s[:, 3]
+        bottom, top = np.minimum(s[:, 1], y2) - self.r, np.maximum(s[:, 1], y2) + self.r
+        with np.errstate(all="ignore"):
+            # sections only grow from the lowest and the highest point inwards: a step within them is the wider one
+            (l0, h0), (l1, h1) = (self._section(s, np.clip(y, bottom + e / 4, top - e / 4)) for y in (y0, y1))
+        lo, hi = np.fmin(l0, l1), np.fmax(h0, h1)
+        for ex, ey in ((s[:, 0], s[:, 1]), (x2, y2)):  # the ends' discs reach furthest at the ends' height
+            met = (ey >= y0) & (ey <= y1)
+            lo, hi = np.where(met, np.fmin(lo, ex - self.r), lo), np.where(met, np.fmax(hi, ex + self.r), hi)
+        # a section that rounding lost: the segment's whole width
+        lo, hi = np.where(np.isnan(l0 + l1), np.minimum(s[:, 0], x2) - self.r, lo), np.where(np.isnan(l0 + l1), np.maximum(s[:, 0], x2) + self.r, hi)
+        inner0, inner1 = np.maximum(l0, l1) + e, np.minimum(h0, h1) - e
+        group = window * g.rows + row
+        most = g.at(row, lo - e, 0), g.at(row, hi + e, 1)
+        full = np.flatnonzero((y0 > bottom) & (y1 < top) & (inner0 < inner1))
+        least = g.at(row[full], inner0[full], 1), g.at(row[full], inner1[full], 0)
+        full, least = full[least[0] < least[1]], [x[least[0] < least[1]] for x in least]
+        one = np.ones(len(group), np.int64)
+        marks = _marks(group, *most, one, 0 * one, 0 * one), _marks(group[full], *least, 0 * one[full], one[full], -one[full])
+        return [np.concatenate(x) for x in zip(*marks, strict=True)]
+
+    def distances(self, window, x, y) -> np.ndarray:
+        """Squared distances of points to the nearest segment of their windows, as ``vector_d2_sql`` has them."""
+        best, size = np.full(len(x), np.inf), np.diff(self.off)[window]
+        start, fields = self.off[window], np.ascontiguousarray(self.s.T)
+        for k in range(int(size.max(initial=0))):
+            on = slice(None) if k < size.min() else np.flatnonzero(size > k)
+            of, u, v = start[on] + k, x[on], y[on]
+            x1, y1, dx, dy, l2 = (c[of] for c in fields)
+            t = np.maximum(0.0, np.minimum(1.0, ((u - x1) * dx + (v - y1) * dy) / l2))
+            ex, ey = u - (x1 + t * dx), v - (y1 + t * dy)
+            best[on] = np.minimum(best[on], ex * ex + ey * ey)
+        return best
+
+    def holds(self, window, x, y):
+        d2 = self.distances(window, x, y)
+        return d2 < self.r * self.r if self.strict else d2 <= self.r * self.r
+
 
-    def box(self, s):
-        x, y = np.concatenate([s[:, 0], s[:, 0] + s[:, 2]]), np.concatenate([s[:, 1], s[:, 1] + s[:, 3]])
-        return x.min() - self.r, y.min() - self.r, x.max() + self.r, y.max() + self.r
+class Circle(Line):
+    """A disc of a radius, its edge included or not: the buffer of a segment without length."""
 
-    def grid(self, s, x, y, half):
-        d = np.sqrt(_d2(x, y, s))
-        return d <= self.r - half, np.abs(d - self.r) < half
+    columns = ("_x", "_y")
 
-    def holds(self, s, x, y):
-        d2 = _d2(x, y, s)
-        return d2 < self.r * self.r if self.strict else d2 <= self.r * self.r
+    def read(self, t: pa.Table) -> None:
+        x, y = t["_x"].to_numpy(), t["_y"].to_numpy()
+        self.off, self.s = np.arange(len(x) + 1), np.stack([x, y, 0 * x, 0 * x, np.ones(len(x))], axis=1)
+
+    def holds(self, window, x, y):
+        dx, dy = x - self.s[window, 0], y - self.s[window, 1]
+        d = np.sqrt(dx * dx + dy * dy)
+        return d < self.r if self.strict else d <= self.r
 
 
 class Polygon:
     """The even-odd inside of a polygon by its part in a block (``joins.polygon_cells``)."""
 
-    columns = ("_par", "_list", "_ups", "_x0", "_y0", "_x1", "_y1")
+    columns, parity = ("_par", "_list", "_ups", "_y0", "_y1"), True
 
     def __init__(self, boundary: bool):
         self.boundary = boundary
 
-    def read(self, t: pa.Table):
-        par, edges = t["_par"].to_numpy(), _lists(t, "_list", ("x1", "y1", "x2", "y2"))
-        ups = t["_ups"].combine_chunks()
-        ups = ups if isinstance(ups, pa.Array) else ups.chunk(0)
-        at, high = ups.offsets.to_numpy(), ups.values.to_numpy(zero_copy_only=False)
-        box = [t[c].to_numpy() for c in self.columns[3:]]
-        return lambda i: (par[i], edges(i), high[at[i]:at[i + 1]], [b[i] for b in box])
-
-    def box(self, w):
-        return w[3]
-
-    def odd(self, w, x, y):
-        par, e, ups, _ = w
-        n, on, step = np.full(len(x), par, dtype=np.int64), np.zeros(len(x), dtype=bool), max(1, MATRIX // max(len(x), 1))
-        for u in ups:
-            n += u > y
+    def read(self, t: pa.Table) -> None:
+        self.par, self.y0, self.y1 = (t[c].to_numpy() for c in ("_par", "_y0", "_y1"))
+        self.off, self.e = _list(t, "_list", ("x1", "y1", "x2", "y2"))
+        self.up, self.ups = _list(t, "_ups")
+
+    def place(self, g: Grid) -> np.ndarray:
+        """Slack, the strips of every polygon and edge, and the number of marks of every window."""
+        e = self.e
+        self.slack = 4e-12 * max(g.reach, np.abs(e).max(initial=0.0))
+        self.row, self.n = g.strips(self.y0 - self.slack, self.y1 + self.slack)
+        self.edge_row, self.edge_n = g.strips(np.minimum(e[:, 1], e[:, 3]) - self.slack, np.maximum(e[:, 1], e[:, 3]) + self.slack)
+        return 2 * self.n + 2 * np.diff(np.concatenate([[0], np.cumsum(self.edge_n)])[self.off]) + np.diff(self.up) * self.n
+
+    def marks(self, g: Grid, i: int, j: int):
+        """Of each edge and strip what it may touch, and where the number of edges to the right changes."""
+        a, b = self.off[i], self.off[j]
+        at = np.repeat(np.arange(a, b), self.edge_n[a:b])
+        row = _gathered(self.edge_row[a:b], self.edge_n[a:b])
+        window = np.repeat(np.arange(i, j), np.diff(self.off[i:j + 1]))[at - a]
+        x1, y1, x2, y2 = self.e[at].T
+        low, high, middle = g.y0 + row * g.high - self.slack, g.y0 + (row + 1) * g.high + self.slack, g.y0 + (row + 0.5) * g.high
         with np.errstate(all="ignore"):
-            for i in range(0, len(e), step):
-                x1, y1, x2, y2 = (e[i:i + step, k, None] for k in range(4))
-                n += (((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(axis=0)
-                on |= (((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1) == 0.0) & (x >= np.minimum(x1, x2)) & (x <= np.maximum(x1, x2))
-                       & (y >= np.minimum(y1, y2)) & (y <= np.maximum(y1, y2))).any(axis=0)
-        return n % 2 == 1, on
-
-    def grid(self, w, x, y, half):
-        e = w[1]
-        dx, dy = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
-        l2 = dx * dx + dy * dy
-        edge = np.sqrt(_d2(x, y, np.stack([e[:, 0], e[:, 1], dx, dy, np.where(l2 == 0, 1.0, l2)], axis=1))) < half
-        inner = np.zeros(len(x), dtype=bool)
-        inner[~edge] = self.odd(w, x[~edge], y[~edge])[0]
-        return inner, edge
-
-    def holds(self, w, x, y):
-        odd, on = self.odd(w, x, y)
-        return odd | on if self.boundary else odd & ~on
-
-
-def _gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The numbers of the ranges that begin at ``starts``, one after the other."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+            p, q = (x1 + np.clip((y - y1) / (y2 - y1), 0, 1) * (x2 - x1) for y in (low, high))
+        p, q = np.where(y1 == y2, x1, p), np.where(y1 == y2, x2, q)
+        over = ((y1 > middle) != (y2 > middle)).astype(np.int64)
+        group = window * g.rows + row
+        near = _marks(group, g.at(row, np.minimum(p, q) - self.slack, 0), g.at(row, np.maximum(p, q) + self.slack, 1), np.ones(len(group), np.int64), 0 * over, -over)
+        # a strip begins with the edges to the right of it, those that do not touch the block included
+        rows, windows = _gathered(self.row[i:j], self.n[i:j]), np.repeat(np.arange(i, j), self.n[i:j])
+        begin = windows * g.rows + rows
+        size = np.diff(self.up)[windows]
+        higher = self.ups[_gathered(self.up[windows], size)] > np.repeat(g.y0 + (rows + 0.5) * g.high, size)
+        rest = self.par[windows] + np.bincount(np.repeat(np.arange(len(begin)), size)[higher], minlength=len(begin))
+        met, place = np.zeros(len(begin), np.int64), np.searchsorted(begin, group)
+        np.add.at(met, place[over > 0], 1)
+        whole = (begin, g.first[rows * g.columns], 0 * met, rest + met), (begin, g.first[(rows + 1) * g.columns], 0 * met, -rest)
+        return [np.concatenate(x) for x in zip(near, *whole, strict=True)]
+
+    def holds(self, window, x, y):
+        n, on = self.par[window].astype(np.int64), np.zeros(len(x), dtype=bool)
+        fields = np.ascontiguousarray(self.e.T)
+        for off, size, is_edge in ((self.up, np.diff(self.up)[window], False), (self.off, np.diff(self.off)[window], True)):
+            start = off[window]
+            for k in range(int(size.max(initial=0))):
+                some = slice(None) if k < size.min() else np.flatnonzero(size > k)
+                u, v = x[some], y[some]
+                if not is_edge:
+                    n[some] += self.ups[start[some] + k] > v
+                    continue
+                of = start[some] + k
+                x1, y1, x2, y2 = (c[of] for c in fields)
+                dx, dy = x2 - x1, y2 - y1
+                rise = dx * (v - y1)
+                with np.errstate(all="ignore"):
+                    n[some] += ((y1 > v) != (y2 > v)) & (u < rise / dy + x1)
+                line = (u - x1) * dy == rise
+                if line.any():
+                    on[some] |= line & (u >= np.minimum(x1, x2)) & (u <= np.maximum(x1, x2)) & (v >= np.minimum(y1, y2)) & (v <= np.maximum(y1, y2))
+        return n % 2 == 1 if not on.any() else (n % 2 == 1) | on if self.boundary else (n % 2 == 1) & ~on
+
+
+def _batches(sizes: np.ndarray, most: int):
+    """Neighbours whose sizes add up to about ``most``."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
 
 
 def _counted(kind, side: float, by: str | None, names: list[str]):
@@ -171,43 +271,43 @@ def _counted(kind, side: float, by: str | None, names: list[str]):
         kinds = len(labels) if by is not None else 1
         wid, out = windows["_wid"].to_numpy(), []
         if len(x) and len(wid):
-            fine = 1 << int(np.clip(round(np.log2(max(len(x) / PER_FINE, 1)) / 2), 0, 8))
-            while fine > 1 and fine * fine * kinds > SUMS:
-                fine //= 2
-            s, ox, oy = side / fine, key[0].as_py() * side, key[1].as_py() * side
-            column, row = (np.floor(x / s) - key[0].as_py() * fine).astype(np.int64), (np.floor(y / s) - key[1].as_py() * fine).astype(np.int64)
-            cell = row * fine + column
-            order = np.argsort(cell, kind="stable")
-            x, y, n, group = x[order], y[order], n[order], group[order]
-            first = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=fine * fine))])
-            sums = np.zeros((fine, fine + 1, kinds))  # exact: whole numbers below 2^53
-            sums[:, 1:] = np.cumsum(np.bincount(cell[order] * kinds + group, weights=n, minlength=fine * fine * kinds).reshape(fine, fine, kinds), axis=1)
-            # half a fine cell's diagonal, and the rounding of its centre
-            half = s * 0.5 ** 0.5 * (1 + 1e-9) + 4e-12 * max(abs(ox), abs(oy), side)
-            gx, gy = np.meshgrid(ox + (np.arange(fine) + 0.5) * s, oy + (np.arange(fine) + 0.5) * s)
-            read = kind.read(windows)
-            for i in range(len(wid)):
-                w = read(i)
-                x0, y0, x1, y1 = kind.box(w)
-                a, b = max(0, int((x0 - ox) // s)), min(fine, int((x1 - ox) // s) + 1)
-                c, d = max(0, int((y0 - oy) // s)), min(fine, int((y1 - oy) // s) + 1)
-                if a >= b or c >= d:
-                    continue
-                inner, edge = kind.grid(w, gx[c:d, a:b].ravel(), gy[c:d, a:b].ravel(), half)
-                cells = edge.nonzero()[0]
-                cells = (cells // (b - a) + c) * fine + cells % (b - a) + a
-                near = _gathered(first[cells], first[cells + 1] - first[cells])
-                near = near[kind.holds(w, x[near], y[near])]
-                found = np.bincount(group[near], weights=n[near], minlength=kinds)
-                if inner.any():
-                    ends = np.zeros((d - c, b - a + 2), dtype=np.int8)
-                    ends[:, 1:-1] = inner.reshape(d - c, b - a)
-                    ends = ends[:, 1:] - ends[:, :-1]
-                    rows, columns = ends.nonzero()  # a run's first cell is 1, the cell after it -1
-                    found = found - ends[rows, columns] @ sums[rows + c, columns + a]
+            grid = Grid(x, y, key[0].as_py(), key[1].as_py(), side)
+            x, y, n, group = (v[grid.order] for v in (x, y, n, group))
+            # running sums of every ``step`` points, exact: whole numbers below 2^53
+            step = -(-len(x) * kinds // SUMS)
+            slots = len(x) // step
+            sums = np.zeros((slots + 1, kinds))
+            sums[1:] = np.cumsum(np.bincount(np.arange(slots * step) // step * kinds + group[:slots * step], weights=n[:slots * step], minlength=slots * kinds).reshape(slots, kinds), axis=0)
+            kind.read(windows)
+            for i, j in _batches(np.maximum(kind.place(grid), kinds), MARKS):
+                at, point, near, whole = kind.marks(grid, i, j)
+                found = np.zeros((j - i) * kinds)
+                order = np.argsort(at * (len(x) + 1) + point, kind="stable")
+                at, point, near, whole = at[order], point[order], np.cumsum(near[order]), np.cumsum(whole[order])
+                a, b, window = point[:-1], point[1:], at[:-1] // grid.rows
+                some = (at[1:] == at[:-1]) & (a < b)
+                full = (near[:-1] == 0) & (whole[:-1] % 2 == 1) if kind.parity else whole[:-1] > 0
+                tested, full = some & ~full & (near[:-1] > 0), some & full
+                pieces = [(a[tested], b[tested], window[tested], True)]
+                a, b, window = a[full], b[full], window[full]
+                first, last = -(-a // step), b // step
+                if step > 1:  # what running sums leave at both ends
+                    pieces += [(a, np.minimum(b, first * step), window, False), (np.maximum(last * step, np.minimum(b, first * step)), b, window, False)]
+                first, last, window = (v[first < last] for v in (first, last, window))
+                for c, d in _batches(np.full(len(first), kinds), SUMS):
+                    head = np.flatnonzero(np.r_[True, window[c + 1:d] != window[c:d - 1]])
+                    total = np.add.reduceat(sums[last[c:d]] - sums[first[c:d]], head, axis=0)
+                    found.reshape(-1, kinds)[window[c:d][head] - i] += total
+                for a, b, window, test in pieces:
+                    for c, d in _batches(b - a, MATRIX):
+                        size = b[c:d] - a[c:d]
+                        own, of = _gathered(a[c:d], size), np.repeat(window[c:d], size)
+                        if test:
+                            kept = kind.holds(of, x[own], y[own])
+                            own, of = own[kept], of[kept]
+                        found += np.bincount((of - i) * kinds + group[own], weights=n[own], minlength=len(found))
                 some = found.nonzero()[0]
-                if len(some):
-                    out.append((np.full(len(some), wid[i]), some, found[some]))
+                out.append((wid[i + some // kinds], some % kinds, found[some]))
         w, g, m = (np.concatenate([o[k] for o in out]) if out else np.zeros(0) for k in range(3))
         found = {"_wid": pa.array(w.astype(np.int64)), "n": pa.array(m.astype(np.int64))}
         if by is not None:
