@@ -25,8 +25,8 @@ from . import joins as J
 
 #: Points and windows of a block that meet in one task; more are dealt in parts.
 POINTS_PART, WINDOWS_PART = 1 << 19, 1 << 14
-#: Marks, points tested and sums held at once.
-MARKS, MATRIX, SUMS = 1 << 17, 1 << 19, 1 << 22
+#: Marks and points tested at once (about what a core's cache holds), and sums of a block.
+MARKS, MATRIX, SUMS = 1 << 16, 1 << 15, 1 << 22
 
 
 def _block(size: float) -> float:
@@ -229,15 +229,18 @@ class Polygon:
     def holds(self, window, x, y):
         n, on = self.par[window].astype(np.int64), np.zeros(len(x), dtype=bool)
         fields = np.ascontiguousarray(self.e.T)
+        low, high = np.minimum(fields[1], fields[3]), np.maximum(fields[1], fields[3])
         for off, size, is_edge in ((self.up, np.diff(self.up)[window], False), (self.off, np.diff(self.off)[window], True)):
             start = off[window]
             for k in range(int(size.max(initial=0))):
                 some = slice(None) if k < size.min() else np.flatnonzero(size > k)
-                u, v = x[some], y[some]
+                of, v = start[some] + k, y[some]
                 if not is_edge:
-                    n[some] += self.ups[start[some] + k] > v
+                    n[some] += self.ups[of] > v
                     continue
-                of = start[some] + k
+                met = np.flatnonzero((low[of] <= v) & (v <= high[of]))  # others are neither crossed nor touched
+                of, v, some = of[met], v[met], met if isinstance(some, slice) else some[met]
+                u = x[some]
                 x1, y1, x2, y2 = (c[of] for c in fields)
                 dx, dy = x2 - x1, y2 - y1
                 rise = dx * (v - y1)
@@ -245,7 +248,7 @@ class Polygon:
                     n[some] += ((y1 > v) != (y2 > v)) & (u < rise / dy + x1)
                 line = (u - x1) * dy == rise
                 if line.any():
-                    on[some] |= line & (u >= np.minimum(x1, x2)) & (u <= np.maximum(x1, x2)) & (v >= np.minimum(y1, y2)) & (v <= np.maximum(y1, y2))
+                    on[some] |= line & (u >= np.minimum(x1, x2)) & (u <= np.maximum(x1, x2))
         return n % 2 == 1 if not on.any() else (n % 2 == 1) | on if self.boundary else (n % 2 == 1) & ~on
 
 
@@ -345,7 +348,8 @@ def window_counts(points: DataFrame, cells: DataFrame, kind, side: float, by: st
     schema = ", ".join(f"{c} {'string' if c in keys else 'long'}" for c in names)
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
     found = p.repartition(n, *at).groupBy(*at).cogroup(w.repartition(n, *at).groupBy(*at)).applyInArrow(_counted(kind, side, by, names), schema)
-    return found.groupBy("_wid", *keys).agg(F.sum("n").alias("n"))
+    # dealt by window alone: the join with the layer needs no further shuffle
+    return found.repartition(n, "_wid").groupBy("_wid", *keys).agg(F.sum("n").alias("n"))
 
 
 def distance_counts(points: DataFrame, windows: DataFrame, radius: float, *, by: str | None = None, point_xy=("x", "y"),
