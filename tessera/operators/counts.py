@@ -261,6 +261,19 @@ def _batches(sizes: np.ndarray, most: int):
         at = to
 
 
+def _ranges(kind, grid: Grid, i: int, j: int, points: int) -> tuple:
+    """Ranges of the sorted points (first, one after the last, window) that the outlines of windows i to j may touch, and
+    those wholly inside. A point is in one range of a window at most."""
+    at, point, near, whole = kind.marks(grid, i, j)
+    order = np.argsort(at * (points + 1) + point, kind="stable")
+    at, point, near, whole = at[order], point[order], np.cumsum(near[order]), np.cumsum(whole[order])
+    a, b, window = point[:-1], point[1:], at[:-1] // grid.rows
+    some = (at[1:] == at[:-1]) & (a < b)
+    full = (near[:-1] == 0) & (whole[:-1] % 2 == 1) if kind.parity else whole[:-1] > 0
+    tested, full = some & ~full & (near[:-1] > 0), some & full
+    return (a[tested], b[tested], window[tested]), (a[full], b[full], window[full])
+
+
 def _counted(kind, side: float, by: str | None, names: list[str]):
     """The cogroup's function: points and windows of a block's part to (_wid, ``by``, n)."""
 
@@ -283,16 +296,10 @@ def _counted(kind, side: float, by: str | None, names: list[str]):
             sums[1:] = np.cumsum(np.bincount(np.arange(slots * step) // step * kinds + group[:slots * step], weights=n[:slots * step], minlength=slots * kinds).reshape(slots, kinds), axis=0)
             kind.read(windows)
             for i, j in _batches(np.maximum(kind.place(grid), kinds), MARKS):
-                at, point, near, whole = kind.marks(grid, i, j)
                 found = np.zeros((j - i) * kinds)
-                order = np.argsort(at * (len(x) + 1) + point, kind="stable")
-                at, point, near, whole = at[order], point[order], np.cumsum(near[order]), np.cumsum(whole[order])
-                a, b, window = point[:-1], point[1:], at[:-1] // grid.rows
-                some = (at[1:] == at[:-1]) & (a < b)
-                full = (near[:-1] == 0) & (whole[:-1] % 2 == 1) if kind.parity else whole[:-1] > 0
-                tested, full = some & ~full & (near[:-1] > 0), some & full
-                pieces = [(a[tested], b[tested], window[tested], True)]
-                a, b, window = a[full], b[full], window[full]
+                (a, b, window), of_full = _ranges(kind, grid, i, j, len(x))
+                pieces = [(a, b, window, True)]
+                a, b, window = of_full
                 first, last = -(-a // step), b // step
                 if step > 1:  # what running sums leave at both ends
                     pieces += [(a, np.minimum(b, first * step), window, False), (np.maximum(last * step, np.minimum(b, first * step)), b, window, False)]

@@ -21,6 +21,8 @@ from . import cells as C
 FLAT = 6
 #: Heights of a cell (see polygon_cells) that are plain columns.
 FLAT_UPS = 2
+#: A block's side, in cells of its layer.
+BLOCK = 4.0
 
 
 def _renamed(left: DataFrame, right: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
@@ -127,19 +129,32 @@ def line_cells(layer: DataFrame, radius: float, size: float) -> DataFrame:
 def line_buffer_join(points: DataFrame, lines: DataFrame, radius: float, *,
                      point_xy=("x", "y"), id_col: str = "id", geom_col: str = "geom",
                      strict: bool = True, cell_size: float | None = None, layer: DataFrame | None = None,
-                     how: str = "inner", **join_opts) -> DataFrame:
+                     how: str = "inner", blocks: list[str] | None = None, copies: str | None = None, **join_opts) -> DataFrame:
     """Pairs (line, point) with the point inside the r-buffer of the line.
 
     ``strict`` (``ST_Within(point, ST_Buffer(line, r))``) keeps distance < r.
     Each line has one row per cell of its segments' r-expanded boxes, with the
     segments that reach that cell, so a point meets a line once. Two lines with
     one id are two lines. Returns the point columns, ``id_col``, ``_wid`` (the
-    line's number in ``layer``, see ``numbered``) and ``distance``.
+    line's number in ``layer``, see ``numbered``) and ``distance``. With ``blocks``
+    the same pairs arise by blocks, in Arrow batches (``pairs``), for layers that have
+    very many; it names the columns that come out, other columns of ``layer`` too,
+    and ``copies`` a column of ``layer`` with how often a line's pairs come. Options
+    of the cell join play no part there.
     """
     if id_col in points.columns:
         raise ValueError(f"points already have a column named {id_col!r}")
     px, py = point_xy
     layer = layer if layer is not None else numbered(lines.select(id_col, geom_col), geom_col, "lines")
+    if blocks is not None:
+        if how != "inner":
+            raise ValueError("blocks are for inner joins")
+        from . import counts, pairs  # they import this module
+
+        side = counts._block(float(cell_size) if cell_size is not None else BLOCK * line_cell_size(layer, radius))
+        wanted = [c for c in layer.columns if c in [*blocks, copies] and c != "_wid"]
+        cells = C.written(line_cells(layer, radius, side).join(layer.select("_wid", *wanted), "_wid"), "line-blocks")
+        return pairs.window_pairs(points, cells, counts.Line(float(radius), strict), side, blocks, point_xy, copies)
     # about the size of a segment, at least r: fewer candidates than cells as large as the expanded boxes
     size = float(cell_size) if cell_size is not None else line_cell_size(layer, radius)
     cells = C.written(line_cells(layer, radius, size).join(layer.select("_wid", id_col), "_wid"), "line-cells")
@@ -235,19 +250,30 @@ def polygon_boxes(layer: DataFrame) -> DataFrame:
 def polygon_join(points: DataFrame, polygons: DataFrame, *, point_xy=("x", "y"),
                  geom_col: str = "geom", boundary: bool = False,
                  cell_size: float | None = None, right_prefix: str = "w_", layer: DataFrame | None = None,
-                 how: str = "inner", **join_opts) -> DataFrame:
+                 how: str = "inner", blocks: list[str] | None = None, **join_opts) -> DataFrame:
     """Pairs (polygon, point) with the point inside the polygon.
 
     ``boundary=False`` is ``ST_Within`` (interior only). A point inside two
     polygons appears twice (row semantics of the SQL join). Rings are closed, a
     ``layer`` must have been numbered so. Returns the point columns, the
-    polygons' columns but the geometry, and ``_wid``.
+    polygons' columns but the geometry, and ``_wid``; with ``blocks`` as in
+    ``line_buffer_join``.
     """
     px, py = point_xy
     if layer is None:
         renamed, mapping = _renamed(points, polygons, right_prefix)
         layer = numbered(renamed, mapping[geom_col], "polygons", closed=True)
     rest = [c for c in layer.columns if c != "_segs"]
+    if blocks is not None:
+        if how != "inner":
+            raise ValueError("blocks are for inner joins")
+        from . import counts, pairs  # they import this module
+
+        boxes = polygon_boxes(layer)
+        side = counts._block(float(cell_size) if cell_size is not None else BLOCK * C.layer_cell_size(boxes, "_x0", "_y0", "_x1", "_y1", floor=1e-9))
+        wanted = [c for c in rest if c in blocks and c != "_wid"]
+        cells = C.written(polygon_cells(layer, side).join(boxes, "_wid").join(layer.select("_wid", *wanted), "_wid"), "polygon-blocks")
+        return pairs.window_pairs(points, cells, counts.Polygon(boundary), side, blocks, point_xy)
     if cell_size is None:
         cell_size = C.layer_cell_size(polygon_boxes(layer), "_x0", "_y0", "_x1", "_y1", floor=1e-9)
     size = float(cell_size)

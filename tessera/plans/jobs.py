@@ -97,12 +97,8 @@ def road_pairs(points: DataFrame, roads: DataFrame, radius: float = RADIUS, dedu
         layer = C.written(layer.withColumn("_wid", F.monotonically_increasing_id()), "road-ids")
         return J.line_buffer_join(places(points), roads, radius, layer=layer, **opts).select("id", "lng", "lat")
     layer = equal_roads(roads)  # met once, repeated for every copy
-    pairs = J.line_buffer_join(points.select("event_id", "x", "y"), roads, radius, layer=layer, **opts)
-    copies = layer.filter("copies > 1").select("_wid", "copies")
-    if copies.isEmpty():
-        return pairs.select("id", "event_id")
-    pairs = pairs.join(copies, "_wid", "left")
-    return pairs.select("id", "event_id", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int")))).select("id", "event_id")
+    many = None if layer.filter("copies > 1").isEmpty() else "copies"
+    return J.line_buffer_join(points.select("event_id", "x", "y"), roads, radius, layer=layer, blocks=["id", "event_id"], copies=many, **opts).select("id", "event_id")
 
 
 def road_daily_counts(points: DataFrame, roads: DataFrame, radius: float = RADIUS,
