@@ -95,7 +95,7 @@ def road_pairs(points: DataFrame, roads: DataFrame, radius: float = RADIUS, dedu
     if dedupe:  # distinct points and one window an ID: a pair arises once
         layer = road_layer(roads.select("id", "wkt").distinct()).groupBy("id").agg(F.flatten(F.collect_list("_segs")).alias("_segs"))
         layer = C.written(layer.withColumn("_wid", F.monotonically_increasing_id()), "road-ids")
-        return J.line_buffer_join(places(points), roads, radius, layer=layer, **opts).select("id", "lng", "lat")
+        return J.line_buffer_join(places(points), roads, radius, layer=layer, blocks=["id", "lng", "lat"], **opts).select("id", "lng", "lat")
     layer = equal_roads(roads)  # met once, repeated for every copy
     many = None if layer.filter("copies > 1").isEmpty() else "copies"
     return J.line_buffer_join(points.select("event_id", "x", "y"), roads, radius, layer=layer, blocks=["id", "event_id"], copies=many, **opts).select("id", "event_id")
@@ -125,7 +125,7 @@ def road_window_counts(points: DataFrame, roads: DataFrame, radius: float = RADI
 def road_members(points: DataFrame, roads: DataFrame, radius: float = RADIUS, **opts) -> DataFrame:
     """Mode 2 on line-buffer windows: distinct (id, wkt, lng, lat) rows."""
     layer = equal_roads(roads)  # distinct points and distinct windows: a pair arises once
-    pairs = J.line_buffer_join(places(points), roads, radius, layer=layer, **opts)
+    pairs = J.line_buffer_join(places(points), roads, radius, layer=layer, blocks=["_wid", "id", "lng", "lat"], **opts)
     return pairs.join(layer.select("_wid", "wkt"), "_wid").select("id", "wkt", "lng", "lat")
 
 
