@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from . import cells as C
 from . import counts as N
 
-#: Pairs of an Arrow batch (those of one run of points more).
-PAIRS = 1 << 16
+#: Pairs of an Arrow batch (those of one run of points more), and rows that one row of lists unrolls to: the
+#: JVM holds these at once.
+PAIRS, UNROLLED = 1 << 16, 1 << 12
 _AT = ["_cx", "_cy", "_p", "_w"]
 
 
@@ -31,15 +32,25 @@ def _met(kind, key: tuple, side: float, windows: pa.Table, points: pa.Table, own
     grid = N.Grid(x, y, key[0], key[1], side)
     x, y = x[grid.order], y[grid.order]
     whole = lambda t, c: pa.concat_arrays(t[c].chunks)
-    left, right = [whole(points, c).take(pa.array(grid.order)) for c in own], [whole(windows, c) for c in others]
+    left = [whole(points, c).take(pa.array(grid.order)) for c in own]
+    right = [None if c == "_copies" else whole(windows, c) for c in others]
+    copies = windows["_copies"].to_numpy().astype(np.int64) if "_copies" in others else None
     kind.read(windows)
 
     def lists(found: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
         point, of = (np.concatenate(v) for v in zip(*found, strict=True))
-        head = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        if copies is not None:  # a pair with more copies than a row unrolls to comes in several rows
+            parts = -(-copies[of] // UNROLLED)
+            nth = N._gathered(0 * parts, parts)
+            point, of = np.repeat(point, parts), np.repeat(of, parts)
+        run = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        most = np.full(len(run), UNROLLED) if copies is None else UNROLLED // np.clip(copies[of[run]], 1, UNROLLED)
+        rows = -(-np.diff(np.r_[run, len(of)]) // most)
+        head = np.repeat(run, rows) + N._gathered(0 * rows, rows) * np.repeat(most, rows)
         off, at, by = pa.array(np.r_[head, len(of)].astype(np.int32)), pa.array(point), pa.array(of[head])
         values = [*[v.take(at) for v in left], *([pa.array(np.sqrt(kind.distances(of, x[point], y[point])))] if distance else [])]
-        return [*[v.take(by) for v in right], *[pa.ListArray.from_arrays(off, v) for v in values]]
+        each = None if copies is None else pa.array(np.minimum(copies[of[head]] - nth[head] * UNROLLED, UNROLLED).astype(np.int32))
+        return [*[each if v is None else v.take(by) for v in right], *[pa.ListArray.from_arrays(off, v) for v in values]]
 
     found, held = [], 0
     for i, j in N._batches(np.maximum(kind.place(grid), 1), N.MARKS):
